@@ -10,9 +10,11 @@ so there is no table of 64-bit offsets per document.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -90,15 +92,46 @@ class EliasFano:
         return ((place - i) << self.bits) + low
 
 
-class ChunkEncoder:
-    """Encodes texts, remembering the ids of chunks that it has seen.
+#: Fixed values of byte-level BPE: how it cuts texts, here for ASCII and the letters of Latin-1 and Latin Extended.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+PRE_TOKEN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
+UNUSUAL = re.compile(rf"[^\t\n\r\x20-\x7e{LETTERS}]")
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-    A chunk is a space and what follows it up to the next space. The pre-tokenizer
-    of a byte-level BPE never joins a space to what stands before it, unless that is
-    white space too; texts with white space before a space are encoded in one piece.
+
+def byte_alphabet() -> dict[int, str]:
+    """The character by which byte-level BPE writes each byte: printed ones stand for themselves, the others for 256, 257, ..."""
+    others = [b for b in range(256) if b not in PRINTED]
+    return {b: chr(b) for b in PRINTED} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class PreTokens(dict):
+    """The place of each pre-token seen so far; one that is new goes through the tokenizer's model."""
+
+    def __init__(self, model, dtype: np.dtype):
+        super().__init__()
+        self.model, self.alphabet = model, byte_alphabet()
+        self.ids, self.start, self.size, self.chars = array("H" if dtype.itemsize == 2 else "I"), array("q"), array("q"), 0
+
+    def __missing__(self, piece: str) -> int:
+        found = [x.id for x in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
+        self[piece] = place = len(self.start)
+        self.start.append(len(self.ids))
+        self.size.append(len(found))
+        self.ids.extend(found)
+        self.chars += len(piece)
+        return place
+
+
+class Encoder:
+    """Encodes whole texts with the tokenizers library.
+
+    A byte-level BPE without a normaliser encodes each pre-token by itself, so those
+    seen before are looked up. Texts with characters outside the common range, and
+    all texts of other kinds of tokenizer, go through the library in one piece.
     """
 
-    LIMIT, LIMIT_CHARS = 400_000, 16 << 20  # chunks, and their characters, that are remembered
+    LIMIT, LIMIT_CHARS = 1_000_000, 16 << 20  # pre-tokens, and their characters, that are remembered
 
     def __init__(self, tokenizer_json: str, end_id: int):
         from tokenizers import Tokenizer
@@ -107,66 +140,39 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.end_id = end_id
-        self.byte_level = '"type":"ByteLevel"' in tokenizer_json.replace(" ", "") and '"normalizer":null' in tokenizer_json.replace(" ", "").replace("\n", "")
-        self.clear()
-
-    def clear(self) -> None:
-        self.seen: dict[str, int] = {}
-        self.ids, self.start, self.size = np.zeros(1 << 16, self.dtype), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = self.chars = 0
-
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
-
-    def learn(self, chunks: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((x for ids in found for x in ids), self.dtype, int(size.sum()))
-        n = len(self.seen)
-        while len(self.ids) < self.used + len(flat):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(self.start) < n + len(found):
-            self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.start[n : n + len(found)] = self.used + np.cumsum(size) - size
-        self.size[n : n + len(found)] = size
-        self.used += len(flat)
-        self.chars += sum(map(len, chunks))
-        self.seen.update((chunk, n + i) for i, chunk in enumerate(chunks))
+        spec = json.loads(tokenizer_json)
+        cut = spec.get("pre_tokenizer") or {}
+        self.byte_level = spec.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+        self.seen = PreTokens(self.tokenizer.model, self.dtype)
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of ``text`` and the end id."""
-        end = np.array([self.end_id], self.dtype)
-        if not text:
-            return end
-        if not self.byte_level or re.search(r"\s ", text) or text[0] == " ":
-            return np.concatenate([self.whole(text), end])
-        chunks = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
-        if chunks is None:
-            return np.concatenate([self.whole(text), end])
-        if new := list(dict.fromkeys(x for x in chunks if x not in self.seen)):
-            if len(self.seen) > self.LIMIT or self.chars > self.LIMIT_CHARS:
-                self.clear()
-                new = list(dict.fromkeys(chunks))
-            self.learn(new)
-        which = np.fromiter(map(self.seen.__getitem__, chunks), np.int64, len(chunks))
-        size, start = self.size[which], self.start[which]
-        total = int(size.sum())
-        index = np.arange(total) + np.repeat(start - (np.cumsum(size) - size), size)
+        if not self.byte_level or UNUSUAL.search(text):
+            return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, self.end_id], self.dtype)
+        if len(self.seen) > self.LIMIT or self.seen.chars > self.LIMIT_CHARS:
+            self.seen = PreTokens(self.tokenizer.model, self.dtype)
+        parts = PRE_TOKEN.findall(text)
+        which = np.fromiter(map(self.seen.__getitem__, parts), np.int64, len(parts))
+        size = np.frombuffer(self.seen.size, np.int64)[which] if parts else which
+        start = np.frombuffer(self.seen.start, np.int64)[which] if parts else which
+        to = np.cumsum(size)
+        total = int(to[-1]) if parts else 0
         out = np.empty(total + 1, self.dtype)
-        out[:total], out[total] = self.ids[index], self.end_id
+        if total:
+            out[:total] = np.frombuffer(self.seen.ids, self.dtype)[np.arange(total) + np.repeat(start - to + size, size)]
+        out[total] = self.end_id
         return out
 
 
-_ENCODERS: dict[tuple[int, int], ChunkEncoder] = {}
+_ENCODERS: dict[tuple[int, int], Encoder] = {}
 
 
-def _encoder(tokenizer_json: str, end_id: int) -> ChunkEncoder:
+def _encoder(tokenizer_json: str, end_id: int) -> Encoder:
     """One per Python worker: what it remembers serves the next tasks too."""
     key = (hash(tokenizer_json), end_id)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = ChunkEncoder(tokenizer_json, end_id)
+        _ENCODERS[key] = Encoder(tokenizer_json, end_id)
     return _ENCODERS[key]
 
 
