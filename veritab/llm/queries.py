@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veritab.llm.decontamination import contaminated
 from veritab.llm.exact_dedup import exact_dedup
+from veritab.llm.language_id import identify_languages
 from veritab.llm.minhash import near_duplicates
 from veritab.llm.mixing import mix_report
+from veritab.llm.quality import importance_resample
 from veritab.llm.token_output import token_output
 from veritab.llm.toxicity import toxicity
 
@@ -36,6 +38,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
 
@@ -44,12 +50,18 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op3_mixing": op3_mixing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_language_id": op6_language_id,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
+    "op9_quality": op9_quality,
     "op10_near_dedup": op10_near_dedup,
 }
 
