@@ -14,6 +14,7 @@ from veritab.llm.language_id import identify_languages
 from veritab.llm.minhash import near_duplicates
 from veritab.llm.mixing import mix_report
 from veritab.llm.quality import importance_resample
+from veritab.llm.substring_dedup import substring_dedup
 from veritab.llm.token_output import token_output
 from veritab.llm.toxicity import toxicity
 
@@ -26,6 +27,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_mixing": op3_mixing,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_language_id": op6_language_id,
