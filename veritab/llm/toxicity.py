@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm._words import Words, char_ngrams, distinct, pieces, words
+from veritab.llm._words import Words, char_ngrams, distinct, pieces, runs, words
 
 NGRAMS = (3, 4, 5)
 F32 = np.float32
@@ -31,7 +31,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 class Settings:
     """``max_documents`` and ``max_chars`` bound the labelled sample that the network is fitted on."""
 
-    max_documents: int = 6000
+    max_documents: int = 4500
     max_chars: int = 50_000
     buckets: int = 1 << 16
     word_dims: int = 2
@@ -60,21 +60,18 @@ class BiGru:
             p |= {f"in_{way}": near(d, 3 * h), f"at_{way}": near(h, 3 * h), f"on_{way}": np.zeros(3 * h, F32)}
         return cls(s, p)
 
-    def features(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(bucket of each distinct word, its n-grams: owner and bucket, which distinct word each word is)."""
-        example, which = distinct(w)
-        owner, gram = char_ngrams(w.data, w.start[example], w.end[example], NGRAMS)
-        n = np.uint64(self.settings.buckets)
-        return (w.hash[example] % n).astype(np.int64), owner, (gram % n).astype(np.int64), which
-
-    def embed(self, word: np.ndarray, owner: np.ndarray, gram: np.ndarray) -> np.ndarray:
-        """One input vector for each distinct word."""
-        s = self.settings
-        out = np.zeros((len(word), s.word_dims + s.char_dims), F32)
-        out[:, : s.word_dims] = self.p["word"][word]
-        count = np.bincount(owner, minlength=len(word)).astype(F32)
-        for j in range(s.char_dims):
-            out[:, s.word_dims + j] = np.bincount(owner, self.p["char"][gram, j], len(word)) / np.maximum(count, 1)
+    def embed(self, w: Words, example: np.ndarray) -> np.ndarray:
+        """One input vector for each distinct word, given by an example; some thousand words at a time."""
+        s, n = self.settings, np.uint64(self.settings.buckets)
+        out = np.zeros((len(example), s.word_dims + s.char_dims), F32)
+        out[:, : s.word_dims] = self.p["word"][(w.hash[example] % n).astype(np.int64)]
+        for lo in range(0, len(example), 20_000):
+            some = example[lo : lo + 20_000]
+            owner, gram = char_ngrams(w.data, w.start[some], w.end[some], NGRAMS)
+            gram = (gram % n).astype(np.int64)
+            count = np.maximum(np.bincount(owner, minlength=len(some)), 1)
+            for j in range(s.char_dims):
+                out[lo : lo + 20_000, s.word_dims + j] = np.bincount(owner, self.p["char"][gram, j], len(some)) / count
         return out
 
     def states(self, steps_in: Callable[[int], np.ndarray], n: int, mask: np.ndarray | None, way: str, keep: bool = False):
@@ -174,8 +171,8 @@ def text_logits(model: BiGru, texts: pa.Array) -> np.ndarray:
     s, w = model.settings, words(texts)
     top = np.full(len(w.counts), -10, F32)
     if len(w.hash):
-        word, owner, gram, which = model.features(w)
-        x = model.embed(word, owner, gram)
+        example, which = distinct(w)
+        x = model.embed(w, example)
         doc, first, size = windows_of(w, s)
         full = size == s.window
         for some in (full, ~full):
@@ -185,13 +182,27 @@ def text_logits(model: BiGru, texts: pa.Array) -> np.ndarray:
     return top
 
 
-def log_odds(doc: np.ndarray, bucket: np.ndarray, toxic: np.ndarray, n: int, weight: float = 5.0) -> np.ndarray:
-    """How much more often a bucket occurs in toxic documents, smoothed towards not at all."""
-    pair = np.unique(doc.astype(np.int64) * n + bucket)
-    bad = toxic[pair // n] == 1
+def log_odds(texts: list[str], toxic: np.ndarray, n: int, weight: float = 5.0) -> tuple[np.ndarray, np.ndarray]:
+    """For the buckets of words, and of n-grams: how much more often they occur in toxic texts, smoothed towards not at all. Some texts at a time."""
+    counts, size = np.zeros((2, 2, n)), np.uint64(n)
+    for lo in range(0, len(texts), 200):
+        w, bad = words(pa.array(texts[lo : lo + 200], pa.large_string())), toxic[lo : lo + 200]
+        if not len(w.hash):
+            continue
+        example, which = distinct(w)
+        doc, word = np.divmod(np.unique(w.doc * len(example) + which), len(example))
+        owner, gram = char_ngrams(w.data, w.start[example], w.end[example], NGRAMS)
+        gram = (gram % size).astype(np.int64)[np.argsort(owner, kind="stable")]
+        begin = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(example)))])
+        index, _ = runs(begin[word], np.diff(begin)[word])
+        for kind, (who, bucket) in enumerate(((doc, (w.hash[example] % size).astype(np.int64)[word]), (np.repeat(doc, np.diff(begin)[word]), gram[index]))):
+            pair = np.unique(who * n + bucket)
+            for y in (0, 1):
+                counts[kind, y] += np.bincount(pair[bad[pair // n] == y] % n, minlength=n)
     share = toxic.mean()
-    t, c = np.bincount(pair[bad] % n, minlength=n), np.bincount(pair[~bad] % n, minlength=n)
-    return (np.clip(np.log((t + weight * share) / (c + weight * (1 - share)) * (1 - share) / share), -4, 4) / 2).astype(F32)
+    odds = (counts[:, 1] + weight * share) / (counts[:, 0] + weight * (1 - share)) * (1 - share) / share
+    both = (np.clip(np.log(odds), -4, 4) / 2).astype(F32)
+    return both[0], both[1]
 
 
 def train(texts: list[str], toxic: np.ndarray, s: Settings) -> BiGru:
@@ -203,26 +214,18 @@ def train(texts: list[str], toxic: np.ndarray, s: Settings) -> BiGru:
     """
     model, rng = BiGru.fresh(s), np.random.default_rng(s.seed)
     toxic = np.asarray(toxic)
-    w = words(pa.array(texts, pa.large_string()))
-    word, owner, gram, which = model.features(w)
-    uses = np.unique(np.stack([w.doc, which]), axis=1)
-    model.p["word"][:, 0] = log_odds(uses[0], word[uses[1]], toxic, s.buckets)
-    order = np.argsort(owner, kind="stable")
-    of_word, ordered = np.searchsorted(owner[order], np.arange(len(word) + 1)), gram[order]
-    total = np.zeros((2, s.buckets))
-    for lo in range(0, len(texts), 500):  # the n-grams of a few documents at a time
-        part = uses[:, (uses[0] >= lo) & (uses[0] < lo + 500)]
-        size = np.diff(of_word)[part[1]]
-        index = np.repeat(of_word[part[1]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        pairs = np.unique(np.repeat(part[0], size).astype(np.int64) * s.buckets + ordered[index])
-        bad = toxic[pairs // s.buckets] == 1
-        total += np.stack([np.bincount(pairs[m] % s.buckets, minlength=s.buckets) for m in (bad, ~bad)])
-    share = toxic.mean()
-    odds = (total[0] + 5 * share) / (total[1] + 5 * (1 - share)) * (1 - share) / share
-    model.p["char"][:, 0] = np.clip(np.log(odds), -4, 4) / 2
-
-    doc, first, size = windows_of(w, s)
-    x = model.embed(word, owner, gram)
+    model.p["word"][:, 0], model.p["char"][:, 0] = log_odds(texts, toxic, s.buckets)
+    parts, n_words, n_inputs = [], 0, 0
+    for lo in range(0, len(texts), 200):
+        w = words(pa.array(texts[lo : lo + 200], pa.large_string()))
+        if len(w.hash):
+            example, which = distinct(w)
+            doc, first, size = windows_of(w, s)
+            parts.append((model.embed(w, example), (which + n_inputs).astype(np.int32), doc + lo, first + n_words, size))
+            n_words, n_inputs = n_words + len(which), n_inputs + len(example)
+    if not parts:
+        return model
+    x, which, doc, first, size = (np.concatenate(each) for each in zip(*parts, strict=True))
     value = np.maximum(x[:, 0], x[:, s.word_dims])
     take, mask = words_in(first, size, which, s)
     rank = np.where(mask, value[take], -9).max(axis=1)
