@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from veritab.llm.decontamination import contaminated
 from veritab.llm.exact_dedup import exact_dedup
 from veritab.llm.language_id import identify_languages
+from veritab.llm.line_dedup import line_report
 from veritab.llm.minhash import near_duplicates
 from veritab.llm.mixing import mix_report
 from veritab.llm.quality import importance_resample
@@ -43,6 +44,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_mixing": op3_mixing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op6_language_id": op6_language_id,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
