@@ -34,39 +34,40 @@ def connected_components(links: DataFrame) -> DataFrame:
     return forward.select(F.col("hi").alias("vertex"), F.col("lo").alias("component")).unionByName(roots)
 
 
-def components_of_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def components_of_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], link_rest: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(vertex, component) after verifying candidates that share a bucket.
 
-    ``buckets``: (bucket, vertex), any number of times each. ``verify`` takes distinct
-    pairs (a, b) and returns them with a boolean ``link``. First each vertex is
-    compared with the smallest of its bucket only. What then still falls apart is
-    compared with every other vertex of the bucket that is not yet connected with
-    it, but for those of the bucket's largest part among themselves, which already
-    are: so the components are those of all candidate pairs, without listing the
-    pairs within groups of copies.
+    ``buckets``: (bucket, vertex), any number of times each. Each bucket has a hub:
+    the vertex with the most neighbours in all its buckets, as the original of
+    edited copies has. ``verify`` takes the distinct pairs (a, b) of hubs and others
+    and returns them with a boolean ``link``. Where a bucket still falls apart,
+    ``link_rest`` gets its rows (bucket, vertex, component, top: the component of most
+    of the bucket) and returns pairs (a, b) that connect whatever candidates are
+    linked, so that the components are those of all pairs that share a bucket.
+    Buckets with the same vertices are passed on once.
     """
     buckets = buckets.select("bucket", "vertex").distinct()
-    hubs = buckets.groupBy("bucket").agg(F.min("vertex").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    shared = materialise(buckets.join(hubs.drop("n"), "bucket"))
-    stars = shared.where("vertex <> hub").select(F.col("hub").alias("a"), F.col("vertex").alias("b")).distinct()
-    checked = materialise(verify(stars))
-    parts = materialise(connected_components(checked.where("link")))
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialise(buckets.join(sizes, "bucket"))
+    known = shared.groupBy("vertex").agg(F.sum("n").alias("fame"))
+    known = materialise(shared.join(known, "vertex"))
+    hubs = known.groupBy("bucket").agg(F.max(F.struct("fame", "vertex")).alias("hub"))
+    stars = known.join(hubs, "bucket").where("vertex <> hub.vertex").select(F.col("hub.vertex").alias("a"), F.col("vertex").alias("b")).distinct()
+    links = materialise(verify(stars).where("link").select("a", "b"))
+    parts = materialise(connected_components(links))
     placed = shared.select("bucket", "vertex").join(parts, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     placed = materialise(placed)
-    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    rest = placed.join(largest.select("bucket", F.col("top.component").alias("top")), "bucket")
-    u, v = rest.where("component <> top").alias("u"), rest.alias("v")
-    pairs = (
-        u.join(v, "bucket")
-        .where("u.component <> v.component and (v.component = v.top or u.vertex < v.vertex)")
-        .select(F.least("u.vertex", "v.vertex").alias("a"), F.greatest("u.vertex", "v.vertex").alias("b"))
-        .distinct()
+    counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("vertex").cast("decimal(20,0)")).alias("x"))
+    mixed = (
+        counts.groupBy("bucket")
+        .agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("x").alias("x"))
+        .where("parts > 1")
+        .groupBy("n", "x")
+        .agg(F.min("bucket").alias("bucket"), F.min_by("top", "bucket").alias("top"))
+        .select("bucket", F.col("top.component").alias("top"))
     )
-    pairs = materialise(pairs.join(checked, ["a", "b"], "left_anti"))
-    if pairs.isEmpty():
-        return parts
-    more = materialise(verify(pairs).where("link"))
+    rest = materialise(placed.join(mixed, "bucket"))
+    more = materialise(link_rest(rest).select("a", "b").distinct())
     if more.isEmpty():
         return parts
-    return materialise(connected_components(checked.where("link").select("a", "b").unionByName(more.select("a", "b"))))
+    return materialise(connected_components(links.unionByName(more)))

@@ -144,6 +144,88 @@ def verifier(texts: DataFrame, n: int, threshold: float):
     return verify
 
 
+def shingle_sets(texts: DataFrame, n: int) -> DataFrame:
+    """(vertex, shingles, weights, size): a text's sorted shingles and how often each occurs, as binary arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            _, doc, value, weight = weighted_shingles(piece.column(1), n)
+            at = np.searchsorted(doc, np.arange(piece.num_rows + 1))
+            cut = [slice(x, y) for x, y in zip(at, at[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays(
+                [piece.column(0), pa.array([value[x].tobytes() for x in cut], pa.binary()), pa.array([weight[x].astype("<i4").tobytes() for x in cut], pa.binary()), pa.array(np.diff(at), pa.int64())],
+                names=["vertex", "shingles", "weights", "size"],
+            )
+
+    return texts.select("vertex", "text").mapInArrow(run, "vertex binary, shingles binary, weights binary, size long")
+
+
+def linked_parts(sets: list[tuple[np.ndarray, np.ndarray]], part: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Pairs that connect what is linked among ``sets`` (shingles, weights), but for what ``part`` says is connected.
+
+    The probability Jaccard similarity is at most the smaller of the two weight
+    shares of what is common, and equal to the Jaccard similarity where all weights are 1.
+    """
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x, _ in sets])
+    _, column, uses = np.unique(np.concatenate([x for x, _ in sets]), return_inverse=True, return_counts=True)
+    weight = np.concatenate([y for _, y in sets]).astype(np.float32)
+    total = np.bincount(owner, weight, n)
+    common = uses[column] > 1
+    name = np.cumsum(uses > 1)[column] - 1
+    owner, name, weight = owner[common], name[common], weight[common]
+    width, high = max(1, (4 << 20) // n), int(name.max()) + 1 if len(name) else 0
+    share = np.zeros((n, n), np.float32)  # weight of a row's shingles that a column has too
+    for lo in range(0, high, width):
+        some = (name >= lo) & (name < lo + width)
+        heavy, has = np.zeros((n, min(width, high - lo)), np.float32), np.zeros((n, min(width, high - lo)), np.float32)
+        heavy[owner[some], name[some] - lo], has[owner[some], name[some] - lo] = weight[some], 1
+        share += heavy @ has.T
+    plain = np.array([y.max() == 1 for _, y in sets])
+    both = plain[:, None] & plain
+    sure = both & (share / (total[:, None] + total - share) >= threshold)
+    maybe = ~both & (np.minimum(share / total[:, None], share.T / total) >= threshold - 1e-6)
+    leader, edges = np.unique(part, return_inverse=True)[1], []
+
+    def join(i: int, j: int) -> None:
+        edges.append((i, j))
+        leader[leader == leader[j]] = leader[i]
+
+    for i in range(n):
+        while len(other := np.flatnonzero(sure[i] & (leader != leader[i]))):
+            join(i, int(other[0]))
+    for i in range(n):
+        for j in np.flatnonzero(maybe[i, :i]):
+            if leader[i] != leader[j] and probability_jaccard(sets[i][0], sets[i][1], sets[j][0], sets[j][1]) >= threshold:
+                join(i, int(j))
+    return edges
+
+
+def rest_linker(texts: DataFrame, n: int, threshold: float, block_rows: int = 1500, block_shingles: int = 1 << 20):
+    """Compares all rows of a bucket in pairs of blocks of bounded size; only pairs that connect something come out."""
+
+    def run(table: pa.Table) -> pa.Table:
+        vertex = table["vertex"].to_pylist()
+        sets = [(np.frombuffer(x, np.uint64), np.frombuffer(y, "<i4")) for x, y in zip(table["shingles"].to_pylist(), table["weights"].to_pylist(), strict=True)]
+        edges = linked_parts(sets, np.array([x.hex() for x in table["component"].to_pylist()]), threshold)
+        return pa.table({"a": pa.array([vertex[i] for i, _ in edges], pa.binary()), "b": pa.array([vertex[j] for _, j in edges], pa.binary())})
+
+    def link(rest: DataFrame) -> DataFrame:
+        sets = materialise(shingle_sets(texts.join(rest.select("vertex").distinct(), "vertex", "left_semi"), n))
+        sized = rest.join(sets.select("vertex", "size"), "vertex")
+        blocks = sized.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("size") / block_shingles)).cast("int").alias("blocks"))
+        mine = F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")
+        dealt = (
+            sized.join(blocks, "bucket")
+            .select("bucket", "vertex", "component", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+            .select("bucket", "vertex", "component", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"))
+        )
+        with_sets = dealt.join(sets.drop("size"), "vertex")
+        return with_sets.groupBy("bucket", "one", "two").applyInArrow(run, "a binary, b binary")
+
+    return link
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, rows: int = 5, bands: int = 25) -> DataFrame:
     """One row per document: doc_id, row_key, cluster_id (the smallest id of its class), cluster_size, kept.
 
@@ -165,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = full.join(wanted, "vertex", "left_semi").groupBy("vertex").agg(F.min("row_key").alias("row_key"))
     keyed = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
     texts = materialise(keyed.join(names, "row_key").groupBy("vertex").agg(F.max("text").alias("text")))
-    parts = components_of_buckets(buckets, verifier(texts, n, threshold))
+    parts = components_of_buckets(buckets, verifier(texts, n, threshold), rest_linker(texts, n, threshold))
     placed = (
         table.drop("bands")
         .join(parts, "vertex", "left")
