@@ -49,6 +49,8 @@ def facts(units: DataFrame) -> DataFrame:
 def consensus(first: DataFrame, second: DataFrame, least: float = 0.6) -> DataFrame:
     """Facts of both extractions per page: side ``both`` (the first's, with their similarity), ``a`` or ``b``."""
 
+    names = facts(first).columns
+
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values("fact_ord"), b.sort_values("fact_ord")
         right, used, out = list(b.itertuples(index=False)), set(), []
@@ -60,9 +62,10 @@ def consensus(first: DataFrame, second: DataFrame, least: float = 0.6) -> DataFr
             else:
                 out.append((*u, "a", None))
         out += [(*v, "b", None) for j, v in enumerate(right) if j not in used]
-        return pd.DataFrame(out, columns=[*a.columns, "side", "similarity"])
+        return pd.DataFrame(out, columns=[*names, "side", "similarity"])
 
-    return facts(first).groupBy("doc_id", "page").cogroup(facts(second).groupBy("doc_id", "page")).applyInPandas(run, MERGED)
+    other = facts(second).toDF(*names)  # columns of its own, also where both come from one table
+    return facts(first).groupBy("doc_id", "page").cogroup(other.groupBy("doc_id", "page")).applyInPandas(run, MERGED)
 
 
 def agreement(merged: DataFrame) -> DataFrame:

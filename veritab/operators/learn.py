@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 AUTO = 5  # occurrences from which a pattern may be applied by itself
@@ -39,9 +39,8 @@ def unit_confusion(corrections: DataFrame) -> DataFrame:
     return pattern(rows, "unit_confusion", [F.col("a").alias("original_pattern"), F.col("b").alias("corrected_pattern")], 10.0)
 
 
-def scale() -> Column:
+def scale(ratio: Column) -> Column:
     """The factor by which the original is off, by the first band that holds the ratio."""
-    ratio = number_in(F.col("original_value")) / F.when(number_in(F.col("corrected_value")) != 0, number_in(F.col("corrected_value")))
     found = F.lit(None).cast("string")
     for name, lo, hi, _ in reversed(SCALES):
         found = F.when(ratio.between(lo, hi), name).otherwise(found)
@@ -49,7 +48,8 @@ def scale() -> Column:
 
 
 def value_scaling(corrections: DataFrame) -> DataFrame:
-    rows = corrected(corrections).withColumn("a", scale()).where("a is not null")
+    rows = corrected(corrections).withColumns({"x": number_in(F.col("original_value")), "y": number_in(F.col("corrected_value"))}).where("y <> 0")
+    rows = rows.withColumn("ratio", F.col("x") / F.col("y")).withColumn("a", scale(F.col("ratio"))).where("a is not null")
     back = F.concat(F.when(F.startswith("a", F.lit("0.")), "multiply_by_").otherwise("divide_by_"), F.col("a"))
     return pattern(rows, "value_scaling", [F.col("a").alias("original_pattern"), back.alias("corrected_pattern")], 10.0)
 
@@ -66,9 +66,9 @@ def type_bias(corrections: DataFrame) -> DataFrame:
     """Types with more than 30 % of all corrections: at least 3 of at least 5."""
     rows = corrected(corrections)
     found = pattern(rows, "type_bias", [F.col("canonical_type").alias("original_pattern"), F.lit("").alias("corrected_pattern")], 1.0, False)
-    total = rows.agg(F.count("*").alias("total"))
     share = F.col("occurrences") / F.col("total")
-    return found.crossJoin(F.broadcast(total)).where((share > 0.3) & (F.col("occurrences") >= 3) & (F.col("total") >= 5)).withColumn("confidence", share).drop("total")
+    found = found.withColumn("total", F.sum("occurrences").over(Window.partitionBy("category")))  # a row per type
+    return found.where((share > 0.3) & (F.col("occurrences") >= 3) & (F.col("total") >= 5)).withColumn("confidence", share).drop("total")
 
 
 def patterns(corrections: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def accuracy(results: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def confusion(results: DataFrame) -> DataFrame:
-    return results.groupBy("correct").pivot("status", STATUSES).agg(F.count("*")).na.fill(0)
+    return results.groupBy("correct").pivot("status", STATUSES).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def gate(results: DataFrame, least: float = 70.0, refuse: float = 30.0, accept: float = 1.0) -> DataFrame:

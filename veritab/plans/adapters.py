@@ -61,7 +61,7 @@ def grids_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr(
         "concat('g', cast(s_nationkey as string)) as id", "size(s) as rows", "2 as cols",
         f"""flatten(transform(s, (x, i) -> array(struct(i as row, 0 as col, x.s_name as value, {point} as origin), struct(i as row, 1 as col, x.bal as value, {point} as origin)))) as cells""",
-        "named_struct('x', 0.1D, 'y', 0.05D * (s_nationkey % 5)) as origin", "named_struct('x1', 0D, 'y1', 0.05D * (s_nationkey % 5), 'x2', 1D, 'y2', 0.70D + 0.05D * (s_nationkey % 7)) as bbox",
+        "named_struct('x', 0.1D, 'y', 0.06D * (s_nationkey % 5)) as origin", "named_struct('x1', 0D, 'y1', 0.06D * (s_nationkey % 5), 'x2', 1D, 'y2', 0.72D + 0.05D * (s_nationkey % 7)) as bbox",
         "cast(s_nationkey % 5 as string) as doc_id", "cast(floor(s_nationkey / 5) as int) as page", "'org' as org_id", "cast(s_nationkey as long) as fact_ord",
     )
 

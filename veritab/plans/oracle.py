@@ -35,7 +35,7 @@ grids_fx AS (SELECT s_nationkey, doc_id, id, page, n_rows, min(CASE WHEN r = 0 T
 pairs_fx AS (
   SELECT a.doc_id, a.id AS id_a, b.id AS id_b, a.page, a.s_nationkey AS a_key, b.s_nationkey AS b_key, CASE WHEN a.h1 = b.h1 THEN 1.0 / 3 ELSE 0.0 END AS similarity
   FROM grids_fx a JOIN grids_fx b ON a.doc_id = b.doc_id AND b.page = a.page + 1
-  WHERE 0.70 + 0.05 * (a.s_nationkey % 7) >= 0.80 AND 0.05 * (b.s_nationkey % 5) <= 0.20)"""
+  WHERE 0.72 + 0.05 * (a.s_nationkey % 7) >= 0.80 AND 0.06 * (b.s_nationkey % 5) <= 0.20)"""
 CORRECTIONS = """corrections_fx AS (
   SELECT event_id AS id, CAST(user_id % 50 AS VARCHAR) AS doc_id, ['unit', 'unit', 'range', 'grid'][event_id % 4 + 1] AS ctype, event_id % 3 <> 0 AS correct, event_id % 5 AS k, event_id % 9 + 1 AS n, event_id, ts FROM events)"""
 PATTERNS = f"""{CORRECTIONS},
