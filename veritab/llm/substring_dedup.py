@@ -7,9 +7,11 @@ string of ``LENGTH`` bytes, the one with the smallest hash is its anchor, so equ
 strings have equal anchors at equal places, and a string whose anchor's rank is
 unique in the corpus is unique. Next to each other in the sort by rank stand anchors
 with equal surroundings; of those, all but the first are copies throughout, and the
-first is unique if no other surroundings have its rank. For the few positions still
-in doubt, Spark sorts pairs of ranks at growing offsets (strings of 25 bytes, then
-50, then 100), drops those that become unique, and ranks the others anew.
+first is unique if no other surroundings have its rank. Anchors still in doubt are
+ranked anew by longer strings around them, to the left and to the right; of the
+positions of those that are not unique even then, Spark sorts pairs of ranks at
+growing offsets (strings of 50 bytes, then of 100): those that are still not unique
+then are repeated, and all but the first of equal ones are later copies.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from pyspark.sql import functions as F
 from veritab.llm._runtime import materialise
 from veritab.llm._words import U64, hash_ranges, mix, pieces, prefix_hash, runs, text_bytes
 
-LENGTH, GRAM, FIRST = 100, 48, 25
+LENGTH, GRAM, FIRST = 100, 48, 50
 WINDOW = LENGTH - GRAM + 1
+REACH = WINDOW // 2  # a string of LENGTH bytes has this much more than its anchor's gram on one side at least
 PLACE = U64((1 << 30) - 1)
 
 ANCHORS = "rank long, around long, doc_id long, row_key long, at long, copy boolean"
@@ -45,10 +48,10 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchor_runs(data: np.ndarray, offsets: np.ndarray):
-    """(first start, last start, document, rank, hash of the surroundings) of each run of starts of whole strings with one anchor."""
+    """(first start, last start, anchor, document, rank, hash of the surroundings) of each run of starts of whole strings with one anchor."""
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return none, none, none, none.view(U64), none.view(U64)
+        return none, none, none, none, none.view(U64), none.view(U64)
     total = prefix_hash(data)
     n = len(data) - GRAM + 1
     gram = np.arange(n)
@@ -66,18 +69,18 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray):
     ends[:-1] = ~(same[1:] & inside[1:-1])
     hi = np.flatnonzero(inside[:-1] & ends)
     around = mix(hash_ranges(total, lo, hi + LENGTH) + (best[lo] - lo).astype(U64))
-    return lo, hi, np.searchsorted(offsets, lo, side="right") - 1, value[best[lo]], around
+    return lo, hi, best[lo], np.searchsorted(offsets, lo, side="right") - 1, value[best[lo]], around
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """Anchors of all texts. ``at``: 256 times the first start, plus how many more starts. What has equal
-    surroundings earlier in the same batch is a ``copy`` already; it gets a rank of its own, so that no
+    """Anchors of all texts. ``at`` packs the first start, how far from it the anchor is, and how many more starts there are
+    (the last two in six bits each). What has equal surroundings earlier in the same batch is a ``copy`` already; it gets a rank of its own, so that no
     rank has more rows than there are batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
             data, offsets = text_bytes(piece.column(2))
-            lo, hi, doc, rank, around = anchor_runs(data, offsets)
+            lo, hi, anchor, doc, rank, around = anchor_runs(data, offsets)
             if not len(lo):
                 continue
             ids, keys = piece.column(0).take(pa.array(doc)), piece.column(1).take(pa.array(doc))
@@ -96,36 +99,68 @@ def anchors(docs: DataFrame) -> DataFrame:
             copy, drop = np.zeros(len(order), bool), np.zeros(len(order), bool)
             copy[order], drop[order] = ~first & ~again, again
             own = mix(keys.to_numpy().view(U64) ^ at.astype(U64) * U64(0x9E3779B97F4A7C15))
-            columns = [pa.array(np.where(copy, own, rank).view(np.int64)), pa.array(around.view(np.int64)), ids, keys, pa.array(at * 256 + (hi - lo)), pa.array(copy)]
+            columns = [pa.array(np.where(copy, own, rank).view(np.int64)), pa.array(around.view(np.int64)), ids, keys, pa.array((at << 12) | ((anchor - lo) << 6) | (hi - lo)), pa.array(copy)]
             yield pa.RecordBatch.from_arrays(columns, names=["rank", "around", "doc_id", "row_key", "at", "copy"]).filter(pa.array(~drop))
 
     return docs.mapInArrow(run, ANCHORS)
 
 
-def doubtful_positions(docs: DataFrame, doubt: DataFrame) -> DataFrame:
-    """(doc_id, row_key, p, ranks): for each start in doubt, the ranks of the strings of FIRST bytes at p, p + FIRST, ..."""
+def doubtful_spans(docs: DataFrame, doubt: DataFrame) -> DataFrame:
+    """For each anchor in doubt: its bytes from the first start to the end of the last string, and the ranks of the gram
+    with REACH more bytes to its left and right (null: the text does not reach so far)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text", 1 << 20):
             data, offsets = text_bytes(piece.column(2))
-            total = prefix_hash(data)
-            at = piece.column(3)
-            count = np.diff(at.offsets.to_numpy())
+            total, at = prefix_hash(data), piece.column(3)
             flat = at.flatten().to_numpy(zero_copy_only=False)
-            doc = np.repeat(np.arange(piece.num_rows), count)
-            p, _ = runs(flat >> 8, (flat & 255) + 1)
-            doc = np.repeat(doc, (flat & 255) + 1)
-            for lo in range(0, len(p), 200_000):
-                d, q = doc[lo : lo + 200_000], p[lo : lo + 200_000]
-                begin = (offsets[:-1][d] + q)[:, None] + np.arange(0, LENGTH, FIRST)
-                ranks = hash_ranges(total, begin.ravel(), begin.ravel() + FIRST).view(np.int64)
+            doc = np.repeat(np.arange(piece.num_rows), np.diff(at.offsets.to_numpy()))
+            lo = offsets[:-1][doc] + (flat >> 12)
+            anchor, end = lo + (flat >> 6 & 63), lo + (flat & 63) + LENGTH
+            left, right = anchor - REACH, anchor + GRAM + REACH
+            no_left, no_right = left < offsets[:-1][doc], right > offsets[1:][doc]
+            to_left = hash_ranges(total, np.where(no_left, anchor, left), anchor + GRAM).view(np.int64)
+            to_right = hash_ranges(total, anchor, np.where(no_right, anchor, right)).view(np.int64)
+            spans = pa.array([data[x:y].tobytes() for x, y in zip(lo, end, strict=True)], pa.binary())
+            who = pa.array(doc)
+            yield pa.RecordBatch.from_arrays(
+                [piece.column(0).take(who), piece.column(1).take(who), pa.array(flat), pa.array(to_left, mask=no_left), pa.array(to_right, mask=no_right), spans],
+                names=["doc_id", "row_key", "at", "left", "right", "bytes"],
+            )
+
+    by_doc = doubt.groupBy("doc_id", "row_key").agg(F.collect_set("at").alias("at"))
+    return joined(docs, by_doc, "inner").mapInArrow(run, "doc_id long, row_key long, at long, left long, right long, bytes binary")
+
+
+def doubtful_positions(spans: DataFrame) -> DataFrame:
+    """(doc_id, row_key, p, ranks): for each start still in doubt, the ranks of the strings of FIRST bytes at p, p + FIRST, ..."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 5000):
+                piece = batch.slice(i, 5000)
+                at, on_left, on_right = (piece.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4))
+                held = piece.column(5).cast(pa.large_binary())
+                offsets = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+                data = np.frombuffer(held.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+                offsets = offsets[:-1] - offsets[0]
+                _, place = runs(np.zeros(len(at), np.int64), (at & 63) + 1)
+                who = np.repeat(np.arange(len(at)), (at & 63) + 1)
+                before = (at >> 6 & 63)[who] - place
+                keep = (on_left[who] & (before >= REACH)) | (on_right[who] & (before <= LENGTH - GRAM - REACH))
+                who, place = who[keep], place[keep]
+                total = prefix_hash(data)
+                begin = ((offsets[who] + place)[:, None] + np.arange(0, LENGTH, FIRST)).ravel()
+                ranks = hash_ranges(total, begin, begin + FIRST).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0).take(pa.array(d)), piece.column(1).take(pa.array(d)), pa.array(q), pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1) * (LENGTH // FIRST), pa.int32()), pa.array(ranks))],
+                    [piece.column(0).take(pa.array(who)), piece.column(1).take(pa.array(who)), pa.array((at >> 12)[who] + place), pa.ListArray.from_arrays(pa.array(np.arange(len(who) + 1) * (LENGTH // FIRST), pa.int32()), pa.array(ranks))],
                     names=["doc_id", "row_key", "p", "ranks"],
                 )
 
-    by_doc = doubt.groupBy("doc_id", "row_key").agg(F.collect_set("at").alias("at"))
-    return joined(docs, by_doc, "inner").mapInArrow(run, "doc_id long, row_key long, p long, ranks array<long>")
+    shared = lambda side: spans.where(f"{side} is not null").groupBy(side).agg(F.count("*").alias(f"n_{side}")).where(f"n_{side} > 1")
+    both = spans.join(shared("left"), "left", "left").join(shared("right"), "right", "left")
+    both = both.select("doc_id", "row_key", "at", F.col("n_left").isNotNull().alias("on_left"), F.col("n_right").isNotNull().alias("on_right"), "bytes")
+    return both.where("on_left or on_right").mapInArrow(run, "doc_id long, row_key long, p long, ranks array<long>")
 
 
 def joined(docs: DataFrame, by_doc: DataFrame, how: str) -> DataFrame:
@@ -163,9 +198,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = materialise(
         sorted_.select("doc_id", "row_key", "at", (F.col("copy") | (F.col("n") > 1)).alias("copy"), "several").where("copy or several").drop("several")
     )
-    positions = materialise(doubtful_positions(rows, known.where("not copy")))
-    more = materialise(later_copies(positions))
-    spans = known.where("copy").select("doc_id", "row_key", "at").unionByName(more.select("doc_id", "row_key", (F.col("p") * 256).alias("at")))
+    doubt = materialise(doubtful_spans(rows, known.where("not copy")))
+    more = materialise(later_copies(doubtful_positions(doubt)))
+    spans = known.where("copy").select("doc_id", "row_key", "at").unionByName(more.select("doc_id", "row_key", (F.col("p") * 4096).alias("at")))
     by_doc = spans.groupBy("doc_id", "row_key").agg(F.collect_set("at").alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,8 +212,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 edge = np.zeros(len(text) + 1, np.int64)
                 if at.is_valid:
                     at = at.values.to_numpy(zero_copy_only=False)
-                    np.add.at(edge, at >> 8, 1)
-                    np.add.at(edge, (at >> 8) + (at & 255) + LENGTH, -1)
+                    np.add.at(edge, at >> 12, 1)
+                    np.add.at(edge, (at >> 12) + (at & 63) + LENGTH, -1)
                 gone = np.cumsum(edge)[:-1] > 0
                 found.append((len(text), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()), hashlib.sha256(text[~gone].tobytes()).hexdigest()))
             n, removed, runs_, digest = zip(*found, strict=True)
