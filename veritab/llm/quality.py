@@ -76,7 +76,7 @@ def importance_resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
     columns are ignored; an empty table gives an empty result.
     """
     good = labels.groupBy(id_col).agg(F.max(label_col).alias("_good")).where("_good = 1")
-    marked = docs.join(good, id_col, "left").select(F.col(text_col).alias("text"), F.col("_good").isNotNull().alias("good"))
+    marked = docs.join(good.hint("merge"), id_col, "left").select(F.col(text_col).alias("text"), F.col("_good").isNotNull().alias("good"))
     ratio = log_ratios(bucket_counts(marked, buckets), buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
