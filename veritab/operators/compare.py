@@ -44,7 +44,7 @@ def compare(units: DataFrame, documents: DataFrame, question: Column | None = No
 
 def matrix(compared: DataFrame, documents: list[str]) -> DataFrame:
     """Parameters by documents, as text; N/A where there is no fact. The documents are given, so that no extra pass looks for them."""
-    shown = compared.withColumn("shown", F.concat_ws(" ", F.col("value").cast("string"), F.col("unit")))
+    shown = compared.withColumn("shown", F.when(F.col("value").isNotNull(), F.concat_ws(" ", F.col("value").cast("string"), F.col("unit"))))
     return shown.groupBy("parameter").pivot("doc_id", documents).agg(F.max("shown")).na.fill("N/A")
 
 

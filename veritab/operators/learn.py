@@ -49,7 +49,8 @@ def scale(ratio: Column) -> Column:
 
 def value_scaling(corrections: DataFrame) -> DataFrame:
     rows = corrected(corrections).withColumns({"x": number_in(F.col("original_value")), "y": number_in(F.col("corrected_value"))}).where("y <> 0")
-    rows = rows.withColumn("ratio", F.col("x") / F.col("y")).withColumn("a", scale(F.col("ratio"))).where("a is not null")
+    ratio = F.array(F.col("x") / F.col("y"))  # bound once, not written out for each band
+    rows = rows.withColumn("a", F.transform(ratio, scale)[0]).where("a is not null")
     back = F.concat(F.when(F.startswith("a", F.lit("0.")), "multiply_by_").otherwise("divide_by_"), F.col("a"))
     return pattern(rows, "value_scaling", [F.col("a").alias("original_pattern"), back.alias("corrected_pattern")], 10.0)
 
