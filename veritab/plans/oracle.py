@@ -135,10 +135,10 @@ ORACLE_SQL: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY value DESC, fact_ord) = 1""",
     "best_numeric_min": f"""WITH {UNITS} SELECT doc_id, value, uom AS unit, id AS source_id, 0.67 AS score FROM units_fx WHERE uom IN ('V', 'mV')
         QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY value, fact_ord) = 1""",
-    "range_assembly": f"""WITH {UNITS} SELECT doc_id, 'range' AS shape, min(value) AS low, max(value) AS high, arg_min(uom, (value, fact_ord)) AS unit, arg_min(id, (value, fact_ord)) AS source_id
-        FROM units_fx WHERE label IN ('VCC', 'VCC max') GROUP BY doc_id HAVING count(*) > 1""",
+    "range_assembly": f"""WITH {UNITS} SELECT doc_id, CASE WHEN count(*) > 1 THEN 'range' ELSE 'value' END AS shape, min(value) AS low, CASE WHEN count(*) > 1 THEN max(value) END AS high, arg_min(uom, (value, fact_ord)) AS unit, arg_min(id, (value, fact_ord)) AS source_id
+        FROM units_fx WHERE label IN ('VCC', 'VCC max') GROUP BY doc_id""",
     "multi_value_concat": f"""WITH {UNITS}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY fact_ord) AS n FROM units_fx WHERE uom IN ('V', 'mV'))
-        SELECT doc_id, 'several' AS shape, string_agg(label || ':' || CAST(round(value * 100) AS BIGINT) || uom, ';' ORDER BY n) AS shown, arg_min(id, n) AS source_id FROM n WHERE n <= 4 GROUP BY doc_id""",
+        SELECT doc_id, CASE WHEN count(*) > 1 THEN 'several' ELSE 'value' END AS shape, string_agg(label || ':' || CAST(round(value * 100) AS BIGINT) || uom, ';' ORDER BY n) AS shown, arg_min(id, n) AS source_id FROM n WHERE n <= 4 GROUP BY doc_id""",
     "keyword_overlap_score": f"WITH {UNITS} SELECT fact_ord, CAST({' + '.join(f'CAST(contains(lower(label || chr(32) || context), {quoted(w)}) AS INT)' for w in OVERLAP)} AS INT) AS overlap FROM units_fx",
     "intent_classify": f"WITH {intents()} SELECT CAST(q_id AS BIGINT) AS q_id, question, intent FROM questions_fx",
     "rule_gate_matrix": gate_matrix(),
@@ -153,7 +153,8 @@ ORACLE_SQL: dict[str, str] = {
     "unit_label_lookup": f"WITH {UNITS} SELECT CAST(doc_id AS BIGINT) AS q_id, arg_min(value, fact_ord) AS value, arg_min(id, fact_ord) AS source_id FROM units_fx WHERE label = 'RthJA' OR context = 'output current' GROUP BY ALL",
     "derived_power": f"""WITH {DERIVED}, c AS (SELECT doc_id, CASE v.uom WHEN 'mV' THEN v.value / 1000.0 ELSE v.value END * (i.value / 1000.0) AS w FROM d WHERE v IS NOT NULL AND i IS NOT NULL)
         SELECT doc_id, round(w * 1000.0, 3) AS value, 'mW' AS unit, round(w, 3) AS second, 0.73 AS score FROM c""",
-    "derived_thermal": f"""WITH {DERIVED}, c AS (SELECT doc_id, 25.0 + p.value / 1000.0 * th.value AS t, tj.value AS m FROM d WHERE th IS NOT NULL AND p IS NOT NULL)
+    "derived_thermal": f"""WITH {DERIVED}, w AS (SELECT *, coalesce(p.value / 1000.0, CASE v.uom WHEN 'mV' THEN v.value / 1000.0 ELSE v.value END * (i.value / 1000.0)) AS watts FROM d),
+        c AS (SELECT doc_id, 25.0 + watts * th.value AS t, tj.value AS m FROM w WHERE th IS NOT NULL AND watts IS NOT NULL)
         SELECT doc_id, round(t, 3) AS value, '°C' AS unit, round(m - t, 3) AS second, 0.68 AS score FROM c""",
     "derived_margin": f"""WITH {DERIVED} SELECT doc_id, round((mx.value - op.value) / mx.value * 100.0, 3) AS value, '%' AS unit, round(mx.value - op.value, 3) AS second, round(0.15 + 0.225 + 0.34, 4) AS score
         FROM d WHERE op.value <= mx.value AND mx.value <> 0""",

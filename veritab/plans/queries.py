@@ -99,7 +99,7 @@ def best_numeric_min(s, d):
 @query
 def range_assembly(s, d):
     rows = rules.ranges(rules.prepared(units_fx(s, d)), [BY_NAME["operating_voltage_range"]])
-    return rows.select("doc_id", "shape", F.col("parts")[0]["num"].alias("low"), F.col("parts")[1]["num"].alias("high"), F.col("parts")[0]["unit"].alias("unit"), "source_id")
+    return rows.select("doc_id", "shape", F.col("parts")[0]["num"].alias("low"), F.get("parts", F.lit(1))["num"].alias("high"), F.col("parts")[0]["unit"].alias("unit"), "source_id")
 
 
 @query
