@@ -135,8 +135,9 @@ ORACLE_SQL: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY value DESC, fact_ord) = 1""",
     "best_numeric_min": f"""WITH {UNITS} SELECT doc_id, value, uom AS unit, id AS source_id, 0.67 AS score FROM units_fx WHERE uom IN ('V', 'mV')
         QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY value, fact_ord) = 1""",
-    "range_assembly": f"""WITH {UNITS} SELECT doc_id, CASE WHEN count(*) > 1 THEN 'range' ELSE 'value' END AS shape, min(value) AS low, CASE WHEN count(*) > 1 THEN max(value) END AS high, arg_min(uom, (value, fact_ord)) AS unit, arg_min(id, (value, fact_ord)) AS source_id
-        FROM units_fx WHERE label IN ('VCC', 'VCC max') GROUP BY doc_id""",
+    "range_assembly": f"""WITH {UNITS}, s AS (SELECT *, CASE WHEN label = 'ICC' THEN 2 ELSE 1 END AS stage FROM units_fx WHERE label IN ('VCC', 'VCC max', 'ICC')),
+        f AS (SELECT * FROM s QUALIFY stage = min(stage) OVER (PARTITION BY doc_id)) SELECT doc_id, CASE WHEN count(*) > 1 THEN 'range' ELSE 'value' END AS shape, min(value) AS low, CASE WHEN count(*) > 1 THEN max(value) END AS high, arg_min(uom, (value, fact_ord)) AS unit, arg_min(id, (value, fact_ord)) AS source_id
+        FROM f GROUP BY doc_id""",
     "multi_value_concat": f"""WITH {UNITS}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY fact_ord) AS n FROM units_fx WHERE uom IN ('V', 'mV'))
         SELECT doc_id, CASE WHEN count(*) > 1 THEN 'several' ELSE 'value' END AS shape, string_agg(label || ':' || CAST(round(value * 100) AS BIGINT) || uom, ';' ORDER BY n) AS shown, arg_min(id, n) AS source_id FROM n WHERE n <= 4 GROUP BY doc_id""",
     "keyword_overlap_score": f"WITH {UNITS} SELECT fact_ord, CAST({' + '.join(f'CAST(contains(lower(label || chr(32) || context), {quoted(w)}) AS INT)' for w in OVERLAP)} AS INT) AS overlap FROM units_fx",
