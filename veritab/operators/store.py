@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LIMITS = {"document": 5, "query": 50}  # fixed values: actions a user may take
@@ -67,3 +67,32 @@ def permalink(doc_id: Column, question: Column, answer: Column) -> Column:
 def valid_doc_id(doc_id: Column) -> Column:
     """A version-4 UUID, or letters, digits, _ and -."""
     return F.coalesce(doc_id.rlike(r"^[a-zA-Z0-9_-]+\n?$"), F.lit(False))
+
+
+def share(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Shared answers with ``new`` ones written in: of an id that is there already, document, question and page stay, and the rest is replaced."""
+    kept = ["doc_id", "question", "source_page"]
+    old = stored.select("question_id", *[F.col(c).alias(f"_{c}") for c in kept], F.lit(True).alias("_old"))
+    fresh = new.join(old, "question_id", "left")
+    fresh = fresh.select(*[F.when(F.col("_old"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in kept else F.col(c) for c in new.columns])
+    return stored.join(new.select("question_id"), "question_id", "left_anti").unionByName(fresh)
+
+
+def preview(shared: DataFrame) -> DataFrame:
+    """The beginnings of question and answer, for a card."""
+    return shared.withColumns({"question": F.substring("question", 1, 100), "answer": F.substring("answer", 1, 200)})
+
+
+def migrate(spark: SparkSession, tables: list[str], source: str, target: str) -> DataFrame:
+    """Copies tables from one folder to another; (table, n) as written."""
+    out = None
+    for name in tables:
+        spark.read.parquet(f"{source}/{name}").write.mode("overwrite").parquet(f"{target}/{name}")
+        one = spark.read.parquet(f"{target}/{name}").agg(F.lit(name).alias("table"), F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def populate(corpus: DataFrame, entries: DataFrame) -> DataFrame:
+    """The corpus with entries (content_hash, mpn, chip_name, datasheet_url, canonical_data, created_at) written in; the newest of a hash stays."""
+    return upsert(corpus, entries.withColumn("write_seq", F.col("created_at")), ["content_hash"]).drop("write_seq")

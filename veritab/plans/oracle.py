@@ -210,6 +210,11 @@ ORACLE_SQL: dict[str, str] = {
         SELECT f.doc_id, m.h AS corpus_hash, CASE WHEN m.h IS NOT NULL THEN 'mpn' END AS matched_by FROM corpus_fx f LEFT JOIN m ON m.k = lower(f.mpn) WHERE f.doc_id % 2 = 0""",
     "corpus_availability": "SELECT c AS chip_name, lower(c) IN (SELECT lower(source) FROM documents) AS available FROM (VALUES ('SRC1'), ('src7'), ('src99')) AS v(c)",
     "permalink_id": "SELECT doc_id, substr(sha256(concat(CAST(doc_id AS VARCHAR), ':', source, ':', substr(text, 1, 50))), 1, 12) AS question_id FROM documents",
+    "share_preview": "SELECT doc_id, substr(source || ': ' || substr(text, 1, 120), 1, 100) AS question, substr(text, 1, 200) AS answer FROM documents",
+    "share_upsert": """SELECT c_custkey AS question_id, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE 'new' END AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN 'old' ELSE 'new' END AS question,
+        CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 2 END AS source_page, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'first' END AS answer FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0""",
+    "doc_id_valid": "SELECT p_partkey, regexp_full_match(p_type, '[a-zA-Z0-9_-]+') AS type_ok, regexp_full_match(p_name, '[a-zA-Z0-9_-]+') AS name_ok FROM part",
+    "page_types": "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'absolute_max_ratings' WHEN p_size > 10 THEN 'ordering_info' ELSE 'other' END AS kind, p_size > 25 AS twice FROM part",
     "multipage_candidates": f"WITH {GRIDS} SELECT doc_id, id_a, id_b, round(similarity, 4) AS similarity, similarity < 0.8 AS needs_review FROM pairs_fx",
     "header_jaccard": """WITH w AS (SELECT p_partkey, list_distinct(string_split(p_type, ' ')) AS a, list_distinct(list_append(string_split(p_name, ' '), string_split(p_type, ' ')[1])) AS b FROM part)
         SELECT p_partkey, round(CAST(len(list_intersect(a, b)) AS DOUBLE) / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM w""",

@@ -13,7 +13,7 @@ from veritab.operators import checks, compare, consensus, derived, learn, metric
 from veritab.operators.confidence import overall, tier, unit_quality
 from veritab.operators.rule_table import RULES
 from veritab.plans.adapters import audit_fx, bijections_fx, corpus_fx, corrections_fx, grids_fx, questions_fx, ranges_fx, results_fx, table, units_fx, usage_fx
-from veritab.sources import corpus, exports
+from veritab.sources import corpus, exports, extractions
 from veritab.streaming.ingest import usage_by_window
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -389,6 +389,32 @@ def permalink_id(s, d):
     return table(s, d, "documents").select("doc_id", store.permalink(F.col("doc_id").cast("string"), F.col("source"), F.substring("text", 1, 50)).alias("question_id"))
 
 
+@query
+def share_preview(s, d):
+    rows = table(s, d, "documents").select("doc_id", F.concat("source", F.lit(": "), F.substring("text", 1, 120)).alias("question"), F.substring("text", 1, 300).alias("answer"))
+    return store.preview(rows)
+
+
+@query
+def share_upsert(s, d):
+    c = table(s, d, "customer")
+    stored = c.where("c_custkey % 3 = 0").selectExpr("c_custkey as question_id", "c_name as doc_id", "'old' as question", "1 as source_page", "'first' as answer")
+    new = c.where("c_custkey % 2 = 0").selectExpr("c_custkey as question_id", "'new' as doc_id", "'new' as question", "2 as source_page", "c_mktsegment as answer")
+    return store.share(stored, new)
+
+
+@query
+def doc_id_valid(s, d):
+    return table(s, d, "part").select("p_partkey", store.valid_doc_id(F.col("p_type")).alias("type_ok"), store.valid_doc_id(F.col("p_name")).alias("name_ok"))
+
+
+@query
+def page_types(s, d):
+    text = F.concat_ws(" ", "p_name", "p_type", F.when(F.col("p_size") > 25, "Absolute Maximum Ratings").when(F.col("p_size") > 10, "Ordering Information"))
+    kind = extractions.page_type(text)
+    return table(s, d, "part").select("p_partkey", kind.alias("kind"), consensus.wanted(True, kind).alias("twice"))
+
+
 @query
 def multipage_candidates(s, d):
     return multipage.candidates(grids_fx(s, d)).select("doc_id", F.col("grid_a.id").alias("id_a"), F.col("grid_b.id").alias("id_b"), F.round("column_similarity", 4).alias("similarity"), "needs_review")
