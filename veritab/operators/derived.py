@@ -99,7 +99,7 @@ def derivations(units: DataFrame) -> DataFrame:
 
 def derive(questions: DataFrame, units: DataFrame) -> DataFrame:
     """The first derivation that a question asks for and its document allows: q_id, derivation, answered and the columns of an answer."""
-    d = derivations(units.join(F.broadcast(questions.select("doc_id").distinct()), "doc_id", "left_semi"))
+    d = derivations(units.join(questions.select("doc_id").distinct(), "doc_id", "left_semi"))
     rows = questions.join(d, "doc_id", "left")
     choice = F.coalesce(*[F.when(matches(F.coalesce("question", F.lit("")), TRIGGERS[name]) & F.col(name).isNotNull(), F.struct(F.lit(name).alias("derivation"), F.col(name).alias("r"))) for name in TRIGGERS])
     part = F.struct(F.lit(None).cast("string").alias("label"), F.col("c.r.value").alias("num"), F.lit(None).cast("string").alias("str"), F.col("c.r.unit").alias("unit"))

@@ -302,7 +302,9 @@ def dispatch(questions: DataFrame, units: DataFrame, bijections: DataFrame, grid
     from veritab.operators.derived import derive
 
     asked_ = gates(questions, use_intent)
-    facts = prepared(units.join(F.broadcast(questions.select("doc_id").distinct()), "doc_id", "left_semi"))
+    facts = prepared(units.join(questions.select("doc_id").distinct(), "doc_id", "left_semi"))
+    # one shuffle that all families share, so that facts are prepared once; salted, as one document may have a third of them
+    facts = facts.repartition("doc_id", F.pmod("fact_ord", F.lit(8)))
     grid_cells = cells(grids)
     rows = grid_rows(grid_cells)
     wanted = asked_.select("q_id", "doc_id", "priority")
