@@ -44,7 +44,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, n_bytes: int = 4 << 20, n_rows: int = 2000) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, n_bytes: int = 2 << 20, n_rows: int = 2000) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows of about ``n_bytes`` of text, so that memory
     depends on that and on the longest single text only."""
     for batch in batches:

@@ -131,7 +131,7 @@ class Encoder:
     all texts of other kinds of tokenizer, go through the library in one piece.
     """
 
-    LIMIT, LIMIT_CHARS = 1_000_000, 16 << 20  # pre-tokens, and their characters, that are remembered
+    LIMIT, LIMIT_CHARS = 600_000, 10 << 20  # pre-tokens, and their characters, that are remembered
 
     def __init__(self, tokenizer_json: str, end_id: int):
         from tokenizers import Tokenizer
