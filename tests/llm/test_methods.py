@@ -188,8 +188,9 @@ def test_decontamination(spark):
 
 
 def test_fuzzy_lines(spark):
-    long = "the quick brown fox jumps over the lazy dog and runs through the wide forest until the night falls on every hill " * 8
-    rows = [(1, f"{long}\n\nsame"), (2, f"{long.replace('hill', 'hall', 1)}\nSAME \nother"), (3, "w " * 61_000 + "\nother"), (4, "w " * 61_000)]
+    many = " ".join(f"w{i}" for i in range(61_000))
+    long = " ".join(f"word{i}" for i in range(400))
+    rows = [(1, f"{long}\n\nsame"), (2, f"{long.replace('word77 ', 'edited ')}\nSAME \nother"), (3, many + "\nother"), (4, many)]
     got = {(r.doc_id, r.pos): r.kept for r in fuzzy_lines(frame(spark, rows)).collect()}
     assert got == {(1, 0): True, (1, 1): True, (1, 2): True, (2, 0): False, (2, 1): False, (2, 2): True, (3, 0): True, (3, 1): False, (4, 0): False}
 
