@@ -3,8 +3,9 @@
 Numbers, names and units become typed placeholders, so that a benchmark item
 still matches where someone changed its figures or persons. Windows of five
 template tokens are joined by hash; along each alignment of a document with an
-item, the values in the placeholders must map one to one, as they do when one
-and the same question was given other parameters.
+item, each value in the item's placeholders stands for its most frequent counterpart
+in the document, as it does when one and the same question was given other
+parameters. A window with another counterpart does not count, unless it is verbatim.
 """
 
 from __future__ import annotations
@@ -138,7 +139,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """The pairs of a document and an item of which it holds at least ``threshold``:
     row_key, doc_id, item_id, n_windows (of the item), n_matched (of them, in the document), coverage.
 
-    Only windows along alignments with consistent placeholders count. Null and empty
+    Windows whose placeholders conflict with the rest of their alignment do not count,
+    unless they are verbatim; different values may have the same counterpart. Null and empty
     texts, and items of placeholders only, match nothing; an item of fewer than ``n``
     tokens is one window. Repeated rows (same id and text) give one pair. Items
     with the same id count as one. Other columns are ignored.
@@ -151,19 +153,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     bits = np.zeros(SLOTS, np.uint8)
     bits[used] = 1
     found = materialise(document_windows(docs, id_col, text_col, np.packbits(bits, bitorder="little"), lengths))
-    pairs = F.array_distinct(
-        F.filter(F.transform(F.arrays_zip("item_slots", "slots"), lambda p: F.struct(p["item_slots"].alias("a"), p["slots"].alias("b"))), lambda p: p["a"] != 0)
+    pairs = F.filter(
+        F.transform(F.arrays_zip("item_slots", "slots"), lambda p, j: F.struct((F.col("item_place") + j).alias("at"), p["item_slots"].alias("a"), p["slots"].alias("b"))), lambda p: p["a"] != 0
     )
-    aligned = (
-        found.join(items, ["hash", "length"])
-        .groupBy("key", "id", "item_id", (F.col("place") - F.col("item_place")).alias("offset"))
-        .agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    )
-    one_to_one = (F.size(F.array_distinct(F.col("pairs.a"))) == F.size("pairs")) & (F.size(F.array_distinct(F.col("pairs.b"))) == F.size("pairs"))
+    alignment = ["key", "item_id", "offset"]
+    aligned = found.join(items, ["hash", "length"]).select("key", "id", "item_id", (F.col("place") - F.col("item_place")).alias("offset"), "item_place", pairs.alias("pairs"))
+    aligned = materialise(aligned)
+    slots = aligned.select(*alignment, F.explode("pairs").alias("p")).select(*alignment, "p.at", "p.a", "p.b").distinct()
+    counted = slots.groupBy(*alignment, "a", "b").agg(F.count("*").alias("n"))
+    ranked = counted.groupBy(*alignment, "a").agg(F.array_sort(F.collect_list(F.struct("n", (F.col("a") == F.col("b")).alias("verbatim"), "b"))).alias("all")).where(F.size("all") > 1)
+    others = ranked.select(*alignment, "a", F.explode(F.slice("all", 1, F.size("all") - 1)).alias("o"))
+    conflicts = others.groupBy(*alignment).agg(F.collect_set(F.xxhash64("a", "o.b")).alias("conflicts"))
+    conflicts = conflicts.select(*[F.col(c).alias(f"_{c}") for c in alignment], "conflicts")
+    aligned = aligned.join(conflicts, (F.col("key") == F.col("_key")) & F.col("item_id").eqNullSafe(F.col("_item_id")) & (F.col("offset") == F.col("_offset")), "left")
+    verbatim = F.forall("pairs", lambda p: p["a"] == p["b"])
+    agrees = F.col("conflicts").isNull() | ~F.arrays_overlap(F.transform("pairs", lambda p: F.xxhash64(p["a"], p["b"])), "conflicts")
     return (
-        aligned.where(one_to_one)
+        aligned.where(verbatim | agrees)
         .groupBy("key", "id", "item_id")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_matched"))
+        .agg(F.count_distinct("item_place").alias("n_matched"))
         .join(sizes.withColumnRenamed("item_id", "same_item"), F.col("item_id").eqNullSafe(F.col("same_item")))
         .where(F.col("n_matched") >= threshold * F.col("n_windows"))
         .select(F.col("key").alias("row_key"), F.col("id").alias("doc_id"), "item_id", "n_windows", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("coverage"))
