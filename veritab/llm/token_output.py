@@ -127,8 +127,9 @@ class Encoder:
     """Encodes whole texts with the tokenizers library.
 
     A byte-level BPE without a normaliser encodes each pre-token by itself, so those
-    seen before are looked up. Texts with characters outside the common range, and
-    all texts of other kinds of tokenizer, go through the library in one piece.
+    seen before are looked up. Texts with characters outside the common range or with
+    an added token (as ``<|endoftext|>``, which the library gives its own id), and all
+    texts of other kinds of tokenizer, go through the library in one piece.
     """
 
     LIMIT, LIMIT_CHARS = 600_000, 10 << 20  # pre-tokens, and their characters, that are remembered
@@ -137,17 +138,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.end_id = end_id
         spec = json.loads(tokenizer_json)
         cut = spec.get("pre_tokenizer") or {}
         self.byte_level = spec.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.seen = PreTokens(self.tokenizer.model, self.dtype)
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of ``text`` and the end id."""
-        if not self.byte_level or UNUSUAL.search(text):
+        if not self.byte_level or UNUSUAL.search(text) or any(t in text for t in self.added):
             return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, self.end_id], self.dtype)
         if len(self.seen) > self.LIMIT or self.seen.chars > self.LIMIT_CHARS:
             self.seen = PreTokens(self.tokenizer.model, self.dtype)
