@@ -37,3 +37,8 @@ def base_unit(unit: Column) -> Column:
 def base_value(value: Column, unit: Column) -> Column:
     """The value in base units, null for a unit that is not known."""
     return value * _map({u: m for u, (_, m) in BASE.items()})[unit_name(unit)]
+
+
+def exact_multiplier(unit: Column) -> Column:
+    """The multiplier to the base unit as a decimal, null for a unit that is not known."""
+    return _map({u: f"{m:.12f}" for u, (_, m) in BASE.items()})[unit_name(unit)].cast("decimal(22,12)")

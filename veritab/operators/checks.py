@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.functions.text import has_any, number
-from veritab.functions.units import base_unit, base_value, unit_name
+from veritab.functions.units import base_unit, base_value, exact_multiplier, unit_name
 
 AMBIENT = 25.0
 ISSUE = ["doc_id", "check_type", "severity", "key", "value_a", "value_b"]
@@ -43,8 +43,9 @@ def issue(rows: DataFrame, check: str, severity: str, key: Column, a: Column, b:
 def contradictions(facts: DataFrame) -> DataFrame:
     """Facts of one parameter that differ from its first one in the same base unit. The first is found by aggregation, so a frequent parameter needs no window."""
     rows = facts.withColumn("key", parameter_key()).where("key is not null and base is not null")
-    first = rows.groupBy("doc_id", "key").agg(F.min_by(F.struct("base", "base_unit", "fact_ord"), "fact_ord").alias("ref"))
-    both = rows.join(first, ["doc_id", "key"]).where("fact_ord > ref.fact_ord and base_unit = ref.base_unit and abs(base - ref.base) >= 1e-9")
+    first = rows.groupBy("doc_id", "key").agg(F.min_by(F.struct("base", "base_unit", "fact_ord"), "fact_ord").alias("ref"), F.min("base").alias("lo"), F.max("base").alias("hi"))
+    # a parameter whose values are all the same contradicts nothing: only the others are joined
+    both = rows.join(first.where("hi - lo >= 1e-9"), ["doc_id", "key"]).where("fact_ord > ref.fact_ord and base_unit = ref.base_unit and abs(base - ref.base) >= 1e-9")
     return issue(both, "contradiction", "error", F.col("key"), F.col("ref.base"), F.col("base"))
 
 
@@ -86,9 +87,14 @@ def dropout_margin(facts: DataFrame) -> DataFrame:
 
 
 def unit_normalisation(facts: DataFrame) -> DataFrame:
-    """Facts whose base value in doubles is not the exact decimal product (rounding artefacts; a figure of data quality)."""
-    exact = F.col("value").cast("decimal(30,12)") * (F.col("base") / F.when(F.col("value") != 0, F.col("value"))).cast("decimal(18,15)")
-    return issue(facts.where(F.col("base").isNotNull() & (exact.cast("double") != F.col("base"))), "unit_normalization", "warning", F.col("uom"), F.col("value"), F.col("base"))
+    """Facts whose base value, reckoned in doubles, is not the double next to the exact decimal product of value and multiplier.
+
+    The value is taken as it is written and the multiplier from the table of units. Values
+    with more than nine digits before or six after the point are not judged.
+    """
+    written = F.col("value").cast("string").try_cast("decimal(15,6)")
+    exact = F.when(written.cast("double") == F.col("value"), (written * exact_multiplier(F.col("uom"))).cast("double"))
+    return issue(facts.where(F.col("base").isNotNull() & (exact != F.col("base"))), "unit_normalization", "error", F.col("uom"), F.col("value"), F.col("base"))
 
 
 def run_checks(units: DataFrame, ranges: DataFrame, conditional: DataFrame | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,29 +18,56 @@ def wanted(enabled: bool, page_type: Column) -> Column:
     return F.lit(enabled) & page_type.isin(HIGH_RISK)
 
 
+def clean(v) -> str:
+    return "" if v is None or v != v else str(v)
+
+
 def unit_similarity(a, b) -> float:
     """Values count 0.4, labels 0.3, units 0.2, nearness 0.1, of what both have. Numbers agree within 0.01 or not at all; texts by their ratio."""
-    clean = lambda v: "" if v is None or v != v else str(v)
-    got = of = 0.0
-    x, y = clean(a.value), clean(b.value)
-    if x and y:
-        of += 0.4
-        try:
-            got += 0.4 if x == y or abs(float(x) - float(y)) < 0.01 else 0.0
-        except ValueError:
-            got += 0.4 * SequenceMatcher(None, x, y).ratio()
-    x, y = clean(a.label).lower().strip(), clean(b.label).lower().strip()
-    if x and y:
-        of += 0.3
-        got += 0.3 * (1.0 if x == y else SequenceMatcher(None, x, y).ratio())
-    x, y = clean(a.unit_of_measure).lower().strip(), clean(b.unit_of_measure).lower().strip()
-    if x and y:
-        of += 0.2
-        got += 0.2 * (x == y)
-    if a.x == a.x and b.x == b.x:
-        of += 0.1
-        got += 0.1 * max(0.0, 1 - 5 * ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) ** 0.5)
-    return got / of if of else 0.0
+    return float(similarities(a, pd.DataFrame([b]), {})[0])
+
+
+def ratios(one: str, many: pd.Series, kept: dict) -> np.ndarray:
+    """The ratio of one text to each of many; each pair of different texts is compared once."""
+    codes, texts = pd.factorize(many)
+    for t in texts:
+        if (one, t) not in kept:
+            kept[one, t] = 1.0 if one == t else SequenceMatcher(None, one, t).ratio()
+    return np.array([kept[one, t] for t in texts])[codes] if len(texts) else np.zeros(0)
+
+
+def similarities(a, right: pd.DataFrame, kept: dict) -> np.ndarray:
+    """The similarity of fact ``a`` to each row of ``right``; memory is one number a row."""
+    got, of = np.zeros(len(right)), np.zeros(len(right))
+
+    def add(weight: float, has: np.ndarray, share: np.ndarray) -> None:
+        got[has] += weight * share[has]
+        of[has] += weight
+
+    x, ys = clean(a.value), right["value"].map(clean)
+    if x:
+        same = (ys == x).to_numpy()
+        numbers = pd.to_numeric(ys, errors="coerce").to_numpy(float)
+        number = pd.to_numeric(x, errors="coerce")
+        if number == number:
+            near = same | (np.abs(numbers - number) < 0.01)
+            share = np.where(np.isnan(numbers) & ~same, 0.0, near.astype(float))
+            texts = np.isnan(numbers) & (ys != "").to_numpy()
+        else:
+            share, texts = same.astype(float), ~same & (ys != "").to_numpy()
+        if texts.any():
+            share[texts] = ratios(x, ys[texts], kept)
+        add(0.4, (ys != "").to_numpy(), share)
+    x, ys = clean(a.label).lower().strip(), right["label"].map(lambda v: clean(v).lower().strip())
+    if x:
+        add(0.3, (ys != "").to_numpy(), ratios(x, ys, kept))
+    x, ys = clean(a.unit_of_measure).lower().strip(), right["unit_of_measure"].map(lambda v: clean(v).lower().strip())
+    if x:
+        add(0.2, (ys != "").to_numpy(), (ys == x).to_numpy(float))
+    if a.x == a.x and a.x is not None:
+        far = np.hypot(right["x"].to_numpy(float) - a.x, right["y"].to_numpy(float) - a.y)
+        add(0.1, ~np.isnan(far), np.maximum(0.0, 1 - 5 * far))
+    return np.divide(got, of, out=np.zeros(len(right)), where=of > 0)
 
 
 def facts(units: DataFrame) -> DataFrame:
@@ -52,23 +80,45 @@ def consensus(first: DataFrame, second: DataFrame, least: float = 0.6) -> DataFr
     names = facts(first).columns
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("fact_ord"), b.sort_values("fact_ord")
-        right, used, out = list(b.itertuples(index=False)), set(), []
+        a, b = a.sort_values("fact_ord"), b.sort_values("fact_ord").reset_index(drop=True)
+        free, kept, out = np.ones(len(b), bool), {}, []
         for u in a.itertuples(index=False):
-            score, best = max(((unit_similarity(u, v), -j) for j, v in enumerate(right) if j not in used), default=(0.0, 0))
-            if score >= least and score > 0:
-                used.add(-best)
-                out.append((*u, "both", score))
+            score = np.where(free, similarities(u, b, kept), 0.0) if len(b) else np.zeros(1)
+            best = int(score.argmax())
+            if score[best] >= least and score[best] > 0:
+                free[best] = False
+                out.append((*u, "both", float(score[best])))
             else:
                 out.append((*u, "a", None))
-        out += [(*v, "b", None) for j, v in enumerate(right) if j not in used]
+        out += [(*v, "b", None) for v in b[free].itertuples(index=False)]
         return pd.DataFrame(out, columns=[*names, "side", "similarity"])
 
     other = facts(second).toDF(*names)  # columns of its own, also where both come from one table
     return facts(first).groupBy("doc_id", "page").cogroup(other.groupBy("doc_id", "page")).applyInPandas(run, MERGED)
 
 
-def agreement(merged: DataFrame) -> DataFrame:
-    """(doc_id, page, agreement): similarities over the larger side, 1 at most."""
+def merged_others(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Mappings or tables of both extractions: those of the first, and on pages where it has none, those of the second."""
+    return first.unionByName(second.join(first.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti"))
+
+
+def agreement(merged: DataFrame, first: tuple[DataFrame, DataFrame] | None = None, second: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(doc_id, page, agreement): similarities over the larger side, 1 at most.
+
+    ``first`` and ``second``: each extraction's mappings and tables. A page without units
+    agrees by their numbers: the smaller of both sides over the larger. A page without
+    anything has no row; it agrees wholly.
+    """
     a, b = F.count_if(F.col("side") != "b"), F.count_if(F.col("side") != "a")
-    return merged.groupBy("doc_id", "page").agg(F.least(F.lit(1.0), F.coalesce(F.sum("similarity"), F.lit(0.0)) / F.greatest(a, b)).alias("agreement"))
+    by_units = merged.groupBy("doc_id", "page").agg(F.least(F.lit(1.0), F.coalesce(F.sum("similarity"), F.lit(0.0)) / F.greatest(a, b)).alias("agreement"))
+    if first is None or second is None:
+        return by_units
+    rows = None
+    for side, tables in ((0, first), (1, second)):
+        for kind, table in enumerate(tables):
+            one = table.select("doc_id", "page", F.lit(side).alias("side"), F.lit(kind).alias("kind"))
+            rows = one if rows is None else rows.unionByName(one)
+    n = lambda side: F.count_if(F.col("side") == side)
+    counts = rows.groupBy("doc_id", "page", "kind").agg(F.least(n(0), n(1)).alias("lo"), F.greatest(n(0), n(1)).alias("hi"))
+    others = counts.groupBy("doc_id", "page").agg((F.sum("lo") / F.greatest(F.sum("hi"), F.lit(1))).alias("agreement"))
+    return by_units.unionByName(others.join(by_units, ["doc_id", "page"], "left_anti"))

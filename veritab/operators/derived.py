@@ -57,7 +57,7 @@ def per_document(units: DataFrame) -> DataFrame:
     """One row per document with the first fact of each lookup (null: none), and the outputs' sum in the supply's unit."""
     quality = canonical_quality(F.lit(True), F.col("bbox").isNotNull(), F.col("unit_of_measure").isNotNull(), F.col("label").isNotNull(), F.col("context").isNotNull())
     rows = units.withColumn("value", F.coalesce("value_num", number(F.col("value_str")))).where("value is not null")
-    fact = F.struct("value", F.col("unit_of_measure").alias("unit"), "id", F.coalesce("extraction_agreement", F.lit(0.5)).alias("agreement"), quality.alias("quality"), "page", F.col("origin.x").alias("x"), F.col("origin.y").alias("y"))
+    fact = F.struct("value", F.col("unit_of_measure").alias("unit"), "id", F.coalesce("extraction_agreement", F.lit(0.5)).alias("agreement"), quality.alias("quality"), "page", "bbox", F.col("origin.x").alias("x"), F.col("origin.y").alias("y"))
     firsts = [F.min_by(F.when(found(*how), fact), F.when(found(*how), F.col("fact_ord"))).alias(name) for name, how in LOOKUPS.items()]
     out, unit = found(*OUTPUTS), F.lower("unit_of_measure")
     sums = [
@@ -72,7 +72,8 @@ def least(*facts: str, of: str = "agreement") -> Column:
 
 
 def derivations(units: DataFrame) -> DataFrame:
-    """(doc_id, power, thermal, margin, budget): structs of value, unit, second (a second figure), score and the source's place; null where not derivable."""
+    """(doc_id, power, thermal, margin, budget): structs of value, unit, second (a second figure), score, the first source's place and
+    ``proof``, the places of all sources; null where not derivable. A budget's proof is the supply; its outputs, which have no bound, are ``budget_outputs``."""
     d = per_document(units)
     v, i = volts(F.col("volt.value"), F.col("volt.unit")), amps(F.col("amp.value"), F.col("amp.unit"))
     both = F.col("volt").isNotNull() & F.col("amp").isNotNull()
@@ -85,18 +86,33 @@ def derivations(units: DataFrame) -> DataFrame:
     supply_a = F.lower("supply.unit") == "a"
     used = F.when(supply_a, F.coalesce("sum_a", F.lit(0.0)) + F.coalesce("sum_ma", F.lit(0.0)) / 1000.0).otherwise(F.coalesce("sum_ma", F.lit(0.0)) + F.coalesce("sum_a", F.lit(0.0)) * 1000.0)
 
-    def result(ok: Column, value: Column, unit: Column, second: Column, score: Column, source: str) -> Column:
-        return F.when(ok & value.isNotNull(), F.struct(value.alias("value"), unit.alias("unit"), second.cast("double").alias("second"), score.alias("score"), F.col(f"{source}.page").alias("page"), F.col(f"{source}.x").alias("x"), F.col(f"{source}.y").alias("y")))
+    def result(ok: Column, value: Column, unit: Column, second: Column, score: Column, *sources: Column) -> Column:
+        point = lambda s: F.when(s.isNotNull(), F.struct(s["x"].alias("x"), s["y"].alias("y"), s["page"].alias("page"), s["bbox"].alias("bbox"), s["id"].alias("source_id"), F.lit("unit").alias("source_type")))
+        first, proof = sources[0], F.array_compact(F.array(*[point(s) for s in sources]))
+        return F.when(ok & value.isNotNull(), F.struct(value.alias("value"), unit.alias("unit"), second.cast("double").alias("second"), score.alias("score"), first["page"].alias("page"), first["x"].alias("x"), first["y"].alias("y"), proof.alias("proof")))
+
+    by_watt = F.col("watt").isNotNull()
 
     return d.select(
         "doc_id",
-        result(both, v * i * 1000.0, F.lit("mW"), v * i, overall(least("volt", "amp"), least("volt", "amp", of="quality"), F.lit(0.85)), "volt").alias("power"),
-        result(F.col("theta").isNotNull(), heat, F.lit("°C"), F.col("tj_max.value") - heat, overall(F.when(F.col("watt").isNotNull(), least("theta", "watt", "tj_max")).otherwise(least("theta", "volt_near", "amp_near", "tj_max")), F.lit(0.7), F.lit(0.80)), "theta").alias("thermal"),
-        result(F.col("v_op").isNotNull(), room / v_max["value"] * 100.0, F.lit("%"), room, overall(F.least(F.col("v_op.agreement"), v_max["agreement"]), F.lit(0.75), F.lit(0.85)), "v_op").alias("margin"),
-        result(F.col("supply").isNotNull(), F.when(F.col("n_out") > 0, F.col("supply.value") - used).otherwise(F.col("supply.value")), F.col("supply.unit"), F.when(F.col("n_out") > 0, used), overall(F.least(F.col("supply.agreement"), F.col("out_agreement")), F.lit(0.7), F.lit(0.80)), "supply").alias("budget"),
+        result(both, v * i * 1000.0, F.lit("mW"), v * i, overall(least("volt", "amp"), least("volt", "amp", of="quality"), F.lit(0.85)), F.col("volt"), F.col("amp")).alias("power"),
+        result(F.col("theta").isNotNull(), heat, F.lit("°C"), F.col("tj_max.value") - heat, overall(F.when(by_watt, least("theta", "watt", "tj_max")).otherwise(least("theta", "volt_near", "amp_near", "tj_max")), F.lit(0.7), F.lit(0.80)), F.col("theta"), F.col("watt"), F.when(~by_watt, F.col("volt_near")), F.when(~by_watt, F.col("amp_near")), F.col("tj_max")).alias("thermal"),
+        result(F.col("v_op").isNotNull(), room / v_max["value"] * 100.0, F.lit("%"), room, overall(F.least(F.col("v_op.agreement"), v_max["agreement"]), F.lit(0.75), F.lit(0.85)), F.col("v_op"), v_max).alias("margin"),
+        result(F.col("supply").isNotNull(), F.when(F.col("n_out") > 0, F.col("supply.value") - used).otherwise(F.col("supply.value")), F.col("supply.unit"), F.when(F.col("n_out") > 0, used), overall(F.least(F.col("supply.agreement"), F.col("out_agreement")), F.lit(0.7), F.lit(0.80)), F.col("supply")).alias("budget"),
     )
 
 
+def budget_outputs(units: DataFrame) -> DataFrame:
+    """The facts that the documents' budgets count as outputs, with their places: a row each."""
+    rows = units.withColumn("value", F.coalesce("value_num", number(F.col("value_str")))).where(found(*OUTPUTS))
+    return rows.select("doc_id", "fact_ord", "id", "value", F.col("unit_of_measure").alias("unit"), "page", "origin", "bbox")
+
+
+def asks(question: Column) -> Column:
+    """Whether a question asks for any derivation."""
+    return matches(F.coalesce(question, F.lit("")), *TRIGGERS.values())
+
+
 def derive(questions: DataFrame, units: DataFrame) -> DataFrame:
     """The first derivation that a question asks for and its document allows: q_id, derivation, answered and the columns of an answer."""
     d = derivations(units.join(questions.select("doc_id").distinct(), "doc_id", "left_semi"))
@@ -106,6 +122,6 @@ def derive(questions: DataFrame, units: DataFrame) -> DataFrame:
     return rows.withColumn("c", choice).select(
         "q_id", "doc_id", "question", F.col("c.derivation").alias("derivation"), F.col("c").isNotNull().alias("answered"),
         F.col("c.r.value").alias("value"), F.col("c.r.unit").alias("unit"), F.col("c.r.second").alias("second"),
-        F.concat(F.lit("derived_"), F.col("c.derivation")).alias("shape"), F.array(part).alias("parts"), F.lit(None).cast("string").alias("source_id"), F.lit("derived").alias("source_type"),
+        F.concat(F.lit("derived_"), F.col("c.derivation")).alias("shape"), F.array(part).alias("parts"), F.lit(None).cast("string").alias("source_id"), F.lit("derived").alias("source_type"), F.col("c.r.proof").alias("proof"),
         F.col("c.r.page").alias("page"), F.col("c.r.x").alias("x"), F.col("c.r.y").alias("y"), F.col("c.r.score").alias("score"),
     )

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 AUTO = 5  # occurrences from which a pattern may be applied by itself
+RELIABLE = 3  # and from which it is more than chance
+DOCUMENTS = 100  # that a pattern names
 # The band of original / corrected for each factor, in order.
 SCALES = [("10x", 9.0, 11.0, 10.0), ("100x", 90.0, 110.0, 100.0), ("1000x", 900.0, 1100.0, 1000.0), ("0.1x", 0.09, 0.11, 0.1), ("0.01x", 0.009, 0.011, 0.01), ("0.001x", 0.0009, 0.0011, 0.001)]
 UNIT_AT_END, NUMBER = r"[a-zA-Z°µ]+/?[a-zA-Z°]*$", r"[-+]?\d*\.?\d+"
@@ -22,11 +24,21 @@ def number_in(text: Column) -> Column:
 
 
 def pattern(rows: DataFrame, category: str, keys: list[Column], per: float, auto: bool = True) -> DataFrame:
-    """Groups of like corrections: original_pattern, corrected_pattern, occurrences, documents, confidence, auto_correctable."""
-    n = F.count("*")
-    return rows.groupBy(*keys).agg(
-        F.lit(category).alias("category"), n.alias("occurrences"), F.sort_array(F.collect_set("doc_id")).alias("doc_ids"), F.sort_array(F.collect_set("canonical_type")).alias("canonical_types"),
-        F.least(F.lit(1.0), n / per).alias("confidence"), (F.lit(auto) & (n >= AUTO)).alias("auto_correctable"),
+    """Groups of like corrections: original_pattern, corrected_pattern, occurrences, n_docs, doc_ids (the first
+    DOCUMENTS of them), canonical_types, confidence, auto_correctable and reliable.
+
+    Corrections are counted per document and type first, so that no group holds more than
+    its documents, and no row more than DOCUMENTS of their names.
+    """
+    names = [c.alias(f"_k{i}") for i, c in enumerate(keys)]
+    each = rows.select("doc_id", "canonical_type", *names).groupBy("_k0", "_k1", "doc_id").agg(F.count("*").alias("n"), F.collect_set("canonical_type").alias("types"))
+    numbered = F.row_number().over(Window.partitionBy("_k0", "_k1", F.pmod(F.xxhash64("doc_id"), F.lit(64))).orderBy("doc_id"))
+    each = each.withColumn("some", F.when(numbered <= DOCUMENTS, F.col("doc_id")))  # the first of each slice: the first of all are among them
+    n = F.sum("n")
+    return each.groupBy(F.col("_k0").alias("original_pattern"), F.col("_k1").alias("corrected_pattern")).agg(
+        F.lit(category).alias("category"), n.alias("occurrences"), F.count("doc_id").alias("n_docs"),
+        F.slice(F.sort_array(F.collect_set("some")), 1, DOCUMENTS).alias("doc_ids"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("types")))).alias("canonical_types"),
+        F.least(F.lit(1.0), n / per).alias("confidence"), (F.lit(auto) & (n >= AUTO)).alias("auto_correctable"), (n >= RELIABLE).alias("reliable"),
     )
 
 
@@ -85,23 +97,50 @@ def auto_rules(found: DataFrame) -> DataFrame:
 
 
 def pattern_stats(found: DataFrame) -> DataFrame:
-    return found.groupBy("category").agg(F.count("*").alias("n_patterns"), F.sum("occurrences").alias("n_corrections"), F.count_if("auto_correctable").alias("n_auto"))
+    """Per category, and of all (category null): how many patterns, corrections, auto-correctable and reliable patterns."""
+    figures = F.count("*").alias("n_patterns"), F.coalesce(F.sum("occurrences"), F.lit(0)).alias("n_corrections"), F.count_if("auto_correctable").alias("n_auto"), F.count_if("reliable").alias("n_reliable")
+    return found.rollup("category").agg(*figures)
 
 
-def suggest(values: DataFrame, rules: DataFrame) -> DataFrame:
-    """(…, suggestion): what the most frequent matching rule makes of each ``value``; null if no rule matches. Rules are few: the patterns of a log."""
+def top_patterns(found: DataFrame, most: int = 10) -> DataFrame:
+    """The patterns of most occurrences; of equals, those of the first category and pattern."""
+    return found.orderBy(F.desc("occurrences"), "category", "original_pattern", "corrected_pattern").limit(most)
+
+
+def plain_number(x: Column) -> Column:
+    """A number as text: whole ones in full, others with six significant digits, and an exponent below 0.0001 and from 1,000,000 on."""
+    size = F.floor(F.log10(F.abs(x)))
+    bare = lambda t: F.regexp_replace(t, r"\.?0+$", "")
+    fixed = bare(F.call_function("format_string", F.concat(F.lit("%."), (F.lit(5) - size).cast("string"), F.lit("f")), x))
+    parts = F.split(F.format_string("%.5e", x), "e")
+    far = F.concat(bare(parts[0]), F.lit("e"), parts[1])
+    return F.when(x == F.floor(x), x.cast("decimal(38,0)").cast("string")).when(size.between(-4, 5), fixed).otherwise(far)
+
+
+def suggest(values: DataFrame, found: DataFrame) -> DataFrame:
+    """(…, suggestion): what the most frequent rule that fits makes of each ``value``; null if none fits.
+
+    Rules are the auto-correctable ones of the patterns ``found``. Where ``values`` have a
+    ``canonical_type``, a rule fits values of the types that it was seen with only. A rule
+    of units fits a value that ends in its unit, a rule of scales any value with a number.
+    """
     order = F.struct((-F.col("occurrences")).alias("n"), "category", "original_pattern", "corrected_pattern")
-    keyed = values.withColumns({"u": unit_in(F.col("value")), "x": number_in(F.col("value")), "_id": F.monotonically_increasing_id()})
-    swap = rules.where("category = 'unit_confusion'").select(F.col("original_pattern").alias("u"), "corrected_pattern", order.alias("o"))
-    swap = keyed.join(F.broadcast(swap), "u").withColumn("suggestion", F.regexp_replace(F.trim("value"), F.lit(UNIT_AT_END), F.col("corrected_pattern")))
+    typed = "canonical_type" in values.columns
+    kind = F.explode("canonical_types") if typed else F.lit(None).cast("string")
+    rules = auto_rules(found).select("category", "original_pattern", "corrected_pattern", order.alias("o"), kind.alias("_type"))
+    keyed = values.withColumns({"_u": unit_in(F.col("value")), "_x": number_in(F.col("value")), "_id": F.monotonically_increasing_id()})
+    own = F.coalesce("canonical_type", F.lit("")) if typed else F.lit("")
+    keyed = keyed.withColumn("_type", own)
+    rules = rules.withColumn("_type", F.coalesce("_type", F.lit("")))
+    swap = rules.where("category = 'unit_confusion'").withColumnRenamed("original_pattern", "_u").drop("category")
+    swap = keyed.join(swap, ["_u", "_type"]).withColumn("suggestion", F.regexp_replace(F.trim("value"), F.lit(UNIT_AT_END), F.col("corrected_pattern")))
     factor = F.create_map(*[F.lit(x) for name, _, _, f in SCALES for x in (name, f)])
-    best = rules.where("category = 'value_scaling'").agg(F.min_by(F.struct("original_pattern", "corrected_pattern", order.alias("o")), order).alias("r"))
+    best = rules.where("category = 'value_scaling'").groupBy("_type").agg(F.min_by(F.struct("original_pattern", "corrected_pattern", "o"), "o").alias("r"))  # a row per type
     f = factor[F.col("r.original_pattern")]
-    made = F.when(F.startswith("r.corrected_pattern", F.lit("divide")), F.col("x") / f).otherwise(F.col("x") * f)
-    shown = F.when(made == F.floor(made), made.cast("long").cast("string")).otherwise(made.cast("string"))
-    scaled = keyed.where("x is not null").crossJoin(F.broadcast(best.where("r is not null"))).select("_id", F.trim(F.concat(shown, F.lit(" "), F.coalesce("u", F.lit("")))).alias("suggestion"), F.col("r.o").alias("o"))
-    found = swap.select("_id", "suggestion", "o").unionByName(scaled).groupBy("_id").agg(F.min_by("suggestion", "o").alias("suggestion"))
-    return keyed.join(found, "_id", "left").drop("_id", "u", "x")
+    made = F.when(F.startswith("r.corrected_pattern", F.lit("divide")), F.col("_x") / f).otherwise(F.col("_x") * f)
+    scaled = keyed.where("_x is not null").join(best, "_type").select("_id", F.trim(F.concat(plain_number(made), F.lit(" "), F.coalesce("_u", F.lit("")))).alias("suggestion"), F.col("r.o").alias("o"))
+    made = swap.select("_id", "suggestion", "o").unionByName(scaled).groupBy("_id").agg(F.min_by("suggestion", "o").alias("suggestion"))
+    return keyed.join(made, "_id", "left").drop("_id", "_u", "_x", "_type")
 
 
 def correction_stats(corrections: DataFrame) -> DataFrame:
@@ -109,7 +148,7 @@ def correction_stats(corrections: DataFrame) -> DataFrame:
     return corrections.agg(n.alias("total"), right.alias("confirms"), F.count_if(F.col("action") == "correct").alias("corrects"), F.when(n > 0, right / n).otherwise(0.0).alias("rate"))
 
 
-def review_queue(corrections: DataFrame, most: int = 50) -> DataFrame:
-    """The facts last corrected, newest first."""
-    rows = corrections.where("action = 'correct'").groupBy("doc_id", "canonical_id", "canonical_type").agg(F.max("created_at").alias("last_at"))
-    return rows.orderBy(F.desc("last_at"), "doc_id", "canonical_id").limit(most)
+def review_queue(corrections: DataFrame, doc_id: str | None = None, most: int = 50) -> DataFrame:
+    """The first facts, by id, that someone has confirmed or corrected: canonical_id and canonical_type. Of one document, or of all."""
+    rows = corrections if doc_id is None else corrections.where(F.col("doc_id") == doc_id)
+    return rows.select("canonical_id", "canonical_type").distinct().orderBy("canonical_id", "canonical_type").limit(most)

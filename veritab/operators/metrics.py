@@ -30,19 +30,22 @@ def values_match(expected: Column, actual: Column) -> Column:
 
 
 def accuracy(results: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Accuracy, false refusals of all, false answers of the verified, and right refusals, in percent or as shares of what each is of."""
+    """In percent: right answers of all, refusals of all, wrong answers of the verified (none: 0), and refusals where the answer would have been wrong, of all refusals (none: 100)."""
     n, ok = F.count("*"), F.count_if("correct")
     of = lambda s, c=None: F.count_if((F.col("status") == s) & (F.lit(True) if c is None else F.col("correct") == c))
     share = lambda a, b, none: F.when(b > 0, a * 100.0 / b).otherwise(F.lit(none))
     figures = [
-        n.alias("total"), ok.alias("correct"), share(ok, n, 0.0).alias("accuracy"), share(of("refused", False), n, 0.0).alias("false_refuse_rate"),
-        share(of("verified", False), of("verified"), 0.0).alias("false_accept_rate"), share(of("refused", True), of("refused"), 100.0).alias("refuse_precision"),
+        n.alias("total"), ok.alias("correct"), share(ok, n, 0.0).alias("accuracy"), share(of("refused"), n, 0.0).alias("false_refuse_rate"),
+        share(of("verified", False), of("verified"), 0.0).alias("false_accept_rate"), share(of("refused", False), of("refused"), 100.0).alias("refuse_precision"),
     ]
     return results.groupBy(*by).agg(*figures) if by else results.agg(*figures)
 
 
 def confusion(results: DataFrame) -> DataFrame:
-    return results.groupBy("correct").pivot("status", STATUSES).agg(F.count(F.lit(1))).na.fill(0)
+    """How many results of each status are right, and how many are wrong; both rows are there, whatever the results."""
+    both = results.sparkSession.createDataFrame([(True,), (False,)], "correct boolean")
+    counts = results.where("correct is not null").groupBy("correct").pivot("status", STATUSES).agg(F.count(F.lit(1)))
+    return both.join(counts, "correct", "left").na.fill(0)
 
 
 def gate(results: DataFrame, least: float = 70.0, refuse: float = 30.0, accept: float = 1.0) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The configuration of the question rules. Fixed values, in order of priority."""
+"""The configuration of the question rules: fixed values, as plain tuples, in order of priority."""
 
 from __future__ import annotations
 
@@ -22,52 +22,187 @@ class Rule:
     most: int = 4
 
 
-def words(text: str) -> tuple[str, ...]:
-    return tuple(text.split("|")) if text else ()
-
-
-def rule(priority: int, name: str, family: str, asked: str, context: str = "", units: str = "", kind: str | None = None, grid: str = "", default_unit: str = "", most: int = 4) -> Rule:
-    return Rule(priority, name, family, tuple(words(g) for g in asked.split("&")), words(context), words(units) or None, kind, words(grid), default_unit, most)
-
-
-MAX = "max|maximum"
+# The rules.
 RULES = [
-    rule(150, "part_number", "first", "part number|ordering|order code|mpn|part no", "part number|ordering|order code|mpn|part no", grid="part number|ordering|order code|mpn"),
-    rule(160, "description", "first", "what does this do|what does this component do|description|what is this component|what is this device|overview", "description|function|overview|general description|features", grid="description|function|overview"),
-    rule(200, "absolute_max_voltage", "best", "absolute max|absolute maximum&voltage| v ", "absolute maximum|absolute max|abs max", "V|mV|kV", "voltage", "absolute max"),
-    rule(210, "absolute_max_current", "best", "absolute max|absolute maximum&current| a |amper", "absolute maximum|absolute max|abs max", "A|mA|µA", "current"),
-    rule(300, "max_voltage", "best", f"{MAX}&voltage| v | v", "voltage|vcc|vdd|supply", "V|VOLT|VOLTS|MV|KV", "voltage"),
-    rule(310, "max_current", "best", f"{MAX}&current| a |amper", "current|supply current|icc", "A|MA|µA", "current"),
-    rule(320, "max_capacity", "best", f"{MAX}|nominal&capacity|mah| ah | wh ", "capacity|nominal capacity", "MAH|AH|WH", "capacity"),
-    rule(400, "operating_voltage_range", "range", "operating voltage|supply voltage|vcc range|vdd range|input voltage range", "operating|supply|vcc|vdd|input voltage", "V|mV|kV", "voltage", "operating voltage|supply voltage|vcc|vdd", "V"),
-    rule(405, "storage_temperature", "first", "storage temp|storage temperature", "storage temperature|storage temp|tstg|storage", grid="storage temperature|storage temp|tstg"),
-    rule(410, "operating_temperature_range", "range", "operating temp|junction temp|temperature range|ambient temp", "operating temperature|junction temperature|ambient temperature|operating temp", "°C|℃|°F|K", "temperature", "operating temperature|junction temperature|ambient temperature", "°C"),
-    rule(430, "soldering_temperature", "first", "solder|reflow|soldering temperature|reflow temperature", "solder|reflow|soldering|reflow temperature", grid="solder|reflow"),
-    rule(500, "power_dissipation", "best", "power dissipation|max power|power rating|power consumption", "power dissipation|power rating|power consumption|total power", "W|mW", "power", "power dissipation|power rating|power consumption"),
-    rule(510, "esd_ratings", "several", "esd|electrostatic|esd rating", "esd|electrostatic|hbm|cdm", grid="esd|electrostatic|hbm|cdm"),
-    rule(520, "leakage_current", "first", "leakage current|input leakage|ileak", "leakage|ileak|input leakage", "A|mA|µA|nA", grid="leakage current|input leakage|ileak"),
-    rule(530, "threshold_voltage", "several", "threshold|vil|vih|vol|voh|logic level", "threshold|vil|vih|vol|voh|logic level|input low|input high", "V|mV", grid="threshold|vil|vih|logic level"),
-    rule(600, "clock_frequency", "best", "clock|frequency|bandwidth|fmax|speed|data rate", "clock|frequency|bandwidth|fmax|speed|data rate|oscillator", "Hz|kHz|MHz|GHz", "frequency", "clock|frequency|bandwidth|fmax"),
-    rule(610, "propagation_delay", "first", "propagation delay|tpd|delay time", "propagation delay|propagation|tpd|delay time|tphl|tplh", "ns|µs|ps|ms", grid="propagation delay|tpd|tphl|tplh"),
-    rule(620, "rise_fall_time", "several", "rise time|fall time| tr | tf |slew rate|rise/fall", "rise time|fall time|slew rate|slew|tr/tf|rise/fall", "ns|µs|ps|V/µs|V/ns", grid="rise time|fall time|slew|tr|tf"),
-    rule(630, "setup_hold_time", "several", "setup time|hold time|tsu| th |setup/hold|setup and hold", "setup time|hold time|tsu|setup/hold|setup and hold", "ns|µs|ps|ms", grid="setup time|hold time|tsu"),
-    rule(700, "package_type", "first", "package|footprint|case", "package|footprint|case|package type", grid="package|footprint|case"),
-    rule(710, "package_dimensions", "several", "dimension|package size|length|width|height|package dimension", "dimension|package size|length|width|height|body size", "mm|mil|in|cm", grid="dimension|package size|body size", most=6),
-    rule(720, "thermal_resistance", "first", "thermal resistance|θja|theta-ja|rθja|θjc|junction to ambient|junction-to-ambient", "thermal resistance|θja|theta|junction to ambient|junction-to-ambient|θjc|rθja", "°C/W|K/W", grid="thermal resistance|θja|theta|junction to ambient"),
-    rule(730, "weight", "first", "weight|mass", "weight|mass", "g|mg|kg|oz", grid="weight|mass"),
-    rule(740, "pin_count", "first", "pin count|how many pins|number of pins|total pins", "pin count|number of pins|total pins"),
-    rule(750, "moisture_sensitivity", "first", "moisture sensitivity|msl|msl rating", "moisture sensitivity|msl", grid="moisture sensitivity|msl"),
-    rule(800, "recommended_operating", "several", "recommended operating|recommended conditions", "recommended operating|recommended conditions", grid="recommended operating|recommended conditions", most=6),
+    Rule(
+        priority=150, name="part_number", family="first",
+        asked=(("part number", "ordering", "order code", "mpn", "part no"),),
+        context=("part number", "ordering", "order code", "mpn", "part no"),
+        grid=("part number", "ordering", "order code", "mpn"),
+    ),
+    Rule(
+        priority=160, name="description", family="first",
+        asked=(("what does this do", "what does this component do", "description", "what is this component", "what is this device", "overview"),),
+        context=("description", "function", "overview", "general description", "features"),
+        grid=("description", "function", "overview"),
+    ),
+    Rule(
+        priority=200, name="absolute_max_voltage", family="best",
+        asked=(("absolute max", "absolute maximum"), ("voltage", " v ")),
+        context=("absolute maximum", "absolute max", "abs max"),
+        units=("V", "mV", "kV"), kind="voltage",
+        grid=("absolute max",),
+    ),
+    Rule(
+        priority=210, name="absolute_max_current", family="best",
+        asked=(("absolute max", "absolute maximum"), ("current", " a ", "amper")),
+        context=("absolute maximum", "absolute max", "abs max"),
+        units=("A", "mA", "µA"), kind="current",
+    ),
+    Rule(
+        priority=300, name="max_voltage", family="best",
+        asked=(("max", "maximum"), ("voltage", " v ", " v")),
+        context=("voltage", "vcc", "vdd", "supply"),
+        units=("V", "VOLT", "VOLTS", "MV", "KV"), kind="voltage",
+    ),
+    Rule(
+        priority=310, name="max_current", family="best",
+        asked=(("max", "maximum"), ("current", " a ", "amper")),
+        context=("current", "supply current", "icc"),
+        units=("A", "MA", "µA"), kind="current",
+    ),
+    Rule(
+        priority=320, name="max_capacity", family="best",
+        asked=(("max", "maximum", "nominal"), ("capacity", "mah", " ah ", " wh ")),
+        context=("capacity", "nominal capacity"),
+        units=("MAH", "AH", "WH"), kind="capacity",
+    ),
+    Rule(
+        priority=400, name="operating_voltage_range", family="range",
+        asked=(("operating voltage", "supply voltage", "vcc range", "vdd range", "input voltage range"),),
+        context=("operating", "supply", "vcc", "vdd", "input voltage"),
+        units=("V", "mV", "kV"), kind="voltage", default_unit="V",
+        grid=("operating voltage", "supply voltage", "vcc", "vdd"),
+    ),
+    Rule(
+        priority=405, name="storage_temperature", family="first",
+        asked=(("storage temp", "storage temperature"),),
+        context=("storage temperature", "storage temp", "tstg", "storage"),
+        grid=("storage temperature", "storage temp", "tstg"),
+    ),
+    Rule(
+        priority=410, name="operating_temperature_range", family="range",
+        asked=(("operating temp", "junction temp", "temperature range", "ambient temp"),),
+        context=("operating temperature", "junction temperature", "ambient temperature", "operating temp"),
+        units=("°C", "℃", "°F", "K"), kind="temperature", default_unit="°C",
+        grid=("operating temperature", "junction temperature", "ambient temperature"),
+    ),
+    Rule(
+        priority=430, name="soldering_temperature", family="first",
+        asked=(("solder", "reflow", "soldering temperature", "reflow temperature"),),
+        context=("solder", "reflow", "soldering", "reflow temperature"),
+        grid=("solder", "reflow"),
+    ),
+    Rule(
+        priority=500, name="power_dissipation", family="best",
+        asked=(("power dissipation", "max power", "power rating", "power consumption"),),
+        context=("power dissipation", "power rating", "power consumption", "total power"),
+        units=("W", "mW"), kind="power",
+        grid=("power dissipation", "power rating", "power consumption"),
+    ),
+    Rule(
+        priority=510, name="esd_ratings", family="several",
+        asked=(("esd", "electrostatic", "esd rating"),),
+        context=("esd", "electrostatic", "hbm", "cdm"),
+        grid=("esd", "electrostatic", "hbm", "cdm"),
+    ),
+    Rule(
+        priority=520, name="leakage_current", family="first",
+        asked=(("leakage current", "input leakage", "ileak"),),
+        context=("leakage", "ileak", "input leakage"),
+        units=("A", "mA", "µA", "nA"),
+        grid=("leakage current", "input leakage", "ileak"),
+    ),
+    Rule(
+        priority=530, name="threshold_voltage", family="several",
+        asked=(("threshold", "vil", "vih", "vol", "voh", "logic level"),),
+        context=("threshold", "vil", "vih", "vol", "voh", "logic level", "input low", "input high"),
+        units=("V", "mV"),
+        grid=("threshold", "vil", "vih", "logic level"),
+    ),
+    Rule(
+        priority=600, name="clock_frequency", family="best",
+        asked=(("clock", "frequency", "bandwidth", "fmax", "speed", "data rate"),),
+        context=("clock", "frequency", "bandwidth", "fmax", "speed", "data rate", "oscillator"),
+        units=("Hz", "kHz", "MHz", "GHz"), kind="frequency",
+        grid=("clock", "frequency", "bandwidth", "fmax"),
+    ),
+    Rule(
+        priority=610, name="propagation_delay", family="first",
+        asked=(("propagation delay", "tpd", "delay time"),),
+        context=("propagation delay", "propagation", "tpd", "delay time", "tphl", "tplh"),
+        units=("ns", "µs", "ps", "ms"),
+        grid=("propagation delay", "tpd", "tphl", "tplh"),
+    ),
+    Rule(
+        priority=620, name="rise_fall_time", family="several",
+        asked=(("rise time", "fall time", " tr ", " tf ", "slew rate", "rise/fall"),),
+        context=("rise time", "fall time", "slew rate", "slew", "tr/tf", "rise/fall"),
+        units=("ns", "µs", "ps", "V/µs", "V/ns"),
+        grid=("rise time", "fall time", "slew", "tr", "tf"),
+    ),
+    Rule(
+        priority=630, name="setup_hold_time", family="several",
+        asked=(("setup time", "hold time", "tsu", " th ", "setup/hold", "setup and hold"),),
+        context=("setup time", "hold time", "tsu", "setup/hold", "setup and hold"),
+        units=("ns", "µs", "ps", "ms"),
+        grid=("setup time", "hold time", "tsu"),
+    ),
+    Rule(
+        priority=700, name="package_type", family="first",
+        asked=(("package", "footprint", "case"),),
+        context=("package", "footprint", "case", "package type"),
+        grid=("package", "footprint", "case"),
+    ),
+    Rule(
+        priority=710, name="package_dimensions", family="several",
+        asked=(("dimension", "package size", "length", "width", "height", "package dimension"),),
+        context=("dimension", "package size", "length", "width", "height", "body size"),
+        units=("mm", "mil", "in", "cm"), most=6,
+        grid=("dimension", "package size", "body size"),
+    ),
+    Rule(
+        priority=720, name="thermal_resistance", family="first",
+        asked=(("thermal resistance", "θja", "theta-ja", "rθja", "θjc", "junction to ambient", "junction-to-ambient"),),
+        context=("thermal resistance", "θja", "theta", "junction to ambient", "junction-to-ambient", "θjc", "rθja"),
+        units=("°C/W", "K/W"),
+        grid=("thermal resistance", "θja", "theta", "junction to ambient"),
+    ),
+    Rule(
+        priority=730, name="weight", family="first",
+        asked=(("weight", "mass"),),
+        context=("weight", "mass"),
+        units=("g", "mg", "kg", "oz"),
+        grid=("weight", "mass"),
+    ),
+    Rule(
+        priority=740, name="pin_count", family="first",
+        asked=(("pin count", "how many pins", "number of pins", "total pins"),),
+        context=("pin count", "number of pins", "total pins"),
+    ),
+    Rule(
+        priority=750, name="moisture_sensitivity", family="first",
+        asked=(("moisture sensitivity", "msl", "msl rating"),),
+        context=("moisture sensitivity", "msl"),
+        grid=("moisture sensitivity", "msl"),
+    ),
+    Rule(
+        priority=800, name="recommended_operating", family="several",
+        asked=(("recommended operating", "recommended conditions"),),
+        context=("recommended operating", "recommended conditions"),
+        most=6,
+        grid=("recommended operating", "recommended conditions"),
+    ),
 ]
-#: Rules that look at the question's own words; their plans are in ``rules.py``.
+# Rules that look at the question's own words; their plans are in ``rules.py``.
 QUESTION_RULES = {100: "pin_lookup", 900: "unit_by_intent", 950: "grid_cell_lookup", 1000: "unit_lookup"}
-#: Rule 900: (question keywords, units in capitals, kind of measurement).
+# Fixed values of rule 900: (question keywords, units in capitals, kind of measurement).
 TOPICS = [
-    (words("voltage|volt| v |charge voltage|cutoff voltage"), words("V|VOLT|VOLTS|MV|KV"), "voltage"),
-    (words("current|amper| a |discharge current|charge current"), words("A|MA|µA"), "current"),
-    (words("capacity|mah| ah | wh |nominal capacity"), words("MAH|AH|WH"), "capacity"),
-    (words("power|watt| w "), words("W|MW"), "power"),
-    (words("temperature|temp|°c|℃"), words("°C|℃|°F|K"), "temperature"),
-    (words("frequency|clock|speed|hz"), words("HZ|KHZ|MHZ|GHZ"), "frequency"),
-    (words("resistance|ohm|impedance| ω "), words("Ω|OHM|OHMS|KΩ|MΩ"), None),
+    (("voltage", "volt", " v ", "charge voltage", "cutoff voltage"), ("V", "VOLT", "VOLTS", "MV", "KV"), "voltage"),
+    (("current", "amper", " a ", "discharge current", "charge current"), ("A", "MA", "µA"), "current"),
+    (("capacity", "mah", " ah ", " wh ", "nominal capacity"), ("MAH", "AH", "WH"), "capacity"),
+    (("power", "watt", " w "), ("W", "MW"), "power"),
+    (("temperature", "temp", "°c", "℃"), ("°C", "℃", "°F", "K"), "temperature"),
+    (("frequency", "clock", "speed", "hz"), ("HZ", "KHZ", "MHZ", "GHZ"), "frequency"),
+    (("resistance", "ohm", "impedance", " ω "), ("Ω", "OHM", "OHMS", "KΩ", "MΩ"), None),
 ]

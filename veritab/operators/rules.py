@@ -2,37 +2,57 @@
 
 What a rule says about a document does not depend on the question, but for four
 rules. So questions first pass the gates, which need no facts; each rule that any
-question of a document may use is answered once per document, by aggregation over
-its facts; and each question takes the answer of its first rule that has one.
+question may use is answered once per document, by aggregation over its facts; and
+each question takes the answer of its first rule that has one. Rules are data: an
+array that each fact is held against once, so a fact becomes a row only for the rules
+it is about.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.functions import intent
-from veritab.functions.text import blank_null, has_any, keyword_overlap, measurements, normalised, number, upper_in, words_of
+from veritab.functions.text import blank_null, has_any, keyword_overlap, measurements, normalised, number, words_of
 from veritab.operators.confidence import overall, unit_quality
 from veritab.operators.rule_table import QUESTION_RULES, RULES, TOPICS, Rule
 
 PART = "struct<label:string,num:double,str:string,unit:string>"
-ANSWER = ["shape", "parts", "source_id", "source_type", "page", "x", "y", "score"]
-EXTRA: dict[int, tuple] = {}
+#: ``proof``: where each value stands: x, y, page, bbox, source_id, source_type; ``page``, ``x`` and ``y`` are the first one's.
+ANSWER = ["shape", "parts", "proof", "source_id", "source_type", "page", "x", "y", "score"]
+RULE = "struct<priority:int,name:string,family:string,asked:array<array<string>>,context:array<string>,units:array<string>,grid:array<string>,kind:string,classes:array<string>>"
+MOST = max(r.most for r in RULES)  # facts in one answer
 
 
-def register(priority: int, name: str, gate, plan) -> None:
-    """A rule of the user's own. ``gate``: normalised question column -> condition; ``plan``: (questions with q_id, doc_id
-    and question, facts) -> q_id and the columns ANSWER."""
-    EXTRA[priority] = (name, gate, plan)
+def rule_array(rules: Iterable[Rule]) -> Column:
+    """The rules as a literal array of structs; their units in capitals."""
+    rows = [
+        {"priority": r.priority, "name": r.name, "family": r.family, "asked": r.asked, "context": r.context, "units": None if r.units is None else [u.upper() for u in r.units],
+         "grid": r.grid, "kind": r.kind, "classes": [c for c, names in intent.RULE_CLASSES.items() if r.name in names]} for r in rules
+    ]
+    return F.from_json(F.lit(json.dumps(rows)), f"array<{RULE}>")
 
 
 def part(label: Column, num: Column, text: Column, unit: Column) -> Column:
     return F.struct(label.cast("string").alias("label"), num.cast("double").alias("num"), text.cast("string").alias("str"), unit.cast("string").alias("unit"))
 
 
-def own_part() -> Column:
-    return part(F.coalesce(blank_null(F.col("label")), blank_null(F.col("context"))), F.col("value_num"), F.col("value_str"), F.col("unit_of_measure"))
+def own_part(of: str = "") -> Column:
+    """A fact as the part of an answer; ``of``: the struct it is in, with a dot."""
+    c = lambda name: F.col(of + name)
+    return part(F.coalesce(blank_null(c("label")), blank_null(c("context"))), c("value_num"), c("value_str"), c("unit_of_measure"))
+
+
+def proof_point(x: Column, y: Column, page: Column, bbox: Column, source_id: Column, source_type: str) -> Column:
+    return F.struct(x.alias("x"), y.alias("y"), page.alias("page"), bbox.alias("bbox"), source_id.alias("source_id"), F.lit(source_type).alias("source_type"))
+
+
+def own_proof(of: str = "") -> Column:
+    return proof_point(*[F.col(of + c) for c in ("x", "y", "page", "bbox", "id")], "unit")
 
 
 def prepared(units: DataFrame) -> DataFrame:
@@ -40,42 +60,37 @@ def prepared(units: DataFrame) -> DataFrame:
     value = F.coalesce(F.col("value_num"), number(F.col("value_str")))
     shown = F.coalesce(F.col("value_str"), F.col("value_num").cast("string"))
     return units.select(
-        "doc_id", "fact_ord", "id", "label", "context", "unit_of_measure", "value_num", "value_str", "page",
+        "doc_id", "fact_ord", "id", "label", "context", "unit_of_measure", "value_num", "value_str", "page", "bbox",
         F.col("origin.x").alias("x"), F.col("origin.y").alias("y"),
-        F.lower(F.coalesce("context", F.lit(""))).alias("ctx"), F.lower(F.coalesce("label", F.lit(""))).alias("lbl"),
+        F.lower(F.coalesce("context", F.lit(""))).alias("ctx"), F.lower(F.coalesce("label", F.lit(""))).alias("lbl"), F.upper(F.coalesce("unit_of_measure", F.lit(""))).alias("uom"),
         value.alias("value"), F.concat_ws(" ", blank_null(shown), blank_null(F.col("label")), blank_null(F.col("context"))).alias("text"),
         overall(F.coalesce("extraction_agreement", F.lit(0.5)), unit_quality(), F.lit(0.7)).alias("score"),
     )
 
 
-def about(rule: Rule) -> Column:
-    """Whether a unit's context or label has one of the rule's keywords."""
-    hit = has_any(F.col("ctx"), list(rule.context)) | has_any(F.col("lbl"), list(rule.context))
-    if rule.name == "storage_temperature":
-        hit = hit & (has_any(F.col("ctx"), ["storage"]) | has_any(F.col("lbl"), ["tstg", "storage"]))
-    return hit
-
+def holds(text: Column, words: Column) -> Column:
+    """Whether any of an array of words occurs in the text."""
+    return F.exists(words, lambda w: F.contains(text, w))
 
-def asked(rule: Rule, q: Column) -> Column:
-    hit = F.lit(True)
-    for group in rule.asked:
-        hit = hit & has_any(q, list(group))
-    if rule.name == "description":
-        hit = hit | (has_any(q, ["what is this"]) & ~has_any(q, ["pin", "voltage", "current", "temperature"]))
-    return hit
 
+def gates(questions: DataFrame, use_intent: bool = True, extra: dict[int, tuple] | None = None) -> DataFrame:
+    """(q_id, doc_id, question, q, intent, priority): the rules that each question may use.
 
-def gates(questions: DataFrame, use_intent: bool = True) -> DataFrame:
-    """(q_id, doc_id, question, q, intent, priority): the rules that each question may use."""
+    ``extra``: rules of the user's own, priority -> (name, gate, plan). ``gate``: normalised
+    question column -> condition; ``plan``: (questions with q_id, doc_id and question,
+    prepared facts) -> q_id and the columns ANSWER.
+    """
     rows = questions.withColumn("q", normalised(F.col("question"))).withColumn("intent", intent.classify(F.col("question")) if use_intent else F.lit("general_question"))
-    q = F.col("q")
-    topic = F.lit(False)
-    for words, _, _ in TOPICS:
-        topic = topic | has_any(q, list(words))
-    own = {100: q.rlike(r"pin\s+(?:number\s+)?(\d+)"), 900: topic, 950: F.size(words_of(q)) > 0, 1000: F.lit(True)}
-    all_rules = [(r.priority, r.name, asked(r, q)) for r in RULES] + [(p, n, own[p]) for p, n in QUESTION_RULES.items()] + [(p, n, gate(q)) for p, (n, gate, _) in EXTRA.items()]
-    open_ = [F.when(gate & intent.allows(F.col("intent"), name), F.lit(p)) for p, name, gate in sorted(all_rules, key=lambda x: x[0])]
-    return rows.withColumn("priority", F.explode(F.array_compact(F.array(*open_))))
+    q, kind = F.col("q"), F.col("intent")
+    any_topic = has_any(q, [w for words, _, _ in TOPICS for w in words])
+    what_is_this = has_any(q, ["what is this"]) & ~has_any(q, ["pin", "voltage", "current", "temperature"])
+    asked = lambda r: F.forall(r["asked"], lambda g: holds(q, g)) | ((r["name"] == "description") & what_is_this)
+    lets = lambda r: (kind == "general_question") | F.array_contains(r["classes"], kind) | ((F.size(r["classes"]) == 0) & (kind != "out_of_scope"))
+    listed = F.transform(F.filter(rule_array(RULES), lambda r: asked(r) & lets(r)), lambda r: r["priority"])
+    own = {100: q.rlike(r"pin\s+(?:number\s+)?(\d+)"), 900: any_topic, 950: F.size(words_of(q)) > 0, 1000: F.lit(True)}
+    others = [(p, n, own[p]) for p, n in QUESTION_RULES.items()] + [(p, n, gate(q)) for p, (n, gate, _) in (extra or {}).items()]
+    open_ = F.array_compact(F.array(*[F.when(gate & intent.allows(kind, name), F.lit(p)) for p, name, gate in others]))
+    return rows.withColumn("priority", F.explode(F.concat(listed, open_)))
 
 
 def first_of(rows: DataFrame, keys: list[str], order: list[Column], columns: list[str]) -> DataFrame:
@@ -85,98 +100,114 @@ def first_of(rows: DataFrame, keys: list[str], order: list[Column], columns: lis
 
 def single(units: DataFrame) -> DataFrame:
     """Units as plain answers."""
-    return units.withColumns({"shape": F.lit("value"), "parts": F.array(own_part()), "source_id": F.col("id"), "source_type": F.lit("unit")})
+    return units.withColumns({"shape": F.lit("value"), "parts": F.array(own_part()), "proof": F.array(own_proof()), "source_id": F.col("id"), "source_type": F.lit("unit")})
+
+
+def about(r: Column) -> Column:
+    """Whether a fact's context or label has one of the rule's keywords; what is stored at a temperature must also say so."""
+    storage = has_any(F.col("ctx"), ["storage"]) | has_any(F.col("lbl"), ["tstg", "storage"])
+    return (holds(F.col("ctx"), r["context"]) | holds(F.col("lbl"), r["context"])) & ((r["name"] != "storage_temperature") | storage)
+
+
+def unit_fits(r: Column) -> Column:
+    return r["units"].isNull() | F.array_contains(F.coalesce(r["units"], F.array().cast("array<string>")), F.col("uom"))
+
+
+MEASURED = "array<struct<value:double,unit:string>>"
+ENTRY = "array<struct<priority:int,family:string,stage:int,v:double,own:boolean,unit:string,cand:int>>"
 
 
-def best_numeric(units: DataFrame, rules: list[Rule], largest: bool = True) -> DataFrame:
-    """The largest (or smallest) number for each document and rule, of facts about it, or else of all facts with its units.
+def measured(kinds: Iterable[str]) -> Column:
+    """A map from kinds to the measurements in ``text``; texts without a number before a letter or sign have none, and are not searched."""
+    some = F.col("text").rlike(r"\d\s*[a-zA-Zµμ°℃]")
+    kinds = sorted(set(kinds))
+    return F.create_map(*[x for k in kinds for x in (F.lit(k), F.when(some, measurements(k, F.col("text"))).otherwise(F.array().cast(MEASURED)))]) if kinds else F.create_map().cast(f"map<string,{MEASURED}>")
 
-    Candidates of a fact are its own value, then the measurements in its text; ties go to the earliest.
+
+def fact_rows(units: DataFrame, rules: list[Rule]) -> DataFrame:
+    """A row for each value that a fact has for a rule: priority, family, stage, v, own, unit and cand (its place among the fact's values).
+
+    ``stage`` 1: a fact about the rule with its units. Families: first takes stage 1 only;
+    range and several any unit as stage 2; best as stage 2 the values of all facts in its units.
     """
-    branches = []
-    for r in rules:
-        ok = upper_in(F.col("unit_of_measure"), list(r.units)) & (F.coalesce("unit_of_measure", F.lit("")) != "")
-        own = F.when(ok & F.col("value").isNotNull(), F.array(F.struct(F.col("value").alias("value"), F.lit(True).alias("own"), F.col("unit_of_measure").alias("unit"))))
-        read = F.transform(measurements(r.kind, F.col("text")), lambda m: F.struct(m["value"].alias("value"), F.lit(False).alias("own"), m["unit"].alias("unit")))
-        found = F.concat(F.coalesce(own, F.array().cast("array<struct<value:double,own:boolean,unit:string>>")), read)
-        stage = F.when(about(r) & upper_in(F.col("unit_of_measure"), list(r.units)), 1).otherwise(2)
-        branches.append(F.struct(F.lit(r.priority).alias("priority"), stage.alias("stage"), found.alias("found")))
-    rows = units.withColumn("b", F.explode(F.array(*branches))).select("*", "b.priority", "b.stage", F.posexplode("b.found").alias("cand", "c")).drop("b")
-    shown = F.when(F.col("c.own"), F.array(own_part())).otherwise(F.array(part(F.lit(None), F.col("c.value"), F.lit(None), F.col("c.unit"))))
-    rows = single(rows).withColumn("parts", shown)
-    size = F.col("c.value") if not largest else -F.col("c.value")
-    return first_of(rows, ["doc_id", "priority"], [F.col("stage"), size.alias("s"), F.col("fact_ord"), F.col("cand")], ANSWER)
-
-
-def about_facts(units: DataFrame, rules: list[Rule], relax: bool) -> DataFrame:
-    """Facts about each rule (``stage`` 1: with its units; with ``relax`` also 2: with any), numbered per document and rule within the better stage."""
-    hits = [F.when(about(r), F.struct(F.lit(r.priority).alias("priority"), F.when(upper_in(F.col("unit_of_measure"), list(r.units) if r.units else None), 1).otherwise(2).alias("stage"))) for r in rules]
-    rows = units.withColumn("h", F.explode(F.array_compact(F.array(*hits)))).select("*", "h.priority", "h.stage").drop("h")
-    if not relax:
-        return rows.where("stage = 1")
-    group = Window.partitionBy("doc_id", "priority")
-    return rows.withColumn("least", F.min("stage").over(group)).where("stage = least").drop("least")
-
-
-def first_facts(units: DataFrame, rules: list[Rule]) -> DataFrame:
-    return first_of(single(about_facts(units, rules, False)), ["doc_id", "priority"], [F.col("fact_ord")], ANSWER)
+    entry = lambda r, stage, v, own, unit, cand: F.struct(r["priority"].alias("priority"), r["family"].alias("family"), stage.alias("stage"), v.cast("double").alias("v"), own.alias("own"), unit.cast("string").alias("unit"), cand.cast("int").alias("cand"))
+    none, null = F.array().cast(ENTRY), F.lit(None)
+    read = lambda r: F.coalesce(F.try_element_at("measured", r["kind"]), F.array().cast(MEASURED))
 
+    def entries(r: Column) -> Column:
+        fits, hit = unit_fits(r), about(r)
+        stage = F.when(fits, 1).otherwise(2)
+        plain = F.array(entry(r, stage, F.col("value"), F.lit(True), null, F.lit(0)))
+        found = F.transform(read(r), lambda m, i: entry(r, stage, m["value"], F.lit(False), m["unit"], i + 1))
+        best_stage = F.when(fits & hit, 1).otherwise(2)
+        own = F.when(fits & (F.col("uom") != "") & F.col("value").isNotNull(), F.array(entry(r, best_stage, F.col("value"), F.lit(True), F.col("unit_of_measure"), F.lit(0)))).otherwise(none)
+        best = F.concat(own, F.transform(read(r), lambda m, i: entry(r, best_stage, m["value"], F.lit(False), m["unit"], i + 1)))
+        of_range = F.when(F.col("value").isNull() & (F.size(found) > 0), found).otherwise(plain)
+        family = r["family"]
+        return F.when(family == "best", best).when(hit & (family == "range"), of_range).when(hit & ((family == "several") | fits), plain).otherwise(none)
 
-def several_facts(units: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The first N facts of each document and rule, in order, as one answer; one alone is a plain answer."""
-    most = F.create_map(*[F.lit(x) for r in rules for x in (r.priority, r.most)])
-    rows = about_facts(units, rules, True)
-    order = Window.partitionBy("doc_id", "priority").orderBy("fact_ord")
-    rows = single(rows.withColumn("n", F.row_number().over(order))).where(F.col("n") <= most[F.col("priority")])
-    label_only = F.when(F.col("priority") == 800, F.transform("parts", lambda p: part(F.coalesce(F.col("label"), F.lit("")), p["num"], p["str"], p["unit"]))).otherwise(F.col("parts"))
-    rows = rows.withColumn("parts", label_only)
-    return (
-        rows.groupBy("doc_id", "priority")
-        .agg(F.array_sort(F.collect_list(F.struct("n", F.col("parts")[0].alias("p")))).alias("all"), F.min_by(F.struct(*ANSWER), "n").alias("f"))
-        .withColumn("many", (F.size("all") > 1) | (F.col("priority") == 800))
-        .select(
-            "doc_id", "priority",
-            F.when(F.col("many"), "several").otherwise("value").alias("shape"), F.transform("all", lambda a: a["p"]).alias("parts"),
-            "f.source_id", "f.source_type", "f.page", "f.x", "f.y", F.when(~F.col("many"), F.col("f.score")).alias("score"),
-        )
+    kinds = [r.kind for r in rules if r.kind and r.family in ("best", "range")]
+    rows = units.withColumn("measured", measured(kinds))
+    return rows.withColumn("entries", F.flatten(F.transform(rule_array(rules), entries))).where(F.size("entries") > 0).select(*units.columns, F.inline("entries"))
+
+
+PAYLOAD = ["id", "label", "context", "value_num", "value_str", "unit_of_measure", "page", "bbox", "x", "y", "score", "v", "own", "unit"]
+
+
+def rule_answers(units: DataFrame, rules: list[Rule], largest: bool = True) -> DataFrame:
+    """(doc_id, priority, …ANSWER) of the families first, best (with ``largest`` false: the smallest) and range, in one aggregation.
+
+    Of first, the earliest fact; of best, the largest number, ties to the earliest. A range
+    goes from the smallest to the largest number: the first of the smallest, the last of the
+    largest; of fewer than two facts or numbers, the first fact is the answer.
+    """
+    rows = fact_rows(units, rules)
+    fact, place = F.struct(*PAYLOAD), F.struct("v", "fact_ord", "cand")
+    size = F.when(F.col("family") == "best", -F.col("v") if largest else F.col("v"))
+    ranged = F.when((F.col("family") == "range") & F.col("v").isNotNull(), place)
+    staged = rows.groupBy("doc_id", "priority", "family", "stage").agg(
+        F.min_by(fact, F.struct(size.alias("s"), "fact_ord", "cand")).alias("f"), F.min_by(fact, ranged).alias("lo"), F.max_by(fact, ranged).alias("hi"),
+        F.count("v").alias("n"), F.min("fact_ord").alias("first"), F.max("fact_ord").alias("last"),
+    )
+    kept = F.struct("f", "lo", "hi", ((F.col("family") == "range") & (F.col("n") >= 2) & (F.col("first") < F.col("last"))).alias("two"), F.col("family").alias("family"))
+    got = staged.groupBy("doc_id", "priority").agg(F.min_by(kept, "stage").alias("k")).select("doc_id", "priority", "k.*")
+    default = F.create_map(*[F.lit(x) for r in rules for x in (r.priority, r.default_unit)])[F.col("priority")]
+    unit = F.coalesce(blank_null(F.col("lo.unit_of_measure")), blank_null(F.col("hi.unit_of_measure")), default)
+    ends = F.array(*[part(F.lit(None), F.col(f"{end}.v"), F.lit(None), unit) for end in ("lo", "hi")])
+    read = F.array(part(F.lit(None), F.col("f.v"), F.lit(None), F.col("f.unit")))
+    two = F.col("two")
+    parts = F.when(two, ends).when((F.col("family") == "best") & ~F.col("f.own"), read).otherwise(F.array(own_part("f.")))
+    proof = F.when(two, F.array(own_proof("lo."), own_proof("hi."))).otherwise(F.array(own_proof("f.")))
+    at = F.when(two, F.col("lo")).otherwise(F.col("f"))
+    return got.select(
+        "doc_id", "priority", F.when(two, "range").otherwise("value").alias("shape"), parts.alias("parts"), proof.alias("proof"), at["id"].alias("source_id"), F.lit("unit").alias("source_type"),
+        at["page"].alias("page"), at["x"].alias("x"), at["y"].alias("y"), F.when(~two, F.col("f.score")).alias("score"),
     )
 
 
-def ranges(units: DataFrame, rules: list[Rule]) -> DataFrame:
-    """From the smallest to the largest number about a rule: the first of the smallest, the last of the largest. With fewer than two, the first fact."""
-    rows = about_facts(units, rules, True)
-    read = F.lit(None)
-    for r in rules:
-        read = F.when(F.col("priority") == r.priority, F.transform(measurements(r.kind, F.col("text")), lambda m: m["value"])).otherwise(read)
-    rows = single(rows).withColumn("values", F.when(F.col("value").isNotNull(), F.array("value")).otherwise(read))
-    default = F.create_map(*[F.lit(x) for r in rules for x in (r.priority, r.default_unit)])
-    each = rows.select("*", F.posexplode_outer("values").alias("cand", "v"))
-    place = F.struct("v", "fact_ord", "cand")
-    facts = F.struct("v", blank_null(F.col("unit_of_measure")).alias("unit"), *ANSWER)
-    some = F.when(F.col("v").isNotNull(), place)
-    return (
-        each.groupBy("doc_id", "priority")
-        .agg(
-            F.count("v").alias("n"), F.count_distinct("fact_ord").alias("n_facts"),
-            F.min_by(facts, some).alias("lo"), F.max_by(facts, some).alias("hi"), F.min_by(facts, F.struct("fact_ord", "cand")).alias("f"),
-        )
-        .withColumn("two", (F.col("n") >= 2) & (F.col("n_facts") >= 2))
-        .withColumn("unit", F.coalesce("lo.unit", "hi.unit", default[F.col("priority")]))
-        .withColumn("a", F.when(F.col("two"), F.col("lo")).otherwise(F.col("f")))
-        .select(
-            "doc_id", "priority",
-            F.when(F.col("two"), "range").otherwise("value").alias("shape"),
-            F.when(F.col("two"), F.array(part(F.lit(None), F.col("lo.v"), F.lit(None), F.col("unit")), part(F.lit(None), F.col("hi.v"), F.lit(None), F.col("unit")))).otherwise(F.col("f.parts")).alias("parts"),
-            "a.source_id", "a.source_type", "a.page", "a.x", "a.y", F.when(~F.col("two"), F.col("f.score")).alias("score"),
-        )
+def several_facts(units: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The first N facts of each document and rule, in order, as one answer, with a proof of each; one alone is a plain answer."""
+    most = F.create_map(*[F.lit(x) for r in rules for x in (r.priority, r.most)])[F.col("priority")]
+    rows = fact_rows(units, rules).select("doc_id", "priority", "stage", "fact_ord", F.struct(*PAYLOAD).alias("f"))
+    order = Window.partitionBy("doc_id", "priority").orderBy("stage", "fact_ord")
+    rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= MOST)  # a literal bound: each task passes on so many only
+    all_ = F.array_sort(F.collect_list(F.struct("n", "stage", "f")))
+    rows = rows.where(F.col("n") <= most).groupBy("doc_id", "priority").agg(all_.alias("all")).withColumn("all", F.filter("all", lambda a: a["stage"] == F.col("all")[0]["stage"]))
+    many, f = (F.size("all") > 1) | (F.col("priority") == 800), F.col("all")[0]["f"]
+    name = lambda a: F.when(F.col("priority") == 800, F.coalesce(a["label"], F.lit(""))).otherwise(F.coalesce(blank_null(a["label"]), blank_null(a["context"])))
+    return rows.select(
+        "doc_id", "priority", F.when(many, "several").otherwise("value").alias("shape"),
+        F.transform("all", lambda a: part(name(a["f"]), a["f"]["value_num"], a["f"]["value_str"], a["f"]["unit_of_measure"])).alias("parts"),
+        F.transform("all", lambda a: proof_point(*[a["f"][c] for c in ("x", "y", "page", "bbox", "id")], "unit")).alias("proof"),
+        f["id"].alias("source_id"), F.lit("unit").alias("source_type"), f["page"].alias("page"), f["x"].alias("x"), f["y"].alias("y"), F.when(~many, f["score"]).alias("score"),
     )
 
 
 def cells(grids: DataFrame) -> DataFrame:
     """One row per visible cell: inside the declared rows and columns, the first of each place."""
-    rows = grids.select("doc_id", F.col("fact_ord").alias("grid_ord"), F.col("id").alias("grid_id"), "page", F.col("origin").alias("grid_origin"), "rows", "cols", F.posexplode("cells").alias("n", "c"))
+    rows = grids.select("doc_id", F.col("fact_ord").alias("grid_ord"), F.col("id").alias("grid_id"), "page", "bbox", F.col("origin").alias("grid_origin"), "rows", "cols", F.posexplode("cells").alias("n", "c"))
     rows = rows.where((F.col("c.row") >= 0) & (F.col("c.row") < F.col("rows")) & (F.col("c.col") >= 0) & (F.col("c.col") < F.col("cols")))
-    keys = ["doc_id", "grid_ord", "grid_id", "page", "rows", "cols"]
+    keys = ["doc_id", "grid_ord", "grid_id", "page", "bbox", "rows", "cols"]
     rows = rows.groupBy(*keys, F.col("c.row").alias("row"), F.col("c.col").alias("col")).agg(F.min_by(F.struct("c.value", F.coalesce("c.origin", "grid_origin").alias("at")), "n").alias("c"))
     return rows.select(*keys, "row", "col", F.col("c.value").alias("value"), F.col("c.at.x").alias("x"), F.col("c.at.y").alias("y"))
 
@@ -185,7 +216,7 @@ def grid_rows(grid_cells: DataFrame) -> DataFrame:
     """Rows of tables that have a header cell in column 0 and some value: (…, header, values)."""
     filled = F.when((F.col("col") > 0) & (F.trim("value") != ""), F.struct("col", "value"))
     return (
-        grid_cells.groupBy("doc_id", "grid_ord", "grid_id", "page", "rows", "cols", "row")
+        grid_cells.groupBy("doc_id", "grid_ord", "grid_id", "page", "bbox", "rows", "cols", "row")
         .agg(F.max(F.when(F.col("col") == 0, F.struct("value", "x", "y"))).alias("h"), F.array_sort(F.collect_list(filled)).alias("v"))
         .where(F.col("h").isNotNull() & (F.size("v") > 0))
         .select("*", F.lower("h.value").alias("header"), F.transform("v", lambda c: c["value"]).alias("values"), "h.x", "h.y")
@@ -196,14 +227,15 @@ def grid_rows(grid_cells: DataFrame) -> DataFrame:
 def grid_answer(rows: DataFrame) -> DataFrame:
     return rows.withColumns({
         "shape": F.lit("row"), "parts": F.transform("values", lambda v: part(F.lit(None), F.lit(None), v, F.lit(None))),
+        "proof": F.array(proof_point(*[F.col(c) for c in ("x", "y", "page", "bbox", "grid_id")], "grid")),
         "source_id": F.col("grid_id"), "source_type": F.lit("grid"), "score": F.lit(None).cast("double"),
     })
 
 
 def grid_by_header(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     """The first table row of each document whose header has a keyword of the rule."""
-    hits = [F.when(has_any(F.col("header"), list(r.grid)), F.lit(r.priority)) for r in rules if r.grid]
-    found = grid_answer(rows.withColumn("priority", F.explode(F.array_compact(F.array(*hits)))))
+    hits = F.transform(F.filter(rule_array(r for r in rules if r.grid), lambda r: holds(F.col("header"), r["grid"])), lambda r: r["priority"])
+    found = grid_answer(rows.withColumn("priority", F.explode(hits)))
     return first_of(found, ["doc_id", "priority"], [F.col("grid_ord"), F.col("row")], ANSWER)
 
 
@@ -211,6 +243,7 @@ def bijection_answer(rows: DataFrame) -> DataFrame:
     return rows.withColumns({
         "shape": F.lit("value"), "source_id": F.col("id"), "source_type": F.lit("bijection"),
         "x": F.col("origin.x"), "y": F.col("origin.y"), "score": F.lit(None).cast("double"),
+        "proof": F.array(proof_point(F.col("origin.x"), F.col("origin.y"), F.col("page"), F.col("bbox"), F.col("id"), "bijection")),
     })
 
 
@@ -230,10 +263,10 @@ def bijection_rules(bijections: DataFrame) -> DataFrame:
 def pin_lookup(asked_: DataFrame, bijections: DataFrame, grid_cells: DataFrame) -> DataFrame:
     """Rule 100: what a pin is. Mappings in order, each from left to right, then from right to left (the last left of equal rights); then tables."""
     pins = asked_.where("priority = 100").select("q_id", "doc_id", F.regexp_extract("q", r"pin\s+(?:number\s+)?(\d+)", 1).alias("pin"))
-    entries = bijections.select("doc_id", "fact_ord", "id", "page", "origin", F.posexplode("mapping").alias("n", "e"))
+    entries = bijections.select("doc_id", "fact_ord", "id", "page", "bbox", "origin", F.posexplode("mapping").alias("n", "e"))
     ways = entries.select("*", F.explode(F.array(
         F.struct(F.lit(0).alias("way"), F.col("e.k").alias("pin"), F.col("e.v").alias("other")), F.struct(F.lit(1).alias("way"), F.col("e.v").alias("pin"), F.col("e.k").alias("other")),
-    )).alias("w")).select("doc_id", "fact_ord", "id", "page", "origin", "n", "w.*")
+    )).alias("w")).select("doc_id", "fact_ord", "id", "page", "bbox", "origin", "n", "w.*")
     hit = pins.join(ways, ["doc_id", "pin"])
     hit = bijection_answer(hit.withColumn("parts", F.array(part(F.lit(None), F.lit(None), F.col("other"), F.lit(None)))))
     by_map = first_of(hit, ["q_id"], [F.col("fact_ord"), F.col("way"), -F.col("n")], ANSWER).withColumn("step", F.lit(0))
@@ -249,15 +282,16 @@ def unit_by_topic(asked_: DataFrame, units: DataFrame) -> DataFrame:
     """Rule 900: facts in units of the question's topics, by common words; ties by place on the page, then the earliest."""
     hits = [F.when(has_any(F.col("q"), list(words)), F.lit(i)) for i, (words, _, _) in enumerate(TOPICS)]
     topics = asked_.where("priority = 900").select("q_id", "doc_id", "question", F.posexplode(F.array_compact(F.array(*hits))).alias("t_ord", "topic"))
+    entry = lambda i, bonus, p, cand: F.struct(F.lit(i).alias("topic"), F.lit(bonus).alias("bonus"), p.alias("p"), cand.cast("int").alias("cand"))
+    empty = F.array().cast(f"array<struct<topic:int,bonus:int,p:{PART},cand:int>>")
     found = []
     for i, (_, names, kind) in enumerate(TOPICS):
-        own = F.when(F.upper(F.coalesce("unit_of_measure", F.lit(""))).isin(list(names)), F.array(F.struct(F.lit(10).alias("bonus"), own_part().alias("p"))))
-        read = F.transform(measurements(kind, F.col("text")), lambda m: F.struct(F.lit(5).alias("bonus"), part(F.lit(None), m["value"], F.lit(None), m["unit"]).alias("p"))) if kind else F.array()
-        empty = F.array().cast(f"array<struct<bonus:int,p:{PART}>>")
-        found.append(F.struct(F.lit(i).alias("topic"), F.concat(F.coalesce(own, empty), read.cast(f"array<struct<bonus:int,p:{PART}>>")).alias("found")))
-    facts = units.withColumn("t", F.explode(F.array(*found))).select("*", "t.topic", F.posexplode("t.found").alias("cand", "c")).drop("t")
-    rows = single(topics.join(facts, ["doc_id", "topic"])).withColumn("parts", F.array("c.p"))
-    rows = rows.withColumn("rank", F.col("c.bonus") + keyword_overlap(F.col("question"), F.col("text")))
+        found.append(F.when(F.col("uom").isin(list(names)), F.array(entry(i, 10, own_part(), F.lit(0)))).otherwise(empty))
+        if kind:
+            found.append(F.transform(F.col("measured")[kind], lambda m, n: entry(i, 5, part(F.lit(None), m["value"], F.lit(None), m["unit"]), n + 1)))  # noqa: B023  (called at once)
+    facts = units.withColumn("measured", measured(kind for _, _, kind in TOPICS if kind)).withColumn("found", F.flatten(F.array(*found))).where(F.size("found") > 0)
+    rows = single(topics.join(facts.select(*units.columns, F.inline("found")), ["doc_id", "topic"])).withColumn("parts", F.array("p"))
+    rows = rows.withColumn("rank", F.col("bonus") + keyword_overlap(F.col("question"), F.col("text")))
     return first_of(rows, ["q_id"], [-F.col("rank"), -F.col("y"), -F.col("x"), F.col("fact_ord"), F.col("t_ord"), F.col("cand")], ANSWER).withColumn("priority", F.lit(900))
 
 
@@ -275,45 +309,53 @@ def unit_by_name(asked_: DataFrame, units: DataFrame) -> DataFrame:
     q = F.col("q")
     label = (F.col("lbl") != "") & (F.contains(q, F.col("lbl")) | F.contains(longer(q, True), longer(F.col("lbl"), False)))
     named = label | ((F.char_length("ctx") > 3) & F.contains(q, F.col("ctx")))
-    hit = asked_.where("priority = 1000").select("q_id", "doc_id", "q").join(units, "doc_id").where(named)
+    names = first_of(units, ["doc_id", "lbl", "ctx"], [F.col("fact_ord")], [c for c in units.columns if c not in ("doc_id", "lbl", "ctx")])  # names repeat: questions meet each once
+    hit = asked_.where("priority = 1000").select("q_id", "doc_id", "q").join(names, "doc_id").where(named)
     return first_of(single(hit), ["q_id"], [F.col("fact_ord")], ANSWER).withColumn("priority", F.lit(1000))
 
 
 def document_answers(units: DataFrame, bijections: DataFrame, rows: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """(doc_id, priority, …ANSWER): what each rule says about each document, whatever the question. ``units`` are prepared."""
     rules = RULES if rules is None else rules
-    plans = {"best": best_numeric, "first": first_facts, "several": several_facts, "range": ranges}
-    found = None
-    for family, plan in plans.items():
-        if own := [r for r in rules if r.family == family]:
-            step = F.when(F.col("priority") == 800, 2).otherwise(0)
-            one = plan(units, own).select("doc_id", "priority", *ANSWER, step.alias("step"))
-            found = one if found is None else found.unionByName(one)
-    found = found.unionByName(bijection_rules(bijections).select("doc_id", "priority", *ANSWER, F.lit(1).alias("step")))
-    found = found.unionByName(grid_by_header(rows, rules).select("doc_id", "priority", *ANSWER, F.when(F.col("priority") == 800, 0).otherwise(2).alias("step")))
-    return first_of(found, ["doc_id", "priority"], [F.col("step")], ANSWER)
-
-
-def dispatch(questions: DataFrame, units: DataFrame, bijections: DataFrame, grids: DataFrame, use_intent: bool = True) -> DataFrame:
+    columns = ["doc_id", "priority", *ANSWER, "step"]
+    # (answers, step by which they come; rule 800 asks tables first)
+    found = [(bijection_rules(bijections).where(F.col("priority").isin([r.priority for r in rules])), F.lit(1)), (grid_by_header(rows, rules), F.when(F.col("priority") == 800, 0).otherwise(2))]
+    if one := [r for r in rules if r.family != "several"]:
+        found.append((rule_answers(units, one), F.lit(0)))
+    if several := [r for r in rules if r.family == "several"]:
+        found.append((several_facts(units, several), F.when(F.col("priority") == 800, 2).otherwise(0)))
+    union = None
+    for answers, step in found:
+        answers = answers.withColumn("step", step).select(*columns)
+        union = answers if union is None else union.unionByName(answers)
+    return first_of(union, ["doc_id", "priority"], [F.col("step")], ANSWER)
+
+
+def dispatch(questions: DataFrame, units: DataFrame, bijections: DataFrame, grids: DataFrame, use_intent: bool = True, extra: dict[int, tuple] | None = None) -> DataFrame:
     """One row per question: q_id, doc_id, question, intent, priority, status and the columns ANSWER.
 
-    The rule of the smallest priority that has an answer wins; then the derivations; else the question is refused.
+    The rule of the smallest priority that has an answer wins; then the derivations; else
+    the question is refused. ``extra``: rules of the user's own, as for ``gates``. Only the
+    documents asked about are read, and only the rules that a question may use are answered
+    (which of the listed rules those are is the one thing that the driver asks first).
     """
-    from veritab.operators.derived import derive
+    from veritab.operators.derived import asks, derive
 
-    asked_ = gates(questions, use_intent)
-    facts = prepared(units.join(questions.select("doc_id").distinct(), "doc_id", "left_semi"))
-    # one shuffle that all families share, so that facts are prepared once; salted, as one document may have a third of them
-    facts = facts.repartition("doc_id", F.pmod("fact_ord", F.lit(8)))
-    grid_cells = cells(grids)
+    asked_ = gates(questions, use_intent, extra)
+    used = {r.priority for r in asked_.select("priority").distinct().collect()}
+    of_asked = lambda table: table.join(questions.select("doc_id").distinct(), "doc_id", "left_semi")
+    facts, grid_cells, pins = prepared(of_asked(units)), cells(of_asked(grids)), of_asked(bijections)
     rows = grid_rows(grid_cells)
     wanted = asked_.select("q_id", "doc_id", "priority")
-    found = wanted.join(document_answers(facts, bijections, rows), ["doc_id", "priority"]).select("q_id", "priority", *ANSWER)
-    for one in (pin_lookup(asked_, bijections, grid_cells), unit_by_topic(asked_, facts), grid_by_words(asked_, rows), unit_by_name(asked_, facts)):
-        found = found.unionByName(one.select("q_id", "priority", *ANSWER))
-    for priority, (_, _, plan) in EXTRA.items():
-        found = found.unionByName(plan(asked_.where(F.col("priority") == priority), facts).select("q_id", F.lit(priority).alias("priority"), *ANSWER))
-    found = found.unionByName(derive(questions, units).where("answered").select("q_id", F.lit(2000).alias("priority"), *ANSWER))
+    found = wanted.join(document_answers(facts, pins, rows, [r for r in RULES if r.priority in used]), ["doc_id", "priority"]).select("q_id", "priority", *ANSWER)
+    by_question = {100: lambda: pin_lookup(asked_, pins, grid_cells), 900: lambda: unit_by_topic(asked_, facts), 950: lambda: grid_by_words(asked_, rows), 1000: lambda: unit_by_name(asked_, facts)}
+    for priority, plan in by_question.items():
+        if priority in used:
+            found = found.unionByName(plan().select("q_id", "priority", *ANSWER))
+    for priority, (_, _, plan) in (extra or {}).items():
+        if priority in used:
+            found = found.unionByName(plan(asked_.where(F.col("priority") == priority), facts).select("q_id", F.lit(priority).alias("priority"), *ANSWER))
+    found = found.unionByName(derive(questions.where(asks(F.col("question"))), units).where("answered").select("q_id", F.lit(2000).alias("priority"), *ANSWER))
     best = first_of(found, ["q_id"], [F.col("priority")], ["priority", *ANSWER])
     every = questions.withColumn("intent", intent.classify(F.col("question")) if use_intent else F.lit("general_question"))
     open_ = (F.col("intent") != "out_of_scope") & F.col("priority").isNotNull()

@@ -25,9 +25,9 @@ def all_facts(**tables: DataFrame) -> DataFrame:
 
 
 def object_counts(documents: DataFrame, **tables: DataFrame) -> DataFrame:
-    """Documents with their number of facts of each kind. Each side is counted before it is joined, so nothing multiplies."""
+    """Documents with their number of distinct facts of each kind. Each side is counted before it is joined, so nothing multiplies."""
     for kind, table in tables.items():
-        documents = documents.join(table.groupBy("doc_id").agg(F.count("*").alias(f"n_{kind}")), "doc_id", "left").na.fill(0, [f"n_{kind}"])
+        documents = documents.join(table.select("doc_id", "id").distinct().groupBy("doc_id").agg(F.count("id").alias(f"n_{kind}")), "doc_id", "left").na.fill(0, [f"n_{kind}"])
     return documents
 
 
@@ -36,10 +36,28 @@ def delete_documents(table: DataFrame, doc_ids: DataFrame) -> DataFrame:
 
 
 def link(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds rows, ignoring those that are there."""
+    """Adds rows (such as project_id, doc_id, added_at), ignoring those that are there."""
     return stored.unionByName(new.join(stored, keys, "left_anti").dropDuplicates(keys))
 
 
+def unlink(stored: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """Takes rows away; what is not there is ignored. With ``keys`` project_id alone, all links of a project that is deleted."""
+    return stored.join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
+def project_counts(projects: DataFrame, links: DataFrame, uid: str | None = None) -> DataFrame:
+    """Projects (of one owner, or all) with their number of documents; links are counted before they are joined."""
+    rows = projects if uid is None else projects.where(F.col("owner_uid") == uid)
+    counts = links.groupBy("project_id").agg(F.count("doc_id").alias("doc_count"))
+    return rows.join(counts, "project_id", "left").na.fill(0, ["doc_count"])
+
+
+def project_documents(links: DataFrame, documents: DataFrame, project_id: str | None = None) -> DataFrame:
+    """The documents of a project, or of all projects, with the time they were added; links to documents that are gone are left out."""
+    rows = links if project_id is None else links.where(F.col("project_id") == project_id)
+    return rows.join(documents, "doc_id")
+
+
 def owned(rows: DataFrame, uid: str, owner: str = "owner_uid") -> DataFrame:
     return rows.where(F.col(owner).isNull() | (F.col(owner) == uid))
 

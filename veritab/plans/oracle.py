@@ -1,4 +1,4 @@
-"""The queries in DuckDB's SQL, on the driver's tables. Written apart from the Spark plans; only the rules' keywords are shared."""
+"""The queries in DuckDB's SQL, on the driver's tables. Written apart from the Spark plans; only fixed values (keywords and patterns) are shared."""
 
 from __future__ import annotations
 
@@ -54,9 +54,9 @@ patterns AS (
   FROM grouped WHERE (category <> 'label_misread' OR occurrences >= 2) AND (category <> 'type_bias' OR (occurrences > 0.3 * total AND occurrences >= 3 AND total >= 5)))"""
 RESULTS = """results_fx AS (SELECT 'chip' || doc_id % 5 AS chip, quality = 1 AS correct, ['verified', 'review', 'refused'][doc_id % 3 + 1] AS status FROM labels)"""
 FIGURES = """count(*) AS total, count(*) FILTER (correct) AS correct, count(*) FILTER (correct) * 100.0 / count(*) AS accuracy,
-  count(*) FILTER (status = 'refused' AND NOT correct) * 100.0 / count(*) AS false_refuse_rate,
+  count(*) FILTER (status = 'refused') * 100.0 / count(*) AS false_refuse_rate,
   CASE WHEN count(*) FILTER (status = 'verified') > 0 THEN count(*) FILTER (status = 'verified' AND NOT correct) * 100.0 / count(*) FILTER (status = 'verified') ELSE 0.0 END AS false_accept_rate,
-  CASE WHEN count(*) FILTER (status = 'refused') > 0 THEN count(*) FILTER (status = 'refused' AND correct) * 100.0 / count(*) FILTER (status = 'refused') ELSE 100.0 END AS refuse_precision"""
+  CASE WHEN count(*) FILTER (status = 'refused') > 0 THEN count(*) FILTER (status = 'refused' AND NOT correct) * 100.0 / count(*) FILTER (status = 'refused') ELSE 100.0 END AS refuse_precision"""
 CORPUS = "corpus_fx AS (SELECT doc_id, sha256(text) AS content_hash, 'M' || doc_id % 500 AS mpn, source AS chip_name FROM documents)"
 
 
@@ -73,7 +73,7 @@ def rows_of(values: list[str]) -> str:
 
 
 def intents() -> str:
-    match = lambda p: f"regexp_matches(question, {quoted('(?i)' + p)})"
+    match = lambda patterns: f"regexp_matches(question, {quoted('(?i)' + '|'.join(patterns))})"
     spec = f"({match(intent.SPEC_INDICATOR)} OR NOT {match(intent.DESIGN_CONTEXT)})"
     cases = [f"WHEN {match(intent.OUT_OF_SCOPE)} THEN 'out_of_scope'"]
     cases += [f"WHEN {match(p)} THEN '{n}'" for n, p in intent.CLASSES.items()]
@@ -105,7 +105,7 @@ d AS (
     count(*) FILTER (label = 'IO' OR label = 'PD' AND uom IN ('A', 'mA')) AS n_out, coalesce(sum(value) FILTER (label = 'IO' AND uom = 'mA'), 0) AS ma, coalesce(sum(value) FILTER (label = 'IO' AND uom = 'A'), 0) AS a
   FROM units_fx GROUP BY doc_id)"""
 COMPARE = f"""{UNITS},
-docs AS (SELECT DISTINCT doc_id, CAST(doc_id AS INT) AS doc_ord FROM units_fx WHERE CAST(doc_id AS INT) < 10),
+docs AS (SELECT DISTINCT doc_id, CAST(doc_id AS INT) AS doc_ord FROM units_fx),
 hits AS ({" UNION ALL ".join(f"SELECT '{n}' AS parameter, doc_id, value, uom, id, fact_ord FROM units_fx WHERE ({some('lower(context)', p[2])} OR {some('lower(label)', p[3])}) AND lower(uom) IN ({', '.join(quoted(u.lower()) for u in p[4])})" for n, p in PARAMETERS.items())}),
 firsts AS (SELECT parameter, doc_id, arg_min(value, fact_ord) AS value, arg_min(uom, fact_ord) AS unit, arg_min(id, fact_ord) AS source_id FROM hits GROUP BY ALL),
 params AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {dict(lower=1, higher=-1, neutral=0)[p[1]]})" for n, p in PARAMETERS.items())}) AS v(parameter, sign)),
@@ -122,12 +122,14 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT DISTINCT 'bijections', CAST(n_regionkey AS VARCHAR), 0, CAST(n_regionkey AS BIGINT), 'pins' || n_regionkey FROM nation""",
     "doc_object_counts": f"""WITH {UNITS}, {RANGES} SELECT u.doc_id, count(DISTINCT u.id) AS n_units, (SELECT count(*) FROM ranges_fx r WHERE r.doc_id = u.doc_id) AS n_ranges,
         (SELECT count(DISTINCT n_regionkey) FROM nation WHERE CAST(n_regionkey AS VARCHAR) = u.doc_id) AS n_bijections FROM units_fx u GROUP BY u.doc_id""",
-    "project_doc_counts": "SELECT n_nationkey, n_name, count(c_custkey) AS n_docs FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 2 = 0 GROUP BY ALL",
-    "project_documents": "SELECT n_name, c_custkey, c_name FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_custkey % 2 = 0 AND n_nationkey = 3",
+    "project_doc_counts": "SELECT n_nationkey AS project_id, n_name AS name, count(c_custkey) AS doc_count FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL",
+    "project_documents": "SELECT c_nationkey AS project_id, CAST(c_custkey AS VARCHAR) AS doc_id, c_name AS filename FROM customer",
+    "project_links": """SELECT CAST(c_nationkey AS BIGINT) AS project_id, CAST(c_custkey AS VARCHAR) AS doc_id FROM customer WHERE c_custkey % 3 <> 0
+        UNION ALL SELECT (c_nationkey + 1) % 25, CAST(c_custkey AS VARCHAR) FROM customer""",
     "doc_delete_cascade": f"""WITH {UNITS}, {RANGES} SELECT kind, doc_id, count(*) AS n FROM (SELECT 'units' AS kind, doc_id FROM units_fx UNION ALL SELECT 'ranges', doc_id FROM ranges_fx)
         WHERE doc_id NOT IN (SELECT doc_id FROM units_fx WHERE CAST(doc_id AS INT) % 10 = 3) GROUP BY ALL""",
     "upsert_last_write_wins": """WITH s AS (SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS price, max(o_orderkey) AS write_seq FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1),
-        w AS (SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS price, max(o_orderkey) AS write_seq FROM orders WHERE o_orderkey % 3 <> 0 AND o_custkey % 2 = 0 GROUP BY 1)
+        w AS (SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS price, max(o_orderkey) AS write_seq FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1)
         SELECT * FROM w UNION ALL SELECT * FROM s WHERE o_custkey NOT IN (SELECT o_custkey FROM w)""",
     "first_match_unit": f"""WITH {UNITS} SELECT doc_id, arg_min(value, fact_ord) AS value, '°C/W' AS unit, arg_min(id, fact_ord) AS source_id, round(0.3 * 0.5 + 0.3 * 0.8 + 0.4 * 0.7, 4) AS score
         FROM units_fx WHERE contains(context, 'thermal resistance') GROUP BY doc_id""",
@@ -171,14 +173,28 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, 'warning' AS severity, round(p, 6) AS rated, round(v * i, 6) AS needed FROM m WHERE p < v * i""",
     "thermal_viability": f"""WITH {BASE}, m AS (SELECT doc_id, arg_max(value, fact_ord) FILTER (label = 'RthJA') AS th, max(base) FILTER (label = 'PD') AS p, arg_max(value, fact_ord) FILTER (label = 'TJ max') AS tj FROM base_fx GROUP BY doc_id)
         SELECT doc_id, 'error' AS severity, round(25.0 + p * th, 3) AS junction, round(tj, 3) AS "limit" FROM m WHERE 25.0 + p * th > tj""",
-    "dropout_margin": f"""WITH {UNITS}, m AS (SELECT doc_id, arg_max(value, fact_ord) FILTER (fact_ord % 3 = 0) AS vin, arg_max(value, fact_ord) FILTER (fact_ord % 3 = 1) AS vout, arg_max(value, fact_ord) FILTER (fact_ord % 3 = 2) AS vdo
-        FROM units_fx WHERE uom = 'V' GROUP BY doc_id) SELECT doc_id, 'warning' AS severity, round(vin - vout, 3) AS margin, round(vdo, 3) AS dropout FROM m WHERE vin - vout < vdo""",
-    "issue_rollup": f"""WITH {CONTRADICTIONS}, {RANGES},
-        m AS (SELECT doc_id, arg_max(value, fact_ord) FILTER (label = 'RthJA') AS th, max(base) FILTER (label = 'PD') AS p, arg_max(value, fact_ord) FILTER (label = 'TJ max') AS tj FROM base_fx GROUP BY doc_id),
-        i AS (SELECT doc_id FROM contradiction UNION ALL SELECT doc_id FROM ranges_fx WHERE lo > typ OR typ > hi OR lo > hi UNION ALL SELECT doc_id FROM m WHERE 25.0 + p * th > tj)
-        SELECT doc_id, count(*) AS errors, CAST(0 AS BIGINT) AS warnings, 6 AS checks_run FROM i GROUP BY doc_id""",
+    "dropout_margin": f"""WITH {BASE}, m AS (SELECT doc_id, arg_max(base, fact_ord) FILTER (fact_ord % 3 = 0) AS vin, arg_max(base, fact_ord) FILTER (fact_ord % 3 = 1) AS vout, arg_max(base, fact_ord) FILTER (fact_ord % 3 = 2) AS vdo
+        FROM base_fx WHERE base_unit = 'V' GROUP BY doc_id) SELECT doc_id, 'warning' AS severity, round(vin - vout, 3) AS margin, round(vdo, 3) AS dropout FROM m WHERE vin - vout < vdo""",
+    "issue_rollup": f"""WITH {BASE}, {RANGES},
+        named AS (SELECT * REPLACE (CASE WHEN label = 'ICC' THEN 'maximum supply current' WHEN label = 'PD' THEN 'maximum power dissipation'
+          WHEN label = 'VCC' THEN ['input voltage minimum', 'output voltage', 'dropout'][fact_ord % 3 + 1] ELSE context END AS context) FROM base_fx),
+        keyed AS (SELECT *, lower(label) || '|' || CASE WHEN contains(context, 'minimum') THEN 'min' WHEN contains(context, 'maximum') THEN 'max' ELSE '' END AS key FROM named WHERE base IS NOT NULL),
+        first_fx AS (SELECT *, first_value(base) OVER w AS ref, first_value(base_unit) OVER w AS ref_unit, row_number() OVER w AS n FROM keyed WINDOW w AS (PARTITION BY doc_id, key ORDER BY fact_ord)),
+        m AS (SELECT doc_id, arg_max(value, fact_ord) FILTER (label = 'RthJA') AS th, max(base) FILTER (label = 'PD') AS p, arg_max(value, fact_ord) FILTER (label = 'TJ max') AS tj,
+          max(base) FILTER (label = 'VCC max') AS v_max, max(base) FILTER (label = 'ICC') AS i_max,
+          arg_max(base, fact_ord) FILTER (context = 'input voltage minimum') AS vin, arg_max(base, fact_ord) FILTER (context = 'output voltage') AS vout, arg_max(base, fact_ord) FILTER (context = 'dropout') AS vdo
+          FROM named GROUP BY doc_id),
+        exact AS (SELECT doc_id, base, CASE uom WHEN 'mV' THEN round(value * 100) / 100000.0 WHEN 'mA' THEN round(value * 100) / 100000.0 WHEN 'mW' THEN round(value * 100) / 100000.0
+          WHEN 'MHz' THEN round(value * 100) * 10000.0 ELSE value END AS right_base FROM named WHERE base IS NOT NULL),
+        i AS (SELECT doc_id, 'error' AS severity FROM first_fx WHERE n > 1 AND base_unit = ref_unit AND abs(base - ref) >= 1e-9
+          UNION ALL SELECT doc_id, 'error' FROM ranges_fx WHERE lo > typ OR typ > hi OR lo > hi
+          UNION ALL SELECT doc_id, 'error' FROM m WHERE 25.0 + p * th > tj
+          UNION ALL SELECT doc_id, 'error' FROM exact WHERE base <> right_base
+          UNION ALL SELECT doc_id, 'warning' FROM m WHERE p < v_max * i_max
+          UNION ALL SELECT doc_id, 'warning' FROM m WHERE vin - vout < vdo)
+        SELECT doc_id, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, 6 AS checks_run FROM i GROUP BY doc_id""",
     "compare_best": f"WITH {COMPARE} SELECT parameter, doc_id, value, unit, source_id, is_best FROM compared",
-    "compare_pivot": f"""WITH {COMPARE} SELECT parameter, {", ".join(f"CAST(round(max(value) FILTER (doc_id = '{i}') * 100) AS BIGINT) AS doc_{i}" for i in range(3))} FROM compared GROUP BY parameter""",
+    "compare_pivot": f"""WITH {COMPARE} SELECT parameter, {", ".join(f"coalesce(CAST(CAST(round(max(value) FILTER (doc_id = '{i}') * 100) AS BIGINT) AS VARCHAR), 'N/A') AS doc_{i}" for i in range(97))} FROM compared GROUP BY parameter""",
     "param_detect": "WITH q AS (SELECT q_id, lower(question) AS q FROM "
     + rows_of(QUESTIONS)
     + "), h AS ("
@@ -192,9 +208,21 @@ ORACLE_SQL: dict[str, str] = {
     "label_misread": f"WITH {PATTERNS} SELECT * FROM patterns WHERE category = 'label_misread'",
     "type_bias": f"WITH {PATTERNS} SELECT * FROM patterns WHERE category = 'type_bias'",
     "auto_rules": f"WITH {PATTERNS} SELECT * FROM patterns WHERE auto_correctable",
-    "pattern_stats": f"WITH {PATTERNS} SELECT category, count(*) AS n_patterns, CAST(sum(occurrences) AS BIGINT) AS n_corrections, count(*) FILTER (auto_correctable) AS n_auto FROM patterns GROUP BY category",
-    "suggest_correction": f"""WITH {CORRECTIONS} SELECT id, CASE k WHEN 2 THEN 'therml resistance' ELSE n || ' mA' END AS value, CASE k WHEN 3 THEN n || ' a' END AS suggestion FROM corrections_fx WHERE k IN (2, 3)""",
-    "review_queue": f"""WITH {CORRECTIONS} SELECT doc_id, 'u' || event_id % 200 AS canonical_id, ctype AS canonical_type, max(ts) AS last_at FROM corrections_fx WHERE correct GROUP BY ALL ORDER BY last_at DESC, doc_id, canonical_id LIMIT 50""",
+    "pattern_stats": f"""WITH {PATTERNS} SELECT category, count(*) AS n_patterns, CAST(coalesce(sum(occurrences), 0) AS BIGINT) AS n_corrections, count(*) FILTER (auto_correctable) AS n_auto, count(*) FILTER (occurrences >= 3) AS n_reliable
+        FROM patterns GROUP BY ROLLUP (category)""",
+    "top_patterns": f"WITH {PATTERNS} SELECT * FROM patterns ORDER BY occurrences DESC, category, original_pattern, corrected_pattern LIMIT 10",
+    "suggest_correction": f"""WITH {CORRECTIONS},
+        typed AS (SELECT CASE k WHEN 0 THEN 'mv' WHEN 3 THEN 'ma' END AS unit, CASE k WHEN 1 THEN '10x' WHEN 4 THEN '1000x' END AS factor, ctype FROM corrections_fx WHERE correct AND k <> 2),
+        swaps AS (SELECT unit, count(*) AS n FROM typed WHERE unit IS NOT NULL GROUP BY unit HAVING count(*) >= 5),
+        scales AS (SELECT factor, count(*) AS n FROM typed WHERE factor IS NOT NULL GROUP BY factor HAVING count(*) >= 5),
+        best AS (SELECT t.ctype, arg_max(struct_pack(factor := s.factor, n := s.n), (s.n, s.factor = '1000x')) AS s FROM (SELECT DISTINCT factor, ctype FROM typed) t JOIN scales s USING (factor) GROUP BY t.ctype),
+        v AS (SELECT id, ctype, k, CASE k WHEN 2 THEN 'therml resistance' WHEN 1 THEN 10 * n || ' V' WHEN 4 THEN 1000 * n || ' Hz' WHEN 0 THEN n || ' mV' ELSE n || ' mA' END AS value, n,
+          CASE k WHEN 0 THEN 'mv' WHEN 3 THEN 'ma' END AS unit, CASE k WHEN 1 THEN 10 * n WHEN 4 THEN 1000 * n WHEN 2 THEN NULL ELSE n END AS x, CASE k WHEN 0 THEN 'mv' WHEN 1 THEN 'v' WHEN 3 THEN 'ma' WHEN 4 THEN 'hz' END AS own FROM corrections_fx),
+        j AS (SELECT v.*, w.n AS swap_n, b.s.n AS scale_n, v.x / CASE b.s.factor WHEN '10x' THEN 10.0 ELSE 1000.0 END AS made
+          FROM v LEFT JOIN (SELECT DISTINCT t.unit, t.ctype, s.n FROM typed t JOIN swaps s USING (unit)) w ON w.unit = v.unit AND w.ctype = v.ctype LEFT JOIN best b ON b.ctype = v.ctype)
+        SELECT id, ctype AS canonical_type, value, CASE WHEN swap_n IS NOT NULL AND (scale_n IS NULL OR swap_n >= scale_n) THEN n || CASE unit WHEN 'mv' THEN ' v' ELSE ' a' END
+          WHEN x IS NOT NULL AND scale_n IS NOT NULL THEN CASE WHEN made = floor(made) THEN CAST(CAST(made AS BIGINT) AS VARCHAR) ELSE rtrim(CAST(CAST(made AS DECIMAL(10, 4)) AS VARCHAR), '0') END || ' ' || own END AS suggestion FROM j""",
+    "review_queue": f"""WITH {CORRECTIONS} SELECT DISTINCT 'u' || event_id % 200 AS canonical_id, ctype AS canonical_type FROM corrections_fx ORDER BY canonical_id, canonical_type LIMIT 50""",
     "usage_summary": """SELECT CAST(user_id AS VARCHAR) AS user_id, CASE event_type WHEN 'purchase' THEN 'document' ELSE 'query' END AS action, count(*) AS used,
         greatest(0, CASE WHEN any_value(event_type = 'purchase') THEN 5 ELSE 50 END - count(*)) AS remaining FROM events GROUP BY 1, 2""",
     "usage_limit": """SELECT CAST(user_id AS VARCHAR) AS user_id, CASE event_type WHEN 'purchase' THEN 'document' ELSE 'query' END AS action, count(*) AS used FROM events GROUP BY 1, 2
@@ -203,18 +231,19 @@ ORACLE_SQL: dict[str, str] = {
     "audit_details": """SELECT event_id AS id, strftime(ts, '%Y-%m-%d %H:%M:%S UTC') AS "timestamp", CAST(user_id % 50 AS VARCHAR) AS doc_id, event_type AS action, CAST(user_id AS VARCHAR) AS actor,
         coalesce('k=' || json_extract_string(props, '$.k'), '') AS details FROM events""",
     "chat_page": "SELECT * FROM conversations WHERE role <> 'system' ORDER BY conv_id, turn LIMIT 50 OFFSET 10",
-    "corpus_hash_match": f"""WITH {CORPUS}, c AS (SELECT * FROM corpus_fx WHERE doc_id % 3 = 0), m AS (SELECT lower(mpn) AS k, min(content_hash) AS h FROM c GROUP BY 1)
-        SELECT f.doc_id, coalesce(a.content_hash, m.h) AS corpus_hash, CASE WHEN a.content_hash IS NOT NULL THEN 'content' WHEN m.h IS NOT NULL THEN 'mpn' END AS matched_by
-        FROM corpus_fx f LEFT JOIN (SELECT DISTINCT content_hash FROM c) a ON a.content_hash = f.content_hash LEFT JOIN m ON m.k = lower(f.mpn) WHERE f.doc_id % 2 = 0""",
-    "corpus_mpn_fallback": f"""WITH {CORPUS}, m AS (SELECT lower(mpn) AS k, 'x' || min(content_hash) AS h FROM corpus_fx WHERE doc_id % 3 = 0 GROUP BY 1)
-        SELECT f.doc_id, m.h AS corpus_hash, CASE WHEN m.h IS NOT NULL THEN 'mpn' END AS matched_by FROM corpus_fx f LEFT JOIN m ON m.k = lower(f.mpn) WHERE f.doc_id % 2 = 0""",
+    "corpus_hash_match": f"""WITH {CORPUS}, m AS (SELECT lower(mpn) AS k, min(content_hash) AS h FROM corpus_fx GROUP BY 1)
+        SELECT f.doc_id, CASE WHEN f.doc_id % 3 = 0 AND f.content_hash IS NOT NULL THEN f.content_hash ELSE m.h END AS corpus_hash,
+          CASE WHEN f.doc_id % 3 = 0 AND f.content_hash IS NOT NULL THEN 'content' WHEN m.h IS NOT NULL THEN 'mpn' END AS matched_by
+        FROM corpus_fx f LEFT JOIN m ON m.k = lower(f.mpn)""",
+    "corpus_mpn_fallback": f"""WITH {CORPUS}, m AS (SELECT lower(mpn) AS k, 'x' || min(content_hash) AS h FROM corpus_fx GROUP BY 1)
+        SELECT f.doc_id, m.h AS corpus_hash, CASE WHEN m.h IS NOT NULL THEN 'mpn' END AS matched_by FROM corpus_fx f LEFT JOIN m ON m.k = lower(f.mpn)""",
     "corpus_availability": "SELECT c AS chip_name, lower(c) IN (SELECT lower(source) FROM documents) AS available FROM (VALUES ('SRC1'), ('src7'), ('src99')) AS v(c)",
-    "permalink_id": "SELECT doc_id, substr(sha256(concat(CAST(doc_id AS VARCHAR), ':', source, ':', substr(text, 1, 50))), 1, 12) AS question_id FROM documents",
-    "share_preview": "SELECT doc_id, substr(source || ': ' || substr(text, 1, 120), 1, 100) AS question, substr(text, 1, 200) AS answer FROM documents",
-    "share_upsert": """SELECT c_custkey AS question_id, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE 'new' END AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN 'old' ELSE 'new' END AS question,
-        CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 2 END AS source_page, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'first' END AS answer FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0""",
+    "permalink_id": "SELECT doc_id, substr(sha256(concat(CAST(doc_id AS VARCHAR), ':', source, ':', text)), 1, 12) AS question_id FROM documents",
+    "share_preview": "SELECT doc_id, substr(source || ': ' || text, 1, 100) AS question, substr(text, 1, 200) AS answer FROM documents",
+    "share_upsert": """SELECT coalesce(o.c_custkey, n.c_custkey * 2) AS question_id, coalesce(o.c_name, 'new') AS doc_id, CASE WHEN o.c_custkey IS NULL THEN 'new' ELSE 'old' END AS question,
+        CASE WHEN o.c_custkey IS NULL THEN 2 ELSE 1 END AS source_page, coalesce(n.c_mktsegment, 'first') AS answer FROM customer o FULL JOIN customer n ON o.c_custkey = n.c_custkey * 2""",
     "doc_id_valid": "SELECT p_partkey, regexp_full_match(p_type, '[a-zA-Z0-9_-]+') AS type_ok, regexp_full_match(p_name, '[a-zA-Z0-9_-]+') AS name_ok FROM part",
-    "page_types": "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'absolute_max_ratings' WHEN p_size > 10 THEN 'ordering_info' ELSE 'other' END AS kind, p_size > 25 AS twice FROM part",
+    "page_types": "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'absolute_max_ratings' WHEN p_size > 10 THEN 'text_description' ELSE 'other' END AS kind, p_size > 25 AS twice FROM part",
     "multipage_candidates": f"WITH {GRIDS} SELECT doc_id, id_a, id_b, round(similarity, 4) AS similarity, similarity < 0.8 AS needs_review FROM pairs_fx",
     "header_jaccard": """WITH w AS (SELECT p_partkey, list_distinct(string_split(p_type, ' ')) AS a, list_distinct(list_append(string_split(p_name, ' '), string_split(p_type, ' ')[1])) AS b FROM part)
         SELECT p_partkey, round(CAST(len(list_intersect(a, b)) AS DOUBLE) / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM w""",

@@ -50,15 +50,30 @@ def doc_object_counts(s, d):
     return store.object_counts(docs, units=units_fx(s, d), ranges=ranges_fx(s, d), bijections=bijections_fx(s, d))
 
 
+def projects(s, d) -> tuple[DataFrame, DataFrame]:
+    """Nations as projects, customers as their documents."""
+    rows = table(s, d, "nation").selectExpr("n_nationkey as project_id", "n_name as name", "cast(n_regionkey as string) as owner_uid")
+    return rows, table(s, d, "customer").selectExpr("c_nationkey as project_id", "cast(c_custkey as string) as doc_id")
+
+
 @query
 def project_doc_counts(s, d):
-    links = table(s, d, "customer").where("c_custkey % 2 = 0").selectExpr("c_nationkey as n_nationkey", "c_custkey")
-    return table(s, d, "nation").join(links.groupBy("n_nationkey").agg(F.count("*").alias("n_docs")), "n_nationkey", "left").select("n_nationkey", "n_name", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+    return store.project_counts(*projects(s, d)).select("project_id", "name", "doc_count")
 
 
 @query
 def project_documents(s, d):
-    return table(s, d, "nation").join(table(s, d, "customer").where("c_custkey % 2 = 0"), F.col("n_nationkey") == F.col("c_nationkey")).where("n_nationkey = 3").select("n_name", "c_custkey", "c_name")
+    documents = table(s, d, "customer").selectExpr("cast(c_custkey as string) as doc_id", "c_name as filename")
+    return store.project_documents(projects(s, d)[1], documents)
+
+
+@query
+def project_links(s, d):
+    """Links of every document to the next project added, and those of each third document taken away."""
+    links = projects(s, d)[1]
+    more = links.withColumn("project_id", (F.col("project_id") + 1) % 25).unionByName(links)
+    gone = links.where("cast(doc_id as int) % 3 = 0")
+    return store.unlink(store.link(links, more, ["project_id", "doc_id"]), gone, ["project_id", "doc_id"])
 
 
 @query
@@ -73,17 +88,17 @@ def upsert_last_write_wins(s, d):
     rows = table(s, d, "orders")
     stored = rows.where("o_orderkey % 3 = 0").selectExpr("o_custkey", "o_totalprice as price", "o_orderkey as write_seq")
     stored = checks.latest(stored, ["o_custkey"], "write_seq")
-    written = rows.where("o_orderkey % 3 <> 0 and o_custkey % 2 = 0").selectExpr("o_custkey", "o_totalprice as price", "o_orderkey as write_seq")
+    written = rows.where("o_orderkey % 3 <> 0").selectExpr("o_custkey", "o_totalprice as price", "o_orderkey as write_seq")
     return store.upsert(stored, written, ["o_custkey"])
 
 
 @query
 def first_match_unit(s, d):
-    return answer_number(rules.first_facts(rules.prepared(units_fx(s, d)), [BY_NAME["thermal_resistance"]]))
+    return answer_number(rules.rule_answers(rules.prepared(units_fx(s, d)), [BY_NAME["thermal_resistance"]]))
 
 
 def best(s, d, largest: bool) -> DataFrame:
-    return answer_number(rules.best_numeric(rules.prepared(units_fx(s, d)), [BY_NAME["max_voltage"]], largest))
+    return answer_number(rules.rule_answers(rules.prepared(units_fx(s, d)), [BY_NAME["max_voltage"]], largest))
 
 
 @query
@@ -98,7 +113,7 @@ def best_numeric_min(s, d):
 
 @query
 def range_assembly(s, d):
-    rows = rules.ranges(rules.prepared(units_fx(s, d)), [BY_NAME["operating_voltage_range"]])
+    rows = rules.rule_answers(rules.prepared(units_fx(s, d)), [BY_NAME["operating_voltage_range"]])
     return rows.select("doc_id", "shape", F.col("parts")[0]["num"].alias("low"), F.get("parts", F.lit(1))["num"].alias("high"), F.col("parts")[0]["unit"].alias("unit"), "source_id")
 
 
@@ -201,8 +216,12 @@ def unit_label_lookup(s, d):
 
 @query
 def dispatch_all(s, d):
-    got = rules.dispatch(questions_fx(s, "1"), units_fx(s, d), bijections_fx(s, d), grids_fx(s, d))
-    return got.select("q_id", "intent", "priority", "status", "shape", "source_id", "source_type", "page")
+    """All questions of all documents."""
+    u = units_fx(s, d)
+    docs = u.select("doc_id").distinct().withColumnRenamed("doc_id", "doc")
+    asked = docs.crossJoin(F.broadcast(questions_fx(s))).select((F.col("doc").cast("long") * 100 + F.col("q_id")).alias("q_id"), "question", F.col("doc").alias("doc_id"))
+    got = rules.dispatch(asked, u, bijections_fx(s, d), grids_fx(s, d))
+    return got.select("q_id", "intent", "priority", "status", "shape", "source_id", "source_type", "page", F.size("proof").alias("n_proofs"), F.transform("proof", lambda p: p["source_id"]).alias("proof_ids"))
 
 
 def derivation(name: str) -> Query:
@@ -256,30 +275,33 @@ def thermal_viability(s, d):
 
 @query
 def dropout_margin(s, d):
-    rows = units_fx(s, d).where("unit_of_measure = 'V'")
+    rows = units_fx(s, d)
     named = F.element_at(F.array(F.lit("input voltage minimum"), F.lit("output voltage"), F.lit("dropout")), (F.col("fact_ord") % 3).cast("int") + 1)
     return checks.dropout_margin(checks.checkable(rows.withColumns({"context": named, "label": F.lit("")}))).select("doc_id", "severity", F.round("value_a", 3).alias("margin"), F.round("value_b", 3).alias("dropout"))
 
 
 @query
 def issue_rollup(s, d):
-    facts = checks.checkable(units_fx(s, d))
-    return checks.rollup(checks.contradictions(facts).unionByName(checks.range_consistency(ranges_fx(s, d))).unionByName(checks.thermal_viability(facts)))
+    """Of all six checks, on facts that have issues of each kind."""
+    context = """case when label = 'ICC' then 'maximum supply current' when label = 'PD' then 'maximum power dissipation' when label = 'VCC' then
+        element_at(array('input voltage minimum', 'output voltage', 'dropout'), cast(fact_ord % 3 as int) + 1) else context end"""
+    return checks.rollup(checks.run_checks(units_fx(s, d).withColumn("context", F.expr(context)), ranges_fx(s, d)))
 
 
-def some_documents(s, d) -> DataFrame:
-    return units_fx(s, d).select("doc_id").distinct().where("cast(doc_id as int) < 10").withColumn("doc_ord", F.col("doc_id").cast("int"))
+def all_documents(s, d) -> DataFrame:
+    return units_fx(s, d).select("doc_id").distinct().withColumn("doc_ord", F.col("doc_id").cast("int"))
 
 
 @query
 def compare_best(s, d):
-    return compare.compare(units_fx(s, d), some_documents(s, d)).select("parameter", "doc_id", "value", "unit", "source_id", "is_best")
+    return compare.compare(units_fx(s, d), all_documents(s, d)).select("parameter", "doc_id", "value", "unit", "source_id", "is_best")
 
 
 @query
 def compare_pivot(s, d):
-    got = compare.compare(units_fx(s, d), some_documents(s, d)).withColumn("cents", cents(F.col("value")))
-    return got.groupBy("parameter").pivot("doc_id", ["0", "1", "2"]).agg(F.max("cents")).select("parameter", F.col("0").alias("doc_0"), F.col("1").alias("doc_1"), F.col("2").alias("doc_2"))
+    got = compare.compare(units_fx(s, d), all_documents(s, d)).withColumn("value", cents(F.col("value")))
+    rows = compare.matrix(got.withColumn("unit", F.lit(None).cast("string")), [str(i) for i in range(97)])
+    return rows.select("parameter", *[F.col(str(i)).alias(f"doc_{i}") for i in range(97)])
 
 
 @query
@@ -293,7 +315,7 @@ def correction_stats(s, d):
 
 
 def shown_pattern(rows: DataFrame) -> DataFrame:
-    return rows.select("category", "original_pattern", "corrected_pattern", "occurrences", F.size("doc_ids").alias("n_docs"), F.round("confidence", 4).alias("confidence"), "auto_correctable")
+    return rows.select("category", "original_pattern", "corrected_pattern", "occurrences", F.col("n_docs").cast("int").alias("n_docs"), F.round("confidence", 4).alias("confidence"), "auto_correctable")
 
 
 @query
@@ -326,10 +348,15 @@ def pattern_stats(s, d):
     return learn.pattern_stats(learn.patterns(corrections_fx(s, d)))
 
 
+@query
+def top_patterns(s, d):
+    return shown_pattern(learn.top_patterns(learn.patterns(corrections_fx(s, d))))
+
+
 @query
 def suggest_correction(s, d):
-    values = corrections_fx(s, d).where("id % 5 in (2, 3)").select("id", F.col("original_value").alias("value"))
-    return learn.suggest(values, learn.unit_confusion(corrections_fx(s, d)))
+    rows = corrections_fx(s, d)
+    return learn.suggest(rows.select("id", "canonical_type", F.col("original_value").alias("value")), learn.patterns(rows))
 
 
 @query
@@ -363,8 +390,7 @@ def chat_page(s, d):
 
 
 def matched(s, d, by_content: bool) -> DataFrame:
-    known = corpus_fx(s, d).where("doc_id % 3 = 0")
-    files = corpus_fx(s, d).where("doc_id % 2 = 0")
+    known, files = corpus_fx(s, d), corpus_fx(s, d).withColumn("content_hash", F.when(F.col("doc_id") % 3 == 0, F.col("content_hash")).otherwise(F.concat(F.lit("new "), "content_hash")))
     return corpus.match(files, known if by_content else known.withColumn("content_hash", F.concat(F.lit("x"), "content_hash"))).select("doc_id", "corpus_hash", "matched_by")
 
 
@@ -386,20 +412,20 @@ def corpus_availability(s, d):
 
 @query
 def permalink_id(s, d):
-    return table(s, d, "documents").select("doc_id", store.permalink(F.col("doc_id").cast("string"), F.col("source"), F.substring("text", 1, 50)).alias("question_id"))
+    return table(s, d, "documents").select("doc_id", store.permalink(F.col("doc_id").cast("string"), F.col("source"), F.col("text")).alias("question_id"))
 
 
 @query
 def share_preview(s, d):
-    rows = table(s, d, "documents").select("doc_id", F.concat("source", F.lit(": "), F.substring("text", 1, 120)).alias("question"), F.substring("text", 1, 300).alias("answer"))
+    rows = table(s, d, "documents").select("doc_id", F.concat("source", F.lit(": "), "text").alias("question"), F.col("text").alias("answer"))
     return store.preview(rows)
 
 
 @query
 def share_upsert(s, d):
     c = table(s, d, "customer")
-    stored = c.where("c_custkey % 3 = 0").selectExpr("c_custkey as question_id", "c_name as doc_id", "'old' as question", "1 as source_page", "'first' as answer")
-    new = c.where("c_custkey % 2 = 0").selectExpr("c_custkey as question_id", "'new' as doc_id", "'new' as question", "2 as source_page", "c_mktsegment as answer")
+    stored = c.selectExpr("c_custkey as question_id", "c_name as doc_id", "'old' as question", "1 as source_page", "'first' as answer")
+    new = c.selectExpr("c_custkey * 2 as question_id", "'new' as doc_id", "'new' as question", "2 as source_page", "c_mktsegment as answer")
     return store.share(stored, new)
 
 
@@ -433,8 +459,11 @@ def header_jaccard(s, d):
 
 @query
 def consensus_agreement(s, d):
-    u = units_fx(s, d).where("fact_ord % 10 = 0")
-    return consensus.agreement(consensus.consensus(u, u.where("fact_ord % 20 = 0")))
+    """All facts against themselves with every fifth one changed; some pages have tables only."""
+    u, g, b = units_fx(s, d), grids_fx(s, d).withColumn("page", F.col("page") + 5), bijections_fx(s, d).withColumn("page", F.lit(9))
+    changed = F.col("fact_ord") % 5 == 0
+    second = u.withColumns({"label": F.when(changed, F.lit("unlike")).otherwise(F.col("label")), "value_num": F.when(changed, -F.col("value_num")).otherwise(F.col("value_num")), "unit_of_measure": F.when(changed, F.lit("lm")).otherwise(F.col("unit_of_measure"))})
+    return consensus.agreement(consensus.consensus(u, second), (b, g), (b.where("false"), g)).withColumn("agreement", F.round("agreement", 6))
 
 
 @query

@@ -12,13 +12,13 @@ from veritab.functions.text import has_any, number
 MAX_BYTES, MAX_JSON = 100 << 20, 10 << 20
 # Kinds of pages, with words that tell them by rule, and hints for the extractor.
 PAGE_TYPES = {
-    "pinout": (["pin configuration", "pinout", "pin description"], "Extract every pin as a pair of number and name."),
+    "pinout_table": (["pin configuration", "pinout", "pin description"], "Extract every pin as a pair of number and name."),
     "absolute_max_ratings": (["absolute maximum"], "Extract every limit with its unit."),
     "electrical_specs": (["electrical characteristics", "dc characteristics"], "Extract minimum, typical and maximum values with units and conditions."),
-    "mechanical": (["package dimensions", "mechanical"], "Extract dimensions with units."),
-    "timing": (["timing characteristics", "switching characteristics"], "Extract times with units."),
-    "ordering_info": (["ordering information"], "Extract part numbers."),
+    "timing_characteristics": (["timing characteristics", "switching characteristics"], "Extract times with units."),
+    "package_info": (["package dimensions", "package outline", "mechanical"], "Extract dimensions with units."),
     "block_diagram": (["block diagram"], ""),
+    "text_description": (["ordering information", "features", "applications", "description"], "Extract part numbers and what the component does."),
     "other": ([], ""),
 }
 #: Nested values of several shapes stay JSON text here.
