@@ -3,13 +3,13 @@
 Misra-Gries summaries (Spark's ``freqItems``) name the digests that may be very
 frequent; their exact sizes and winners are counted, and those that are frequent
 indeed are broadcast, so that their rows are settled map-side. All other digests
-meet in an ordinary shuffle, where no group is larger than the support allows.
+meet in an ordinary shuffle: groups are aggregated before it, and joined to their rows.
 DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.llm._runtime import materialise
@@ -50,13 +50,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where(F.col("group_size") >= max(2.0, support * total))
     )
     winners = F.broadcast(materialise(winners))
-    group = Window.partitionBy("text_sha256")
     heavy = rows.join(winners, "text_sha256")
-    light = (
-        rows.join(winners, "text_sha256", "left_anti")
-        .withColumn("best", best.over(group))
-        .withColumn("group_size", F.count("*").over(group))
-    )
+    light = rows.join(winners, "text_sha256", "left_anti")
+    groups = light.groupBy("text_sha256").agg(best.alias("best"), F.count("*").alias("group_size"))
+    light = light.join(groups, "text_sha256")
     return heavy.unionByName(light).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
