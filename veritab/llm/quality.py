@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from veritab.llm._runtime import materialise
 from veritab.llm._words import GOLDEN, U64, mix, pieces, words
 
-BUCKETS = 10_000
+LEAST = 10_000
 
 
 def ngram_buckets(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -31,32 +31,33 @@ def ngram_buckets(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray
     return doc, (np.concatenate([w.hash, pair]) % U64(buckets)).astype(np.int64), len(texts)
 
 
-def bucket_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, raw, target): how many n-grams of all texts, and of the good ones, fall in each bucket. ``docs`` has text and good.
+def bucket_counts(texts: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, n): how many n-grams of the texts fall in each bucket.
 
-    Each task adds up its whole partition, so ``buckets`` rows a task are shuffled.
+    Each task adds up its whole partition, so at most ``buckets`` rows a task are shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        n = np.zeros(buckets, np.int64)
         for piece in pieces(batches, "text"):
-            doc, bucket, _ = ngram_buckets(piece.column(0), buckets)
-            raw += np.bincount(bucket, minlength=buckets)
-            good = piece.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            target += np.bincount(bucket[good[doc]], minlength=buckets)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(raw), pa.array(target)], names=["bucket", "raw", "target"])
+            n += np.bincount(ngram_buckets(piece.column(0), buckets)[1], minlength=buckets)
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], names=["bucket", "n"])
 
-    counted = docs.select("text", "good").mapInArrow(run, "bucket long, raw long, target long")
-    return counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    return texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def log_ratios(counts: DataFrame, buckets: int) -> np.ndarray:
-    """log p(bucket | target) - log p(bucket | raw), with one n-gram added to each bucket. A table of ``buckets`` rows."""
-    rows = counts.toPandas()
-    raw, target = np.ones(buckets), np.ones(buckets)
-    raw[rows["bucket"]] += rows["raw"]
-    target[rows["bucket"]] += rows["target"]
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+def probabilities(counts: DataFrame, buckets: int) -> np.ndarray:
+    """The share of each bucket, with one n-gram added to each: a table of ``buckets`` numbers."""
+    rows, n = counts.toPandas(), np.ones(buckets)
+    n[rows["bucket"].to_numpy(np.int64)] += rows["n"].to_numpy(np.int64)
+    return n / n.sum()
+
+
+def bucket_number(rows: int) -> int:
+    """LEAST buckets, or as many as grow with the square root of the number of documents, so that a larger corpus is told apart
+    by more of them, and the tables still fit each task: 22,000 for 50,000 documents, 22 million for 5e10."""
+    return max(LEAST, int(np.ceil(100 * np.sqrt(rows))))
 
 
 def gumbel(id_col: str, seed: int):
@@ -66,18 +67,21 @@ def gumbel(id_col: str, seed: int):
 
 
 def importance_resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-                        share: float = 0.5, seed: int = 23, buckets: int = BUCKETS) -> DataFrame:
+                        share: float = 0.5, seed: int = 23, buckets: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_ngrams, log_weight, gumbel_key, selected.
 
     The highest ``share`` of all rows by key (log weight plus Gumbel variable; ties by
     id, then by row) is selected: exactly ceil(share * rows). Null and empty texts
     have no n-grams and log weight 0. A document is good if any of its labels is 1;
     without good documents all log weights are those of an even target. Other
-    columns are ignored; an empty table gives an empty result.
+    columns are ignored; an empty table gives an empty result. ``buckets``: by default
+    ``bucket_number`` of the documents. Raw counts need no join; those of the target are of
+    a semi join, and Spark sees whether the good ids are few enough to be sent to the texts.
     """
-    good = labels.groupBy(id_col).agg(F.max(label_col).alias("_good")).where("_good = 1")
-    marked = docs.join(good.hint("merge"), id_col, "left").select(F.col(text_col).alias("text"), F.col("_good").isNotNull().alias("good"))
-    ratio = log_ratios(bucket_counts(marked, buckets), buckets)
+    buckets = buckets or bucket_number(docs.count())
+    good = labels.where(F.col(label_col) == 1).select(id_col).distinct()
+    texts = docs.select(id_col, F.col(text_col).alias("text"))
+    ratio = np.log(probabilities(bucket_counts(texts.join(good, id_col, "left_semi"), buckets), buckets)) - np.log(probabilities(bucket_counts(texts, buckets), buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
