@@ -15,7 +15,8 @@ import re
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -247,6 +248,39 @@ def document_boundaries(spark: SparkSession, path: str) -> DataFrame:
     return read_tokens(spark, path).select(*columns).mapInArrow(decode, BOUNDARIES)
 
 
+def find_documents(spark: SparkSession, path: str, wanted: Iterable[int]) -> DataFrame:
+    """(doc_id, start, ids) of the named documents, looked up in the written files.
+
+    In a block whose first name is not too large, each name is found by binary search among
+    the block's names, and the document's ends by two selects; no other document is decoded.
+    ``wanted`` is a list of the caller's, sent to the tasks.
+    """
+    wanted = sorted(set(wanted))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                ends = EliasFano(row["n_docs"], row["ends_bits"], row["ends_low"], row["ends_high"], row["ends_samples"])
+                n_null = row["n_null_keys"]
+                names = EliasFano(row["n_docs"] - n_null, row["keys_bits"], row["keys_low"], row["keys_high"], row["keys_samples"])
+                if not names.n:
+                    continue
+                found, flat = [], np.frombuffer(row["ids"], f"<u{row['width']}")
+                first, last = row["key_base"], row["key_base"] + names.select(names.n - 1)
+                for name in wanted[bisect_left(wanted, first) : bisect_right(wanted, last)]:
+                    i = bisect_left(range(names.n), name - first, key=names.select)
+                    while i < names.n and names.select(i) == name - first:
+                        lo, hi = (ends.select(n_null + i - 1) if n_null + i else 0), ends.select(n_null + i)
+                        found.append((name, row["base"] + row["at"] + lo, flat[lo:hi].astype(np.int64).tolist()))
+                        i += 1
+                if found:
+                    yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "start", "ids"), f, strict=True)) for f in found], schema=pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int64()))]))
+
+    columns = ["base", "at", "n_docs", "width", "ids", "ends_bits", "ends_low", "ends_high", "ends_samples", "n_null_keys", "key_base", "keys_bits", "keys_low", "keys_high", "keys_samples"]
+    some = read_tokens(spark, path).where(F.col("key_base") <= (wanted[-1] if wanted else 0)) if wanted else read_tokens(spark, path).where("false")
+    return some.select(*columns).mapInArrow(find, "doc_id long, start long, ids array<long>")
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
