@@ -2,16 +2,20 @@
 
 A byte goes when it lies in a string of ``LENGTH`` bytes that also starts earlier.
 Positions are ranked by the strings that start there: equal ranks, equal strings.
-Ranks begin with strings of ``GRAM`` bytes, and only at anchors: of all grams in a
-string of ``LENGTH`` bytes, the one with the smallest hash is its anchor, so equal
-strings have equal anchors at equal places, and a string whose anchor's rank is
-unique in the corpus is unique. Next to each other in the sort by rank stand anchors
-with equal surroundings; of those, all but the first are copies throughout, and the
-first is unique if no other surroundings have its rank. Anchors still in doubt are
-ranked anew by longer strings around them, to the left and to the right; of the
-positions of those that are not unique even then, Spark sorts pairs of ranks at
-growing offsets (strings of 50 bytes, then of 100): those that are still not unique
-then are repeated, and all but the first of equal ones are later copies.
+
+Ranking every byte of a corpus would shuffle many times its size, so positions are
+retired before: of all strings of ``GRAM`` bytes in a string of ``LENGTH`` bytes, the
+one with the smallest hash is its anchor; equal strings have equal anchors at equal
+places, and a string whose anchor is unique in the corpus is unique. Neighbouring starts
+with one anchor are one row. Of anchors whose whole surroundings are equal, all but the
+first are copies throughout. Anchors still in doubt are held against each other by longer
+strings to their left and right, and what is unique then is retired too.
+
+The positions that are left are ranked by prefix doubling. Their first ranks are those of
+strings of ``FIRST`` bytes, at p, p + FIRST, and so on; in each round Spark sorts the pairs
+(rank at p, rank at p + width), gives each pair that occurs more than once its place in
+that order as the new rank, retires the positions of all other pairs, and doubles the
+width, until it is ``LENGTH``: all but the first position of each pair are later copies.
 """
 
 from __future__ import annotations
@@ -27,12 +31,13 @@ from pyspark.sql import functions as F
 from veritab.llm._runtime import materialise
 from veritab.llm._words import U64, hash_ranges, mix, pieces, prefix_hash, runs, text_bytes
 
-LENGTH, GRAM, FIRST = 100, 48, 50
+LENGTH, GRAM, FIRST = 100, 48, 25
 WINDOW = LENGTH - GRAM + 1
 REACH = WINDOW // 2  # a string of LENGTH bytes has this much more than its anchor's gram on one side at least
 PLACE = U64((1 << 30) - 1)
 
-ANCHORS = "rank long, around long, doc_id long, row_key long, at long, copy boolean"
+ANCHORS = "rank long, spread long, around long, doc_id long, row_key long, at long, copy boolean"
+NAMES = [c.split()[0] for c in ANCHORS.split(", ")]
 SPANS = "doc_id long, row_key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -74,8 +79,13 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray):
 
 def anchors(docs: DataFrame) -> DataFrame:
     """Anchors of all texts. ``at`` packs the first start, how far from it the anchor is, and how many more starts there are
-    (the last two in six bits each). What has equal surroundings earlier in the same batch is a ``copy`` already; it gets a rank of its own, so that no
-    rank has more rows than there are batches."""
+    (the last two in six bits each).
+
+    What has equal surroundings earlier in the same batch is a ``copy`` already, and gets a
+    rank of its own. Where a batch has an anchor in several surroundings, its rows are in
+    doubt already: they are spread by their surroundings, and two markers (``at`` -1) tell
+    the others of that rank. So no (rank, spread) has more than a few rows a batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
@@ -99,8 +109,22 @@ def anchors(docs: DataFrame) -> DataFrame:
             copy, drop = np.zeros(len(order), bool), np.zeros(len(order), bool)
             copy[order], drop[order] = ~first & ~again, again
             own = mix(keys.to_numpy().view(U64) ^ at.astype(U64) * U64(0x9E3779B97F4A7C15))
-            columns = [pa.array(np.where(copy, own, rank).view(np.int64)), pa.array(around.view(np.int64)), ids, keys, pa.array((at << 12) | ((anchor - lo) << 6) | (hi - lo)), pa.array(copy)]
-            yield pa.RecordBatch.from_arrays(columns, names=["rank", "around", "doc_id", "row_key", "at", "copy"]).filter(pa.array(~drop))
+            by_rank = rank[order]
+            edge = np.flatnonzero(np.append(True, by_rank[1:] != by_rank[:-1]))
+            last = np.append(edge[1:], len(order)) - 1
+            several = around[order][edge] != around[order][last]  # sorted: the first and the last surroundings of each rank
+            spread = np.zeros(len(order), U64)
+            spread[order] = np.where(np.repeat(several, last - edge + 1), around[order], U64(0))
+            rank, around, spread = np.where(copy, own, rank), around, np.where(copy, U64(0), spread)
+            columns = [pa.array(x.view(np.int64)) for x in (rank, spread, around)]
+            columns += [ids, keys, pa.array((at << 12) | ((anchor - lo) << 6) | (hi - lo)), pa.array(copy)]
+            yield pa.RecordBatch.from_arrays(columns, names=NAMES).filter(pa.array(~drop))
+            if several.any():
+                mark = np.concatenate([order[edge[several]], order[last[several]]])
+                n = len(mark)
+                columns = [pa.array(by_rank[np.concatenate([edge[several], last[several]])].view(np.int64)), pa.array(np.zeros(n, np.int64)), pa.array(around[mark].view(np.int64))]
+                columns += [pa.nulls(n, pa.int64()), pa.array(np.zeros(n, np.int64)), pa.array(np.full(n, -1)), pa.array(np.zeros(n, bool))]
+                yield pa.RecordBatch.from_arrays(columns, names=NAMES)
 
     return docs.mapInArrow(run, ANCHORS)
 
@@ -133,14 +157,16 @@ def doubtful_spans(docs: DataFrame, doubt: DataFrame) -> DataFrame:
 
 
 def doubtful_positions(spans: DataFrame) -> DataFrame:
-    """(doc_id, row_key, p, ranks): for each start still in doubt, the ranks of the strings of FIRST bytes at p, p + FIRST, ..."""
+    """(pos, r0, r1, ...): for each start still in doubt, its number (the span's, and its place in the span) and the ranks of
+    the strings of FIRST bytes at p, p + FIRST, ..."""
+    names = [f"r{i}" for i in range(LENGTH // FIRST)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 5000):
                 piece = batch.slice(i, 5000)
-                at, on_left, on_right = (piece.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4))
-                held = piece.column(5).cast(pa.large_binary())
+                span, at, on_left, on_right = (piece.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+                held = piece.column(4).cast(pa.large_binary())
                 offsets = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
                 data = np.frombuffer(held.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
                 offsets = offsets[:-1] - offsets[0]
@@ -149,18 +175,14 @@ def doubtful_positions(spans: DataFrame) -> DataFrame:
                 before = (at >> 6 & 63)[who] - place
                 keep = (on_left[who] & (before >= REACH)) | (on_right[who] & (before <= LENGTH - GRAM - REACH))
                 who, place = who[keep], place[keep]
-                total = prefix_hash(data)
-                begin = ((offsets[who] + place)[:, None] + np.arange(0, LENGTH, FIRST)).ravel()
-                ranks = hash_ranges(total, begin, begin + FIRST).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0).take(pa.array(who)), piece.column(1).take(pa.array(who)), pa.array((at >> 12)[who] + place), pa.ListArray.from_arrays(pa.array(np.arange(len(who) + 1) * (LENGTH // FIRST), pa.int32()), pa.array(ranks))],
-                    names=["doc_id", "row_key", "p", "ranks"],
-                )
+                total, begin = prefix_hash(data), offsets[who] + place
+                ranks = [pa.array(hash_ranges(total, begin + k, begin + k + FIRST).view(np.int64)) for k in range(0, LENGTH, FIRST)]
+                yield pa.RecordBatch.from_arrays([pa.array(span[who] * 64 + place), *ranks], names=["pos", *names])
 
     shared = lambda side: spans.where(f"{side} is not null").groupBy(side).agg(F.count("*").alias(f"n_{side}")).where(f"n_{side} > 1")
     both = spans.join(shared("left"), "left", "left").join(shared("right"), "right", "left")
-    both = both.select("doc_id", "row_key", "at", F.col("n_left").isNotNull().alias("on_left"), F.col("n_right").isNotNull().alias("on_right"), "bytes")
-    return both.where("on_left or on_right").mapInArrow(run, "doc_id long, row_key long, p long, ranks array<long>")
+    both = both.select("span", "at", F.col("n_left").isNotNull().alias("on_left"), F.col("n_right").isNotNull().alias("on_right"), "bytes")
+    return both.where("on_left or on_right").mapInArrow(run, "pos long, " + ", ".join(f"{n} long" for n in names))
 
 
 def joined(docs: DataFrame, by_doc: DataFrame, how: str) -> DataFrame:
@@ -169,18 +191,24 @@ def joined(docs: DataFrame, by_doc: DataFrame, how: str) -> DataFrame:
     return d.join(b, same, how).select("d.doc_id", "d.row_key", "d.text", "b.at")
 
 
-def later_copies(positions: DataFrame) -> DataFrame:
-    """(doc_id, row_key, p) of the positions whose whole string starts earlier: prefix doubling on the ranks."""
-    first = Window.partitionBy("one", "two").orderBy("doc_id", "row_key", "p")
-    size = LENGTH // FIRST
-    while True:
-        pairs = positions.select("doc_id", "row_key", "p", F.col("ranks")[0].alias("one"), F.col("ranks")[1].alias("two"), "ranks")
-        size //= 2
-        if size == 1:
-            return pairs.withColumn("n", F.rank().over(first)).where("n > 1").select("doc_id", "row_key", "p")
-        shared = pairs.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
-        again = F.array(*[F.xxhash64(F.col("ranks")[2 * i], F.col("ranks")[2 * i + 1]) for i in range(size)])
-        positions = materialise(pairs.join(shared, ["one", "two"]).select("doc_id", "row_key", "p", again.alias("ranks")))
+def reranked(positions: DataFrame, one: str, two: str, rank: str) -> DataFrame:
+    """``positions`` with the pair of two ranks replaced by its place among all sorted pairs; those of a unique pair are retired."""
+    pairs = positions.groupBy(one, two).agg(F.count("*").alias("_n")).where("_n > 1").select(one, two)
+    ranks = pairs.orderBy(one, two).withColumn(rank, F.monotonically_increasing_id())  # grows along the sort
+    return positions.join(ranks, [one, two]).drop(one, two)
+
+
+def later_copies(positions: DataFrame, first: int = FIRST, length: int = LENGTH) -> DataFrame:
+    """(pos) of the positions whose string of ``length`` bytes starts earlier, by prefix doubling on the ranks r0, r1, ... of ``first`` bytes."""
+    width, names = first, [c for c in positions.columns if c != "pos"]
+    while 2 * width < length:
+        width, doubled = 2 * width, []
+        for i in range(0, len(names), 2):
+            doubled.append(f"w{width}_{i // 2}")
+            positions = materialise(reranked(positions, names[i], names[i + 1], doubled[-1]))
+        names = doubled
+    earliest = positions.groupBy(*names).agg(F.min("pos").alias("earliest"), F.count("*").alias("_n")).where("_n > 1").select(*names, "earliest")
+    return positions.join(earliest, names).where("pos > earliest").select("pos")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,14 +220,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stay whole. Other columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("row_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    class_ = Window.partitionBy("rank", "around").orderBy("doc_id", "row_key", "at")
-    rank_ = Window.partitionBy("rank")
-    sorted_ = anchors(rows).withColumn("n", F.rank().over(class_)).withColumn("several", F.min("around").over(rank_) != F.max("around").over(rank_))
-    known = materialise(
-        sorted_.select("doc_id", "row_key", "at", (F.col("copy") | (F.col("n") > 1)).alias("copy"), "several").where("copy or several").drop("several")
-    )
-    doubt = materialise(doubtful_spans(rows, known.where("not copy")))
-    more = materialise(later_copies(doubtful_positions(doubt)))
+    class_ = Window.partitionBy("rank", "spread", "around", "marker").orderBy("doc_id", "row_key", "at")
+    rank_ = Window.partitionBy("rank", "spread")
+    found = anchors(rows).withColumn("marker", F.col("at") < 0).repartition("rank", "spread")
+    found = found.withColumn("n", F.rank().over(class_)).withColumn("several", (F.col("spread") != 0) | (F.min("around").over(rank_) != F.max("around").over(rank_)))
+    known = materialise(found.where("not marker").select("doc_id", "row_key", "at", (F.col("copy") | (F.col("n") > 1)).alias("copy"), "several").where("copy or several").drop("several"))
+    # numbered in order of documents and places, so that an earlier position has a smaller number
+    doubt = doubtful_spans(rows, known.where("not copy")).dropDuplicates(["doc_id", "row_key", "at"]).orderBy("doc_id", "row_key", "at")
+    doubt = materialise(doubt.withColumn("span", F.monotonically_increasing_id()))
+    later = materialise(later_copies(doubtful_positions(doubt)))
+    later = later.select(F.shiftright("pos", 6).alias("span"), F.col("pos").bitwiseAND(F.lit(63)).alias("place"))
+    more = later.join(doubt.select("span", "doc_id", "row_key", "at"), "span").select("doc_id", "row_key", (F.shiftright("at", 12) + F.col("place")).alias("p"))
     spans = known.where("copy").select("doc_id", "row_key", "at").unionByName(more.select("doc_id", "row_key", (F.col("p") * 4096).alias("at")))
     by_doc = spans.groupBy("doc_id", "row_key").agg(F.collect_set("at").alias("at"))
 
