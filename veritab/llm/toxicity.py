@@ -1,7 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
 A word enters as the row of its hash in a table, next to the mean of the rows of
-its character n-grams. Two gated recurrent layers read windows of words forwards
+its character n-grams, the highest of them, and the rows of its first characters. Two gated recurrent layers read windows of words forwards
 and backwards; attention over their states gives one vector a window, and a
 logistic unit its score. All overlapping windows of a text are scored, and its
 highest window, calibrated, is the text's score. Everything is trained in numpy.
@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm._words import Words, char_ngrams, distinct, pieces, runs, words
+from veritab.llm._words import Words, char_ngrams, distinct, hash_runs, mix, pieces, runs, words
 
-NGRAMS = (3, 4, 5)
+NGRAMS, PREFIXES = (3, 4, 5), (4, 6)  # bytes
+FOLDS = 5
 F32 = np.float32
 
 
@@ -29,7 +30,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Settings:
-    """``max_documents`` and ``max_chars`` bound the labelled sample that the network is fitted on."""
+    """``max_documents`` and ``max_chars`` bound the labelled sample that the network is fitted on.
+
+    It is gone through until ``seen`` texts have been seen, but at least ``epochs`` and at most ``most_epochs`` times.
+    """
 
     max_documents: int = 4500
     max_chars: int = 50_000
@@ -40,8 +44,30 @@ class Settings:
     window: int = 32
     stride: int = 16
     epochs: int = 6
+    most_epochs: int = 20
+    seen: int = 15_000
     seed: int = 7
 
+    @property
+    def inputs(self) -> int:
+        return self.word_dims + self.char_dims + 1 + len(PREFIXES)
+
+
+def highest(owner: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """The highest value of each of n owners; 0 for one without values."""
+    out, order = np.zeros(n, F32), np.argsort(owner, kind="stable")
+    owner, value = owner[order], value[order]
+    if len(owner):
+        edge = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        out[owner[edge]] = np.maximum.reduceat(value, edge)
+    return out
+
+
+def prefixes(w: Words, example: np.ndarray, n: int) -> list[np.ndarray]:
+    """The buckets of each word's first characters, for each length."""
+    start, end = w.start[example], w.end[example]
+    return [(mix(hash_runs(w.data, start, np.minimum(start + k, end)) + np.uint64(k)) % np.uint64(n)).astype(np.int64) for k in PREFIXES]
+
 
 @dataclass
 class BiGru:
@@ -53,9 +79,9 @@ class BiGru:
 
     @classmethod
     def fresh(cls, s: Settings) -> BiGru:
-        rng, h, d = np.random.default_rng(s.seed), s.hidden, s.word_dims + s.char_dims
+        rng, h, d = np.random.default_rng(s.seed), s.hidden, s.inputs
         near = lambda *shape: rng.normal(0, 0.3, shape).astype(F32)
-        p = {"word": near(s.buckets, s.word_dims) * F32(0.1), "char": near(s.buckets, s.char_dims) * F32(0.1), "attend": near(2 * h), "out": near(2 * h), "bias": np.full(1, -1, F32)}
+        p = {"word": near(s.buckets, s.word_dims) * F32(0.1), "char": near(s.buckets, s.char_dims) * F32(0.1), "prefix": np.zeros(s.buckets, F32), "attend": near(2 * h), "out": near(2 * h), "bias": np.full(1, -1, F32)}
         for way in ("f", "b"):
             p |= {f"in_{way}": near(d, 3 * h), f"at_{way}": near(h, 3 * h), f"on_{way}": np.zeros(3 * h, F32)}
         return cls(s, p)
@@ -63,7 +89,7 @@ class BiGru:
     def embed(self, w: Words, example: np.ndarray) -> np.ndarray:
         """One input vector for each distinct word, given by an example; some thousand words at a time."""
         s, n = self.settings, np.uint64(self.settings.buckets)
-        out = np.zeros((len(example), s.word_dims + s.char_dims), F32)
+        out = np.zeros((len(example), s.inputs), F32)
         out[:, : s.word_dims] = self.p["word"][(w.hash[example] % n).astype(np.int64)]
         for lo in range(0, len(example), 20_000):
             some = example[lo : lo + 20_000]
@@ -72,6 +98,9 @@ class BiGru:
             count = np.maximum(np.bincount(owner, minlength=len(some)), 1)
             for j in range(s.char_dims):
                 out[lo : lo + 20_000, s.word_dims + j] = np.bincount(owner, self.p["char"][gram, j], len(some)) / count
+            out[lo : lo + 20_000, s.word_dims + s.char_dims] = highest(owner, self.p["char"][gram, 0], len(some))
+        for j, bucket in enumerate(prefixes(w, example, s.buckets)):
+            out[:, s.word_dims + s.char_dims + 1 + j] = self.p["prefix"][bucket]
         return out
 
     def states(self, steps_in: Callable[[int], np.ndarray], n: int, mask: np.ndarray | None, way: str, keep: bool = False):
@@ -182,59 +211,76 @@ def text_logits(model: BiGru, texts: pa.Array) -> np.ndarray:
     return top
 
 
-def log_odds(texts: list[str], toxic: np.ndarray, n: int, weight: float = 5.0) -> tuple[np.ndarray, np.ndarray]:
-    """For the buckets of words, and of n-grams: how much more often they occur in toxic texts, smoothed towards not at all. Some texts at a time."""
-    counts, size = np.zeros((2, 2, n)), np.uint64(n)
+def occurrences(texts: list[str], toxic: np.ndarray, n: int) -> np.ndarray:
+    """(fold, kind, label, bucket): in how many texts words, n-grams and prefixes (the kinds) of each bucket occur. Some texts at a time; text i is in fold i mod FOLDS."""
+    counts, size = np.zeros((FOLDS, 3, 2, n), np.float32), np.uint64(n)
     for lo in range(0, len(texts), 200):
-        w, bad = words(pa.array(texts[lo : lo + 200], pa.large_string())), toxic[lo : lo + 200]
+        w = words(pa.array(texts[lo : lo + 200], pa.large_string()))
         if not len(w.hash):
             continue
+        bad, fold = toxic[lo : lo + 200], np.arange(lo, min(lo + 200, len(texts))) % FOLDS
         example, which = distinct(w)
         doc, word = np.divmod(np.unique(w.doc * len(example) + which), len(example))
         owner, gram = char_ngrams(w.data, w.start[example], w.end[example], NGRAMS)
         gram = (gram % size).astype(np.int64)[np.argsort(owner, kind="stable")]
         begin = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(example)))])
         index, _ = runs(begin[word], np.diff(begin)[word])
-        for kind, (who, bucket) in enumerate(((doc, (w.hash[example] % size).astype(np.int64)[word]), (np.repeat(doc, np.diff(begin)[word]), gram[index]))):
-            pair = np.unique(who * n + bucket)
-            for y in (0, 1):
-                counts[kind, y] += np.bincount(pair[bad[pair // n] == y] % n, minlength=n)
-    share = toxic.mean()
+        found = [(0, doc, (w.hash[example] % size).astype(np.int64)[word]), (1, np.repeat(doc, np.diff(begin)[word]), gram[index])]
+        found += [(2, doc, bucket[word]) for bucket in prefixes(w, example, n)]
+        for kind, who, bucket in found:
+            who, bucket = np.divmod(np.unique(who * n + bucket), n)
+            for f in range(FOLDS):
+                for y in (0, 1):
+                    counts[f, kind, y] += np.bincount(bucket[(bad[who] == y) & (fold[who] == f)], minlength=n)
+    return counts
+
+
+def log_odds(counts: np.ndarray, share: float, weight: float = 5.0) -> np.ndarray:
+    """For the buckets of each kind: how much more often they occur in toxic texts, smoothed towards not at all."""
     odds = (counts[:, 1] + weight * share) / (counts[:, 0] + weight * (1 - share)) * (1 - share) / share
-    both = (np.clip(np.log(odds), -4, 4) / 2).astype(F32)
-    return both[0], both[1]
+    return (np.clip(np.log(odds), -4, 4) / 2).astype(F32)
 
 
 def train(texts: list[str], toxic: np.ndarray, s: Settings) -> BiGru:
     """Fits the network on labelled texts.
 
-    The tables begin with smoothed log odds. A toxic text says nothing of its single
+    The tables begin with smoothed log odds; while the network learns, those of a text are
+    counted without its fold, as those of a new text will be. A toxic text says nothing of its single
     windows, so the windows to learn from are chosen by the model itself: its highest
     ones of each text, toxic or not, and others of clean texts; chosen anew as it learns.
     """
     model, rng = BiGru.fresh(s), np.random.default_rng(s.seed)
     toxic = np.asarray(toxic)
-    model.p["word"][:, 0], model.p["char"][:, 0] = log_odds(texts, toxic, s.buckets)
+    counts, share = occurrences(texts, toxic, s.buckets), toxic.mean()
+
+    def tables(of: np.ndarray) -> None:
+        model.p["word"][:, 0], model.p["char"][:, 0], model.p["prefix"][:] = log_odds(of, share)
+
     parts, n_words, n_inputs = [], 0, 0
-    for lo in range(0, len(texts), 200):
-        w = words(pa.array(texts[lo : lo + 200], pa.large_string()))
-        if len(w.hash):
-            example, which = distinct(w)
-            doc, first, size = windows_of(w, s)
-            parts.append((model.embed(w, example), (which + n_inputs).astype(np.int32), doc + lo, first + n_words, size))
-            n_words, n_inputs = n_words + len(which), n_inputs + len(example)
+    for fold in range(FOLDS):
+        tables(counts.sum(axis=0) - counts[fold])
+        own = np.arange(fold, len(texts), FOLDS)
+        for lo in range(0, len(own), 200):
+            some = own[lo : lo + 200]
+            w = words(pa.array([texts[i] for i in some], pa.large_string()))
+            if len(w.hash):
+                example, which = distinct(w)
+                doc, first, size = windows_of(w, s)
+                parts.append((model.embed(w, example), (which + n_inputs).astype(np.int32), some[doc], first + n_words, size))
+                n_words, n_inputs = n_words + len(which), n_inputs + len(example)
+    tables(counts.sum(axis=0))
     if not parts:
         return model
     x, which, doc, first, size = (np.concatenate(each) for each in zip(*parts, strict=True))
-    value = np.maximum(x[:, 0], x[:, s.word_dims])
+    value = x[:, [0, s.word_dims, s.word_dims + s.char_dims, *range(s.word_dims + s.char_dims + 1, s.inputs)]].sum(axis=1)
     take, mask = words_in(first, size, which, s)
     rank = np.where(mask, value[take], -9).max(axis=1)
     slow = {k: np.zeros_like(v) for k, v in model.p.items()}
     square = {k: np.zeros_like(v) for k, v in model.p.items()}
-    step, epochs = 0, max(s.epochs, min(20, 15_000 // len(texts)))  # a small sample is gone through more often
+    step, epochs = 0, max(s.epochs, min(s.most_epochs, s.seen // len(texts)))
     for epoch in range(epochs):
         order = np.lexsort((-rank, doc))
-        place = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
+        place = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])  # of each window among its text's
         clean = toxic[doc[order]] == 0
         chosen = order[np.where(clean, (place < 3) | (rng.random(len(order)) < 0.02), place < 1)]
         for part in np.array_split(rng.permutation(chosen), max(1, len(chosen) // 128)):
@@ -254,16 +300,22 @@ def train(texts: list[str], toxic: np.ndarray, s: Settings) -> BiGru:
 
 
 def calibrated(top: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a logistic fit of the labels by the texts' highest logits (Newton's method, lightly regularised)."""
-    a, b, x, y = 1.0, 0.0, top.astype(float), toxic.astype(float)
+    """Slope and intercept of a logistic fit of the labels by the texts' highest logits (Newton's method with halved steps, lightly regularised)."""
+    x, y, at = top.astype(float), toxic.astype(float), np.array([1.0, 0.0])
+
+    def loss(v: np.ndarray) -> float:
+        z = v[0] * x + v[1]
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.05 * (v[0] - 1) ** 2)
+
     for _ in range(30):
-        q = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        q = 1 / (1 + np.exp(-np.clip(at[0] * x + at[1], -30, 30)))
         e, v = q - y, q * (1 - q) + 1e-6
-        ga, gb = (e * x).sum() + 0.1 * (a - 1), e.sum()
-        haa, hab, hbb = (v * x * x).sum() + 0.1, (v * x).sum(), v.sum()
-        det = haa * hbb - hab * hab
-        a, b = a - (hbb * ga - hab * gb) / det, b - (haa * gb - hab * ga) / det
-    return float(max(a, 0.05)), float(b)
+        gradient = np.array([(e * x).sum() + 0.1 * (at[0] - 1), e.sum()])
+        step = np.linalg.solve(np.array([[(v * x * x).sum() + 0.1, (v * x).sum()], [(v * x).sum(), v.sum()]]), gradient)
+        while np.abs(step).max() > 1e-9 and loss(at - step) > loss(at):
+            step = step / 2
+        at = at - step
+    return float(max(at[0], 0.05)), float(at[1])
 
 
 def id_remainder(id_col: str, m: int):
@@ -276,7 +328,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str, text_col:
     pick = lambda y, n: marked.where(F.col("_label") == y).orderBy(F.xxhash64(id_col), id_col).limit(n)
     sample = pick(1, s.max_documents // 3).unionByName(pick(0, s.max_documents - s.max_documents // 3))
     texts = docs.select(id_col, F.col(text_col).alias("_text")).where(F.char_length("_text").between(1, s.max_chars))
-    rows = texts.join(F.broadcast(sample), id_col).limit(2 * s.max_documents).toPandas().sort_values([id_col, "_text"])
+    rows = texts.join(F.broadcast(sample), id_col).orderBy(F.xxhash64(id_col), id_col, "_text").limit(2 * s.max_documents).toPandas().sort_values([id_col, "_text"])
     toxic = rows["_label"].to_numpy(int)
     if len(set(toxic)) < 2:
         return float(toxic.mean()) if len(toxic) else 0.0
