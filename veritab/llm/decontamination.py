@@ -27,7 +27,7 @@ s sec second seconds min minute minutes h hr hour hours day days week weeks mont
 dollar dollars euro euros cent cents usd eur gbp percent degrees km2 m2 m3 kmh mph w kw v a hz khz mhz ghz""".split()
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
 
-SLOTS = 1 << 22  # bits of the filter that documents' windows pass first: a fixed size, whatever the benchmark's
+LEAST_BITS, BITS_EACH = 1 << 22, 64  # of the filter that documents' windows pass first: it grows with the benchmark, so that one other window in 64 passes at most
 WINDOWS = "key string, id long, place int, length int, hash long, slots array<long>"
 _NUM, _NAME, _UNIT = (mix(np.array([x], U64))[0] for x in (11, 12, 13))
 
@@ -118,15 +118,31 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, n: int
     return rows.mapInArrow(run, WINDOWS)
 
 
+def window_filter(items: DataFrame) -> np.ndarray:
+    """A bit for each bucket of the hashes of the benchmark's windows: a power of two of buckets, BITS_EACH for each window at least.
+
+    Spark sets the bits, in words of 64; the driver gets one row of two numbers a window at
+    most. Its size is that of the benchmark, not of the documents.
+    """
+    hashes = items.select("hash").distinct()
+    size = max(LEAST_BITS, 1 << (BITS_EACH * max(1, hashes.count()) - 1).bit_length())
+    bucket = F.col("hash").bitwiseAND(F.lit(size - 1))
+    words_ = hashes.groupBy(F.shiftright(bucket, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(size // 64, np.int64)
+    bits[words_["word"].to_numpy()] = words_["bits"].to_numpy()
+    return bits.view(np.uint8)
+
+
 def document_windows(docs: DataFrame, id_col: str, text_col: str, wanted: np.ndarray, lengths: list[int]) -> DataFrame:
     """The documents' windows that pass the filter ``wanted`` (a bit per hash bucket)."""
+    size = U64(len(wanted) * 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
             w = words(piece.column(2))
             for length in lengths:
                 for at, value, slot in windows(w, length):
-                    bucket = (value % U64(SLOTS)).astype(np.int64)
+                    bucket = (value % size).astype(np.int64)
                     found = (wanted[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1 == 1
                     yield _rows(piece, w, at[found], value[found], slot, length)
 
@@ -148,11 +164,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = materialise(benchmark_windows(benchmark, item_col, item_text, n).select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), "length", "hash", F.col("slots").alias("item_slots")))
     sizes = items.groupBy("item_id").agg(F.count_distinct("item_place").alias("n_windows"))
     lengths = sorted(r.length for r in items.select("length").distinct().collect())
-    bucket = F.col("hash").bitwiseAND(F.lit(SLOTS - 1))
-    used = np.array([r[0] for r in items.select(bucket.alias("b")).distinct().collect()], np.int64)
-    bits = np.zeros(SLOTS, np.uint8)
-    bits[used] = 1
-    found = materialise(document_windows(docs, id_col, text_col, np.packbits(bits, bitorder="little"), lengths))
+    found = materialise(document_windows(docs, id_col, text_col, window_filter(items), lengths))
     pairs = F.filter(
         F.transform(F.arrays_zip("item_slots", "slots"), lambda p, j: F.struct((F.col("item_place") + j).alias("at"), p["item_slots"].alias("a"), p["slots"].alias("b"))), lambda p: p["a"] != 0
     )
