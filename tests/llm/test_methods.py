@@ -13,14 +13,15 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from veritab.llm import language_id, minhash, toxicity
+from veritab.llm import substring_dedup as substring_module
 from veritab.llm._components import connected_components
-from veritab.llm.decontamination import contaminated
+from veritab.llm.decontamination import contaminated, decontaminate
 from veritab.llm.exact_dedup import exact_dedup
 from veritab.llm.line_dedup import fuzzy_lines
 from veritab.llm.mixing import mix, mix_report
 from veritab.llm.quality import importance_resample, select_top
-from veritab.llm.substring_dedup import substring_dedup
-from veritab.llm.token_output import EliasFano, Encoder, default_tokenizer, token_output
+from veritab.llm.substring_dedup import later_copies, substring_dedup
+from veritab.llm.token_output import EliasFano, Encoder, default_tokenizer, document_boundaries, find_documents, token_output, write_tokens
 
 
 def words(rng, n, vocabulary=400):
@@ -218,7 +219,7 @@ def test_gru_gradient():
     s = toxicity.Settings(buckets=64, hidden=3, window=5)
     model, rng = toxicity.BiGru.fresh(s), np.random.default_rng(0)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
-    x, mask, y = rng.normal(size=(4, 5, 6)), np.arange(5) < np.array([[5], [3], [1], [5]]), np.array([1.0, 0, 1, 0])
+    x, mask, y = rng.normal(size=(4, 5, s.inputs)), np.arange(5) < np.array([[5], [3], [1], [5]]), np.array([1.0, 0, 1, 0])
 
     def loss():
         f = model.states(lambda t: x[:, t] @ model.p["in_f"] + model.p["on_f"], 4, mask, "f")
@@ -272,6 +273,125 @@ def test_select_top_with_ties(spark):
     assert got == {i for i, _ in sorted(((i, (i % 3, i)) for i in range(90)), key=lambda x: x[1])[-45:]}
 
 
+def test_documents_are_found_by_select(spark, tmp_path):
+    rows = [(i * 3, t) for i, t in corpus()] + [(None, "no name"), (9, "a second text of document nine")]
+    tokenizer = test_encoder_equals_the_library.encoder.tokenizer
+    write_tokens(frame(spark, rows).repartition(4), str(tmp_path / "t"), default_tokenizer(), block_ids=500)
+    starts = {(r.doc_id, r.start) for r in document_boundaries(spark, str(tmp_path / "t")).collect()}
+    got = find_documents(spark, str(tmp_path / "t"), [9, 30, 31, 90]).collect()
+    want = Counter((i, tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2])) for i, t in rows if i in (9, 30, 31, 90))
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want and all((r.doc_id, r.start) in starts for r in got)
+    assert find_documents(spark, str(tmp_path / "t"), []).count() == 0
+
+
+def removed_bytes(rows):
+    """What substring_dedup should say, by a set of all strings of 100 bytes."""
+    seen, want = set(), []
+    for i, t in sorted(rows):
+        t = t.encode()
+        gone = bytearray(len(t))
+        for p in range(len(t) - 99):
+            if t[p : p + 100] in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(t[p : p + 100])
+        kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
+        want.append((i, len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    return want
+
+
+def test_substrings_over_pieces_in_several_rounds(spark, monkeypatch):
+    """Texts of more than one piece, and equal strings that meet only across pieces, with other surroundings each time."""
+    rng, calls = random.Random(8), []
+    monkeypatch.setattr(substring_module, "reranked", lambda p, one, two, rank, real=substring_module.reranked: calls.append((one, two)) or real(p, one, two, rank))
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (60, 99, 100, 101, 130, 160)]
+    fill = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    rows = [(i, fill(rng.randrange(40, 200)) + passages[i % 6][rng.randrange(20) :] + fill(30) + passages[(i + 1) % 6] + fill(rng.randrange(90))) for i in range(60)]
+    rows.append((100, fill(1_300_000) + passages[3] + fill(1_300_000) + passages[5]))
+    rows.append((101, fill(900_000) + passages[5] + passages[3]))
+    got = substring_dedup(frame(spark, rows).repartition(7)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == removed_bytes(rows)
+    assert calls == [("r0", "r1"), ("r2", "r3")]  # strings of 50 bytes from 25; those of 100 are the last pairs
+
+
+def test_prefix_doubling_from_single_ranks(spark):
+    """More rounds, on ranks of one letter."""
+    rng = random.Random(9)
+    text = "".join(rng.choice("ab") for _ in range(400))
+    rows = [(p, *[ord(text[p + i]) for i in range(8)]) for p in range(len(text) - 7)]
+    got = {r.pos for r in later_copies(spark.createDataFrame(rows, "pos long, " + ", ".join(f"r{i} long" for i in range(8))), 1, 8).collect()}
+    seen, want = set(), set()
+    for p in range(len(text) - 7):
+        if text[p : p + 8] in seen:
+            want.add(p)
+        seen.add(text[p : p + 8])
+    assert got == want
+
+
+def test_coverage_of_verbatim_windows(spark):
+    """Decontamination against brute force, on texts without placeholders."""
+    rng = random.Random(10)
+    letters = ["".join(rng.choice("klmnoprstu") for _ in range(5)) for _ in range(60)]
+    say = lambda n: " ".join(rng.choices(letters, k=n))
+    items = [(i, say(rng.randrange(3, 30))) for i in range(12)]
+    docs = []
+    for i in range(80):
+        w = items[i % 12][1].split()
+        if i % 3:
+            w[rng.randrange(len(w))] = rng.choice(letters)
+        docs.append((i, f"{say(20)} {' '.join(w)} {say(20)}" if i % 7 else say(60)))
+    grams = lambda w, n: [tuple(w[j : j + n]) for j in range(len(w) - n + 1)]
+    want = {}
+    for d, text in docs:
+        for i, item in items:
+            w = item.split()
+            n = min(5, len(w))
+            held = set(grams(text.split(), n))
+            matched = sum(g in held for g in grams(w, n))
+            if matched >= 0.8 * len(grams(w, n)):
+                want[d, i] = (len(grams(w, n)), matched)
+    got = contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.n_windows, r.n_matched) for r in got} == want and want
+
+
+def test_log_weights(spark):
+    """Against counts of words and pairs, with so many buckets that none meet."""
+    rng = random.Random(12)
+    rows = [(i, words(rng, 30, 25)) for i in range(60)] + [(60, None), (61, "")]
+    good = set(range(0, 60, 7))
+    labels = spark.createDataFrame([(i, 1) for i in good] + [(1, 0)], "doc_id long, quality int")
+    counts = [Counter(), Counter()]
+    grams = lambda t: (w := (t or "").split()) + list(zip(w, w[1:], strict=False))
+    for i, t in rows:
+        counts[0].update(grams(t))
+        if i in good:
+            counts[1].update(grams(t))
+    buckets = 1 << 20
+    total = [sum(c.values()) + buckets for c in counts]
+    for r in importance_resample(frame(spark, rows), labels, buckets=buckets).collect():
+        g = grams(dict(rows)[r.doc_id])
+        want = sum(np.log((counts[1][x] + 1) / total[1]) - np.log((counts[0][x] + 1) / total[0]) for x in g)
+        assert r.n_ngrams == len(g) and r.log_weight == pytest.approx(want)
+
+
+def test_which_rows_the_stages_drop(spark):
+    rng = random.Random(13)
+    base = [words(rng, 60, 300) for _ in range(12)]
+    item = words(rng, 25, 500)
+    docs = frame(spark, [*enumerate(base), (20, base[0]), (21, base[1] + " end"), (22, base[2] + " " + item), (23, None), (24, None)])
+    assert sorted(r.doc_id for r in minhash.drop_near_duplicates(docs).collect() if r.doc_id < 22) == list(range(12))
+    left = decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in left.collect()} == {22}
+    texts, marks = [], []
+    for i in range(400):
+        w = words(rng, 40, 200).split()
+        if bad := i % 5 == 0:
+            w.insert(rng.randrange(40), "vilest")
+        texts.append((i, " ".join(w)))
+        marks.append((i, int(bad)))
+    clean = toxicity.drop_toxic(frame(spark, texts), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert {r.doc_id for r in clean.collect()} == {i for i, bad in marks if not bad}
+
+
 def test_bytes_of_arrow_slices():
     from veritab.llm._words import words as cut
 
