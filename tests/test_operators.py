@@ -1,4 +1,5 @@
 import datetime
+import json
 
 import facts as fx
 import pytest
@@ -143,11 +144,16 @@ def test_metrics(spark):
     assert tuple(r) == (True, False, True, False)
     rows = spark.createDataFrame([(True, "verified")] * 8 + [(False, "refused")] + [(False, "verified")], "correct boolean, status string")
     g = metrics.gate(rows).first()
-    assert (g.accuracy, g.false_refuse_rate, round(g.false_accept_rate, 3), g.passed) == (80.0, 10.0, 11.111, False)
+    assert (g.accuracy, g.false_refuse_rate, round(g.false_accept_rate, 3), g.refuse_precision, g.passed) == (80.0, 10.0, 11.111, 100.0, False)
+    rows = spark.createDataFrame([(True, "verified")] * 4 + [(True, "refused")] * 5 + [(False, "refused")], "correct boolean, status string")
+    g = metrics.gate(rows).first()
+    assert (g.accuracy, g.false_refuse_rate, round(g.refuse_precision, 3), g.passed) == (90.0, 60.0, 16.667, False)  # all refusals count, right or wrong
+    both = {r.correct: (r.verified, r.refused) for r in metrics.confusion(rows.where("correct")).collect()}
+    assert both == {True: (4, 5), False: (0, 0)}
 
 
 def test_streaming(spark, tmp_path):
-    from veritab.streaming.ingest import current, follow
+    from veritab.streaming.ingest import current, follow, ingested
 
     source, table = tmp_path / "in", tmp_path / "out"
     source.mkdir()
@@ -156,3 +162,8 @@ def test_streaming(spark, tmp_path):
     (source / "2.json").write_text('{"doc_id": "d", "page": 0, "json": "{\\"units\\": [{\\"id\\": \\"u\\", \\"value\\": 2, \\"origin\\": [0, 0]}]}"}\n')
     follow(spark, str(source), str(table), str(tmp_path / "cp")).awaitTermination()
     assert [r.value_num for r in current(spark, str(table)).collect()] == [2.0]
+    page = {"doc_id": "d", "page": 1, "json": json.dumps({"bijections": [{"pair": ["1", "VCC"], "origin": [0, 0]}], "grids": [{"rows": [{"cells": ["a"]}]}]})}
+    (source / "3.json").write_text("".join(json.dumps(p) + "\n" for p in (page, {"doc_id": "d", "page": 2, "json": "no json"}, {"doc_id": "e", "page": 0, "json": None})))
+    follow(spark, str(source), str(table), str(tmp_path / "cp")).awaitTermination()
+    got = {r.doc_id: r[1:] for r in ingested(spark, str(table)).collect()}
+    assert got == {"d": (3, 1, 1, 1, 1, "pages failed"), "e": (1, 1, 0, 0, 0, "nothing extracted")}

@@ -83,9 +83,34 @@ def filled(*options: Column) -> Column:
     return F.coalesce(*[F.when(~F.coalesce(o, F.lit("")).isin("", "0", "0.0", "false"), o) for o in options], F.lit(""))
 
 
+def bare_json() -> Column:
+    """The JSON of a page without the code fences around it."""
+    return F.regexp_replace(F.trim("json"), r"(?s)^```(?:json)?\s*|\s*```$", "")
+
+
+def page_status(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, failed): pages whose extraction is missing, too large or no JSON have failed; an empty one has not."""
+    readable = (F.length("json") <= MAX_JSON) & F.get_json_object(bare_json(), "$").isNotNull()
+    return pages.select("doc_id", "page", (~F.coalesce(readable, F.lit(False))).alias("failed"))
+
+
+def ingest_counts(status: DataFrame, **facts: DataFrame) -> DataFrame:
+    """Per document: total_pages, pages_failed, the number of facts of each kind (``units`` gives units_count), and note.
+
+    ``note``: "nothing extracted", "pages failed" or null. Facts are counted before they are joined.
+    """
+    out = status.groupBy("doc_id").agg(F.count("*").alias("total_pages"), F.count_if("failed").alias("pages_failed"))
+    total = F.lit(0)
+    for kind, table in facts.items():
+        name = f"{kind}_count"
+        out = out.join(table.groupBy("doc_id").agg(F.count("*").alias(name)), "doc_id", "left").na.fill(0, [name])
+        total = total + F.col(name)
+    return out.withColumn("note", F.when(total == 0, "nothing extracted").when(F.col("pages_failed") > 0, "pages failed"))
+
+
 def parsed(pages: DataFrame) -> DataFrame:
     """(doc_id, page, e): extractions; code fences are stripped, and text that is no JSON or too large is an empty extraction."""
-    bare = F.regexp_replace(F.trim("json"), r"(?s)^```(?:json)?\s*|\s*```$", "")
+    bare = bare_json()
     return pages.select("doc_id", "page", F.from_json(F.when(F.length("json") <= MAX_JSON, bare), RAW, {"mode": "PERMISSIVE"}).alias("e"))
 
 

@@ -8,25 +8,36 @@ from pyspark.sql.streaming import StreamingQuery
 
 from veritab.operators.checks import latest
 from veritab.schemas import PAGE_EXTRACTIONS
-from veritab.sources.extractions import units
+from veritab.sources.extractions import bijections, grids, ingest_counts, page_status, units
 
 
 def arriving_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(PAGE_EXTRACTIONS).json(path)
 
 
+#: What is kept of arriving pages, and what names a row of it.
+KINDS = {"units": (units, ["doc_id", "page", "id"]), "bijections": (bijections, ["doc_id", "page", "id"]), "grids": (grids, ["doc_id", "page", "id"]), "pages": (page_status, ["doc_id", "page"])}
+
+
 def follow(spark: SparkSession, source: str, table: str, checkpoint: str) -> StreamingQuery:
-    """Appends the units of arriving pages to ``table``, one folder of it per batch, written over when a batch runs again. ``current`` reads the last writes."""
+    """Appends what arriving pages hold to ``table``: a folder for each of KINDS, and in it one per batch, written over when a batch runs again. ``current`` reads the last writes."""
 
     def write(batch: DataFrame, number: int) -> None:
-        units(batch).withColumn("write_seq", F.lit(number)).write.mode("overwrite").parquet(f"{table}/batch={number}")
+        for kind, (make, _) in KINDS.items():
+            make(batch).withColumn("write_seq", F.lit(number)).write.mode("overwrite").parquet(f"{table}/{kind}/batch={number}")
 
     return arriving_pages(spark, source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, table: str) -> DataFrame:
-    """The last written row of each unit."""
-    return latest(spark.read.parquet(table).drop("batch"), ["doc_id", "page", "id"], "write_seq")
+def current(spark: SparkSession, table: str, kind: str = "units") -> DataFrame:
+    """The last written row of each unit, mapping, table or page; of a page that came again, only what it held last."""
+    rows, last = spark.read.parquet(f"{table}/{kind}").drop("batch"), spark.read.parquet(f"{table}/pages").groupBy("doc_id", "page").agg(F.max("write_seq").alias("write_seq"))
+    return latest(rows.join(last, ["doc_id", "page", "write_seq"], "left_semi"), KINDS[kind][1], "write_seq")
+
+
+def ingested(spark: SparkSession, table: str) -> DataFrame:
+    """What has been ingested of each document."""
+    return ingest_counts(current(spark, table, "pages"), **{kind: current(spark, table, kind) for kind in ("units", "bijections", "grids")})
 
 
 def usage_by_window(events: DataFrame, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
