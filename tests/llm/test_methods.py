@@ -19,7 +19,7 @@ from veritab.llm.decontamination import contaminated, decontaminate
 from veritab.llm.exact_dedup import exact_dedup
 from veritab.llm.line_dedup import fuzzy_lines
 from veritab.llm.mixing import mix, mix_report
-from veritab.llm.quality import importance_resample, select_top
+from veritab.llm.quality import importance_resample, select_top, with_ids
 from veritab.llm.substring_dedup import later_copies, substring_dedup
 from veritab.llm.token_output import EliasFano, Encoder, default_tokenizer, document_boundaries, find_documents, token_output, write_tokens
 
@@ -267,6 +267,15 @@ def test_importance_resampling(spark):
     assert {r.doc_id for r in top} == {r.doc_id for r in got if r.selected}
 
 
+def test_rows_with_ids(spark):
+    rng = random.Random(14)
+    some = [rng.randrange(-100_000, 100_000) for _ in range(500)] + [0, 1, -1, 32768, 32769, -32768, 1 << 40, None]
+    rows = spark.createDataFrame([(i,) for i in [*range(-40_000, 40_000, 7), *some]], "id long")
+    ids = spark.createDataFrame([(i,) for i in some[::2] + [0, 32769, None]], "id long")
+    want = Counter(r.id for r in rows.collect() if r.id in {i for i in [*some[::2], 0, 32769] if i is not None})
+    assert Counter(r.id for r in with_ids(rows, ids).collect()) == want
+
+
 def test_select_top_with_ties(spark):
     rows = spark.createDataFrame([(i, i, float(i % 3)) for i in range(90)], "doc_id long, rid long, k double")
     got = {r.doc_id for r in select_top(rows, "k", 0.5).where("selected").collect()}
@@ -365,7 +374,7 @@ def test_log_weights(spark):
         counts[0].update(grams(t))
         if i in good:
             counts[1].update(grams(t))
-    buckets = 1 << 20
+    buckets = 1 << 22
     total = [sum(c.values()) + buckets for c in counts]
     for r in importance_resample(frame(spark, rows), labels, buckets=buckets).collect():
         g = grams(dict(rows)[r.doc_id])
