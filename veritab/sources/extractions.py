@@ -30,7 +30,7 @@ CELL_OBJECTS = "array<struct<row:string,col:string,value:string,text:string,cont
 
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Files with whether each is a PDF that may be ingested, its hash and why not."""
+    """Files with whether each is a PDF that may be ingested, its hash and why not. (Spark's reader may leave out files without any bytes.)"""
     rows = spark.read.format("binaryFile").load(path)
     why = (
         F.when(~F.lower("path").endswith(".pdf"), "suffix").when(F.col("length") == 0, "empty").when(F.col("length") > MAX_BYTES, "too large")
