@@ -374,7 +374,7 @@ def test_log_weights(spark):
         counts[0].update(grams(t))
         if i in good:
             counts[1].update(grams(t))
-    buckets = 1 << 22
+    buckets = 4_000_037
     total = [sum(c.values()) + buckets for c in counts]
     for r in importance_resample(frame(spark, rows), labels, buckets=buckets).collect():
         g = grams(dict(rows)[r.doc_id])
