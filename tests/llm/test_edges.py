@@ -43,6 +43,30 @@ def test_one_row_per_document(spark, name):
     assert OPS[name](messy(spark, [])).count() == 0
 
 
+def values(rows, *columns):
+    """The given columns of each row, by id; ids with several rows have several."""
+    found = {}
+    for r in rows:
+        found.setdefault(r.doc_id, []).append(tuple(r[c] for c in columns))
+    return {k: sorted(v, key=str) for k, v in found.items()}
+
+
+def test_values_on_messy_rows(spark):
+    d = messy(spark)
+    sizes = {1: [(8,)], 2: [(0,)], 3: [(0,)], 4: [(2,), (2,), (6,)], None: [(0,), (8,)], 7: [(30_000,)], 8: [(1,)], 9: [(3,)], 10: [(3,)]}
+    got = mix_report(d).collect()
+    assert values(got, "size") == sizes and all(r.taken <= 3 * r.size for r in got)
+    said = identify_languages(d).collect()
+    assert {r.doc_id for r in said if r.lang_pred == "und"} >= {2, 3, 8, None} and all(0 <= r.score <= 1 for r in said)
+    rows = toxicity(d, labels(spark)).collect()
+    score = values(rows, "score")
+    assert score[2] == score[3] == score[8] and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
+    weights = values(importance_resample(d, labels(spark)).collect(), "n_ngrams")
+    assert weights[2] == weights[3] == weights[8] == [(0,)] and weights[4] == [(11,), (3,), (3,)] and weights[7] == [(59_999,)]
+    near = values(near_duplicates(d).collect(), "cluster_id", "kept")
+    assert near[4] == [(4, False), (4, True), (4, True)] and near[1] == [(None, False)] and near[2] == [(2, True)] and near[8] == [(8, True)]
+
+
 def test_decontamination_edges(spark):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "one two"), (4, "12 34 56"), (6, "another text here"), (5, "alpha beta gamma delta epsilon zeta eta theta")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in contaminated(messy(spark), items).collect()}

@@ -180,6 +180,12 @@ def test_near_duplicates(spark):
     assert {r.doc_id for r in got if r.kept} == set(want)
 
 
+def test_copies_of_texts_without_words(spark):
+    rows = [(1, "-----"), (2, "-----"), (3, "----"), (4, ""), (5, ""), (6, None), (7, "日本語の文章"), (8, "日本語の文章")]
+    got = {r.doc_id: r.cluster_id for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 8: 7}
+
+
 def test_decontamination(spark):
     items = spark.createDataFrame([(1, "A train leaves at 30 km per hour and Anna waits 30 minutes while the other train takes 45 minutes to arrive there")], "item_id long, text string")
     same = "x y z. A train leaves at 80 km per hour and Maria waits 80 minutes while the other train takes 12 minutes to arrive there now"

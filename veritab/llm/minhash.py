@@ -9,6 +9,7 @@ shingle stops as soon as its arrivals are later than all registers.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from veritab.llm._components import components_of_buckets
 from veritab.llm._runtime import materialise
-from veritab.llm._words import GOLDEN, U64, mix, pieces, sequence_digest, shingles, words
+from veritab.llm._words import GOLDEN, U64, mix, pieces, sequence_digest, shingles, text_bytes, words
 
 SKETCH = "doc_id long, rid long, row_key string, vertex binary, bands array<long>"
 
@@ -94,12 +95,13 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, n: int, rows: int, bands
             one, two = sequence_digest(w)
             full = w.counts > 0
             vertex = np.stack([one, two], axis=1).astype(">u8").tobytes()
-            has = pa.array(~full)
+            _, at = text_bytes(piece.column(3))
+            marks = {i: hashlib.md5(piece.column(3)[i].as_py().encode()).digest() for i in np.flatnonzero(~full & (np.diff(at) > 0))}  # texts of signs only
             offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(full, bands, 0))]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     *piece.columns[:3],
-                    pa.array([None if empty else vertex[16 * i : 16 * i + 16] for i, empty in enumerate(has.to_pylist())], pa.binary()),
+                    pa.array([vertex[16 * i : 16 * i + 16] if words_ else marks.get(i) for i, words_ in enumerate(full.tolist())], pa.binary()),
                     pa.ListArray.from_arrays(offsets, pa.array(keys[full].ravel())),
                 ],
                 names=["doc_id", "rid", "row_key", "vertex", "bands"],
@@ -234,8 +236,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are connected components. At a similarity of 0.8 a pair shares a band with
     probability 0.9999. One document of each class is kept, that of the smallest id
     (null first). A document of fewer than ``n`` words is one shingle; one without
-    words, or null, is a class of its own. Other columns are ignored; an empty table
-    gives an empty result. Only vertices (distinct word sequences) are compared, so
+    words meets exact copies only; an empty or null one is a class of its own. A text in a
+    script without spaces is one word, so only its exact copies (but for signs) are found.
+    Other columns are ignored; an empty table gives an empty result. Only vertices (distinct word sequences) are compared, so
     exact copies cost nothing.
     """
     table = materialise(sketch(docs, id_col, text_col, n, rows, bands))
