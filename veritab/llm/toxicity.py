@@ -91,14 +91,14 @@ class BiGru:
         s, n = self.settings, np.uint64(self.settings.buckets)
         out = np.zeros((len(example), s.inputs), F32)
         out[:, : s.word_dims] = self.p["word"][(w.hash[example] % n).astype(np.int64)]
-        for lo in range(0, len(example), 20_000):
-            some = example[lo : lo + 20_000]
+        for lo in range(0, len(example), 5_000):
+            some = example[lo : lo + 5_000]
             owner, gram = char_ngrams(w.data, w.start[some], w.end[some], NGRAMS)
             gram = (gram % n).astype(np.int64)
             count = np.maximum(np.bincount(owner, minlength=len(some)), 1)
             for j in range(s.char_dims):
-                out[lo : lo + 20_000, s.word_dims + j] = np.bincount(owner, self.p["char"][gram, j], len(some)) / count
-            out[lo : lo + 20_000, s.word_dims + s.char_dims] = highest(owner, self.p["char"][gram, 0], len(some))
+                out[lo : lo + 5_000, s.word_dims + j] = np.bincount(owner, self.p["char"][gram, j], len(some)) / count
+            out[lo : lo + 5_000, s.word_dims + s.char_dims] = highest(owner, self.p["char"][gram, 0], len(some))
         for j, bucket in enumerate(prefixes(w, example, s.buckets)):
             out[:, s.word_dims + s.char_dims + 1 + j] = self.p["prefix"][bucket]
         return out
