@@ -12,6 +12,7 @@ from veritab.llm.decontamination import contaminated
 from veritab.llm.exact_dedup import exact_dedup
 from veritab.llm.language_id import identify_languages
 from veritab.llm.line_dedup import line_report
+from veritab.llm.merkle import merkle_manifest
 from veritab.llm.minhash import near_duplicates
 from veritab.llm.mixing import mix_report
 from veritab.llm.quality import importance_resample
@@ -19,6 +20,7 @@ from veritab.llm.spelling import spelling_variants
 from veritab.llm.substring_dedup import substring_dedup
 from veritab.llm.token_output import token_output
 from veritab.llm.toxicity import toxicity
+from veritab.llm.url_filter import RULES, url_verdicts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +71,15 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model learns from the pages that a rule decides."""
+    return url_verdicts(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_substring_dedup": op2_substring_dedup,
@@ -81,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_near_dedup": op10_near_dedup,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_url_filter": op13_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
