@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,11 +66,36 @@ def keyword_overlap(question: Column, text: Column) -> Column:
     return F.size(F.filter(words_of(question), lambda w: (F.char_length(w) > 1) & F.contains(low, w)))
 
 
+#: Suffix in lower case -> its kind and unit. Suffixes of different kinds never end at the same place of a word, so one search for all finds what one for each kind would.
+SUFFIXES = {suffix: {"kind": kind, "unit": unit} for kind, (_, _, units) in MEASUREMENTS.items() for suffix, unit in units.items()}
+ANY_MEASUREMENT = rf"(?iu)[+-]?\d+(?:\.\d+)?\s*(?:{'|'.join(written for _, written, _ in MEASUREMENTS.values())})\b"
+READINGS = "array<struct<kind:string,value:double,unit:string>>"
+
+
+def readings(text: Column) -> Column:
+    """array<struct<kind, value, unit>> of the measurements of all kinds in ``text``, from left to right, by one search.
+
+    A sign counts where the kind allows one.
+    """
+    table = F.from_json(F.lit(json.dumps(SUFFIXES)), "map<string,struct<kind:string,unit:string>>")
+    signed = [kind for kind, (sign, _, _) in MEASUREMENTS.items() if sign]
+    given = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  (reckons x once)
+
+    def read(found: Column) -> Column:
+        suffix = F.translate(found, "0123456789.+- \t\n\x0b\f\r", "")
+        plain = F.substring(found, F.lit(1), F.char_length(found) - F.char_length(suffix))
+        what = F.element_at(table, F.replace(F.lower(suffix), F.lit("μ"), F.lit("µ")))
+        value = F.translate(plain, " \t\n\x0b\f\r", "").cast("double")
+        return given(F.struct(what.alias("w"), value.alias("v")), lambda x: F.struct(x["w"]["kind"].alias("kind"), F.when(x["w"]["kind"].isin(signed), x["v"]).otherwise(F.abs(x["v"])).alias("value"), x["w"]["unit"].alias("unit")))
+
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ANY_MEASUREMENT), F.lit(0)), read)
+
+
+def of_kind(found: Column, kind: str) -> Column:
+    """array<struct<value, unit>> of the readings of one kind."""
+    return F.transform(F.filter(found, lambda r: r["kind"] == kind), lambda r: F.struct(r["value"].alias("value"), r["unit"].alias("unit")))
+
+
 def measurements(kind: str, text: Column) -> Column:
     """array<struct<value, unit>> of the measurements of one kind in ``text``, from left to right."""
-    signed, suffixes, unit = MEASUREMENTS[kind]
-    pattern = rf"(?iu)({'[+-]?' if signed else ''}\d+(?:\.\d+)?)\s*({suffixes})\b"
-    units = F.create_map(*[F.lit(x) for pair in unit.items() for x in pair])
-    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("u"))
-    lower = lambda u: F.replace(F.lower(u), F.lit("μ"), F.lit("µ"))
-    return F.transform(both, lambda p: F.struct(p["n"].cast("double").alias("value"), F.coalesce(units[lower(p["u"])], p["u"]).alias("unit")))
+    return of_kind(readings(text), kind)

@@ -5,34 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritab.functions.text import has_any, number
+from veritab.functions.keywords import Keywords, once
+from veritab.operators.facts import DEFAULT, prepared
+from veritab.operators.rule_table import PARAMETERS
 
-# Label, direction (which end is best), context keywords, label keywords, units, query triggers.
-PARAMETERS = {
-    "max_voltage": ("Maximum Voltage", "lower", ["maximum voltage", "max voltage", "absolute max"], ["vmax", "vcc max", "absolute max"], ["V"], ["max voltage", "maximum voltage", "absolute max"]),
-    "supply_voltage": ("Supply Voltage", "neutral", ["supply voltage", "operating voltage"], ["vcc", "vdd"], ["V"], ["supply voltage", "operating voltage", "vcc", "vdd"]),
-    "thermal_resistance": ("Thermal Resistance (θJA)", "lower", ["thermal resistance", "theta", "θja", "junction to ambient"], ["θja", "rthja"], ["°C/W", "C/W", "K/W"], ["thermal resistance", "θja", "theta", "rthja"]),
-    "max_current": ("Maximum Current", "lower", ["maximum current", "max current"], ["imax", "icc max"], ["A", "mA"], ["max current", "maximum current"]),
-    "operating_temperature": ("Operating Temperature Range", "higher", ["operating temperature", "temperature range"], ["topr", "ta"], ["°C", "C"], ["operating temp", "temperature range", "85°c", "85c"]),
-    "power_dissipation": ("Power Dissipation", "lower", ["power dissipation", "max power"], ["pd", "ptot"], ["W", "mW"], ["power dissipation", "power consumption"]),
-}
+NAMED = Keywords({name: p[5] for name, p in PARAMETERS.items()})
 
 
 def detected(question: Column) -> Column:
     """The parameters that a question names; all if none."""
-    q = F.lower(F.coalesce(question, F.lit("")))
-    hits = F.array_compact(F.array(*[F.when(has_any(q, p[5]), F.lit(name)) for name, p in PARAMETERS.items()]))
-    return F.when(F.size(hits) > 0, hits).otherwise(F.array(*[F.lit(name) for name in PARAMETERS]))
+    bits = F.create_map(*[F.lit(x) for name in PARAMETERS for x in (name, NAMED.mask(name))]).cast("map<string,bigint>")
+    names = F.array(*[F.lit(name) for name in PARAMETERS])
+    named = lambda tags: F.filter(names, lambda name: F.element_at(bits, name).bitwiseAND(tags) != 0)
+    return F.transform(NAMED.tags(F.lower(question)), lambda tags: F.when(tags != 0, named(tags)).otherwise(names))[0]
 
 
 def compare(units: DataFrame, documents: DataFrame, question: Column | None = None) -> DataFrame:
     """One row per parameter and document of ``documents`` (doc_id, doc_ord): the document's first matching numeric fact (null: none),
     and whether it is the best one; ties go to the first document. Values are compared as they stand, whatever their unit."""
-    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
-    hit = lambda p: (has_any(low("context"), p[2]) | has_any(low("label"), p[3])) & low("unit_of_measure").isin([u.lower() for u in p[4]])
-    rows = units.withColumn("value", F.coalesce("value_num", number(F.col("value_str")))).where("value is not null")
-    rows = rows.join(documents, "doc_id", "left_semi")
-    rows = rows.withColumn("parameter", F.explode(F.array_compact(F.array(*[F.when(hit(p), F.lit(name)) for name, p in PARAMETERS.items()]))))
+    facts = prepared(units.join(documents, "doc_id", "left_semi"), scan=False).where("value is not null")
+    hits = once(facts, hits=DEFAULT.hits(F.lower("unit_of_measure"), {("parameter", name): p[4] for name, p in PARAMETERS.items()}))
+    named = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(DEFAULT.context.mask(("parameter", name))).cast("bigint").alias("bit")) for name in PARAMETERS])
+    rows = hits.where("hits <> 0").withColumn("parameter", F.explode_outer(F.transform(F.filter(named, lambda n: n["bit"].bitwiseAND(F.col("hits")) != 0), lambda n: n["name"])))
     fact = rows.groupBy("doc_id", "parameter").agg(F.min_by(F.struct("value", F.col("unit_of_measure").alias("unit"), F.col("id").alias("source_id"), "page"), "fact_ord").alias("f"))
     wanted = detected(question) if question is not None else F.array(*[F.lit(name) for name in PARAMETERS])
     grid = documents.withColumn("parameter", F.explode(wanted))

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.intent import matches
-from veritab.functions.text import has_any, number
+from veritab.functions.keywords import once
 from veritab.operators.confidence import canonical_quality, overall
+from veritab.operators.facts import DEFAULT, prepared
+from veritab.operators.rule_table import LOOKUPS, OUTPUTS
 
 # What asks for each derivation, and the facts it needs: context | label -> units.
 TRIGGERS = {
@@ -20,28 +22,20 @@ TRIGGERS = {
     "margin": r"(voltage\s+margin|how\s+close.*abs.*max|margin.*voltage|voltage.*headroom|operating.*vs.*max)",
     "budget": r"(current\s+budget|total.*current|sum.*current|current.*sum)",
 }
-LOOKUPS = {
-    "volt": (["supply voltage", "operating voltage", "vcc", "vdd"], ["vcc", "vdd", "supply"], ["V", "mV"]),
-    "amp": (["supply current", "operating current", "icc", "idd"], ["icc", "idd", "supply current"], ["A", "mA", "uA"]),
-    "theta": (["thermal resistance", "theta", "θja", "junction to ambient"], ["θja", "theta", "rthja", "thermal"], ["°C/W", "C/W", "K/W"]),
-    "watt": (["power dissipation", "total power"], ["pd", "power"], ["W", "mW"]),
-    "tj_max": (["maximum junction temperature", "junction temp"], ["tj max", "tjmax"], ["°C", "C"]),
-    "volt_near": (["supply voltage", "vcc"], ["vcc", "vdd"], ["V", "mV"]),
-    "amp_near": (["supply current", "icc"], ["icc", "idd"], ["A", "mA"]),
-    "v_op": (["supply voltage", "operating voltage", "typical supply"], ["vcc", "vdd", "supply"], ["V"]),
-    "v_abs": (["absolute maximum voltage", "absolute max voltage"], ["absolute max", "vcc max", "abs max"], ["V"]),
-    "v_top": (["maximum voltage", "max voltage"], ["vcc max", "vmax"], ["V"]),
-    "supply": (["supply current", "total current", "icc max", "maximum supply"], ["icc", "idd", "supply current"], ["A", "mA"]),
-}
-OUTPUTS = (["output current", "pin current", "io"], ["io", "iout", "output"], ["A", "mA"])
 AMBIENT = 25.0
 
 
-def found(context: list[str], label: list[str], units: list[str]) -> Column:
-    """Whether a numeric fact matches by context or label, and by unit (without regard to case)."""
-    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
-    hit = has_any(low("context"), context) | has_any(low("label"), label)
-    return hit & low("unit_of_measure").isin([u.lower() for u in units]) & F.col("value").isNotNull()
+WANTED = {("lookup", name): how[2] for name, how in {**LOOKUPS, "outputs": OUTPUTS}.items()}
+
+
+def matched(units: DataFrame) -> DataFrame:
+    """Numeric facts, prepared, with ``hits``: the lookups that they match by context or label, and by unit (without regard to case)."""
+    facts = units if "ctx_tags" in units.columns else prepared(units, scan=False)
+    return once(facts.where("value is not null"), hits=DEFAULT.hits(F.lower("unit_of_measure"), WANTED)).where("hits <> 0")
+
+
+def found(name: str) -> Column:
+    return F.col("hits").bitwiseAND(F.lit(DEFAULT.context.mask(("lookup", name)))) != 0
 
 
 def volts(value: Column, unit: Column) -> Column:
@@ -56,13 +50,13 @@ def amps(value: Column, unit: Column) -> Column:
 def per_document(units: DataFrame) -> DataFrame:
     """One row per document with the first fact of each lookup (null: none), and the outputs' sum in the supply's unit."""
     quality = canonical_quality(F.lit(True), F.col("bbox").isNotNull(), F.col("unit_of_measure").isNotNull(), F.col("label").isNotNull(), F.col("context").isNotNull())
-    rows = units.withColumn("value", F.coalesce("value_num", number(F.col("value_str")))).where("value is not null")
-    fact = F.struct("value", F.col("unit_of_measure").alias("unit"), "id", F.coalesce("extraction_agreement", F.lit(0.5)).alias("agreement"), quality.alias("quality"), "page", "bbox", F.col("origin.x").alias("x"), F.col("origin.y").alias("y"))
-    firsts = [F.min_by(F.when(found(*how), fact), F.when(found(*how), F.col("fact_ord"))).alias(name) for name, how in LOOKUPS.items()]
-    out, unit = found(*OUTPUTS), F.lower("unit_of_measure")
+    rows = matched(units)
+    fact = F.struct("value", F.col("unit_of_measure").alias("unit"), "id", "agreement", quality.alias("quality"), "page", "bbox", "x", "y")
+    firsts = [F.min_by(F.when(found(name), fact), F.when(found(name), F.col("fact_ord"))).alias(name) for name in LOOKUPS]
+    out, unit = found("outputs"), F.lower("unit_of_measure")
     sums = [
         F.count_if(out).alias("n_out"), F.sum(F.when(out & (unit == "a"), F.col("value"))).alias("sum_a"), F.sum(F.when(out & (unit == "ma"), F.col("value"))).alias("sum_ma"),
-        F.min(F.when(out, F.coalesce("extraction_agreement", F.lit(0.5)))).alias("out_agreement"),
+        F.min(F.when(out, F.col("agreement"))).alias("out_agreement"),
     ]
     return rows.groupBy("doc_id").agg(*firsts, *sums)
 
@@ -72,7 +66,7 @@ def least(*facts: str, of: str = "agreement") -> Column:
 
 
 def derivations(units: DataFrame) -> DataFrame:
-    """(doc_id, power, thermal, margin, budget): structs of value, unit, second (a second figure), score, the first source's place and
+    """(doc_id, power, thermal, margin, budget), of documents with a fact that a derivation needs; ``units`` may be prepared. Structs of value, unit, second (a second figure), score, the first source's place and
     ``proof``, the places of all sources; null where not derivable. A budget's proof is the supply; its outputs, which have no bound, are ``budget_outputs``."""
     d = per_document(units)
     v, i = volts(F.col("volt.value"), F.col("volt.unit")), amps(F.col("amp.value"), F.col("amp.unit"))
@@ -104,8 +98,7 @@ def derivations(units: DataFrame) -> DataFrame:
 
 def budget_outputs(units: DataFrame) -> DataFrame:
     """The facts that the documents' budgets count as outputs, with their places: a row each."""
-    rows = units.withColumn("value", F.coalesce("value_num", number(F.col("value_str")))).where(found(*OUTPUTS))
-    return rows.select("doc_id", "fact_ord", "id", "value", F.col("unit_of_measure").alias("unit"), "page", "origin", "bbox")
+    return matched(units).where(found("outputs")).select("doc_id", "fact_ord", "id", "value", F.col("unit_of_measure").alias("unit"), "page", F.struct("x", "y").alias("origin"), "bbox")
 
 
 def asks(question: Column) -> Column:

@@ -206,3 +206,27 @@ TOPICS = [
     (("frequency", "clock", "speed", "hz"), ("HZ", "KHZ", "MHZ", "GHZ"), "frequency"),
     (("resistance", "ohm", "impedance", " ω "), ("Ω", "OHM", "OHMS", "KΩ", "MΩ"), None),
 ]
+# The parameters of comparisons: label, direction (which end is best), context keywords, label keywords, units, query triggers.
+PARAMETERS: dict[str, tuple[str, str, list[str], list[str], list[str], list[str]]] = {
+    "max_voltage": ("Maximum Voltage", "lower", ["maximum voltage", "max voltage", "absolute max"], ["vmax", "vcc max", "absolute max"], ["V"], ["max voltage", "maximum voltage", "absolute max"]),
+    "supply_voltage": ("Supply Voltage", "neutral", ["supply voltage", "operating voltage"], ["vcc", "vdd"], ["V"], ["supply voltage", "operating voltage", "vcc", "vdd"]),
+    "thermal_resistance": ("Thermal Resistance (θJA)", "lower", ["thermal resistance", "theta", "θja", "junction to ambient"], ["θja", "rthja"], ["°C/W", "C/W", "K/W"], ["thermal resistance", "θja", "theta", "rthja"]),
+    "max_current": ("Maximum Current", "lower", ["maximum current", "max current"], ["imax", "icc max"], ["A", "mA"], ["max current", "maximum current"]),
+    "operating_temperature": ("Operating Temperature Range", "higher", ["operating temperature", "temperature range"], ["topr", "ta"], ["°C", "C"], ["operating temp", "temperature range", "85°c", "85c"]),
+    "power_dissipation": ("Power Dissipation", "lower", ["power dissipation", "max power"], ["pd", "ptot"], ["W", "mW"], ["power dissipation", "power consumption"]),
+}
+# The facts that derivations need: context | label -> units; and those that are outputs.
+LOOKUPS = {
+    "volt": (["supply voltage", "operating voltage", "vcc", "vdd"], ["vcc", "vdd", "supply"], ["V", "mV"]),
+    "amp": (["supply current", "operating current", "icc", "idd"], ["icc", "idd", "supply current"], ["A", "mA", "uA"]),
+    "theta": (["thermal resistance", "theta", "θja", "junction to ambient"], ["θja", "theta", "rthja", "thermal"], ["°C/W", "C/W", "K/W"]),
+    "watt": (["power dissipation", "total power"], ["pd", "power"], ["W", "mW"]),
+    "tj_max": (["maximum junction temperature", "junction temp"], ["tj max", "tjmax"], ["°C", "C"]),
+    "volt_near": (["supply voltage", "vcc"], ["vcc", "vdd"], ["V", "mV"]),
+    "amp_near": (["supply current", "icc"], ["icc", "idd"], ["A", "mA"]),
+    "v_op": (["supply voltage", "operating voltage", "typical supply"], ["vcc", "vdd", "supply"], ["V"]),
+    "v_abs": (["absolute maximum voltage", "absolute max voltage"], ["absolute max", "vcc max", "abs max"], ["V"]),
+    "v_top": (["maximum voltage", "max voltage"], ["vcc max", "vmax"], ["V"]),
+    "supply": (["supply current", "total current", "icc max", "maximum supply"], ["icc", "idd", "supply current"], ["A", "mA"]),
+}
+OUTPUTS = (["output current", "pin current", "io"], ["io", "iout", "output"], ["A", "mA"])

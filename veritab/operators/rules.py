@@ -3,9 +3,8 @@
 What a rule says about a document does not depend on the question, but for four
 rules. So questions first pass the gates, which need no facts; each rule that any
 question may use is answered once per document, by aggregation over its facts; and
-each question takes the answer of its first rule that has one. Rules are data: an
-array that each fact is held against once, so a fact becomes a row only for the rules
-it is about.
+each question takes the answer of its first rule that has one. Keywords are looked for
+once in a question and once in a fact (``facts.prepared``); rules test the bits.
 """
 
 from __future__ import annotations
@@ -17,24 +16,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.functions import intent
-from veritab.functions.text import blank_null, has_any, keyword_overlap, measurements, normalised, number, words_of
-from veritab.operators.confidence import overall, unit_quality
+from veritab.functions.keywords import TAGS, Keywords, covers, once
+from veritab.functions.text import blank_null, has_any, normalised, words_of
+from veritab.operators.facts import DEFAULT, FactTags, prepared, unit_bits
 from veritab.operators.rule_table import QUESTION_RULES, RULES, TOPICS, Rule
+from veritab.runtime import materialise
 
 PART = "struct<label:string,num:double,str:string,unit:string>"
 #: ``proof``: where each value stands: x, y, page, bbox, source_id, source_type; ``page``, ``x`` and ``y`` are the first one's.
 ANSWER = ["shape", "parts", "proof", "source_id", "source_type", "page", "x", "y", "score"]
-RULE = "struct<priority:int,name:string,family:string,asked:array<array<string>>,context:array<string>,units:array<string>,grid:array<string>,kind:string,classes:array<string>>"
 MOST = max(r.most for r in RULES)  # facts in one answer
-
-
-def rule_array(rules: Iterable[Rule]) -> Column:
-    """The rules as a literal array of structs; their units in capitals."""
-    rows = [
-        {"priority": r.priority, "name": r.name, "family": r.family, "asked": r.asked, "context": r.context, "units": None if r.units is None else [u.upper() for u in r.units],
-         "grid": r.grid, "kind": r.kind, "classes": [c for c, names in intent.RULE_CLASSES.items() if r.name in names]} for r in rules
-    ]
-    return F.from_json(F.lit(json.dumps(rows)), f"array<{RULE}>")
+WHAT_IS_THIS = (("what is this",), ("pin", "voltage", "current", "temperature"))  # fixed values: asks for a description, but not with one of these
 
 
 def part(label: Column, num: Column, text: Column, unit: Column) -> Column:
@@ -55,42 +47,47 @@ def own_proof(of: str = "") -> Column:
     return proof_point(*[F.col(of + c) for c in ("x", "y", "page", "bbox", "id")], "unit")
 
 
-def prepared(units: DataFrame) -> DataFrame:
-    """Units with what all rules need: lower-case context and label, the value as a number, text, and the score of a plain answer."""
-    value = F.coalesce(F.col("value_num"), number(F.col("value_str")))
-    shown = F.coalesce(F.col("value_str"), F.col("value_num").cast("string"))
-    return units.select(
-        "doc_id", "fact_ord", "id", "label", "context", "unit_of_measure", "value_num", "value_str", "page", "bbox",
-        F.col("origin.x").alias("x"), F.col("origin.y").alias("y"),
-        F.lower(F.coalesce("context", F.lit(""))).alias("ctx"), F.lower(F.coalesce("label", F.lit(""))).alias("lbl"), F.upper(F.coalesce("unit_of_measure", F.lit(""))).alias("uom"),
-        value.alias("value"), F.concat_ws(" ", blank_null(shown), blank_null(F.col("label")), blank_null(F.col("context"))).alias("text"),
-        overall(F.coalesce("extraction_agreement", F.lit(0.5)), unit_quality(), F.lit(0.7)).alias("score"),
-    )
+class QuestionTags:
+    """The groups of keywords that questions are tagged with: what each of ``rules`` wants asked, and the topics."""
 
+    def __init__(self, rules: Iterable[Rule] = RULES) -> None:
+        self.rules = tuple(rules)
+        groups = {("asked", r.priority, i): words for r in self.rules for i, words in enumerate(r.asked)}
+        self.index = Keywords(groups | {("topic", i): words for i, (words, _, _) in enumerate(TOPICS)} | {"this": WHAT_IS_THIS[0], "not this": WHAT_IS_THIS[1]})
 
-def holds(text: Column, words: Column) -> Column:
-    """Whether any of an array of words occurs in the text."""
-    return F.exists(words, lambda w: F.contains(text, w))
+    def rule_array(self) -> Column:
+        """The rules as a literal array: priority, need (the tags of a question that asks for it), and the classes of questions that it answers."""
+        rows = [
+            {"priority": r.priority, "this": r.name == "description", "need": self.index.needs(("asked", r.priority, i) for i in range(len(r.asked))), "classes": [c for c, names in intent.RULE_CLASSES.items() if r.name in names]}
+            for r in self.rules
+        ]
+        return F.from_json(F.lit(json.dumps(rows)), f"array<struct<priority:int,this:boolean,need:{TAGS},classes:array<string>>>")
 
 
-def gates(questions: DataFrame, use_intent: bool = True, extra: dict[int, tuple] | None = None) -> DataFrame:
-    """(q_id, doc_id, question, q, intent, priority): the rules that each question may use.
+ASKED = QuestionTags()
+
+
+def gates(questions: DataFrame, use_intent: bool = True, extra: dict[int, tuple] | None = None, asked: QuestionTags = ASKED) -> DataFrame:
+    """(q_id, doc_id, question, q, intent, tags, priority): the rules that each question may use.
 
     ``extra``: rules of the user's own, priority -> (name, gate, plan). ``gate``: normalised
     question column -> condition; ``plan``: (questions with q_id, doc_id and question,
     prepared facts) -> q_id and the columns ANSWER.
     """
-    rows = questions.withColumn("q", normalised(F.col("question"))).withColumn("intent", intent.classify(F.col("question")) if use_intent else F.lit("general_question"))
-    q, kind = F.col("q"), F.col("intent")
-    any_topic = has_any(q, [w for words, _, _ in TOPICS for w in words])
-    what_is_this = has_any(q, ["what is this"]) & ~has_any(q, ["pin", "voltage", "current", "temperature"])
-    asked = lambda r: F.forall(r["asked"], lambda g: holds(q, g)) | ((r["name"] == "description") & what_is_this)
+    rows = once(questions, q=normalised(F.col("question")), intent=intent.classify(F.col("question")) if use_intent else F.lit("general_question"))
+    rows = once(rows, tags=asked.index.tags(F.col("q")))
+    q, kind, tags = F.col("q"), F.col("intent"), F.col("tags")
+    any_topic = F.lit(False)
+    for i in range(len(TOPICS)):
+        any_topic = any_topic | asked.index.has(tags, ("topic", i))
+    what_is_this = asked.index.has(tags, "this") & ~asked.index.has(tags, "not this")
+    asks = lambda r: covers(tags, r["need"]) | (r["this"] & what_is_this)
     lets = lambda r: (kind == "general_question") | F.array_contains(r["classes"], kind) | ((F.size(r["classes"]) == 0) & (kind != "out_of_scope"))
-    listed = F.transform(F.filter(rule_array(RULES), lambda r: asked(r) & lets(r)), lambda r: r["priority"])
+    listed = F.transform(F.filter(asked.rule_array(), lambda r: asks(r) & lets(r)), lambda r: r["priority"])
     own = {100: q.rlike(r"pin\s+(?:number\s+)?(\d+)"), 900: any_topic, 950: F.size(words_of(q)) > 0, 1000: F.lit(True)}
     others = [(p, n, own[p]) for p, n in QUESTION_RULES.items()] + [(p, n, gate(q)) for p, (n, gate, _) in (extra or {}).items()]
     open_ = F.array_compact(F.array(*[F.when(gate & intent.allows(kind, name), F.lit(p)) for p, name, gate in others]))
-    return rows.withColumn("priority", F.explode(F.concat(listed, open_)))
+    return rows.withColumn("priority", F.explode_outer(F.concat(listed, open_))).where("priority is not null")
 
 
 def first_of(rows: DataFrame, keys: list[str], order: list[Column], columns: list[str]) -> DataFrame:
@@ -103,65 +100,83 @@ def single(units: DataFrame) -> DataFrame:
     return units.withColumns({"shape": F.lit("value"), "parts": F.array(own_part()), "proof": F.array(own_proof()), "source_id": F.col("id"), "source_type": F.lit("unit")})
 
 
-def about(r: Column) -> Column:
-    """Whether a fact's context or label has one of the rule's keywords; what is stored at a temperature must also say so."""
-    storage = has_any(F.col("ctx"), ["storage"]) | has_any(F.col("lbl"), ["tstg", "storage"])
-    return (holds(F.col("ctx"), r["context"]) | holds(F.col("lbl"), r["context"])) & ((r["name"] != "storage_temperature") | storage)
-
-
-def unit_fits(r: Column) -> Column:
-    return r["units"].isNull() | F.array_contains(F.coalesce(r["units"], F.array().cast("array<string>")), F.col("uom"))
-
-
-MEASURED = "array<struct<value:double,unit:string>>"
-ENTRY = "array<struct<priority:int,family:string,stage:int,v:double,own:boolean,unit:string,cand:int>>"
+VALUE = "struct<cand:int,own:boolean,v:double,unit:string,s1:bigint,s2:bigint>"
+
+
+def value_rows(units: DataFrame, rules: list[Rule], tags: FactTags) -> DataFrame:
+    """``fact_rows`` of rules whose bits stand in the same number of the tags."""
+    word = tags.place(rules[0])[0]
+    bits = lambda chosen: sum(tags.place(r)[1] for r in chosen)
+    lit = lambda mask: F.lit(mask).cast("bigint")
+    family = {name: bits(r for r in rules if r.family == name) for name in ("best", "first", "several", "range")}
+    kinds = {r.kind for r in rules if r.kind}
+    by_kind = lambda name: {k: bits(r for r in rules if r.kind == k and r.family == name) for k in kinds}
+    no_bits, zero = F.bitwise_not, F.lit(0).cast("bigint")
+
+    hit = F.col("ctx_tags")[word].bitwiseOR(F.col("lbl_tags")[word]).bitwiseAND(lit(bits(rules)))
+    storage = bits(r for r in rules if r.name == "storage_temperature")
+    if storage:  # its keywords alone do not do
+        at = tags.context.place["storage"][0]
+        says = (F.col("ctx_tags")[at].bitwiseAND(lit(tags.context.mask("storage"))) != 0) | (F.col("lbl_tags")[at].bitwiseAND(lit(tags.label.mask("storage"))) != 0)
+        hit = F.when(says, hit).otherwise(hit.bitwiseAND(lit(~storage)))
+    allowed: dict[str, int] = {}
+    for r in rules:
+        for u in {u.upper() for u in r.units or ()}:
+            allowed[u] = allowed.get(u, 0) | tags.place(r)[1]
+    fit = unit_bits(allowed, F.col("uom")).bitwiseOR(lit(bits(r for r in rules if r.units is None)))
+    ranges, bests = by_kind("range"), by_kind("best")
+    read = F.aggregate("readings", zero, lambda seen, m: seen.bitwiseOR(unit_bits(ranges, m["kind"])))
+    rows = once(units, hit=hit, fit=fit, read=read)
+
+    hit, fit, has, read = F.col("hit"), F.col("fit"), F.col("value").isNotNull(), F.col("read")
+    both, unfit = hit.bitwiseAND(fit), hit.bitwiseAND(no_bits(fit))
+    best = F.when(has & (F.col("uom") != ""), lit(family["best"])).otherwise(zero)
+    spans = F.when(has, lit(family["range"])).otherwise(lit(family["range"]).bitwiseAND(no_bits(read)))
+    plain = spans.bitwiseOR(lit(family["several"]))
+    own = F.struct(
+        F.lit(0).alias("cand"), F.lit(True).alias("own"), F.col("value").alias("v"), F.col("unit_of_measure").alias("unit"),
+        both.bitwiseAND(plain.bitwiseOR(lit(family["first"])).bitwiseOR(best)).alias("s1"),
+        unfit.bitwiseAND(plain).bitwiseOR(no_bits(hit).bitwiseAND(fit).bitwiseAND(best)).alias("s2"),
+    )
 
+    def reading(m: Column, i: Column) -> Column:
+        to_best, to_range = unit_bits(bests, m["kind"]), F.when(has, zero).otherwise(unit_bits(ranges, m["kind"]))
+        return F.struct(
+            (i + 1).alias("cand"), F.lit(False).alias("own"), m["value"].alias("v"), m["unit"].alias("unit"),
+            both.bitwiseAND(to_best.bitwiseOR(to_range)).alias("s1"), no_bits(both).bitwiseAND(to_best).bitwiseOR(unfit.bitwiseAND(to_range)).alias("s2"),
+        )
 
-def measured(kinds: Iterable[str]) -> Column:
-    """A map from kinds to the measurements in ``text``; texts without a number before a letter or sign have none, and are not searched."""
-    some = F.col("text").rlike(r"\d\s*[a-zA-Zµμ°℃]")
-    kinds = sorted(set(kinds))
-    return F.create_map(*[x for k in kinds for x in (F.lit(k), F.when(some, measurements(k, F.col("text"))).otherwise(F.array().cast(MEASURED)))]) if kinds else F.create_map().cast(f"map<string,{MEASURED}>")
+    values = F.concat(F.array(own.cast(VALUE)), F.transform("readings", reading).cast(f"array<{VALUE}>"))
+    rows = rows.select(*units.columns, F.inline_outer(values)).where("s1 <> 0 or s2 <> 0")
+    table = F.from_json(F.lit(json.dumps([{"priority": r.priority, "family": r.family, "bit": tags.place(r)[1]} for r in rules])), "array<struct<priority:int,family:string,bit:bigint>>")
+    rows = rows.withColumn("r", F.explode_outer(F.filter(table, lambda r: F.col("s1").bitwiseOR(F.col("s2")).bitwiseAND(r["bit"]) != 0)))
+    return rows.select(*units.columns, "r.priority", "r.family", F.when(F.col("s1").bitwiseAND(F.col("r.bit")) != 0, 1).otherwise(2).alias("stage"), "v", "own", "unit", "cand")
 
 
-def fact_rows(units: DataFrame, rules: list[Rule]) -> DataFrame:
-    """A row for each value that a fact has for a rule: priority, family, stage, v, own, unit and cand (its place among the fact's values).
+def fact_rows(units: DataFrame, rules: list[Rule], tags: FactTags = DEFAULT) -> DataFrame:
+    """A row for each value that a fact (prepared with the same ``tags``) has for a rule: priority, family, stage, v, own, unit and cand (its place among the fact's values).
 
     ``stage`` 1: a fact about the rule with its units. Families: first takes stage 1 only;
     range and several any unit as stage 2; best as stage 2 the values of all facts in its units.
     """
-    entry = lambda r, stage, v, own, unit, cand: F.struct(r["priority"].alias("priority"), r["family"].alias("family"), stage.alias("stage"), v.cast("double").alias("v"), own.alias("own"), unit.cast("string").alias("unit"), cand.cast("int").alias("cand"))
-    none, null = F.array().cast(ENTRY), F.lit(None)
-    read = lambda r: F.coalesce(F.try_element_at("measured", r["kind"]), F.array().cast(MEASURED))
-
-    def entries(r: Column) -> Column:
-        fits, hit = unit_fits(r), about(r)
-        stage = F.when(fits, 1).otherwise(2)
-        plain = F.array(entry(r, stage, F.col("value"), F.lit(True), null, F.lit(0)))
-        found = F.transform(read(r), lambda m, i: entry(r, stage, m["value"], F.lit(False), m["unit"], i + 1))
-        best_stage = F.when(fits & hit, 1).otherwise(2)
-        own = F.when(fits & (F.col("uom") != "") & F.col("value").isNotNull(), F.array(entry(r, best_stage, F.col("value"), F.lit(True), F.col("unit_of_measure"), F.lit(0)))).otherwise(none)
-        best = F.concat(own, F.transform(read(r), lambda m, i: entry(r, best_stage, m["value"], F.lit(False), m["unit"], i + 1)))
-        of_range = F.when(F.col("value").isNull() & (F.size(found) > 0), found).otherwise(plain)
-        family = r["family"]
-        return F.when(family == "best", best).when(hit & (family == "range"), of_range).when(hit & ((family == "several") | fits), plain).otherwise(none)
-
-    kinds = [r.kind for r in rules if r.kind and r.family in ("best", "range")]
-    rows = units.withColumn("measured", measured(kinds))
-    return rows.withColumn("entries", F.flatten(F.transform(rule_array(rules), entries))).where(F.size("entries") > 0).select(*units.columns, F.inline("entries"))
+    out = None
+    for word in sorted({tags.place(r)[0] for r in rules}):
+        rows = value_rows(units, [r for r in rules if tags.place(r)[0] == word], tags)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 PAYLOAD = ["id", "label", "context", "value_num", "value_str", "unit_of_measure", "page", "bbox", "x", "y", "score", "v", "own", "unit"]
 
 
-def rule_answers(units: DataFrame, rules: list[Rule], largest: bool = True) -> DataFrame:
+def rule_answers(units: DataFrame, rules: list[Rule], largest: bool = True, tags: FactTags = DEFAULT) -> DataFrame:
     """(doc_id, priority, …ANSWER) of the families first, best (with ``largest`` false: the smallest) and range, in one aggregation.
 
     Of first, the earliest fact; of best, the largest number, ties to the earliest. A range
     goes from the smallest to the largest number: the first of the smallest, the last of the
     largest; of fewer than two facts or numbers, the first fact is the answer.
     """
-    rows = fact_rows(units, rules)
+    rows = fact_rows(units, rules, tags)
     fact, place = F.struct(*PAYLOAD), F.struct("v", "fact_ord", "cand")
     size = F.when(F.col("family") == "best", -F.col("v") if largest else F.col("v"))
     ranged = F.when((F.col("family") == "range") & F.col("v").isNotNull(), place)
@@ -185,10 +200,10 @@ def rule_answers(units: DataFrame, rules: list[Rule], largest: bool = True) -> D
     )
 
 
-def several_facts(units: DataFrame, rules: list[Rule]) -> DataFrame:
+def several_facts(units: DataFrame, rules: list[Rule], tags: FactTags = DEFAULT) -> DataFrame:
     """The first N facts of each document and rule, in order, as one answer, with a proof of each; one alone is a plain answer."""
     most = F.create_map(*[F.lit(x) for r in rules for x in (r.priority, r.most)])[F.col("priority")]
-    rows = fact_rows(units, rules).select("doc_id", "priority", "stage", "fact_ord", F.struct(*PAYLOAD).alias("f"))
+    rows = fact_rows(units, rules, tags).select("doc_id", "priority", "stage", "fact_ord", F.struct(*PAYLOAD).alias("f"))
     order = Window.partitionBy("doc_id", "priority").orderBy("stage", "fact_ord")
     rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= MOST)  # a literal bound: each task passes on so many only
     all_ = F.array_sort(F.collect_list(F.struct("n", "stage", "f")))
@@ -234,8 +249,11 @@ def grid_answer(rows: DataFrame) -> DataFrame:
 
 def grid_by_header(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     """The first table row of each document whose header has a keyword of the rule."""
-    hits = F.transform(F.filter(rule_array(r for r in rules if r.grid), lambda r: holds(F.col("header"), r["grid"])), lambda r: r["priority"])
-    found = grid_answer(rows.withColumn("priority", F.explode(hits)))
+    index = Keywords({r.priority: r.grid for r in rules if r.grid})
+    table = F.from_json(F.lit(json.dumps([{"priority": p, "need": index.needs([p])} for p in index.groups])), f"array<struct<priority:int,need:{TAGS}>>")
+    rows = once(rows, tags=index.tags(F.col("header")))
+    found = rows.withColumn("priority", F.explode_outer(F.transform(F.filter(table, lambda r: covers(F.col("tags"), r["need"])), lambda r: r["priority"])))
+    found = grid_answer(found.where("priority is not null").drop("tags"))
     return first_of(found, ["doc_id", "priority"], [F.col("grid_ord"), F.col("row")], ANSWER)
 
 
@@ -278,20 +296,28 @@ def pin_lookup(asked_: DataFrame, bijections: DataFrame, grid_cells: DataFrame)
     return first_of(by_map.unionByName(by_grid), ["q_id"], [F.col("step")], ANSWER).withColumn("priority", F.lit(100))
 
 
-def unit_by_topic(asked_: DataFrame, units: DataFrame) -> DataFrame:
-    """Rule 900: facts in units of the question's topics, by common words; ties by place on the page, then the earliest."""
-    hits = [F.when(has_any(F.col("q"), list(words)), F.lit(i)) for i, (words, _, _) in enumerate(TOPICS)]
-    topics = asked_.where("priority = 900").select("q_id", "doc_id", "question", F.posexplode(F.array_compact(F.array(*hits))).alias("t_ord", "topic"))
-    entry = lambda i, bonus, p, cand: F.struct(F.lit(i).alias("topic"), F.lit(bonus).alias("bonus"), p.alias("p"), cand.cast("int").alias("cand"))
-    empty = F.array().cast(f"array<struct<topic:int,bonus:int,p:{PART},cand:int>>")
-    found = []
-    for i, (_, names, kind) in enumerate(TOPICS):
-        found.append(F.when(F.col("uom").isin(list(names)), F.array(entry(i, 10, own_part(), F.lit(0)))).otherwise(empty))
-        if kind:
-            found.append(F.transform(F.col("measured")[kind], lambda m, n: entry(i, 5, part(F.lit(None), m["value"], F.lit(None), m["unit"]), n + 1)))  # noqa: B023  (called at once)
-    facts = units.withColumn("measured", measured(kind for _, _, kind in TOPICS if kind)).withColumn("found", F.flatten(F.array(*found))).where(F.size("found") > 0)
-    rows = single(topics.join(facts.select(*units.columns, F.inline("found")), ["doc_id", "topic"])).withColumn("parts", F.array("p"))
-    rows = rows.withColumn("rank", F.col("bonus") + keyword_overlap(F.col("question"), F.col("text")))
+def unit_by_topic(asked_: DataFrame, units: DataFrame, asked: QuestionTags = ASKED) -> DataFrame:
+    """Rule 900: facts in units of the question's topics, by common words; ties by place on the page, then the earliest.
+
+    The words of a question are found before it meets any fact, and the texts of facts are lowered before.
+    """
+    hits = F.array_compact(F.array(*[F.when(asked.index.has(F.col("tags"), ("topic", i)), F.lit(i)) for i in range(len(TOPICS))]))
+    words = F.filter(words_of(F.col("question")), lambda w: F.char_length(w) > 1)
+    topics = once(asked_.where("priority = 900"), words=words).select("q_id", "doc_id", "words", F.posexplode(hits).alias("t_ord", "topic"))
+    of_unit: dict[str, list[int]] = {}
+    for i, (_, names, _) in enumerate(TOPICS):
+        for name in names:
+            of_unit.setdefault(name, []).append(i)
+    by_unit = F.from_json(F.lit(json.dumps(of_unit)), "map<string,array<int>>")
+    by_kind = F.create_map(*[F.lit(x) for i, (_, _, kind) in enumerate(TOPICS) if kind for x in (kind, i)])
+    none = F.array().cast("array<int>")
+    entry = lambda t, bonus, p, cand: F.struct(t.cast("int").alias("topic"), F.lit(bonus).alias("bonus"), p.alias("p"), cand.cast("int").alias("cand"))
+    own = F.transform(F.coalesce(F.try_element_at(by_unit, F.col("uom")), none), lambda t: entry(t, 10, own_part(), F.lit(0)))
+    read = F.transform("readings", lambda m, n: entry(F.try_element_at(by_kind, m["kind"]), 5, part(F.lit(None), m["value"], F.lit(None), m["unit"]), n + 1))
+    columns = ["doc_id", "fact_ord", "id", "label", "context", "value_num", "value_str", "unit_of_measure", "page", "bbox", "x", "y", "score"]
+    facts = units.select(*columns, F.lower("text").alias("low"), F.inline_outer(F.concat(own, read))).where("topic is not null")
+    rows = single(topics.join(facts, ["doc_id", "topic"])).withColumn("parts", F.array("p"))
+    rows = rows.withColumn("rank", F.col("bonus") + F.size(F.filter("words", lambda w: F.contains(F.col("low"), w))))
     return first_of(rows, ["q_id"], [-F.col("rank"), -F.col("y"), -F.col("x"), F.col("fact_ord"), F.col("t_ord"), F.col("cand")], ANSWER).withColumn("priority", F.lit(900))
 
 
@@ -306,24 +332,26 @@ def grid_by_words(asked_: DataFrame, rows: DataFrame) -> DataFrame:
 def unit_by_name(asked_: DataFrame, units: DataFrame) -> DataFrame:
     """Rule 1000: the first fact whose label, or context of four letters or more, stands in the question."""
     longer = lambda c, volt: F.replace(F.replace(F.replace(c, F.lit("temp"), F.lit("temperature")), F.lit("freq"), F.lit("frequency")), F.lit("volt"), F.lit("voltage" if volt else "volt"))
-    q = F.col("q")
-    label = (F.col("lbl") != "") & (F.contains(q, F.col("lbl")) | F.contains(longer(q, True), longer(F.col("lbl"), False)))
-    named = label | ((F.char_length("ctx") > 3) & F.contains(q, F.col("ctx")))
-    names = first_of(units, ["doc_id", "lbl", "ctx"], [F.col("fact_ord")], [c for c in units.columns if c not in ("doc_id", "lbl", "ctx")])  # names repeat: questions meet each once
-    hit = asked_.where("priority = 1000").select("q_id", "doc_id", "q").join(names, "doc_id").where(named)
+    columns = ["fact_ord", "lbl", "ctx", "id", "label", "context", "value_num", "value_str", "unit_of_measure", "page", "bbox", "x", "y", "score"]
+    names = first_of(units, ["doc_id", "lbl", "ctx"], [F.col("fact_ord")], [c for c in columns if c not in ("lbl", "ctx")])  # names repeat: questions meet each once
+    names = once(names.where("lbl <> '' or char_length(ctx) > 3"), long_label=longer(F.col("lbl"), False))
+    q = once(asked_.where("priority = 1000").select("q_id", "doc_id", "q"), long_q=longer(F.col("q"), True))
+    label = (F.col("lbl") != "") & (F.contains("q", "lbl") | F.contains("long_q", "long_label"))
+    named = label | ((F.char_length("ctx") > 3) & F.contains("q", "ctx"))
+    hit = q.join(names, "doc_id").where(named)
     return first_of(single(hit), ["q_id"], [F.col("fact_ord")], ANSWER).withColumn("priority", F.lit(1000))
 
 
-def document_answers(units: DataFrame, bijections: DataFrame, rows: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+def document_answers(units: DataFrame, bijections: DataFrame, rows: DataFrame, rules: list[Rule] | None = None, tags: FactTags = DEFAULT) -> DataFrame:
     """(doc_id, priority, …ANSWER): what each rule says about each document, whatever the question. ``units`` are prepared."""
     rules = RULES if rules is None else rules
     columns = ["doc_id", "priority", *ANSWER, "step"]
     # (answers, step by which they come; rule 800 asks tables first)
     found = [(bijection_rules(bijections).where(F.col("priority").isin([r.priority for r in rules])), F.lit(1)), (grid_by_header(rows, rules), F.when(F.col("priority") == 800, 0).otherwise(2))]
     if one := [r for r in rules if r.family != "several"]:
-        found.append((rule_answers(units, one), F.lit(0)))
+        found.append((rule_answers(units, one, tags=tags), F.lit(0)))
     if several := [r for r in rules if r.family == "several"]:
-        found.append((several_facts(units, several), F.when(F.col("priority") == 800, 2).otherwise(0)))
+        found.append((several_facts(units, several, tags), F.when(F.col("priority") == 800, 2).otherwise(0)))
     union = None
     for answers, step in found:
         answers = answers.withColumn("step", step).select(*columns)
@@ -341,10 +369,13 @@ def dispatch(questions: DataFrame, units: DataFrame, bijections: DataFrame, grid
     """
     from veritab.operators.derived import asks, derive
 
-    asked_ = gates(questions, use_intent, extra)
+    # A question put to a document several times is answered once; q_id names the answer, not the question, from here on.
+    asks_ = materialise(questions.groupBy("doc_id", "question").agg(F.min("q_id").alias("q_id")))
+    asked_ = materialise(gates(asks_, use_intent, extra))
     used = {r.priority for r in asked_.select("priority").distinct().collect()}
-    of_asked = lambda table: table.join(questions.select("doc_id").distinct(), "doc_id", "left_semi")
-    facts, grid_cells, pins = prepared(of_asked(units)), cells(of_asked(grids)), of_asked(bijections)
+    documents = asks_.select("doc_id").distinct()
+    of_asked = lambda table: table.join(documents, "doc_id", "left_semi")
+    facts, grid_cells, pins = materialise(prepared(of_asked(units))), cells(of_asked(grids)), of_asked(bijections)
     rows = grid_rows(grid_cells)
     wanted = asked_.select("q_id", "doc_id", "priority")
     found = wanted.join(document_answers(facts, pins, rows, [r for r in RULES if r.priority in used]), ["doc_id", "priority"]).select("q_id", "priority", *ANSWER)
@@ -355,8 +386,10 @@ def dispatch(questions: DataFrame, units: DataFrame, bijections: DataFrame, grid
     for priority, (_, _, plan) in (extra or {}).items():
         if priority in used:
             found = found.unionByName(plan(asked_.where(F.col("priority") == priority), facts).select("q_id", F.lit(priority).alias("priority"), *ANSWER))
-    found = found.unionByName(derive(questions.where(asks(F.col("question"))), units).where("answered").select("q_id", F.lit(2000).alias("priority"), *ANSWER))
+    found = found.unionByName(derive(asks_.where(asks(F.col("question"))), facts).where("answered").select("q_id", F.lit(2000).alias("priority"), *ANSWER))
     best = first_of(found, ["q_id"], [F.col("priority")], ["priority", *ANSWER])
-    every = questions.withColumn("intent", intent.classify(F.col("question")) if use_intent else F.lit("general_question"))
+    kind = intent.classify(F.col("question")) if use_intent else F.lit("general_question")
+    answered = once(asks_, intent=kind).join(best, "q_id", "left").drop("q_id").withColumnsRenamed({"doc_id": "_doc", "question": "_question"})
     open_ = (F.col("intent") != "out_of_scope") & F.col("priority").isNotNull()
-    return every.join(best, "q_id", "left").select("q_id", "doc_id", "question", "intent", *[F.when(open_, F.col(c)).alias(c) for c in ["priority", *ANSWER]], F.when(open_, "answer").otherwise("refuse").alias("status"))
+    every = questions.join(answered, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("question").eqNullSafe(F.col("_question")), "left")
+    return every.select("q_id", "doc_id", "question", "intent", *[F.when(open_, F.col(c)).alias(c) for c in ["priority", *ANSWER]], F.when(open_, "answer").otherwise("refuse").alias("status"))
