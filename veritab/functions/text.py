@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veritab.functions.keywords import trie_pattern
+
 # Words that do not count, and how measurements are written.
 STOP_WORDS = """what is the of this document a an are for in on at to and or it its how does do that which with from can has have
 be was many much""".split()
@@ -68,7 +70,8 @@ def keyword_overlap(question: Column, text: Column) -> Column:
 
 #: Suffix in lower case -> its kind and unit. Suffixes of different kinds never end at the same place of a word, so one search for all finds what one for each kind would.
 SUFFIXES = {suffix: {"kind": kind, "unit": unit} for kind, (_, _, units) in MEASUREMENTS.items() for suffix, unit in units.items()}
-ANY_MEASUREMENT = rf"(?iu)[+-]?\d+(?:\.\d+)?\s*(?:{'|'.join(written for _, written, _ in MEASUREMENTS.values())})\b"
+#: No number is tried from its middle, nor without its last digits: what follows would be a digit, and no suffix.
+ANY_MEASUREMENT = rf"(?iu)(?:[+-]|(?<!\d))\d++(?:\.\d++)?+\s*+{trie_pattern(SUFFIXES)}\b"
 READINGS = "array<struct<kind:string,value:double,unit:string>>"
 
 

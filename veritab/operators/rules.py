@@ -25,6 +25,7 @@ from veritab.runtime import materialise
 PART = "struct<label:string,num:double,str:string,unit:string>"
 #: ``proof``: where each value stands: x, y, page, bbox, source_id, source_type; ``page``, ``x`` and ``y`` are the first one's.
 ANSWER = ["shape", "parts", "proof", "source_id", "source_type", "page", "x", "y", "score"]
+SLICES = 16
 MOST = max(r.most for r in RULES)  # facts in one answer
 WHAT_IS_THIS = (("what is this",), ("pin", "voltage", "current", "temperature"))  # fixed values: asks for a description, but not with one of these
 
@@ -35,8 +36,8 @@ def part(label: Column, num: Column, text: Column, unit: Column) -> Column:
 
 def own_part(of: str = "") -> Column:
     """A fact as the part of an answer; ``of``: the struct it is in, with a dot."""
-    c = lambda name: F.col(of + name)
-    return part(F.coalesce(blank_null(c("label")), blank_null(c("context"))), c("value_num"), c("value_str"), c("unit_of_measure"))
+    name = f"coalesce(if({of}label = '', null, {of}label), if({of}context = '', null, {of}context))"
+    return F.expr(f"named_struct('label', {name}, 'num', cast({of}value_num as double), 'str', {of}value_str, 'unit', {of}unit_of_measure)")
 
 
 def proof_point(x: Column, y: Column, page: Column, bbox: Column, source_id: Column, source_type: str) -> Column:
@@ -44,7 +45,7 @@ def proof_point(x: Column, y: Column, page: Column, bbox: Column, source_id: Col
 
 
 def own_proof(of: str = "") -> Column:
-    return proof_point(*[F.col(of + c) for c in ("x", "y", "page", "bbox", "id")], "unit")
+    return F.expr(f"named_struct('x', {of}x, 'y', {of}y, 'page', {of}page, 'bbox', {of}bbox, 'source_id', {of}id, 'source_type', 'unit')")
 
 
 class QuestionTags:
@@ -375,7 +376,9 @@ def dispatch(questions: DataFrame, units: DataFrame, bijections: DataFrame, grid
     used = {r.priority for r in asked_.select("priority").distinct().collect()}
     documents = asks_.select("doc_id").distinct()
     of_asked = lambda table: table.join(documents, "doc_id", "left_semi")
-    facts, grid_cells, pins = materialise(prepared(of_asked(units))), cells(of_asked(grids)), of_asked(bijections)
+    # Facts are written by document; a document of very many facts is in SLICES files.
+    dealt = of_asked(units).repartition("doc_id", F.pmod("fact_ord", F.lit(SLICES)))
+    facts, grid_cells, pins = materialise(prepared(dealt)), cells(of_asked(grids)), of_asked(bijections)
     rows = grid_rows(grid_cells)
     wanted = asked_.select("q_id", "doc_id", "priority")
     found = wanted.join(document_answers(facts, pins, rows, [r for r in RULES if r.priority in used]), ["doc_id", "priority"]).select("q_id", "priority", *ANSWER)
