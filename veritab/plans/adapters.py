@@ -13,6 +13,8 @@ QUESTIONS = [
     "What is the propagation delay?", "What are the rise and fall times?", "What are the setup and hold times?", "What package is this?", "What are the package dimensions?",
     "What is the thermal resistance?", "What is the component weight?", "How many pins does it have?", "What is the MSL rating?", "What is the part number?",
     "What does this component do?", "What is the gravitational constant of this chip?", "What is the weather?", "How to design a voltage divider?",
+    "What are the recommended operating conditions?", "What is the nominal capacity?", "Calculate the power", "Is it within the thermal limit?", "How close is abs max to operating?", "Current budget",
+    "Balance of supplier 000000042", "Give me RthJA or the output current", "Tell me the frequency", "What is the impedance?", "What is this?", "",
 ]
 
 
@@ -93,5 +95,36 @@ def corpus_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr("doc_id", "sha2(text, 256) as content_hash", "concat('M', cast(doc_id % 500 as string)) as mpn", "source as chip_name")
 
 
-def questions_fx(spark: SparkSession, doc_id: str = "1") -> DataFrame:
-    return spark.createDataFrame(list(enumerate(QUESTIONS)), "q_id long, question string").withColumn("doc_id", F.lit(doc_id))
+def questions_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question per part, about one of 97 documents; every second one also names the part."""
+    rows = table(spark, sf_dir, "part").withColumn("asked", F.array(*[F.lit(q) for q in QUESTIONS]))
+    return rows.selectExpr(
+        "cast(p_partkey as long) as q_id", f"concat(asked[cast(p_partkey % {len(QUESTIONS)} as int)], if(p_partkey % 2 = 0, '', concat(' (', p_name, ')'))) as question", "cast(p_partkey % 97 as string) as doc_id",
+    )
+
+
+#: Label, context, unit, text (``#``: a number; none: a number is the value), and the measurements in the text: place, kind, value, unit.
+SPEC_FACTS = [
+    ("VCC", "supply voltage", "V", None, None), ("VCC max", "absolute maximum voltage", "V", None, None), ("ICC max", "absolute maximum current", "mA", None, None), ("ICC", "supply current", "mA", None, None),
+    ("PD", "power dissipation", "mW", None, None), ("ESD HBM", "ESD human body model", "V", None, None), ("ESD CDM", "electrostatic discharge", "V", None, None), ("IIL", "input leakage current", "µA", None, None),
+    ("VIL", "input low threshold voltage", "V", None, None), ("VIH", "input high threshold voltage", "mV", None, None), ("FCLK", "maximum clock frequency", "MHz", None, None), ("tPD", "propagation delay", "ns", None, None),
+    ("tR", "rise time", "ns", None, None), ("tF", "fall time", "ns", None, None), ("tSU", "setup time", "ns", None, None), ("tH", "hold time", "ns", None, None),
+    ("Package", "package type", None, "TQFP-48", None), ("Length", "body size", "mm", None, None), ("Width", "package dimension width", "mil", None, None), ("RthJA", "thermal resistance junction to ambient", "°C/W", None, None),
+    ("Weight", "component mass", "g", None, None), ("MSL", "moisture sensitivity level", None, "3", None), ("TOPR", "operating temperature", "°C", None, None), ("TSTG", "storage temperature", "°C", None, None),
+    ("Tsolder", "reflow soldering", "°C", None, None), ("MPN", "part number ordering", None, "XQ-48Q", None), ("Description", "general description", None, "High-speed logic IC", None), ("Pins", "pin count", None, None, None),
+    ("Conditions", "recommended operating conditions", None, "2.7 to 5.5 V", "1 voltage 5.5 V"), ("CAP", "nominal capacity", "mAh", None, None), ("TJ max", "maximum junction temperature", "°C", None, None),
+    ("VDD", "operating voltage", None, "#.5 V typ", "1 voltage #.5 V"), ("TA", "ambient temperature", None, "-# °C min", "1 temperature -# °C"), ("IO", "output current", "mA", None, None),
+    ("Battery", "capacity", None, "# mAh or #.25 Wh", "1 capacity # mAh;2 capacity #.25 Wh"), ("FOSC", "oscillator", None, "# MHz", "1 frequency # MHz"), ("PTOT", "total power", None, "#.25 W at 25°C", "1 power #.25 W;2 temperature 25 °C"),
+    ("Slew", "slew rate", "V/µs", None, None), ("Order code", "order code", None, "A-17", None), ("Z0", "impedance", "Ω", None, None),
+]
+
+
+def spec_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One fact per order, in 97 documents, about something of every rule."""
+    names = ("labels", "contexts", "units", "texts")
+    rows = table(spark, sf_dir, "orders").withColumns({name: F.array(*[F.lit(f[i]).cast("string") for f in SPEC_FACTS]) for i, name in enumerate(names)}).withColumn("k", F.expr(f"cast(o_orderkey % {len(SPEC_FACTS)} as int)"))
+    return rows.selectExpr(
+        "concat('s', cast(o_orderkey as string)) as id", "labels[k] as label", "replace(texts[k], '#', cast(o_custkey % 50 as string)) as value_str", "if(texts[k] is null, o_totalprice, null) as value_num", "units[k] as unit_of_measure",
+        "contexts[k] as context", "0.5D as extraction_agreement", "named_struct('x', (o_orderkey % 10) / 10.0D, 'y', (o_orderkey % 9) / 10.0D) as origin", NO_BOX,
+        "cast(o_custkey % 97 as string) as doc_id", "cast(o_orderkey % 7 as int) as page", "'org' as org_id", "o_orderkey as fact_ord",
+    )

@@ -1,12 +1,9 @@
-"""The queries in DuckDB's SQL, on the driver's tables. Written apart from the Spark plans; only fixed values (keywords and patterns) are shared."""
+"""The queries in DuckDB's SQL, on the driver's tables. Written apart from the Spark plans, with their own values; those of rules and questions are in ``rule_sql``."""
 
 from __future__ import annotations
 
-from veritab.functions import intent
-from veritab.functions.text import STOP_WORDS
-from veritab.operators.compare import PARAMETERS
-from veritab.operators.rule_table import RULES
-from veritab.plans.adapters import QUESTIONS
+from veritab.plans import rule_sql
+from veritab.plans.rule_sql import PARAMETERS, quoted, some
 
 UNITS = """units_fx AS (
   SELECT 'u' || o_orderkey AS id, o_totalprice AS value, 0.5 AS agreement, CAST(o_custkey % 97 AS VARCHAR) AS doc_id, CAST(o_orderkey % 7 AS INT) AS page, o_orderkey AS fact_ord,
@@ -60,39 +57,6 @@ FIGURES = """count(*) AS total, count(*) FILTER (correct) AS correct, count(*) F
 CORPUS = "corpus_fx AS (SELECT doc_id, sha256(text) AS content_hash, 'M' || doc_id % 500 AS mpn, source AS chip_name FROM documents)"
 
 
-def quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-def some(column: str, words) -> str:
-    return "(" + " OR ".join(f"contains({column}, {quoted(w)})" for w in words) + ")"
-
-
-def rows_of(values: list[str]) -> str:
-    return "(VALUES " + ", ".join(f"({i}, {quoted(v)})" for i, v in enumerate(values)) + ") AS v(q_id, question)"
-
-
-def intents() -> str:
-    match = lambda patterns: f"regexp_matches(question, {quoted('(?i)' + '|'.join(patterns))})"
-    spec = f"({match(intent.SPEC_INDICATOR)} OR NOT {match(intent.DESIGN_CONTEXT)})"
-    cases = [f"WHEN {match(intent.OUT_OF_SCOPE)} THEN 'out_of_scope'"]
-    cases += [f"WHEN {match(p)} THEN '{n}'" for n, p in intent.CLASSES.items()]
-    cases += [f"WHEN {spec} AND {match(p)} THEN '{n}'" for n, p in intent.SPECS.items()]
-    return f"questions_fx AS (SELECT q_id, question, trim(lower(question)) AS q, CASE {' '.join(cases)} ELSE 'general_question' END AS intent FROM {rows_of(QUESTIONS)})"
-
-
-def gate_matrix() -> str:
-    parts = ["SELECT q_id, 100 AS priority FROM questions_fx WHERE regexp_matches(q, 'pin\\s+(number\\s+)?[0-9]+') AND intent IN ('pin_lookup', 'general_question')"]
-    for r in RULES:
-        own = [n for n, rules in intent.RULE_CLASSES.items() if r.name in rules]
-        allowed = f"intent IN ({', '.join(map(quoted, [*own, 'general_question']))})" if own else "intent <> 'out_of_scope'"
-        asked = " AND ".join(some("q", g) for g in r.asked)
-        if r.name == "description":
-            asked = f"({asked} OR (contains(q, 'what is this') AND NOT {some('q', ['pin', 'voltage', 'current', 'temperature'])}))"
-        parts.append(f"SELECT q_id, {r.priority} FROM questions_fx WHERE {asked} AND {allowed}")
-    return f"WITH {intents()} " + " UNION ALL ".join(parts)
-
-
 def first_unit(where: str, as_of: str = "min") -> str:
     return f"arg_{as_of}(struct_pack(value := value, uom := uom, id := id), fact_ord) FILTER ({where})"
 
@@ -106,14 +70,14 @@ d AS (
   FROM units_fx GROUP BY doc_id)"""
 COMPARE = f"""{UNITS},
 docs AS (SELECT DISTINCT doc_id, CAST(doc_id AS INT) AS doc_ord FROM units_fx),
-hits AS ({" UNION ALL ".join(f"SELECT '{n}' AS parameter, doc_id, value, uom, id, fact_ord FROM units_fx WHERE ({some('lower(context)', p[2])} OR {some('lower(label)', p[3])}) AND lower(uom) IN ({', '.join(quoted(u.lower()) for u in p[4])})" for n, p in PARAMETERS.items())}),
+hits AS ({" UNION ALL ".join(f"SELECT '{n}' AS parameter, doc_id, value, uom, id, fact_ord FROM units_fx WHERE ({some('lower(context)', ctx)} OR {some('lower(label)', lbl)}) AND {rule_sql.among('lower(uom)', units)}" for n, _, ctx, lbl, units, _ in PARAMETERS)}),
 firsts AS (SELECT parameter, doc_id, arg_min(value, fact_ord) AS value, arg_min(uom, fact_ord) AS unit, arg_min(id, fact_ord) AS source_id FROM hits GROUP BY ALL),
-params AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {dict(lower=1, higher=-1, neutral=0)[p[1]]})" for n, p in PARAMETERS.items())}) AS v(parameter, sign)),
+params AS (SELECT * FROM (VALUES {", ".join(f"('{p[0]}', {p[1]})" for p in PARAMETERS)}) AS v(parameter, sign)),
 compared AS (
   SELECT p.parameter, d.doc_id, f.value, f.unit, f.source_id,
     f.value IS NOT NULL AND row_number() OVER (PARTITION BY p.parameter ORDER BY f.value IS NULL, f.value * p.sign, d.doc_ord) = 1 AS is_best
   FROM params p CROSS JOIN docs d LEFT JOIN firsts f ON f.parameter = p.parameter AND f.doc_id = d.doc_id)"""
-OVERLAP = [w for w in "what is the maximum supply voltage of the clock output".split() if w not in STOP_WORDS]
+OVERLAP = [w for w in "what is the maximum supply voltage of the clock output".split() if w not in rule_sql.STOP.split()]
 MEASURED = {"voltage": ("mV", "kV"), "current": ("µA", "A"), "capacity": ("mAh", "Wh"), "power": ("mW", "W"), "temperature": ("K", "K"), "frequency": ("GHz", "Hz"), "time": ("µs", "ms"), "dimension": ("in", "mm"), "weight": ("kg", "oz")}
 
 ORACLE_SQL: dict[str, str] = {
@@ -143,8 +107,8 @@ ORACLE_SQL: dict[str, str] = {
     "multi_value_concat": f"""WITH {UNITS}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY fact_ord) AS n FROM units_fx WHERE uom IN ('V', 'mV'))
         SELECT doc_id, CASE WHEN count(*) > 1 THEN 'several' ELSE 'value' END AS shape, string_agg(label || ':' || CAST(round(value * 100) AS BIGINT) || uom, ';' ORDER BY n) AS shown, arg_min(id, n) AS source_id FROM n WHERE n <= 4 GROUP BY doc_id""",
     "keyword_overlap_score": f"WITH {UNITS} SELECT fact_ord, CAST({' + '.join(f'CAST(contains(lower(label || chr(32) || context), {quoted(w)}) AS INT)' for w in OVERLAP)} AS INT) AS overlap FROM units_fx",
-    "intent_classify": f"WITH {intents()} SELECT CAST(q_id AS BIGINT) AS q_id, question, intent FROM questions_fx",
-    "rule_gate_matrix": gate_matrix(),
+    "intent_classify": rule_sql.INTENTS,
+    "rule_gate_matrix": rule_sql.GATES,
     "unit_by_intent": f"WITH {UNITS} SELECT CAST(doc_id AS BIGINT) AS q_id, arg_min(value, fact_ord) AS value, 'MHz' AS unit, arg_min(id, fact_ord) AS source_id FROM units_fx WHERE uom = 'MHz' GROUP BY ALL",
     "grid_header_lookup": f"""WITH {GRIDS} SELECT doc_id, arg_min(value, (s_nationkey, r)) AS value, arg_min(id, (s_nationkey, r)) AS source_id, arg_min(page, (s_nationkey, r)) AS page FROM cells_fx
         WHERE contains(header, '7') OR contains(header, '9') GROUP BY doc_id""",
@@ -195,13 +159,10 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, 6 AS checks_run FROM i GROUP BY doc_id""",
     "compare_best": f"WITH {COMPARE} SELECT parameter, doc_id, value, unit, source_id, is_best FROM compared",
     "compare_pivot": f"""WITH {COMPARE} SELECT parameter, {", ".join(f"coalesce(CAST(CAST(round(max(value) FILTER (doc_id = '{i}') * 100) AS BIGINT) AS VARCHAR), 'N/A') AS doc_{i}" for i in range(97))} FROM compared GROUP BY parameter""",
-    "param_detect": "WITH q AS (SELECT q_id, lower(question) AS q FROM "
-    + rows_of(QUESTIONS)
-    + "), h AS ("
-    + " UNION ALL ".join(f"SELECT q_id, '{n}' AS parameter FROM q WHERE {some('q', p[5])}" for n, p in PARAMETERS.items())
-    + ") SELECT CAST(q_id AS BIGINT) AS q_id, parameter FROM h UNION ALL SELECT CAST(q_id AS BIGINT), p.parameter FROM q CROSS JOIN (VALUES "
-    + ", ".join(f"('{n}')" for n in PARAMETERS)
-    + ") AS p(parameter) WHERE q_id NOT IN (SELECT q_id FROM h)",
+    "param_detect": rule_sql.DETECTED,
+    "measurements_of_facts": rule_sql.MEASUREMENT_TABLE,
+    "rule_answers_all": rule_sql.RULE_ANSWERS,
+    "dispatch_all": rule_sql.DISPATCH,
     "correction_stats": f"WITH {CORRECTIONS} SELECT count(*) AS total, count(*) FILTER (NOT correct) AS confirms, count(*) FILTER (correct) AS corrects, count(*) FILTER (NOT correct) / count(*) AS rate FROM corrections_fx",
     "unit_confusion": f"WITH {PATTERNS} SELECT * FROM patterns WHERE category = 'unit_confusion'",
     "value_scaling": f"WITH {PATTERNS} SELECT * FROM patterns WHERE category = 'value_scaling'",

@@ -11,8 +11,9 @@ from veritab.functions import intent, units
 from veritab.functions.text import MEASUREMENTS, keyword_overlap, measurements
 from veritab.operators import checks, compare, consensus, derived, learn, metrics, multipage, rules, store
 from veritab.operators.confidence import overall, tier, unit_quality
+from veritab.operators.facts import measurement_table, prepared
 from veritab.operators.rule_table import RULES
-from veritab.plans.adapters import audit_fx, bijections_fx, corpus_fx, corrections_fx, grids_fx, questions_fx, ranges_fx, results_fx, table, units_fx, usage_fx
+from veritab.plans.adapters import audit_fx, bijections_fx, corpus_fx, corrections_fx, grids_fx, questions_fx, ranges_fx, results_fx, spec_fx, table, units_fx, usage_fx
 from veritab.sources import corpus, exports, extractions
 from veritab.streaming.ingest import usage_by_window
 
@@ -132,12 +133,12 @@ def keyword_overlap_score(s, d):
 
 @query
 def intent_classify(s, d):
-    return questions_fx(s).select("q_id", "question", intent.classify(F.col("question")).alias("intent"))
+    return questions_fx(s, d).select("q_id", "question", intent.classify(F.col("question")).alias("intent"))
 
 
 @query
 def rule_gate_matrix(s, d):
-    return rules.gates(questions_fx(s)).where("priority not in (900, 950, 1000)").select("q_id", "priority")
+    return rules.gates(questions_fx(s, d)).where("priority not in (900, 950, 1000)").select("q_id", "priority")
 
 
 #: Two ways to write units of each kind, for the measurements below.
@@ -214,14 +215,26 @@ def unit_label_lookup(s, d):
     return rules.unit_by_name(asked, rules.prepared(u)).select("q_id", F.col("parts")[0]["num"].alias("value"), "source_id")
 
 
+@query
+def measurements_of_facts(s, d):
+    """The measurements of all kinds in the texts of facts, by one search each."""
+    return measurement_table(prepared(spec_fx(s, d)))
+
+
+@query
+def rule_answers_all(s, d):
+    """What each rule says about each document."""
+    got = rules.document_answers(prepared(spec_fx(s, d)), bijections_fx(s, d).where("false"), grid_rows(s, d).where("false"))
+    ids, num = F.array_join(F.transform("proof", lambda p: p["source_id"]), ","), lambda at: F.element_at("parts", at)["num"]
+    return got.select("doc_id", "priority", "shape", "source_id", "page", ids.alias("proof_ids"), F.size("proof").alias("n_proofs"), num(1).alias("first_num"), num(-1).alias("last_num"), F.col("parts")[0]["unit"].alias("unit"))
+
+
 @query
 def dispatch_all(s, d):
-    """All questions of all documents."""
-    u = units_fx(s, d)
-    docs = u.select("doc_id").distinct().withColumnRenamed("doc_id", "doc")
-    asked = docs.crossJoin(F.broadcast(questions_fx(s))).select((F.col("doc").cast("long") * 100 + F.col("q_id")).alias("q_id"), "question", F.col("doc").alias("doc_id"))
-    got = rules.dispatch(asked, u, bijections_fx(s, d), grids_fx(s, d))
-    return got.select("q_id", "intent", "priority", "status", "shape", "source_id", "source_type", "page", F.size("proof").alias("n_proofs"), F.transform("proof", lambda p: p["source_id"]).alias("proof_ids"))
+    """All questions, each about its document."""
+    got = rules.dispatch(questions_fx(s, d), spec_fx(s, d), bijections_fx(s, d), grids_fx(s, d))
+    ids = F.array_join(F.transform("proof", lambda p: p["source_id"]), ",")
+    return got.select("q_id", "intent", "priority", "status", "shape", "source_id", "source_type", "page", F.when(F.col("proof").isNotNull(), F.size("proof")).alias("n_proofs"), ids.alias("proof_ids"))
 
 
 def derivation(name: str) -> Query:
@@ -306,7 +319,7 @@ def compare_pivot(s, d):
 
 @query
 def param_detect(s, d):
-    return questions_fx(s).select("q_id", F.explode(compare.detected(F.col("question"))).alias("parameter"))
+    return questions_fx(s, d).select("q_id", F.explode(compare.detected(F.col("question"))).alias("parameter"))
 
 
 @query
