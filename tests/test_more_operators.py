@@ -121,16 +121,6 @@ def test_consensus_of_mappings_and_tables(spark):
     assert consensus.agreement(none, (b, g), (b, g.where("false"))).first().agreement == 0.5
 
 
-def test_similarities_equal_one_by_one(spark):
-    import pandas as pd
-
-    rows = fx.units(spark)
-    table = consensus.facts(rows).toPandas()
-    kept = {}
-    for u in table.itertuples(index=False):
-        assert consensus.similarities(u, table, kept).tolist() == pytest.approx([consensus.unit_similarity(u, pd.Series(v._asdict())) for v in table.itertuples(index=False)])
-
-
 def test_proof_of_every_value(spark):
     ask = lambda i, x: (i, "d1", x)
     asked = ["What is the supply voltage range?", "What are the logic threshold levels?", "What is the maximum voltage?", "What is pin 5?", "how close is abs max"]

@@ -1,100 +1,119 @@
-"""Two extractions of one page: which facts agree, how well, and the merger. Matching is greedy, in order, so it runs per page."""
+"""Two extractions of one page: which facts agree, how well, and the merger.
+
+Facts are matched in order, each of the first extraction with the best one of the second that is left. Only
+facts that share a block are compared, and the blocks lose no match: where two numbers differ, nothing but an equal
+label, unit and place makes a match; where they agree, they share a block of numbers; what is
+not a number is compared with the facts of its page whose lengths allow it.
+"""
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from veritab.functions.text import number
+from veritab.operators.matching import greedy_matching
+from veritab.runtime import materialise
 
 HIGH_RISK = ["absolute_max_ratings", "electrical_specs"]  # fixed values: kinds of pages that are extracted twice
-FACT = "doc_id string, page int, fact_ord long, id string, label string, value string, unit_of_measure string, context string, x double, y double"
-MERGED = f"{FACT}, side string, similarity double"
+WEIGHTS = {"value": 0.4, "label": 0.3, "unit": 0.2, "near": 0.1}  # fixed values: what each counts, of what both have
+CLOSE = 0.01  # numbers agree within this
 
 
 def wanted(enabled: bool, page_type: Column) -> Column:
     return F.lit(enabled) & page_type.isin(HIGH_RISK)
 
 
-def clean(v) -> str:
-    return "" if v is None or v != v else str(v)
-
-
-def unit_similarity(a, b) -> float:
-    """Values count 0.4, labels 0.3, units 0.2, nearness 0.1, of what both have. Numbers agree within 0.01 or not at all; texts by their ratio."""
-    return float(similarities(a, pd.DataFrame([b]), {})[0])
-
-
-def ratios(one: str, many: pd.Series, kept: dict) -> np.ndarray:
-    """The ratio of one text to each of many; each pair of different texts is compared once."""
-    codes, texts = pd.factorize(many)
-    for t in texts:
-        if (one, t) not in kept:
-            kept[one, t] = 1.0 if one == t else SequenceMatcher(None, one, t).ratio()
-    return np.array([kept[one, t] for t in texts])[codes] if len(texts) else np.zeros(0)
-
-
-def similarities(a, right: pd.DataFrame, kept: dict) -> np.ndarray:
-    """The similarity of fact ``a`` to each row of ``right``; memory is one number a row."""
-    got, of = np.zeros(len(right)), np.zeros(len(right))
-
-    def add(weight: float, has: np.ndarray, share: np.ndarray) -> None:
-        got[has] += weight * share[has]
-        of[has] += weight
-
-    x, ys = clean(a.value), right["value"].map(clean)
-    if x:
-        same = (ys == x).to_numpy()
-        numbers = pd.to_numeric(ys, errors="coerce").to_numpy(float)
-        number = pd.to_numeric(x, errors="coerce")
-        if number == number:
-            near = same | (np.abs(numbers - number) < 0.01)
-            share = np.where(np.isnan(numbers) & ~same, 0.0, near.astype(float))
-            texts = np.isnan(numbers) & (ys != "").to_numpy()
-        else:
-            share, texts = same.astype(float), ~same & (ys != "").to_numpy()
-        if texts.any():
-            share[texts] = ratios(x, ys[texts], kept)
-        add(0.4, (ys != "").to_numpy(), share)
-    x, ys = clean(a.label).lower().strip(), right["label"].map(lambda v: clean(v).lower().strip())
-    if x:
-        add(0.3, (ys != "").to_numpy(), ratios(x, ys, kept))
-    x, ys = clean(a.unit_of_measure).lower().strip(), right["unit_of_measure"].map(lambda v: clean(v).lower().strip())
-    if x:
-        add(0.2, (ys != "").to_numpy(), (ys == x).to_numpy(float))
-    if a.x == a.x and a.x is not None:
-        far = np.hypot(right["x"].to_numpy(float) - a.x, right["y"].to_numpy(float) - a.y)
-        add(0.1, ~np.isnan(far), np.maximum(0.0, 1 - 5 * far))
-    return np.divide(got, of, out=np.zeros(len(right)), where=of > 0)
+@F.pandas_udf(DoubleType())
+def text_ratio(one: pd.Series, other: pd.Series) -> pd.Series:
+    """The share of matching letters of two texts; each pair of different texts is compared once a batch."""
+    pairs = pd.MultiIndex.from_arrays([one, other])
+    codes, known = pairs.factorize()
+    ratios = [1.0 if a == b else SequenceMatcher(None, a, b).ratio() for a, b in known]
+    return pd.Series([ratios[c] for c in codes], dtype="float64")
 
 
 def facts(units: DataFrame) -> DataFrame:
     return units.select("doc_id", "page", "fact_ord", "id", "label", F.coalesce("value_str", F.col("value_num").cast("string")).alias("value"), "unit_of_measure", "context", F.col("origin.x").alias("x"), F.col("origin.y").alias("y"))
 
 
+def compared(rows: DataFrame) -> DataFrame:
+    """Facts as they are compared: place (document and page), rid, ord, v (text), num, l (label), u (unit), x, y; empty where they have none."""
+    clean = lambda c: F.lower(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"^\s+|\s+$", ""))
+    text = F.coalesce("value", F.lit(""))
+    return rows.select(F.to_json(F.struct("doc_id", "page")).alias("place"), "rid", F.col("fact_ord").alias("ord"), text.alias("v"), number(text).alias("num"), clean("label").alias("l"), clean("unit_of_measure").alias("u"), "x", "y")
+
+
+def blocks(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Distinct pairs (place, a, b) of facts that may match."""
+    cell = lambda step: F.when(F.abs("num") < 1e13, F.concat(F.lit("n"), (F.floor(F.col("num") * 100) + step).cast("string"))).when(F.col("num").isNotNull(), F.concat(F.lit("d"), F.col("num").cast("string")))
+    text = F.when(F.col("v") != "", F.concat(F.lit("t"), "v"))
+    same = F.when(F.col("num").isNotNull() & F.col("x").isNotNull(), F.concat(F.lit("s"), F.to_json(F.struct("l", "u", "x", "y"))))
+    keyed = lambda rows, steps, name: rows.select("place", F.col("rid").alias(name), F.explode(F.array_distinct(F.array_compact(F.array(text, same, *[cell(k) for k in steps])))).alias("key"))
+    by_key = keyed(first, [0], "a").join(keyed(second, [-1, 0, 1], "b"), ["place", "key"]).select("place", "a", "b")
+    side = lambda rows, name: rows.select("place", F.struct(*[c for c in rows.columns if c != "place"]).alias(name))
+    loose = side(first, "a").join(side(second, "b"), "place").where((F.col("a.num").isNull() | F.col("b.num").isNull()) & (highest("a.", "b.") >= 0.6 - 1e-9))
+    return by_key.unionByName(loose.select("place", F.col("a.rid").alias("a"), F.col("b.rid").alias("b"))).distinct()
+
+
+def weighed(shares: dict[str, tuple[Column, Column]]) -> Column:
+    """The mean of shares by WEIGHTS, over those that both facts have: name -> (whether both have it, share)."""
+    got, of = F.lit(0.0), F.lit(0.0)
+    for name, (has, share) in shares.items():
+        got, of = got + F.when(has, WEIGHTS[name] * share).otherwise(0.0), of + F.when(has, WEIGHTS[name]).otherwise(0.0)
+    return F.when(of > 0, got / of).otherwise(0.0)
+
+
+def shares(a: str, b: str, value: Column, label: Column) -> dict[str, tuple[Column, Column]]:
+    """The shares of two facts (prefixes of their columns), given those of texts that differ."""
+    c = lambda side, name: F.col(side + name)
+    both = lambda name: (c(a, name) != "") & (c(b, name) != "")
+    numbers = c(a, "num").isNotNull() & c(b, "num").isNotNull()
+    v = F.when(c(a, "v") == c(b, "v"), 1.0).when(numbers, F.when(F.abs(c(a, "num") - c(b, "num")) < CLOSE, 1.0).otherwise(0.0)).otherwise(value)
+    near = F.greatest(F.lit(0.0), 1 - 5 * F.hypot(c(b, "x") - c(a, "x"), c(b, "y") - c(a, "y")))
+    return {
+        "value": (both("v"), v), "label": (both("l"), F.when(c(a, "l") == c(b, "l"), 1.0).otherwise(label)), "unit": (both("u"), F.when(c(a, "u") == c(b, "u"), 1.0).otherwise(0.0)),
+        "near": (c(a, "x").isNotNull() & c(a, "y").isNotNull() & c(b, "x").isNotNull() & c(b, "y").isNotNull(), near),
+    }
+
+
+def highest(a: str, b: str) -> Column:
+    """A similarity that two facts cannot exceed, by the lengths of their texts."""
+    ends = lambda name: (F.char_length(a + name), F.char_length(b + name))
+    most = lambda name: 2 * F.least(*ends(name)) / F.greatest(F.lit(1), ends(name)[0] + ends(name)[1])
+    return weighed(shares(a, b, most("v"), most("l")))
+
+
+def similar(first: DataFrame, second: DataFrame, least: float) -> DataFrame:
+    """(place, a, b, a_ord, b_ord, similarity) of the pairs of ``compared`` facts that are ``least`` alike."""
+    side = lambda rows, name: rows.select(F.struct(*[F.col(c) for c in rows.columns if c != "place"]).alias(name + "_"), F.col("rid").alias(name))
+    pairs = blocks(first, second).join(side(first, "a"), "a").join(side(second, "b"), "b")
+    pairs = pairs.where(highest("a_.", "b_.") >= least - 1e-9)
+    ratio = lambda name: text_ratio(F.col(f"a_.{name}"), F.col(f"b_.{name}"))
+    pairs = pairs.withColumns({"value_ratio": ratio("v"), "label_ratio": ratio("l")})
+    found = pairs.select("place", "a", "b", F.col("a_.ord").alias("a_ord"), F.col("b_.ord").alias("b_ord"), weighed(shares("a_.", "b_.", F.col("value_ratio"), F.col("label_ratio"))).alias("similarity"))
+    return found.where((F.col("similarity") >= least) & (F.col("similarity") > 0))
+
+
 def consensus(first: DataFrame, second: DataFrame, least: float = 0.6) -> DataFrame:
-    """Facts of both extractions per page: side ``both`` (the first's, with their similarity), ``a`` or ``b``."""
-
-    names = facts(first).columns
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("fact_ord"), b.sort_values("fact_ord").reset_index(drop=True)
-        free, kept, out = np.ones(len(b), bool), {}, []
-        for u in a.itertuples(index=False):
-            score = np.where(free, similarities(u, b, kept), 0.0) if len(b) else np.zeros(1)
-            best = int(score.argmax())
-            if score[best] >= least and score[best] > 0:
-                free[best] = False
-                out.append((*u, "both", float(score[best])))
-            else:
-                out.append((*u, "a", None))
-        out += [(*v, "b", None) for v in b[free].itertuples(index=False)]
-        return pd.DataFrame(out, columns=[*names, "side", "similarity"])
-
-    other = facts(second).toDF(*names)  # columns of its own, also where both come from one table
-    return facts(first).groupBy("doc_id", "page").cogroup(other.groupBy("doc_id", "page")).applyInPandas(run, MERGED)
+    """Facts of both extractions per page: side ``both`` (the first's, with their similarity), ``a`` or ``b``.
+
+    In order of ``fact_ord``, each fact of the first extraction takes the most similar one of
+    the second that is left (of equals the first), if it is ``least`` similar (0.6 at least).
+    """
+    if least < 0.6:
+        raise ValueError("the blocks hold for a similarity of 0.6 at least")
+    a, b = (materialise(facts(x).withColumn("rid", F.monotonically_increasing_id())) for x in (first, second))
+    edges = materialise(similar(compared(a), compared(b), least).withColumn("less", -F.col("similarity")))
+    chosen = materialise(greedy_matching(edges, ["a_ord", "a", "less", "b_ord"]).join(edges.select("place", "a", "b", "similarity"), ["place", "a", "b"]))
+    names = [c for c in a.columns if c != "rid"]
+    mine = a.join(chosen.select(F.col("a").alias("rid"), "similarity"), "rid", "left").select(*names, F.when(F.col("similarity").isNull(), "a").otherwise("both").alias("side"), "similarity")
+    rest = b.join(chosen.select(F.col("b").alias("rid")), "rid", "left_anti").select(*names, F.lit("b").alias("side"), F.lit(None).cast("double").alias("similarity"))
+    return mine.unionByName(rest)
 
 
 def merged_others(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritab.operators.matching import greedy_matching
+
 BOTTOM, TOP, ALIKE, SURE = 0.80, 0.20, 0.5, 0.8  # fixed values: how near the edges, how alike the columns
 
 
@@ -39,18 +40,10 @@ def candidates(grids: DataFrame) -> DataFrame:
 
 
 def chosen(pairs: DataFrame) -> DataFrame:
-    """Of the candidates, in order of place, those whose grids are in no pair before. In sequence within a document, on ids alone."""
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        used, keep = set(), []
-        for i, (x, y) in enumerate(zip(rows["a_ord"], rows["b_ord"], strict=True)):
-            if x not in used and y not in used:
-                used |= {x, y}
-                keep.append(i)
-        return rows.iloc[keep]
-
-    narrow = pairs.select("doc_id", F.col("grid_a.page").alias("page"), F.col("grid_a.y").alias("a_y"), F.col("grid_b.y").alias("b_y"), F.col("grid_a.fact_ord").alias("a_ord"), F.col("grid_b.fact_ord").alias("b_ord"))
-    return narrow.groupBy("doc_id").applyInPandas(lambda r: pick(r.sort_values(["page", "a_y", "a_ord", "b_y", "b_ord"])), narrow.schema).select("doc_id", "a_ord", "b_ord")
+    """Of the candidates, in order of place, those whose grids are in no pair before: (doc_id, a_ord, b_ord)."""
+    edges = pairs.select(F.to_json(F.struct("doc_id")).alias("place"), "doc_id", F.col("grid_a.page").alias("page"), F.col("grid_a.y").alias("a_y"), F.col("grid_b.y").alias("b_y"), F.col("grid_a.fact_ord").alias("a"), F.col("grid_b.fact_ord").alias("b"))
+    found = greedy_matching(edges.withColumn("a_first", F.col("a")), ["page", "a_y", "a_first", "b_y"], two_sided=False)
+    return found.select(F.get_json_object("place", "$.doc_id").alias("doc_id"), F.col("a").alias("a_ord"), F.col("b").alias("b_ord"))
 
 
 def merge(grids: DataFrame) -> DataFrame:
