@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 from veritab.plans import rule_sql
 from veritab.plans.rule_sql import PARAMETERS, quoted, some
 
@@ -80,6 +82,24 @@ compared AS (
 OVERLAP = [w for w in "what is the maximum supply voltage of the clock output".split() if w not in rule_sql.STOP.split()]
 MEASURED = {"voltage": ("mV", "kV"), "current": ("µA", "A"), "capacity": ("mAh", "Wh"), "power": ("mW", "W"), "temperature": ("K", "K"), "frequency": ("GHz", "Hz"), "time": ("µs", "ms"), "dimension": ("in", "mm"), "weight": ("kg", "oz")}
 
+#: The labels of facts, of both sides of a consensus, and how alike they are.
+LABELS = ["vcc", "vcc max", "icc", "pd", "rthja", "tj max", "fclk", "io", "unlike"]
+CONSENSUS = f"""RECURSIVE {UNITS},
+ratio_fx(l, r, ratio) AS (VALUES {", ".join(f"('{a}', '{b}', {SequenceMatcher(None, a, b).ratio()!r}::DOUBLE)" for a in LABELS for b in LABELS)}),
+a_fx AS (SELECT doc_id, page, fact_ord, lower(label) AS label, value, lower(uom) AS uom, row_number() OVER (PARTITION BY doc_id, page ORDER BY fact_ord) AS i FROM units_fx),
+b_fx AS (SELECT doc_id, page, i, CASE WHEN fact_ord % 5 = 0 THEN 'unlike' ELSE label END AS label, CASE WHEN fact_ord % 5 = 0 THEN -value ELSE value END AS value, CASE WHEN fact_ord % 5 = 0 THEN 'lm' ELSE uom END AS uom FROM a_fx),
+alike AS (
+  SELECT a.doc_id, a.page, a.i, b.i AS j, (0.4::DOUBLE * (abs(a.value - b.value) < 0.01)::INT + 0.3::DOUBLE * r.ratio + 0.2::DOUBLE * (a.uom = b.uom)::INT + 0.1::DOUBLE) / (0.4::DOUBLE + 0.3::DOUBLE + 0.2::DOUBLE + 0.1::DOUBLE) AS s
+  FROM a_fx a JOIN b_fx b ON a.doc_id = b.doc_id AND a.page = b.page JOIN ratio_fx r ON r.l = a.label AND r.r = b.label),
+choices AS (SELECT doc_id, page, i, list(struct_pack(j := j, s := s) ORDER BY s DESC, j) AS options FROM alike WHERE s >= 0.6::DOUBLE GROUP BY ALL),
+sizes AS (SELECT doc_id, page, count(*) AS n FROM a_fx GROUP BY ALL),
+run(doc_id, page, n, i, used, total) AS (
+  SELECT doc_id, page, n, 0::BIGINT, []::BIGINT[], 0::DOUBLE FROM sizes
+  UNION ALL
+  SELECT doc_id, page, n, i + 1, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.j) END, total + coalesce(best.s, 0)
+  FROM (SELECT r.doc_id, r.page, r.n, r.i, r.used, r.total, list_filter(c.options, lambda o: NOT list_contains(r.used, o.j))[1] AS best
+    FROM run r LEFT JOIN choices c ON c.doc_id = r.doc_id AND c.page = r.page AND c.i = r.i + 1 WHERE r.i < r.n))"""
+
 ORACLE_SQL: dict[str, str] = {
     "facts_by_doc": f"WITH {UNITS} SELECT id, label, value AS value_num, uom AS unit_of_measure, context, page, fact_ord FROM units_fx WHERE doc_id = '7'",
     "facts_union_all": f"""WITH {UNITS}, {RANGES} SELECT 'units' AS kind, doc_id, page, fact_ord, id FROM units_fx UNION ALL SELECT 'ranges', doc_id, 0, fact_ord, id FROM ranges_fx
@@ -208,6 +228,23 @@ ORACLE_SQL: dict[str, str] = {
     "multipage_candidates": f"WITH {GRIDS} SELECT doc_id, id_a, id_b, round(similarity, 4) AS similarity, similarity < 0.8 AS needs_review FROM pairs_fx",
     "header_jaccard": """WITH w AS (SELECT p_partkey, list_distinct(string_split(p_type, ' ')) AS a, list_distinct(list_append(string_split(p_name, ' '), string_split(p_type, ' ')[1])) AS b FROM part)
         SELECT p_partkey, round(CAST(len(list_intersect(a, b)) AS DOUBLE) / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM w""",
+    "multipage_merge": f"""WITH RECURSIVE {GRIDS},
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, 0.06 * (a_key % 5), a_key, 0.06 * (b_key % 5), b_key) AS n FROM pairs_fx),
+        run(doc_id, n, used, merged) AS (
+          SELECT DISTINCT doc_id, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM pairs_fx
+          UNION ALL SELECT r.doc_id, r.n + 1, CASE WHEN list_contains(used, a_key) OR list_contains(used, b_key) THEN used ELSE used || [CAST(a_key AS BIGINT), CAST(b_key AS BIGINT)] END, CASE WHEN list_contains(used, a_key) OR list_contains(used, b_key) THEN merged ELSE merged || [p.n] END
+          FROM run r JOIN ranked p ON p.doc_id = r.doc_id AND p.n = r.n + 1),
+        done AS (SELECT doc_id, arg_max(used, n) AS used, arg_max(merged, n) AS merged FROM run GROUP BY doc_id)
+        SELECT g.doc_id, g.id, g.page, CAST(g.n_rows AS INT) AS rows, 2 AS cols, CAST(2 * g.n_rows AS INT) AS n_cells FROM grids_fx g LEFT JOIN done d USING (doc_id) WHERE NOT coalesce(list_contains(d.used, g.s_nationkey), false)
+        UNION ALL SELECT p.doc_id, p.id_a || '_merged_' || p.id_b, p.page, CAST(a.n_rows + b.n_rows AS INT), 2, CAST(2 * (a.n_rows + b.n_rows) AS INT)
+        FROM ranked p JOIN done d ON d.doc_id = p.doc_id AND list_contains(d.merged, p.n) JOIN grids_fx a ON a.s_nationkey = p.a_key JOIN grids_fx b ON b.s_nationkey = p.b_key""",
+    "consensus_agreement": f"""WITH {CONSENSUS},
+        others AS (
+          SELECT doc_id, page, sum(lo) / sum(hi) AS agreement FROM (
+            SELECT CAST(s_nationkey % 5 AS VARCHAR) AS doc_id, CAST(s_nationkey // 5 AS INT) + 5 AS page, count(DISTINCT s_nationkey) AS lo, count(DISTINCT s_nationkey) AS hi FROM supplier GROUP BY 1, 2
+            UNION ALL SELECT DISTINCT CAST(n_regionkey AS VARCHAR), 9, 0, 1 FROM nation) GROUP BY ALL)
+        SELECT doc_id, page, round(least(1.0::DOUBLE, total / n), 6) AS agreement FROM run WHERE i = n
+        UNION ALL SELECT doc_id, page, round(CAST(agreement AS DOUBLE), 6) FROM others o WHERE NOT EXISTS (SELECT 1 FROM sizes z WHERE z.doc_id = o.doc_id AND z.page = o.page)""",
     "benchmark_metrics": f"WITH {RESULTS} SELECT chip, {FIGURES} FROM results_fx GROUP BY chip",
     "benchmark_gate": f"WITH {RESULTS}, f AS (SELECT {FIGURES} FROM results_fx) SELECT *, accuracy >= 70 AND false_refuse_rate <= 30 AND false_accept_rate <= 1 AS passed FROM f",
     "confusion_matrix": f"""WITH {RESULTS} SELECT correct, count(*) FILTER (status = 'verified') AS verified, count(*) FILTER (status = 'review') AS review, count(*) FILTER (status = 'refused') AS refused,
