@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veritab.llm._sql import MERKLE, SPELLING
 from veritab.llm.decontamination import contaminated
 from veritab.llm.exact_dedup import exact_dedup
 from veritab.llm.language_id import identify_languages
@@ -134,4 +135,6 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """,
+    "op11_spelling_variants": SPELLING,
+    "op12_merkle_manifest": MERKLE,
 }
