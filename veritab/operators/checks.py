@@ -6,7 +6,7 @@ conditional units added by ``checkable``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.text import has_any, number
@@ -112,6 +112,7 @@ def rollup(issues: DataFrame) -> DataFrame:
 
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Last write wins: the row of the largest ``order`` for each key."""
-    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
-    return rows.withColumn("_n", last).where("_n = 1").drop("_n")
+    """Last write wins: the row of the largest ``order`` for each key (of equal ones, the largest by its hash)."""
+    rest = [c for c in rows.columns if c not in keys]
+    last = F.max_by(F.struct(*rest), F.struct(order, F.xxhash64(*rows.columns)))
+    return rows.groupBy(*keys).agg(last.alias("_last")).select(*[F.col(f"_last.{c}").alias(c) if c in rest else F.col(c) for c in rows.columns])

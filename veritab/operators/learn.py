@@ -23,34 +23,10 @@ def number_in(text: Column) -> Column:
     return F.when(found != "", found.try_cast("double"))
 
 
-def pattern(rows: DataFrame, category: str, keys: list[Column], per: float, auto: bool = True) -> DataFrame:
-    """Groups of like corrections: original_pattern, corrected_pattern, occurrences, n_docs, doc_ids (the first
-    DOCUMENTS of them), canonical_types, confidence, auto_correctable and reliable.
-
-    Corrections are counted per document and type first, so that no group holds more than
-    its documents, and no row more than DOCUMENTS of their names.
-    """
-    names = [c.alias(f"_k{i}") for i, c in enumerate(keys)]
-    each = rows.select("doc_id", "canonical_type", *names).groupBy("_k0", "_k1", "doc_id").agg(F.count("*").alias("n"), F.collect_set("canonical_type").alias("types"))
-    numbered = F.row_number().over(Window.partitionBy("_k0", "_k1", F.pmod(F.xxhash64("doc_id"), F.lit(64))).orderBy("doc_id"))
-    each = each.withColumn("some", F.when(numbered <= DOCUMENTS, F.col("doc_id")))  # the first of each slice: the first of all are among them
-    n = F.sum("n")
-    return each.groupBy(F.col("_k0").alias("original_pattern"), F.col("_k1").alias("corrected_pattern")).agg(
-        F.lit(category).alias("category"), n.alias("occurrences"), F.count("doc_id").alias("n_docs"),
-        F.slice(F.sort_array(F.collect_set("some")), 1, DOCUMENTS).alias("doc_ids"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("types")))).alias("canonical_types"),
-        F.least(F.lit(1.0), n / per).alias("confidence"), (F.lit(auto) & (n >= AUTO)).alias("auto_correctable"), (n >= RELIABLE).alias("reliable"),
-    )
-
-
 def corrected(corrections: DataFrame) -> DataFrame:
     return corrections.where("action = 'correct'")
 
 
-def unit_confusion(corrections: DataFrame) -> DataFrame:
-    rows = corrected(corrections).withColumns({"a": unit_in(F.col("original_value")), "b": unit_in(F.col("corrected_value"))}).where("a <> b")
-    return pattern(rows, "unit_confusion", [F.col("a").alias("original_pattern"), F.col("b").alias("corrected_pattern")], 10.0)
-
-
 def scale(ratio: Column) -> Column:
     """The factor by which the original is off, by the first band that holds the ratio."""
     found = F.lit(None).cast("string")
@@ -59,37 +35,100 @@ def scale(ratio: Column) -> Column:
     return found
 
 
-def value_scaling(corrections: DataFrame) -> DataFrame:
-    rows = corrected(corrections).withColumns({"x": number_in(F.col("original_value")), "y": number_in(F.col("corrected_value"))}).where("y <> 0")
+def seen_units(rows: DataFrame) -> DataFrame:
+    """Units that were corrected to other units."""
+    return rows.withColumns({"original_pattern": unit_in(F.col("original_value")), "corrected_pattern": unit_in(F.col("corrected_value"))}).where("original_pattern <> corrected_pattern")
+
+
+def seen_scales(rows: DataFrame) -> DataFrame:
+    """Numbers that were off by a factor."""
+    rows = rows.withColumns({"x": number_in(F.col("original_value")), "y": number_in(F.col("corrected_value"))}).where("y <> 0")
     ratio = F.array(F.col("x") / F.col("y"))  # bound once, not written out for each band
-    rows = rows.withColumn("a", F.transform(ratio, scale)[0]).where("a is not null")
-    back = F.concat(F.when(F.startswith("a", F.lit("0.")), "multiply_by_").otherwise("divide_by_"), F.col("a"))
-    return pattern(rows, "value_scaling", [F.col("a").alias("original_pattern"), back.alias("corrected_pattern")], 10.0)
+    rows = rows.withColumn("original_pattern", F.transform(ratio, scale)[0]).where("original_pattern is not null")
+    return rows.withColumn("corrected_pattern", F.concat(F.when(F.startswith("original_pattern", F.lit("0.")), "multiply_by_").otherwise("divide_by_"), F.col("original_pattern")))
 
 
-def label_misread(corrections: DataFrame) -> DataFrame:
-    """Texts without numbers (a number 0 counts as none) that are corrected alike at least twice."""
+def seen_labels(rows: DataFrame) -> DataFrame:
+    """Texts without numbers (a number 0 counts as none)."""
     clean = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
-    rows = corrected(corrections).withColumns({"a": clean("original_value"), "b": clean("corrected_value")}).where("a <> '' and b <> '' and a <> b")
-    rows = rows.where((F.coalesce(number_in(F.col("a")), F.lit(0.0)) == 0) & (F.coalesce(number_in(F.col("b")), F.lit(0.0)) == 0))
-    return pattern(rows, "label_misread", [F.col("a").alias("original_pattern"), F.col("b").alias("corrected_pattern")], 8.0).where("occurrences >= 2")
+    rows = rows.withColumns({"original_pattern": clean("original_value"), "corrected_pattern": clean("corrected_value")}).where("original_pattern <> '' and corrected_pattern <> '' and original_pattern <> corrected_pattern")
+    return rows.where((F.coalesce(number_in(F.col("original_pattern")), F.lit(0.0)) == 0) & (F.coalesce(number_in(F.col("corrected_pattern")), F.lit(0.0)) == 0))
+
+
+def seen_types(rows: DataFrame) -> DataFrame:
+    """The types of corrected facts."""
+    return rows.withColumns({"original_pattern": F.col("canonical_type"), "corrected_pattern": F.lit("")})
+
+
+#: category -> (what is seen of corrections, occurrences for full confidence)
+CATEGORIES = {"unit_confusion": (seen_units, 10.0), "value_scaling": (seen_scales, 10.0), "label_misread": (seen_labels, 8.0), "type_bias": (seen_types, 1.0)}
+STATE = ["category", "original_pattern", "corrected_pattern", "doc_id"]
+
+
+def daily(corrections: DataFrame, *categories: str) -> DataFrame:
+    """What each day's corrections add: day, category, original_pattern, corrected_pattern, doc_id, n and types.
+
+    Rows of several days, or of parts of a day, can be put under each other in any order:
+    ``merged`` finds the patterns of all. So a new day is counted once, and history is not read as corrections again.
+    """
+    out = None
+    for name in categories or CATEGORIES:
+        rows = CATEGORIES[name][0](corrected(corrections)).select(F.lit(name).alias("category"), "original_pattern", "corrected_pattern", "doc_id", "canonical_type", F.to_date("created_at").alias("day"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("day", *STATE).agg(F.count("*").alias("n"), F.collect_set("canonical_type").alias("types"))
+
+
+def merged(state: DataFrame) -> DataFrame:
+    """The patterns of a state (``daily``): category, original_pattern, corrected_pattern, occurrences, n_docs, doc_ids (the
+    first DOCUMENTS of them), canonical_types, confidence, auto_correctable and reliable.
+
+    Texts that were misread count from two times on; types that have more than 30 % of all
+    corrections, at least 3 of at least 5. Counts are added up per document first, so no
+    group holds more than its documents, and no row more than DOCUMENTS of their names.
+    """
+    distinct = lambda c: F.sort_array(F.array_distinct(F.flatten(c)))
+    each = state.groupBy(*STATE).agg(F.sum("n").alias("n"), distinct(F.collect_set("types")).alias("types"))
+    numbered = F.row_number().over(Window.partitionBy(*STATE[:3], F.pmod(F.xxhash64("doc_id"), F.lit(64))).orderBy("doc_id"))
+    each = each.withColumn("some", F.when(numbered <= DOCUMENTS, F.col("doc_id")))  # the first of each slice: the first of all are among them
+    n, bias = F.col("occurrences"), F.col("category") == "type_bias"
+    found = each.groupBy(*STATE[:3]).agg(
+        F.sum("n").alias("occurrences"), F.count("doc_id").alias("n_docs"), F.slice(F.sort_array(F.collect_set("some")), 1, DOCUMENTS).alias("doc_ids"), distinct(F.collect_set("types")).alias("canonical_types"),
+    )
+    per = F.create_map(*[F.lit(x) for name, (_, full) in CATEGORIES.items() for x in (name, full)])[F.col("category")]
+    return biased(found).select(
+        "category", "original_pattern", "corrected_pattern", "occurrences", "n_docs", "doc_ids", "canonical_types",
+        F.when(bias, F.col("share")).otherwise(F.least(F.lit(1.0), n / per)).alias("confidence"), (~bias & (n >= AUTO)).alias("auto_correctable"), (n >= RELIABLE).alias("reliable"),
+    )
+
+
+def biased(found: DataFrame) -> DataFrame:
+    """Patterns with the share of all corrections that a type has; without those that do not count."""
+    bias = F.col("category") == "type_bias"
+    total = found.where(bias).agg(F.sum("occurrences").alias("total"))  # one row
+    rows = found.crossJoin(F.broadcast(total)).withColumn("share", F.when(bias, F.col("occurrences") / F.col("total")))
+    counts = F.when(bias, (F.col("share") > 0.3) & (F.col("occurrences") >= 3) & (F.col("total") >= 5)).when(F.col("category") == "label_misread", F.col("occurrences") >= 2).otherwise(True)
+    return rows.where(counts).drop("total")
+
+
+def unit_confusion(corrections: DataFrame) -> DataFrame:
+    return merged(daily(corrections, "unit_confusion"))
+
+
+def value_scaling(corrections: DataFrame) -> DataFrame:
+    return merged(daily(corrections, "value_scaling"))
+
+
+def label_misread(corrections: DataFrame) -> DataFrame:
+    return merged(daily(corrections, "label_misread"))
 
 
 def type_bias(corrections: DataFrame) -> DataFrame:
-    """Types with more than 30 % of all corrections: at least 3 of at least 5."""
-    rows = corrected(corrections)
-    found = pattern(rows, "type_bias", [F.col("canonical_type").alias("original_pattern"), F.lit("").alias("corrected_pattern")], 1.0, False)
-    share = F.col("occurrences") / F.col("total")
-    found = found.withColumn("total", F.sum("occurrences").over(Window.partitionBy("category")))  # a row per type
-    return found.where((share > 0.3) & (F.col("occurrences") >= 3) & (F.col("total") >= 5)).withColumn("confidence", share).drop("total")
+    return merged(daily(corrections, "type_bias"))
 
 
 def patterns(corrections: DataFrame) -> DataFrame:
     """All patterns; read in order of occurrences, then category and pattern."""
-    found = unit_confusion(corrections)
-    for one in (value_scaling(corrections), label_misread(corrections), type_bias(corrections)):
-        found = found.unionByName(one)
-    return found
+    return merged(daily(corrections))
 
 
 def auto_rules(found: DataFrame) -> DataFrame:

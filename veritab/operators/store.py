@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritab.operators.checks import latest
+from veritab.runtime import divided
+
 LIMITS = {"document": 5, "query": 50}  # fixed values: actions a user may take
 
 
 def upsert(stored: DataFrame, written: DataFrame, keys: list[str]) -> DataFrame:
     """Stored rows but for those whose key is written again, and the last written row of each key (by ``write_seq``)."""
-    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("write_seq")))
-    new = written.withColumn("_n", last).where("_n = 1").drop("_n")
+    new = latest(written, keys, "write_seq")
     return stored.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
@@ -67,8 +69,57 @@ def newest(rows: DataFrame, at: str, key: str, most: int) -> DataFrame:
     return rows.orderBy(F.desc(at), F.desc(key)).limit(most)
 
 
+class Pages:
+    """Rows in order, in ranges: any page is read from the ranges that hold it, without a sort of all rows.
+
+    ``order``: columns that name a row and put it in its place. Rows are dealt out by ranges and
+    written as a table divided by them, with how many each has and the first of its keys beside it.
+    """
+
+    def __init__(self, rows: DataFrame, order: list[str]) -> None:
+        self.order = order
+        key = F.struct(*order)
+        dealt = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+        self.table = divided(dealt, "_range")
+        counts = self.table.groupBy("_range").agg(F.count("*").alias("n"), F.min(key).alias("first"))
+        self.ranges = sorted(counts.collect(), key=lambda r: r._range)  # a row for each range
+
+    def _of(self, ranges: list[int]) -> DataFrame:
+        return self.table.where(F.col("_range").isin(ranges) if ranges else F.lit(False)).drop("_range")
+
+    def page(self, most: int, skip: int = 0) -> DataFrame:
+        """``most`` rows after the first ``skip``."""
+        before, at, held = 0, 0, []
+        for r in self.ranges:
+            if before + r.n > skip and before < skip + most:
+                held.append(r._range)
+                at = at if len(held) > 1 else before
+            before += r.n
+        return self._of(held).orderBy(*self.order).offset(max(0, skip - at)).limit(most)
+
+    def after(self, key: tuple, most: int) -> DataFrame:
+        """The ``most`` rows behind the row of this key."""
+        started = [i for i, r in enumerate(self.ranges) if tuple(r.first) <= key]
+        begin, n, held = started[-1] if started else 0, 0, []
+        for r in self.ranges[begin:]:
+            held.append(r._range)
+            n += r.n if len(held) > 1 else 0  # of the first range any number may be behind the key
+            if n >= most:
+                break
+        place = F.struct(*[F.lit(k).cast(self.table.schema[c].dataType).alias(c) for c, k in zip(self.order, key, strict=True)])
+        later = F.struct(*self.order) > place
+        return self._of(held).where(later).orderBy(*self.order).limit(most)
+
+
 def page(rows: DataFrame, order: list[str], most: int, skip: int = 0) -> DataFrame:
-    return rows.orderBy(*order).offset(skip).limit(most)
+    """One page of rows; for several pages keep a ``Pages``."""
+    return Pages(rows, order).page(most, skip)
+
+
+def append_audit(events: DataFrame, path: str) -> None:
+    """Appends events (doc_id, action, actor, details_json) to the log at ``path``, with the time and an id. Nothing that is there is read or changed."""
+    stamped = events.select(F.expr("uuid()").alias("id"), "doc_id", "action", "actor", "details_json", F.current_timestamp().alias("created_at"))
+    stamped.write.mode("append").parquet(path)
 
 
 def usage_summary(usage: DataFrame) -> DataFrame:

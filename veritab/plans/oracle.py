@@ -191,6 +191,7 @@ ORACLE_SQL: dict[str, str] = {
     "auto_rules": f"WITH {PATTERNS} SELECT * FROM patterns WHERE auto_correctable",
     "pattern_stats": f"""WITH {PATTERNS} SELECT category, count(*) AS n_patterns, CAST(coalesce(sum(occurrences), 0) AS BIGINT) AS n_corrections, count(*) FILTER (auto_correctable) AS n_auto, count(*) FILTER (occurrences >= 3) AS n_reliable
         FROM patterns GROUP BY ROLLUP (category)""",
+    "patterns_of_days": f"WITH {PATTERNS} SELECT * FROM patterns",
     "top_patterns": f"WITH {PATTERNS} SELECT * FROM patterns ORDER BY occurrences DESC, category, original_pattern, corrected_pattern LIMIT 10",
     "suggest_correction": f"""WITH {CORRECTIONS},
         typed AS (SELECT CASE k WHEN 0 THEN 'mv' WHEN 3 THEN 'ma' END AS unit, CASE k WHEN 1 THEN '10x' WHEN 4 THEN '1000x' END AS factor, ctype FROM corrections_fx WHERE correct AND k <> 2),
@@ -211,7 +212,8 @@ ORACLE_SQL: dict[str, str] = {
     "audit_topk": "SELECT event_id AS id, CAST(user_id % 50 AS VARCHAR) AS doc_id, event_type AS action, ts AS created_at FROM events ORDER BY ts DESC, event_id DESC LIMIT 100",
     "audit_details": """SELECT event_id AS id, strftime(ts, '%Y-%m-%d %H:%M:%S UTC') AS "timestamp", CAST(user_id % 50 AS VARCHAR) AS doc_id, event_type AS action, CAST(user_id AS VARCHAR) AS actor,
         coalesce('k=' || json_extract_string(props, '$.k'), '') AS details FROM events""",
-    "chat_page": "SELECT * FROM conversations WHERE role <> 'system' ORDER BY conv_id, turn LIMIT 50 OFFSET 10",
+    "chat_page": "SELECT * FROM conversations ORDER BY conv_id, turn LIMIT 50 OFFSET 10",
+    "chat_next_page": "SELECT * FROM conversations ORDER BY conv_id, turn LIMIT 40 OFFSET 15",
     "corpus_hash_match": f"""WITH {CORPUS}, m AS (SELECT lower(mpn) AS k, min(content_hash) AS h FROM corpus_fx GROUP BY 1)
         SELECT f.doc_id, CASE WHEN f.doc_id % 3 = 0 AND f.content_hash IS NOT NULL THEN f.content_hash ELSE m.h END AS corpus_hash,
           CASE WHEN f.doc_id % 3 = 0 AND f.content_hash IS NOT NULL THEN 'content' WHEN m.h IS NOT NULL THEN 'mpn' END AS matched_by

@@ -14,6 +14,7 @@ from veritab.operators.confidence import overall, tier, unit_quality
 from veritab.operators.facts import measurement_table, prepared
 from veritab.operators.rule_table import RULES
 from veritab.plans.adapters import audit_fx, bijections_fx, corpus_fx, corrections_fx, grids_fx, questions_fx, ranges_fx, results_fx, spec_fx, table, units_fx, usage_fx
+from veritab.runtime import divided
 from veritab.sources import corpus, exports, extractions
 from veritab.streaming.ingest import usage_by_window
 
@@ -361,6 +362,15 @@ def pattern_stats(s, d):
     return learn.pattern_stats(learn.patterns(corrections_fx(s, d)))
 
 
+@query
+def patterns_of_days(s, d):
+    """Each day counted by itself, into a table by day, and merged."""
+    rows = divided(learn.daily(corrections_fx(s, d)), "day")
+    days = [r.day for r in rows.select("day").distinct().collect()]
+    halves = [rows.where(F.col("day").isin(days[k::2])) for k in (0, 1)]  # the order in which days come does not matter
+    return shown_pattern(learn.merged(halves[1].unionByName(halves[0])))
+
+
 @query
 def top_patterns(s, d):
     return shown_pattern(learn.top_patterns(learn.patterns(corrections_fx(s, d))))
@@ -399,7 +409,15 @@ def audit_details(s, d):
 
 @query
 def chat_page(s, d):
-    return store.page(table(s, d, "conversations").where("role <> 'system'"), ["conv_id", "turn"], 50, 10)
+    return store.page(table(s, d, "conversations"), ["conv_id", "turn"], 50, 10)
+
+
+@query
+def chat_next_page(s, d):
+    """The page behind the 15th turn, by its key."""
+    pages = store.Pages(table(s, d, "conversations"), ["conv_id", "turn"])
+    last = pages.page(1, 14).first()
+    return pages.after((last.conv_id, last.turn), 40)
 
 
 def matched(s, d, by_content: bool) -> DataFrame:

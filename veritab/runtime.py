@@ -8,6 +8,7 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCK, _WRITES = threading.Lock(), []
@@ -57,3 +58,13 @@ def materialise(df: DataFrame) -> DataFrame:
     with _cleaning(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def divided(df: DataFrame, column: str) -> DataFrame:
+    """``df`` as a table in the shared folder with a folder for each value of ``column``: filters on it read only their folders."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    with _cleaning(spark):
+        df.write.partitionBy(column).parquet(path)
+    columns = [f for f in df.schema.fields if f.name != column] + [f for f in df.schema.fields if f.name == column]
+    return spark.read.schema(StructType(columns)).parquet(path)

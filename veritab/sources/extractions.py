@@ -90,8 +90,7 @@ def bare_json() -> Column:
 
 def page_status(pages: DataFrame) -> DataFrame:
     """(doc_id, page, failed): pages whose extraction is missing, too large or no JSON have failed; an empty one has not."""
-    readable = (F.length("json") <= MAX_JSON) & F.get_json_object(bare_json(), "$").isNotNull()
-    return pages.select("doc_id", "page", (~F.coalesce(readable, F.lit(False))).alias("failed"))
+    return parsed(pages).select("doc_id", "page", "failed")
 
 
 def ingest_counts(status: DataFrame, **facts: DataFrame) -> DataFrame:
@@ -109,9 +108,13 @@ def ingest_counts(status: DataFrame, **facts: DataFrame) -> DataFrame:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """(doc_id, page, e): extractions; code fences are stripped, and text that is no JSON or too large is an empty extraction."""
+    """(doc_id, page, e, failed): extractions; code fences are stripped, and text that is no JSON or too large is an empty extraction. Pages that are parsed already stay as they are."""
+    if "e" in pages.columns:
+        return pages
     bare = bare_json()
-    return pages.select("doc_id", "page", F.from_json(F.when(F.length("json") <= MAX_JSON, bare), RAW, {"mode": "PERMISSIVE"}).alias("e"))
+    fits = F.length("json") <= MAX_JSON
+    failed = ~F.coalesce(fits & F.get_json_object(bare, "$").isNotNull(), F.lit(False))
+    return pages.select("doc_id", "page", F.from_json(F.when(fits, bare), RAW, {"mode": "PERMISSIVE"}).alias("e"), failed.alias("failed"))
 
 
 def _named(kind: str) -> Column:
