@@ -77,3 +77,32 @@ def test_repeated_questions_are_answered_alike(spark):
     got = {r.q_id: r for r in rules.dispatch(q, fx.units(spark), fx.bijections(spark), fx.grids(spark)).collect()}
     assert got[1].source_id == got[2].source_id == "u_vmax" and got[1].proof == got[2].proof
     assert [got[i].status for i in (3, 4)] == ["refuse", "refuse"] and len(got) == 4
+
+
+def test_answers_and_rules_from_sql(spark):
+    for name, table in {"units": fx.units(spark), "bijections": fx.bijections(spark), "grids": fx.grids(spark)}.items():
+        table.createOrReplaceTempView(name)
+    spark.sql("CREATE OR REPLACE TEMP VIEW questions AS SELECT * FROM VALUES (1L, 'd1', 'What is the maximum voltage?'), (2L, 'd1', 'How much does it WEIGH on the purse, in grams?') AS t(q_id, doc_id, question)")
+    spark.sql("""CREATE OR REPLACE TEMP VIEW my_rules AS SELECT 10 AS priority, 'purse' AS name, 'first' AS family, array(array('Purse'), array('gram', 'ounce')) AS asked, array('Component Weight') AS context, array('g') AS units,
+        CAST(null AS string) AS kind, CAST(null AS array<string>) AS grid, CAST(null AS string) AS default_unit, CAST(null AS int) AS most""")
+    rules.answers_view(spark, rules="my_rules")
+    got = spark.sql("SELECT q_id, priority, source_id, parts[0].num AS num FROM answers WHERE status = 'answer' ORDER BY q_id").collect()
+    assert [tuple(r) for r in got] == [(1, 300, "u_vmax", 5.5), (2, 10, "u_weight", 0.5)]
+    bad = spark.sql("SELECT * FROM my_rules UNION ALL SELECT * FROM my_rules")
+    try:
+        rules.rules_of(bad)
+    except ValueError as e:
+        assert "priority of their own" in str(e)
+    else:
+        raise AssertionError("equal priorities")
+
+
+def test_signatures(spark):
+    import hashlib
+    import hmac
+
+    from veritab.sources.exports import signature
+
+    for key in ("key", "k" * 64, "é" * 80):
+        got = spark.createDataFrame([("text ü",), ("",), (None,)], "t string").select("t", signature(F.col("t"), key).alias("s")).collect()
+        assert all(r.s == hmac.new(key.encode(), (r.t or "").encode(), hashlib.sha256).hexdigest() for r in got)

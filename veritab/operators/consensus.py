@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from veritab.functions.keywords import once
 from veritab.functions.text import number
 from veritab.operators.matching import greedy_matching
 from veritab.runtime import materialise
@@ -48,16 +49,28 @@ def compared(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct("doc_id", "page")).alias("place"), "rid", F.col("fact_ord").alias("ord"), text.alias("v"), number(text).alias("num"), clean("label").alias("l"), clean("unit_of_measure").alias("u"), "x", "y")
 
 
-def blocks(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Distinct pairs (place, a, b) of facts that may match."""
-    cell = lambda step: F.when(F.abs("num") < 1e13, F.concat(F.lit("n"), (F.floor(F.col("num") * 100) + step).cast("string"))).when(F.col("num").isNotNull(), F.concat(F.lit("d"), F.col("num").cast("string")))
-    text = F.when(F.col("v") != "", F.concat(F.lit("t"), "v"))
-    same = F.when(F.col("num").isNotNull() & F.col("x").isNotNull(), F.concat(F.lit("s"), F.to_json(F.struct("l", "u", "x", "y"))))
-    keyed = lambda rows, steps, name: rows.select("place", F.col("rid").alias(name), F.explode(F.array_distinct(F.array_compact(F.array(text, same, *[cell(k) for k in steps])))).alias("key"))
-    by_key = keyed(first, [0], "a").join(keyed(second, [-1, 0, 1], "b"), ["place", "key"]).select("place", "a", "b")
-    side = lambda rows, name: rows.select("place", F.struct(*[c for c in rows.columns if c != "place"]).alias(name))
-    loose = side(first, "a").join(side(second, "b"), "place").where((F.col("a.num").isNull() | F.col("b.num").isNull()) & (highest("a.", "b.") >= 0.6 - 1e-9))
-    return by_key.unionByName(loose.select("place", F.col("a.rid").alias("a"), F.col("b.rid").alias("b"))).distinct()
+def blocks(first: DataFrame, second: DataFrame) -> list[tuple[DataFrame, float | None]]:
+    """Pairs (place, a, b: structs) of facts that may match, with the share of their values (none: of texts that differ); each pair is in one block only.
+
+    Numbers that agree, by cells of their size; numbers that differ, by equal label, unit and place; equal texts;
+    and on each page the others of which one at least is no number, if their lengths allow a match.
+    """
+    side = lambda rows, name, key: rows.select("place", key.alias("key"), F.struct(*[c for c in rows.columns if c != "place"]).alias(name)).where("key is not null")
+    cell = lambda step: F.when(F.abs("num") < 1e13, F.concat(F.lit("n"), (F.floor(F.col("num") * 100) + step).cast("string"))).otherwise(F.concat(F.lit("d"), F.col("num").cast("string")))
+    numbers = [rows.where("num is not null") for rows in (first, second)]
+    same = F.to_json(F.struct("l", "u", "x", "y"))
+    both = F.col("a.num").isNotNull() & F.col("b.num").isNotNull()
+    agree = (F.col("a.v") == F.col("b.v")) | (F.abs(F.col("a.num") - F.col("b.num")) < CLOSE)
+    met = lambda one, other, on: one.join(other, on).select("place", "a", "b")
+    cells = side(numbers[1], "b", F.array_distinct(F.array(*[cell(k) for k in (-1, 0, 1)]))).withColumn("key", F.explode("key"))
+    close = met(side(numbers[0], "a", cell(0)), cells, ["place", "key"]).where(agree)
+    apart = met(*[side(rows.where("x is not null"), name, same) for rows, name in zip(numbers, "ab", strict=True)], ["place", "key"]).where(~agree)
+    text = F.when(F.col("v") != "", F.col("v"))
+    equal = met(side(first, "a", text), side(second, "b", text), ["place", "key"]).where(~both)
+    words, others = [[side(rows.where(c), name, F.lit(0)).drop("key") for c in ("num is null", "num is not null")] for rows, name in ((first, "a"), (second, "b"))]
+    loose = met(words[0], others[0].unionByName(others[1]), "place").unionByName(met(words[1], others[0], "place"))
+    unlike = (F.col("a.v") != F.col("b.v")) | (F.col("a.v") == "")
+    return [(close, 1.0), (apart, 0.0), (equal, 1.0), (loose.where(unlike & (highest("a.", "b.") >= 0.6 - 1e-9)), None)]
 
 
 def weighed(shares: dict[str, tuple[Column, Column]]) -> Column:
@@ -69,15 +82,13 @@ def weighed(shares: dict[str, tuple[Column, Column]]) -> Column:
 
 
 def shares(a: str, b: str, value: Column, label: Column) -> dict[str, tuple[Column, Column]]:
-    """The shares of two facts (prefixes of their columns), given those of texts that differ."""
+    """The shares of two facts (prefixes of their columns), given those of their values and labels."""
     c = lambda side, name: F.col(side + name)
     both = lambda name: (c(a, name) != "") & (c(b, name) != "")
-    numbers = c(a, "num").isNotNull() & c(b, "num").isNotNull()
-    v = F.when(c(a, "v") == c(b, "v"), 1.0).when(numbers, F.when(F.abs(c(a, "num") - c(b, "num")) < CLOSE, 1.0).otherwise(0.0)).otherwise(value)
-    near = F.greatest(F.lit(0.0), 1 - 5 * F.hypot(c(b, "x") - c(a, "x"), c(b, "y") - c(a, "y")))
+    dx, dy = c(b, "x") - c(a, "x"), c(b, "y") - c(a, "y")
     return {
-        "value": (both("v"), v), "label": (both("l"), F.when(c(a, "l") == c(b, "l"), 1.0).otherwise(label)), "unit": (both("u"), F.when(c(a, "u") == c(b, "u"), 1.0).otherwise(0.0)),
-        "near": (c(a, "x").isNotNull() & c(a, "y").isNotNull() & c(b, "x").isNotNull() & c(b, "y").isNotNull(), near),
+        "value": (both("v"), value), "label": (both("l"), label), "unit": (both("u"), F.when(c(a, "u") == c(b, "u"), 1.0).otherwise(0.0)),
+        "near": (dx.isNotNull() & dy.isNotNull(), F.greatest(F.lit(0.0), 1 - 5 * F.sqrt(dx * dx + dy * dy))),
     }
 
 
@@ -89,14 +100,30 @@ def highest(a: str, b: str) -> Column:
 
 
 def similar(first: DataFrame, second: DataFrame, least: float) -> DataFrame:
-    """(place, a, b, a_ord, b_ord, similarity) of the pairs of ``compared`` facts that are ``least`` alike."""
-    side = lambda rows, name: rows.select(F.struct(*[F.col(c) for c in rows.columns if c != "place"]).alias(name + "_"), F.col("rid").alias(name))
-    pairs = blocks(first, second).join(side(first, "a"), "a").join(side(second, "b"), "b")
-    pairs = pairs.where(highest("a_.", "b_.") >= least - 1e-9)
-    ratio = lambda name: text_ratio(F.col(f"a_.{name}"), F.col(f"b_.{name}"))
-    pairs = pairs.withColumns({"value_ratio": ratio("v"), "label_ratio": ratio("l")})
-    found = pairs.select("place", "a", "b", F.col("a_.ord").alias("a_ord"), F.col("b_.ord").alias("b_ord"), weighed(shares("a_.", "b_.", F.col("value_ratio"), F.col("label_ratio"))).alias("similarity"))
-    return found.where((F.col("similarity") >= least) & (F.col("similarity") > 0))
+    """(place, a, b, a_ord, b_ord, similarity) of the pairs of ``compared`` facts that are ``least`` alike. Letters are compared only where two texts differ.
+
+    Expressions are kept small: beyond some size Java no longer compiles them.
+    """
+    ratio = lambda name: text_ratio(F.col(f"a.{name}"), F.col(f"b.{name}"))
+
+    def found(rows: DataFrame, value: Column, label: Column) -> DataFrame:
+        ends = [F.col(f"{end}.{c}").alias(name) for end, c, name in (("a", "rid", "a"), ("b", "rid", "b"), ("a", "ord", "a_ord"), ("b", "ord", "b_ord"))]
+        return once(rows, similarity=weighed(shares("a.", "b.", value, label))).select("place", *ends, "similarity").where((F.col("similarity") >= least) & (F.col("similarity") > 0))
+
+    out = []
+    for pairs, value in blocks(first, second):
+        if value is None:
+            rows = pairs.withColumns({"value_ratio": ratio("v"), "label_ratio": ratio("l")})
+            out.append(found(rows, F.col("value_ratio"), F.col("label_ratio")))
+            continue
+        other = (F.col("a.l") != F.col("b.l")) & (F.col("a.l") != "") & (F.col("b.l") != "")
+        out.append(found(pairs.where(~other), F.lit(value), F.lit(1.0)))
+        if value > 0:  # numbers that differ match with equal labels only
+            out.append(found(pairs.where(other).withColumn("label_ratio", ratio("l")), F.lit(value), F.col("label_ratio")))
+    rows = out[0]
+    for one in out[1:]:
+        rows = rows.unionByName(one)
+    return rows
 
 
 def consensus(first: DataFrame, second: DataFrame, least: float = 0.6) -> DataFrame:

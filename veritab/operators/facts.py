@@ -17,6 +17,7 @@ from veritab.functions.text import blank_null, number, readings
 from veritab.operators.confidence import overall, unit_quality
 from veritab.operators.rule_table import LOOKUPS, OUTPUTS, PARAMETERS, RULES, Rule
 
+SLICES = 16
 STORAGE = (("storage",), ("tstg", "storage"))  # fixed values: what the context or the label of a storage temperature says
 
 
@@ -55,11 +56,11 @@ DEFAULT = FactTags()
 
 
 def prepared(units: DataFrame, tags: FactTags = DEFAULT, scan: bool = True) -> DataFrame:
-    """Units with what all operators need: lower-case context and label and their tags, the value as a number, text, its measurements (unless ``scan`` is off), and the score of a plain answer."""
+    """Units, dealt by document (of very many facts: in SLICES parts), with what all operators need: lower-case context and label and their tags, the value as a number, text, its measurements (unless ``scan`` is off), and the score of a plain answer."""
     value = F.coalesce(F.col("value_num"), number(F.col("value_str")))
     shown = F.coalesce(F.col("value_str"), F.col("value_num").cast("string"))
     agreement = F.coalesce("extraction_agreement", F.lit(0.5))
-    rows = units.select(
+    rows = units.repartition("doc_id", F.pmod("fact_ord", F.lit(SLICES))).select(
         "doc_id", "fact_ord", "id", "label", "context", "unit_of_measure", "value_num", "value_str", "page", "bbox",
         F.col("origin.x").alias("x"), F.col("origin.y").alias("y"),
         F.lower(F.coalesce("context", F.lit(""))).alias("ctx"), F.lower(F.coalesce("label", F.lit(""))).alias("lbl"), F.upper(F.coalesce("unit_of_measure", F.lit(""))).alias("uom"),

@@ -45,7 +45,7 @@ def in_turn(two_sided: bool):
 def in_rounds(edges: DataFrame, two_sided: bool) -> DataFrame:
     """The chosen (place, a, b) of ``edges`` (place, a, b, rank)."""
     side = F.lit(1 if two_sided else 0)
-    rest = materialise(edges.select("place", F.struct(F.lit(0).alias("side"), F.col("a").alias("x")).alias("a"), F.struct(side.alias("side"), F.col("b").alias("x")).alias("b"), "rank"))
+    rest = materialise(edges.select("place", F.struct(F.lit(0).alias("side"), F.col("a").alias("x")).alias("a"), F.struct(side.alias("side"), F.col("b").alias("x")).alias("b"), "rank").distinct())
     chosen = rest.where("false")
     while not rest.isEmpty():
         ends = rest.select("place", "rank", F.explode(F.array("a", "b")).alias("end"))
@@ -66,7 +66,7 @@ def greedy_matching(edges: DataFrame, order: list[str], two_sided: bool = True,
     b are numbers of different things. Places of more than ``bound`` edges are matched in rounds.
     """
     rank = F.struct(*[F.col(c).alias(f"r{i}") for i, c in enumerate([*order, "a", "b"])])
-    edges = materialise(edges.select("place", "a", "b", rank.alias("rank")).groupBy("place", "a", "b").agg(F.min("rank").alias("rank")))
+    edges = materialise(edges.select("place", "a", "b", rank.alias("rank")))
     hot = materialise(edges.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") > bound).select("place"))
     few = edges.join(hot, "place", "left_anti").repartition("place").sortWithinPartitions("place", "rank").select("place", "a", "b")
     chosen = few.mapInArrow(in_turn(two_sided), "place string, a bigint, b bigint")

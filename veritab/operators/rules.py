@@ -25,8 +25,8 @@ from veritab.runtime import materialise
 PART = "struct<label:string,num:double,str:string,unit:string>"
 #: ``proof``: where each value stands: x, y, page, bbox, source_id, source_type; ``page``, ``x`` and ``y`` are the first one's.
 ANSWER = ["shape", "parts", "proof", "source_id", "source_type", "page", "x", "y", "score"]
-SLICES = 16
-MOST = max(r.most for r in RULES)  # facts in one answer
+RULE_ROW = "priority int, name string, family string, asked array<array<string>>, context array<string>, units array<string>, kind string, grid array<string>, default_unit string, most int"
+FAMILIES = ("best", "first", "several", "range")
 WHAT_IS_THIS = (("what is this",), ("pin", "voltage", "current", "temperature"))  # fixed values: asks for a description, but not with one of these
 
 
@@ -48,6 +48,19 @@ def own_proof(of: str = "") -> Column:
     return F.expr(f"named_struct('x', {of}x, 'y', {of}y, 'page', {of}page, 'bbox', {of}bbox, 'source_id', {of}id, 'source_type', 'unit')")
 
 
+def rules_of(table: DataFrame, most: int = 1000) -> list[Rule]:
+    """Rules from a table (RULE_ROW; what is null is as in ``Rule``): a row each, ``most`` at most, with priorities that no other rule has."""
+    rows = table.select(*[F.col(c.split()[0]) for c in RULE_ROW.split(", ")]).limit(most + 1).collect()
+    names = [r.priority for r in RULES] + list(QUESTION_RULES) + [r.priority for r in rows]
+    if len(rows) > most or len(set(names)) < len(names) or any(r.family not in FAMILIES or not r.asked for r in rows):
+        raise ValueError(f"rules need a family of {FAMILIES}, something asked and a priority of their own, and {most} are the most")
+    low = lambda words: tuple(w.lower() for w in words or ())
+    return [
+        Rule(r.priority, r.name, r.family, tuple(low(g) for g in r.asked), low(r.context), None if r.units is None else tuple(r.units), r.kind, low(r.grid), r.default_unit or "", r.most or 4)
+        for r in sorted(rows, key=lambda r: r.priority)
+    ]
+
+
 class QuestionTags:
     """The groups of keywords that questions are tagged with: what each of ``rules`` wants asked, and the topics."""
 
@@ -206,7 +219,7 @@ def several_facts(units: DataFrame, rules: list[Rule], tags: FactTags = DEFAULT)
     most = F.create_map(*[F.lit(x) for r in rules for x in (r.priority, r.most)])[F.col("priority")]
     rows = fact_rows(units, rules, tags).select("doc_id", "priority", "stage", "fact_ord", F.struct(*PAYLOAD).alias("f"))
     order = Window.partitionBy("doc_id", "priority").orderBy("stage", "fact_ord")
-    rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= MOST)  # a literal bound: each task passes on so many only
+    rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max(r.most for r in rules))  # a literal bound: each task passes on so many only
     all_ = F.array_sort(F.collect_list(F.struct("n", "stage", "f")))
     rows = rows.where(F.col("n") <= most).groupBy("doc_id", "priority").agg(all_.alias("all")).withColumn("all", F.filter("all", lambda a: a["stage"] == F.col("all")[0]["stage"]))
     many, f = (F.size("all") > 1) | (F.col("priority") == 800), F.col("all")[0]["f"]
@@ -360,11 +373,12 @@ def document_answers(units: DataFrame, bijections: DataFrame, rows: DataFrame, r
     return first_of(union, ["doc_id", "priority"], [F.col("step")], ANSWER)
 
 
-def dispatch(questions: DataFrame, units: DataFrame, bijections: DataFrame, grids: DataFrame, use_intent: bool = True, extra: dict[int, tuple] | None = None) -> DataFrame:
+def dispatch(questions: DataFrame, units: DataFrame, bijections: DataFrame, grids: DataFrame, use_intent: bool = True, extra: dict[int, tuple] | None = None, own: Iterable[Rule] = ()) -> DataFrame:
     """One row per question: q_id, doc_id, question, intent, priority, status and the columns ANSWER.
 
     The rule of the smallest priority that has an answer wins; then the derivations; else
-    the question is refused. ``extra``: rules of the user's own, as for ``gates``. Only the
+    the question is refused. ``own``: more rules of the families (``rules_of`` a table); ``extra``: plans of
+    the user's own, as for ``gates``. Only the
     documents asked about are read, and only the rules that a question may use are answered
     (which of the listed rules those are is the one thing that the driver asks first).
     """
@@ -372,17 +386,17 @@ def dispatch(questions: DataFrame, units: DataFrame, bijections: DataFrame, grid
 
     # A question put to a document several times is answered once; q_id names the answer, not the question, from here on.
     asks_ = materialise(questions.groupBy("doc_id", "question").agg(F.min("q_id").alias("q_id")))
-    asked_ = materialise(gates(asks_, use_intent, extra))
+    every_rule = sorted([*RULES, *own], key=lambda r: r.priority)
+    tags, asked = (DEFAULT, ASKED) if len(every_rule) == len(RULES) else (FactTags(every_rule), QuestionTags(every_rule))
+    asked_ = materialise(gates(asks_, use_intent, extra, asked))
     used = {r.priority for r in asked_.select("priority").distinct().collect()}
     documents = asks_.select("doc_id").distinct()
     of_asked = lambda table: table.join(documents, "doc_id", "left_semi")
-    # Facts are written by document; a document of very many facts is in SLICES files.
-    dealt = of_asked(units).repartition("doc_id", F.pmod("fact_ord", F.lit(SLICES)))
-    facts, grid_cells, pins = materialise(prepared(dealt)), cells(of_asked(grids)), of_asked(bijections)
+    facts, grid_cells, pins = materialise(prepared(of_asked(units), tags)), cells(of_asked(grids)), of_asked(bijections)
     rows = grid_rows(grid_cells)
     wanted = asked_.select("q_id", "doc_id", "priority")
-    found = wanted.join(document_answers(facts, pins, rows, [r for r in RULES if r.priority in used]), ["doc_id", "priority"]).select("q_id", "priority", *ANSWER)
-    by_question = {100: lambda: pin_lookup(asked_, pins, grid_cells), 900: lambda: unit_by_topic(asked_, facts), 950: lambda: grid_by_words(asked_, rows), 1000: lambda: unit_by_name(asked_, facts)}
+    found = wanted.join(document_answers(facts, pins, rows, [r for r in every_rule if r.priority in used], tags), ["doc_id", "priority"]).select("q_id", "priority", *ANSWER)
+    by_question = {100: lambda: pin_lookup(asked_, pins, grid_cells), 900: lambda: unit_by_topic(asked_, facts, asked), 950: lambda: grid_by_words(asked_, rows), 1000: lambda: unit_by_name(asked_, facts)}
     for priority, plan in by_question.items():
         if priority in used:
             found = found.unionByName(plan().select("q_id", "priority", *ANSWER))
@@ -396,3 +410,14 @@ def dispatch(questions: DataFrame, units: DataFrame, bijections: DataFrame, grid
     open_ = (F.col("intent") != "out_of_scope") & F.col("priority").isNotNull()
     every = questions.join(answered, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("question").eqNullSafe(F.col("_question")), "left")
     return every.select("q_id", "doc_id", "question", "intent", *[F.when(open_, F.col(c)).alias(c) for c in ["priority", *ANSWER]], F.when(open_, "answer").otherwise("refuse").alias("status"))
+
+
+def answers_view(spark, questions: str = "questions", units: str = "units", bijections: str = "bijections", grids: str = "grids", rules: str | None = None, name: str = "answers") -> DataFrame:
+    """Answers, for SQL: the temporary view ``name`` of the questions in one table, or view, against the facts in others, with the rules of a further one beside the library's.
+
+    The facts are read when this is called; call it again for new ones.
+    """
+    own = rules_of(spark.table(rules)) if rules else ()
+    got = dispatch(*[spark.table(t) for t in (questions, units, bijections, grids)], own=own)
+    got.createOrReplaceTempView(name)
+    return got

@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 
 def shown_time(at: Column) -> Column:
@@ -22,13 +19,11 @@ def flat_details(details: Column) -> Column:
 
 
 def signature(text: Column, key: str) -> Column:
-    """HMAC-SHA256 of text, in hexadecimal."""
-
-    @F.pandas_udf(StringType())
-    def sign(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: hmac.new(key.encode(), (v or "").encode(), hashlib.sha256).hexdigest())
-
-    return sign(text)
+    """HMAC-SHA256 of text, in hexadecimal: the digest of the key's one padding and the digest of its other padding and the text."""
+    own = key.encode()
+    block = (hashlib.sha256(own).digest() if len(own) > 64 else own).ljust(64, b"\0")
+    inner = F.sha2(F.concat(F.lit(bytes(b ^ 0x36 for b in block)), F.coalesce(text, F.lit("")).cast("binary")), 256)
+    return F.sha2(F.concat(F.lit(bytes(b ^ 0x5C for b in block)), F.unhex(inner)), 256)
 
 
 def audit_rows(audit: DataFrame, key: str | None = None) -> DataFrame:
