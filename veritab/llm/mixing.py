@@ -133,8 +133,8 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: doc_id, source, size, source_size, target, taken.
 
     ``taken`` is a whole multiple of ``size``, at most ``max_epochs`` times it. A
-    source misses its target by at most half of one document. Null texts have
-    size 0; a null source is a source; an empty table gives an empty result; other
+    source misses its target by at most half of what shares one key: a document, or all rows of
+    one id (a null id too), as these are taken together. Null texts have size 0; a null source is a source; an empty table gives an empty result; other
     columns are ignored. The same rows and seed give the same mix.
     """
     sizes = materialise(document_sizes(docs, id_col, text_col, source_col, seed))
