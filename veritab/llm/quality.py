@@ -20,6 +20,7 @@ from veritab.llm._runtime import materialise
 from veritab.llm._words import GOLDEN, U64, mix, pieces, words
 
 LEAST = 10_000
+TASKS_A_CORE = 4  # that count n-grams: each sends a row for each bucket it has seen, so their number is that of the cluster's cores, not of the input's files
 
 
 def ngram_buckets(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -34,8 +35,10 @@ def ngram_buckets(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray
 def bucket_counts(texts: DataFrame, buckets: int) -> DataFrame:
     """(bucket, n): how many n-grams of the texts fall in each bucket.
 
-    Each task adds up its whole partition, so at most ``buckets`` rows a task are shuffled.
+    Each task adds up its whole partition, so at most ``buckets`` rows a task are shuffled,
+    and there are at most TASKS_A_CORE tasks for each core of the cluster.
     """
+    tasks = TASKS_A_CORE * texts.sparkSession.sparkContext.defaultParallelism
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(buckets, np.int64)
@@ -44,7 +47,7 @@ def bucket_counts(texts: DataFrame, buckets: int) -> DataFrame:
         used = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], names=["bucket", "n"])
 
-    return texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return texts.select("text").coalesce(tasks).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def probabilities(counts: DataFrame, buckets: int) -> np.ndarray:
@@ -107,36 +110,40 @@ def importance_resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
     return select_top(scored, "gumbel_key", share).drop("rid")
 
 
-def select_top(rows: DataFrame, key: str, share: float, cells: int = 4096) -> DataFrame:
-    """``rows`` with ``selected``: whether among the highest ``share`` by (key, doc_id, rid).
+def select_top(rows: DataFrame, key: str, share: float, cells: int = 4096, few: int = 100_000) -> DataFrame:
+    """``rows`` with ``selected``: whether among the highest ``share`` by (key, doc_id, rid); a null id is below all others.
 
-    The keys' range is cut into cells, and the cell in which the border lies again,
-    until that cell holds few rows; only those are put in order.
+    The range of the keys is cut into cells, and the cell in which the border lies again,
+    until it holds ``few`` rows or a single key; then the ids of that key are cut likewise, and
+    at last the row numbers, which differ. So never more than ``few`` rows are put in order in one task.
     """
     total = rows.count()
-    left = int(np.ceil(share * total))
     if not total:
         return rows.withColumn("selected", F.lit(True))
-    low, high = rows.agg(F.min(key), F.max(key)).first()
-    inside = (F.col(key) >= low) & (F.col(key) <= high)
-    above = F.lit(False)
-    while rows.where(inside).count() > 100_000 and low < high:
-        width = (high - low) / cells
-        cell = F.least(F.floor((F.col(key) - low) / width), F.lit(cells - 1)).cast("int")
-        counts = {r.cell: (r.n, r.low, r.high) for r in rows.where(inside).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).collect()}
-        for c in sorted(counts, reverse=True):
-            n, a, b = counts[c]
-            if n >= left:
-                break
-            left -= n
-        if (a, b) == (low, high):
+    left, above, inside, n = int(np.ceil(share * total)), F.lit(False), F.lit(True), total
+    for c in (key, "doc_id", "rid"):
+        if n <= few:
             break
-        above, low, high = F.col(key) > b, a, b
-        inside = (F.col(key) >= low) & (F.col(key) <= high)
-    border = rows.where(inside).withColumn("_n", F.row_number().over(Window.orderBy(F.desc(key), F.desc("doc_id"), F.desc("rid"))))
+        here, low, high = rows.where(inside).agg(F.count(c), F.min(c), F.max(c)).first()
+        if left > here:
+            above, inside, left, n = above | (inside & F.col(c).isNotNull()), inside & F.col(c).isNull(), left - here, n - here
+            continue
+        inside, n = inside & F.col(c).isNotNull(), here
+        value = F.col(c) if isinstance(low, float) else F.col(c).cast("decimal(20,0)")  # so that the distance of two longs is no overflow
+        while n > few and low < high:
+            cell = F.least(F.floor((value - F.lit(low)) / F.lit((high - low) / cells)), F.lit(cells - 1)).cast("int")
+            counts = rows.where(inside).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min(c).alias("low"), F.max(c).alias("high")).orderBy(F.desc("cell")).collect()
+            for found in counts:
+                n, low, high = found.n, found.low, found.high
+                if n >= left:
+                    break
+                left -= n
+            above, inside = above | (inside & (F.col(c) > high)), inside & F.col(c).between(low, high)
+    order = [F.desc(key), F.desc_nulls_last("doc_id"), F.desc("rid")]
+    border = rows.where(inside).withColumn("_n", F.row_number().over(Window.orderBy(*order)))
     last = border.where(F.col("_n") == left).select(F.struct(key, "doc_id", "rid").alias("last")).first()
     if last is None:
         return rows.withColumn("selected", above)
     k, i, r = last.last
     tie = (F.col("doc_id") > i) | (F.col("doc_id").eqNullSafe(F.lit(i)) & (F.col("rid") >= r)) if i is not None else F.col("doc_id").isNotNull() | (F.col("rid") >= r)
-    return rows.withColumn("selected", (F.col(key) > k) | ((F.col(key) == k) & F.coalesce(tie, F.lit(False))))
+    return rows.withColumn("selected", above | (inside & ((F.col(key) > k) | ((F.col(key) == k) & F.coalesce(tie, F.lit(False))))))
