@@ -180,11 +180,16 @@ def label_words(crf: Crf, text: str) -> list[tuple[str, str, float]]:
 
 
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, max_chars: int) -> Crf | None:
-    """The field, fitted on up to ``per_language`` texts of each language, of at most ``max_chars``, whose crc32(id) mod 5 is not 0."""
+    """The field, fitted on up to ``per_language`` texts of each language, of at most ``max_chars``, whose crc32(id) mod 5 is not 0.
+
+    Copies of a sampled row (equal id, language and hash of the text) are one row before
+    they reach the driver, and other texts of its id are no part of the sample.
+    """
     known = docs.where(F.col(lang_col).isNotNull() & (id_remainder(id_col, 5) != 0) & F.char_length(text_col).between(1, max_chars))
-    order = F.row_number().over(Window.partitionBy("lang").orderBy("tie", "id"))
-    ids = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("tie")).withColumn("_n", order).where(F.col("_n") <= per_language)
-    sample = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(ids.select("id", "lang").distinct()), ["id", "lang"])
+    known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("tie", "id", "print"))
+    ids = known.select("id", "lang", "print", F.xxhash64("id").alias("tie")).withColumn("_n", order).where(F.col("_n") <= per_language)
+    sample = known.join(F.broadcast(ids.select("id", "lang", "print").distinct()), ["id", "lang", "print"]).groupBy("id", "lang", "print").agg(F.min("text").alias("text"))
     rows = sample.toPandas().sort_values(["id", "text"])
     return train(list(rows["text"]), list(rows["lang"])) if len(rows) else None
 
