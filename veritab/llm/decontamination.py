@@ -27,7 +27,9 @@ s sec second seconds min minute minutes h hr hour hours day days week weeks mont
 dollar dollars euro euros cent cents usd eur gbp percent degrees km2 m2 m3 kmh mph w kw v a hz khz mhz ghz""".split()
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
 
-LEAST_BITS, BITS_EACH = 1 << 22, 64  # of the filter that documents' windows pass first: it grows with the benchmark, so that one other window in 64 passes at most
+# Of the filter that documents' windows pass first: it grows with the benchmark, so that one other window in 64 passes at most, up to 128 MB;
+# beyond 16 million windows more pass, and the join by hash, which is exact at any size, drops them.
+LEAST_BITS, BITS_EACH, MOST_BITS = 1 << 22, 64, 1 << 30
 WINDOWS = "key string, id long, place int, length int, hash long, slots array<long>"
 _NUM, _NAME, _UNIT = (mix(np.array([x], U64))[0] for x in (11, 12, 13))
 
@@ -118,14 +120,14 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, n: int
     return rows.mapInArrow(run, WINDOWS)
 
 
-def window_filter(items: DataFrame) -> np.ndarray:
-    """A bit for each bucket of the hashes of the benchmark's windows: a power of two of buckets, BITS_EACH for each window at least.
+def window_filter(items: DataFrame, most: int = MOST_BITS) -> np.ndarray:
+    """A bit for each bucket of the hashes of the benchmark's windows: a power of two of buckets, BITS_EACH for each window, but ``most`` at most.
 
-    Spark sets the bits, in words of 64; the driver gets one row of two numbers a window at
-    most. Its size is that of the benchmark, not of the documents.
+    Spark sets the bits, in words of 64; the driver gets one row of two numbers for each
+    word in use, so at most ``most`` / 64 of them. Its size never depends on the documents.
     """
     hashes = items.select("hash").distinct()
-    size = max(LEAST_BITS, 1 << (BITS_EACH * max(1, hashes.count()) - 1).bit_length())
+    size = min(most, max(LEAST_BITS, 1 << (BITS_EACH * max(1, hashes.count()) - 1).bit_length()))
     bucket = F.col("hash").bitwiseAND(F.lit(size - 1))
     words_ = hashes.groupBy(F.shiftright(bucket, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 as int))")).alias("bits")).toArrow()
     bits = np.zeros(size // 64, np.int64)
