@@ -1,10 +1,11 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
-A word enters as the row of its hash in a table, next to the mean of the rows of
-its character n-grams, the highest of them, and the rows of its first characters. Two gated recurrent layers read windows of words forwards
-and backwards; attention over their states gives one vector a window, and a
-logistic unit its score. All overlapping windows of a text are scored, and its
-highest window, calibrated, is the text's score. Everything is trained in numpy.
+A word enters as five numbers from tables of log odds, which are counted over the
+labelled texts: that of the word, the mean and the highest one of its character n-grams,
+and those of its first characters. Two gated recurrent layers read windows of words
+forwards and backwards; attention over their states gives one vector a window, and a
+logistic unit its score. All overlapping windows of a text are scored, and its highest
+window, calibrated, is the text's score. Everything is trained in numpy.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from veritab.llm._words import Words, char_ngrams, distinct, hash_runs, mix, pie
 
 NGRAMS, PREFIXES = (3, 4, 5), (4, 6)  # bytes
 FOLDS = 5
+TABLES = "word", "char", "prefix"
 F32 = np.float32
 
 
@@ -38,19 +40,17 @@ class Settings:
     max_documents: int = 4500
     max_chars: int = 50_000
     buckets: int = 1 << 16
-    word_dims: int = 2
-    char_dims: int = 4
     hidden: int = 8
     window: int = 32
     stride: int = 16
     epochs: int = 6
     most_epochs: int = 20
-    seen: int = 15_000
+    seen: int = 30_000
     seed: int = 7
 
     @property
     def inputs(self) -> int:
-        return self.word_dims + self.char_dims + 1 + len(PREFIXES)
+        return 3 + len(PREFIXES)
 
 
 def highest(owner: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
@@ -81,7 +81,7 @@ class BiGru:
     def fresh(cls, s: Settings) -> BiGru:
         rng, h, d = np.random.default_rng(s.seed), s.hidden, s.inputs
         near = lambda *shape: rng.normal(0, 0.3, shape).astype(F32)
-        p = {"word": near(s.buckets, s.word_dims) * F32(0.1), "char": near(s.buckets, s.char_dims) * F32(0.1), "prefix": np.zeros(s.buckets, F32), "attend": near(2 * h), "out": near(2 * h), "bias": np.full(1, -1, F32)}
+        p = {k: np.zeros(s.buckets, F32) for k in TABLES} | {"attend": near(2 * h), "out": near(2 * h), "bias": np.full(1, -1, F32)}
         for way in ("f", "b"):
             p |= {f"in_{way}": near(d, 3 * h), f"at_{way}": near(h, 3 * h), f"on_{way}": np.zeros(3 * h, F32)}
         return cls(s, p)
@@ -90,17 +90,16 @@ class BiGru:
         """One input vector for each distinct word, given by an example; some thousand words at a time."""
         s, n = self.settings, np.uint64(self.settings.buckets)
         out = np.zeros((len(example), s.inputs), F32)
-        out[:, : s.word_dims] = self.p["word"][(w.hash[example] % n).astype(np.int64)]
+        out[:, 0] = self.p["word"][(w.hash[example] % n).astype(np.int64)]
         for lo in range(0, len(example), 5_000):
             some = example[lo : lo + 5_000]
             owner, gram = char_ngrams(w.data, w.start[some], w.end[some], NGRAMS)
             gram = (gram % n).astype(np.int64)
-            count = np.maximum(np.bincount(owner, minlength=len(some)), 1)
-            for j in range(s.char_dims):
-                out[lo : lo + 5_000, s.word_dims + j] = np.bincount(owner, self.p["char"][gram, j], len(some)) / count
-            out[lo : lo + 5_000, s.word_dims + s.char_dims] = highest(owner, self.p["char"][gram, 0], len(some))
+            value = self.p["char"][gram]
+            out[lo : lo + 5_000, 1] = np.bincount(owner, value, len(some)) / np.maximum(np.bincount(owner, minlength=len(some)), 1)
+            out[lo : lo + 5_000, 2] = highest(owner, value, len(some))
         for j, bucket in enumerate(prefixes(w, example, s.buckets)):
-            out[:, s.word_dims + s.char_dims + 1 + j] = self.p["prefix"][bucket]
+            out[:, 3 + j] = self.p["prefix"][bucket]
         return out
 
     def states(self, steps_in: Callable[[int], np.ndarray], n: int, mask: np.ndarray | None, way: str, keep: bool = False):
@@ -244,7 +243,7 @@ def log_odds(counts: np.ndarray, share: float, weight: float = 5.0) -> np.ndarra
 def train(texts: list[str], toxic: np.ndarray, s: Settings) -> BiGru:
     """Fits the network on labelled texts.
 
-    The tables begin with smoothed log odds; while the network learns, those of a text are
+    The tables hold smoothed log odds; while the network learns, those of a text are
     counted without its fold, as those of a new text will be. A toxic text says nothing of its single
     windows, so the windows to learn from are chosen by the model itself: its highest
     ones of each text, toxic or not, and others of clean texts; chosen anew as it learns.
@@ -254,7 +253,7 @@ def train(texts: list[str], toxic: np.ndarray, s: Settings) -> BiGru:
     counts, share = occurrences(texts, toxic, s.buckets), toxic.mean()
 
     def tables(of: np.ndarray) -> None:
-        model.p["word"][:, 0], model.p["char"][:, 0], model.p["prefix"][:] = log_odds(of, share)
+        model.p |= zip(TABLES, log_odds(of, share), strict=True)
 
     parts, n_words, n_inputs = [], 0, 0
     for fold in range(FOLDS):
@@ -272,11 +271,9 @@ def train(texts: list[str], toxic: np.ndarray, s: Settings) -> BiGru:
     if not parts:
         return model
     x, which, doc, first, size = (np.concatenate(each) for each in zip(*parts, strict=True))
-    value = x[:, [0, s.word_dims, s.word_dims + s.char_dims, *range(s.word_dims + s.char_dims + 1, s.inputs)]].sum(axis=1)
     take, mask = words_in(first, size, which, s)
-    rank = np.where(mask, value[take], -9).max(axis=1)
-    slow = {k: np.zeros_like(v) for k, v in model.p.items()}
-    square = {k: np.zeros_like(v) for k, v in model.p.items()}
+    rank = np.where(mask, x.sum(axis=1)[take], -9).max(axis=1)
+    slow, square = ({k: np.zeros_like(v) for k, v in model.p.items() if k not in TABLES} for _ in range(2))
     step, epochs = 0, max(s.epochs, min(s.most_epochs, s.seen // len(texts)))
     for epoch in range(epochs):
         order = np.lexsort((-rank, doc))
