@@ -7,7 +7,7 @@ from veritab.llm.decontamination import contaminated
 from veritab.llm.exact_dedup import exact_dedup
 from veritab.llm.language_id import identify_languages
 from veritab.llm.line_dedup import drop_fuzzy_lines, line_report
-from veritab.llm.minhash import near_duplicates
+from veritab.llm.minhash import drop_near_duplicates, near_duplicates
 from veritab.llm.mixing import mix_report
 from veritab.llm.quality import importance_resample
 from veritab.llm.substring_dedup import substring_dedup
@@ -80,6 +80,17 @@ def test_exact_keeps_one_of_each(spark):
     assert sum(r.kept for r in got) == len({r.text_sha256 for r in got})
 
 
+def test_near_duplicates_go(spark):
+    """One row of each class stays, also of rows repeated in many tasks; rows without text stay, whatever their id."""
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in drop_near_duplicates(messy(spark)).collect())
+    assert [(i, t) for _, i, t in got] == [(0, ""), (0, ROWS[0][1]), (2, ""), (3, ""), (4, ROWS[5][1]), (4, "one two"), (7, LONG), (8, "...!?"), (9, ROWS[10][1]), (10, ROWS[11][1])]
+    many = spark.range(3000).repartition(7).selectExpr("if(id % 3 = 0, 5L, id) as doc_id", "if(id % 3 = 0, 'the same words in many rows', if(id % 3 = 1, null, concat('text of its own ', id, ' as ', id))) as text", "id as other")
+    rows = drop_near_duplicates(many).collect()
+    assert len(rows) == 2001 and len({r.other for r in rows}) == 2001 and sum(r.doc_id == 5 for r in rows) == 2
+    same = spark.range(50).selectExpr("null as doc_id", "'' as text", "map('id', id) as other")
+    assert drop_near_duplicates(same).count() == 50
+
+
 def test_lines_of_messy_rows(spark):
     out = drop_fuzzy_lines(messy(spark))
     assert out.columns == messy(spark).columns and out.count() == len(ROWS)

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritab.llm._components import components_of_buckets
@@ -262,8 +262,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` but for near duplicates: one document of each class stays."""
-    kept = materialise(near_duplicates(docs, id_col, text_col).where("kept").select(F.col("row_key").alias("_key")).distinct())
+    """The rows of ``docs`` but for near duplicates: one document of each class stays.
+
+    Of rows with the same id and text one stays, whatever their other columns; rows
+    without text are classes of their own, so all of them stay.
+    """
+    rows = near_duplicates(docs, id_col, text_col).groupBy(F.col("row_key").alias("_key"))
+    kept = materialise(rows.agg(F.count("*").alias("_rows"), F.sum(F.col("kept").cast("long")).alias("_kept")).where("_kept > 0"))
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), row_key(id_col, text_col).alias("_key"))
-    again = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    return packed.join(kept, "_key", "left_semi").withColumn("_again", again).where("_again = 1").select("_row.*")
+    found = packed.join(kept, "_key")
+    # grouped by another name of the key: each task of the join, which AQE may split, keeps one row before they meet
+    repeated = found.where("_kept < _rows").groupBy(F.md5("_key").alias("_twin")).agg(F.first("_row").alias("_row"))
+    return found.where("_kept = _rows").select("_row.*").unionByName(repeated.select("_row.*"))
