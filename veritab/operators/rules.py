@@ -10,7 +10,7 @@ once in a question and once in a fact (``facts.prepared``); rules test the bits.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -310,6 +310,31 @@ def pin_lookup(asked_: DataFrame, bijections: DataFrame, grid_cells: DataFrame)
     return first_of(by_map.unionByName(by_grid), ["q_id"], [F.col("step")], ANSWER).withColumn("priority", F.lit(100))
 
 
+def words_met(asked_: DataFrame, facts: DataFrame, held: Callable[[Column], Column], by: list[str], order: list[Column], columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Questions (q_id, doc_id, words, …) and facts of their documents, each reduced to what the other side's words can tell apart.
+
+    ``held``: a document's asked words -> those that a fact has. Facts with the same ones, and the same ``by``,
+    rank alike for every question, so the first by ``order`` stands for all; of a question only words that some fact has
+    matter. Returns the questions with ``words`` cut to those, and (doc_id, by, held, columns): the two are as many as there
+    are different sets of words, not as questions and facts, and no pair of a question and a fact is made.
+    """
+    none = F.array().cast("array<string>")
+    every = lambda rows, words, name: rows.select("doc_id", F.explode(words).alias("w")).distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("w")).alias(name))
+    met = facts.join(every(asked_, "words", "vocabulary"), "doc_id", "left")
+    met = once(met, held=held(F.coalesce("vocabulary", none))).drop("vocabulary")
+    sets = materialise(first_of(met, ["doc_id", *by, "held"], order, columns))
+    cut = asked_.join(every(sets, "held", "said"), "doc_id", "left")
+    return once(cut, words=F.array_sort(F.array_intersect("words", F.coalesce("said", none)))).drop("said"), sets
+
+
+def of_equals(asked_: DataFrame, keys: list[str], answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``answer`` (questions -> q_id and ANSWER) of one question of each group with equal ``keys``, given to all of the group."""
+    asked_ = materialise(asked_.select("q_id", *keys))
+    one = materialise(asked_.groupBy(*keys).agg(F.min("q_id").alias("q_id")))
+    got = one.join(answer(one), "q_id").select(*keys, *ANSWER)
+    return asked_.join(got, keys).select("q_id", *ANSWER)
+
+
 def unit_by_topic(asked_: DataFrame, units: DataFrame, asked: QuestionTags = ASKED) -> DataFrame:
     """Rule 900: facts in units of the question's topics, by common words; ties by place on the page, then the earliest.
 
@@ -317,7 +342,7 @@ def unit_by_topic(asked_: DataFrame, units: DataFrame, asked: QuestionTags = ASK
     """
     hits = F.array_compact(F.array(*[F.when(asked.index.has(F.col("tags"), ("topic", i)), F.lit(i)) for i in range(len(TOPICS))]))
     words = F.filter(words_of(F.col("question")), lambda w: F.char_length(w) > 1)
-    topics = once(asked_.where("priority = 900"), words=words).select("q_id", "doc_id", "words", F.posexplode(hits).alias("t_ord", "topic"))
+    topics = once(asked_.where("priority = 900"), words=words, topics=hits).select("q_id", "doc_id", "words", "topics")
     of_unit: dict[str, list[int]] = {}
     for i, (_, names, _) in enumerate(TOPICS):
         for name in names:
@@ -330,17 +355,32 @@ def unit_by_topic(asked_: DataFrame, units: DataFrame, asked: QuestionTags = ASK
     read = F.transform("readings", lambda m, n: entry(F.try_element_at(by_kind, m["kind"]), 5, part(F.lit(None), m["value"], F.lit(None), m["unit"]), n + 1))
     columns = ["doc_id", "fact_ord", "id", "label", "context", "value_num", "value_str", "unit_of_measure", "page", "bbox", "x", "y", "score"]
     facts = units.select(*columns, F.lower("text").alias("low"), F.inline_outer(F.concat(own, read))).where("topic is not null")
-    rows = single(topics.join(facts, ["doc_id", "topic"])).withColumn("parts", F.array("p"))
-    rows = rows.withColumn("rank", F.col("bonus") + F.size(F.filter("words", lambda w: F.contains(F.col("low"), w))))
-    return first_of(rows, ["q_id"], [-F.col("rank"), -F.col("y"), -F.col("x"), F.col("fact_ord"), F.col("t_ord"), F.col("cand")], ANSWER).withColumn("priority", F.lit(900))
+    place = [-F.col("y"), -F.col("x"), F.col("fact_ord")]
+    holds = lambda vocabulary: F.filter(vocabulary, lambda w: F.contains(F.col("low"), w))
+    topics, sets = words_met(topics, facts, holds, ["topic", "bonus"], [*place, F.col("cand")], [*columns[1:], "p", "cand"])
+
+    def answer(one: DataFrame) -> DataFrame:
+        rows = one.select("q_id", "doc_id", "words", F.posexplode("topics").alias("t_ord", "topic"))
+        rows = single(rows.join(sets, ["doc_id", "topic"])).withColumn("parts", F.array("p"))
+        rows = rows.withColumn("rank", F.col("bonus") + F.size(F.array_intersect("words", "held")))
+        return first_of(rows, ["q_id"], [-F.col("rank"), *place, F.col("t_ord"), F.col("cand")], ANSWER)
+
+    return of_equals(topics, ["doc_id", "topics", "words"], answer).withColumn("priority", F.lit(900))
 
 
 def grid_by_words(asked_: DataFrame, rows: DataFrame) -> DataFrame:
     """Rule 950: the table row whose header shares most words with the question, the earliest of equals."""
     asked_ = asked_.where("priority = 950").select("q_id", "doc_id", words_of(F.col("q")).alias("words"))
     header = F.array_distinct(F.regexp_extract_all("header", F.lit(r"[a-z0-9.]+"), F.lit(0)))
-    hit = asked_.join(rows.where("rows >= 2 and cols >= 2"), "doc_id").withColumn("common", F.size(F.array_intersect("words", header))).where("common > 0")
-    return first_of(grid_answer(hit), ["q_id"], [-F.col("common"), F.col("grid_ord"), F.col("row")], ANSWER).withColumn("priority", F.lit(950))
+    place = [F.col("grid_ord"), F.col("row")]
+    large = grid_answer(rows.where("rows >= 2 and cols >= 2"))
+    asked_, sets = words_met(asked_, large, lambda vocabulary: F.array_sort(F.array_intersect(header, vocabulary)), [], place, ["grid_ord", "row", *ANSWER])
+
+    def answer(one: DataFrame) -> DataFrame:
+        hit = one.join(sets, "doc_id").withColumn("common", F.size(F.array_intersect("words", "held"))).where("common > 0")
+        return first_of(hit, ["q_id"], [-F.col("common"), *place], ANSWER)
+
+    return of_equals(asked_.where(F.size("words") > 0), ["doc_id", "words"], answer).withColumn("priority", F.lit(950))
 
 
 def unit_by_name(asked_: DataFrame, units: DataFrame) -> DataFrame:
