@@ -6,7 +6,7 @@ import facts as fx
 import pytest
 from pyspark.sql import functions as F
 
-from veritab.operators import rules
+from veritab.operators import consensus, rules
 from veritab.operators.facts import prepared
 
 WORDS = ["clock", "output", "supply", "core", "pad", "boost"]
@@ -47,3 +47,19 @@ def test_table_rows_by_sets_of_words(spark, asked):
     for q_id, _, question in asked[0]:
         common = [len(set(question.split()) & set(h.split())) for h in headers]
         assert got.get(q_id) == (common.index(max(common)) if max(common) else None)
+
+
+def test_numbers_of_one_label_and_place_are_no_pairs(spark):
+    """Two extractions of a page with 1500 different numbers of one label: 2.25 million pairs, of which none is made."""
+    rng = random.Random(8)
+    page = lambda values: spark.createDataFrame([(f"u{i}", "VCC", None, v, "V", "", 0.5, (0.1, 0.2), None, "d", 0, "o", i) for i, v in enumerate(values)], fx.UNITS)
+    one, other = [[float(rng.randrange(4000)) for _ in range(1500)] for _ in range(2)]
+    edges = consensus.edges_to_pools(*[consensus.compared(consensus.facts(page(v)).withColumn("rid", F.monotonically_increasing_id())) for v in (one, other)], 0.6)
+    assert edges.count() <= 4 * 1500
+    free, want = dict(enumerate(other)), {}
+    for i, v in enumerate(one):
+        j = next((j for j, w in free.items() if w == v), None)
+        want[i] = 1.0 if j is not None else 0.6
+        del free[next(iter(free)) if j is None else j]
+    got = {r.fact_ord: round(r.similarity, 9) for r in consensus.consensus(page(one), page(other)).collect()}
+    assert got == want
