@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from veritab.operators import consensus, rules
 from veritab.operators.facts import prepared
+from veritab.plans import queries
 
 WORDS = ["clock", "output", "supply", "core", "pad", "boost"]
 
@@ -63,3 +64,9 @@ def test_numbers_of_one_label_and_place_are_no_pairs(spark):
         del free[next(iter(free)) if j is None else j]
     got = {r.fact_ord: round(r.similarity, 9) for r in consensus.consensus(page(one), page(other)).collect()}
     assert got == want
+
+
+def test_rules_read_scanned_facts(spark):
+    """Facts are searched for keywords and measurements once, not again by each family of rules."""
+    plan = queries.QUERIES["rule_answers_all"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1  # of the headers of no tables
